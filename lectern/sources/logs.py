@@ -71,26 +71,31 @@ def split_tsv(lines: DataFrame, names: Iterable[str], line: str = "value") -> tu
     return good, parsed.where(~fits).select(F.col(line).alias("line"))
 
 
-def register_records(lines: DataFrame) -> DataFrame:
-    """Registration log: platform code decoded to its name."""
-    good, _ = split_tsv(lines, REGISTER_FIELDS)
-    return good.withColumn("platform", S.platform_name(F.col("platform")))
-
-
-def question_records(lines: DataFrame) -> DataFrame:
-    """Answer log; lines whose ids are not numbers are left to the quarantine side."""
-    good, _ = split_tsv(lines, QUESTION_FIELDS)
-    ids = ("uid", "courseid", "pointid", "questionid")
-    typed = good.select(*[F.col(c).try_cast("int").alias(c) if c in ids else F.col(c) for c in good.columns])
-    return typed.where(F.col("uid").isNotNull() & F.col("courseid").isNotNull()
-                       & F.col("pointid").isNotNull() & F.col("questionid").isNotNull())
-
-
-def page_records(lines: DataFrame) -> DataFrame:
-    """Page events; an absent field is the empty text."""
+def register_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Registration log ``(rows, bad)``: platform code decoded to its name."""
+    good, bad = split_tsv(lines, REGISTER_FIELDS)
+    return good.withColumn("platform", S.platform_name(F.col("platform"))), bad
+
+
+def question_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answer log ``(rows, bad)``; lines of another arity or with ids that are no numbers are bad."""
+    ids = QUESTION_FIELDS[:4]
+    parts = F.split(F.regexp_replace(F.col("value"), r"\t+$", ""), r"\t")
+    typed = lines.withColumn(PARSED, parts).select("value", F.size(PARSED).alias("_n"), *[
+        (F.get(F.col(PARSED), F.lit(i)).try_cast("int") if n in ids else F.get(F.col(PARSED), F.lit(i))).alias(n)
+        for i, n in enumerate(QUESTION_FIELDS)])
+    ok = F.col("_n") == len(QUESTION_FIELDS)
+    for name in ids:
+        ok = ok & F.col(name).isNotNull()
+    ok = F.coalesce(ok, F.lit(False))
+    return typed.where(ok).drop("value", "_n"), typed.where(~ok).select(F.col("value").alias("line"))
+
+
+def page_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Page events ``(rows, bad)``; an absent field is the empty text."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in PAGE_FIELDS])
-    good, _ = split_json(lines, schema)
-    return good.select(*[F.coalesce(F.col(f"{PARSED}.{n}"), F.lit("")).alias(n) for n in PAGE_FIELDS])
+    good, bad = split_json(lines, schema)
+    return good.select(*[F.coalesce(F.col(f"{PARSED}.{n}"), F.lit("")).alias(n) for n in PAGE_FIELDS]), bad
 
 
 def learn_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
