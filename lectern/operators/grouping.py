@@ -91,27 +91,26 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def ids_in_parts(df: DataFrame, keys: Sequence[str], member: str, name: str, distinct: bool = True,
-                 part_width: int = 10_000) -> DataFrame:
+                 part_width: int = 10_000, copy_width: int = 8) -> DataFrame:
     """Comma-joined sorted ids per group, split so that no row grows with the data.
 
     A group's ids go to numbered parts by ``id div part_width``: a part holds at most
-    ``part_width`` distinct ids. With ``distinct=False`` an id appears as often as it occurs;
-    its copies are spread over further sub-parts of ``part_width`` copies each. Joining a group's
-    parts in ``part``, ``copy`` order gives the whole list.
+    ``part_width`` distinct ids. With ``distinct=False`` an id appears as often as it occurs, at most
+    ``copy_width`` times per row; further copies go to rows with a higher ``copy`` number. All parts of
+    a group together are its whole list.
     """
     grouped = df.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("_n"))
-    part = F.call_function("div", F.col(member), F.lit(part_width)).alias("part")
+    part = F.call_function("div", F.col(member).cast("bigint"), F.lit(part_width).cast("bigint")).alias("part")
     if distinct:
         lists = grouped.select(*keys, member, part).groupBy(*keys, "part").agg(
             F.sort_array(F.collect_list(member)).alias("_ids"))
-        joined = F.transform("_ids", lambda i: i.cast("string"))
-        return lists.select(*keys, "part", F.array_join(joined, ",").alias(name))
-    width = F.lit(part_width).cast("bigint")
+        return lists.select(*keys, "part",
+                            F.array_join(F.transform("_ids", lambda i: i.cast("string")), ",").alias(name))
+    width = F.lit(copy_width).cast("bigint")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("_n") - 1, width)))
     spread = grouped.select(*keys, member, part, "_n", copies.alias("copy")).withColumn(
         "_k", F.least(width, F.col("_n") - F.col("copy") * width).cast("int"))
-    # an id with more copies than the width fills its sub-parts alone; all others share sub-part 0
-    lists = spread.groupBy(*keys, "part", "copy", F.when(F.col("_n") > width, F.col(member)).alias("_alone")).agg(
+    lists = spread.groupBy(*keys, "part", "copy").agg(
         F.sort_array(F.collect_list(F.struct(member, "_k"))).alias("_ids"))
     repeated = F.flatten(F.transform("_ids", lambda i: F.array_repeat(i[member].cast("string"), i["_k"])))
     return lists.select(*keys, "part", "copy", F.array_join(repeated, ",").alias(name))
