@@ -74,7 +74,7 @@ def top_n_ties(df: DataFrame, partition: Sequence[str], value: str, n: int = 3,
     and last descending, as in a plain window.
     """
     order = F.col(value).asc_nulls_first() if ascending else F.col(value).desc_nulls_last()
-    ranks = top_n(df.groupBy(*partition, value).agg(), partition, [order], n, rank)
+    ranks = top_n(df.select(*partition, value).distinct(), partition, [order], n, rank)
     ranks = ranks.select(*[F.col(c).alias(f"_{c}") for c in (*partition, value)], rank)
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*partition, value)]
     condition = on[0]

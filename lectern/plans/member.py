@@ -55,11 +55,10 @@ def member_wide(member: DataFrame, regtype: DataFrame, ad: DataFrame, website: D
         base,
         (first_per_key(regtype, ("uid", "dn"), ("reg_createtime",)), ("uid", "dn")),
         (ad, ("ad_id", "dn")),
-        (website, ("siteid", "dn")),
+        (website.withColumn("_site", F.lit(True)), ("siteid", "dn")),
         (payment_totals(payment, vip), ("uid", "dn")))
     # the site id of a member is the id of a known site
-    known_site = F.when(F.col("sitename").isNotNull() | F.col("siteurl").isNotNull(), F.col("siteid"))
-    return (joined.withColumn("siteid", known_site)
+    return (joined.withColumn("siteid", F.when(F.col("_site"), F.col("siteid")))
             .withColumn("paymoney", F.coalesce(F.col("paymoney"), F.lit(0)).cast(MONEY_SUM))
             .select(*MEMBER_COLUMNS))
 
@@ -99,8 +98,7 @@ def build_member(wh: Warehouse, dt: str) -> None:
     table = wh.versioned("dws_member_zipper")
     history = table.read()
     if history is None:
-        opened = daily.withColumn("end_time", F.lit("9999-12-31")).select(*HISTORY_COLUMNS)
-        table.commit(opened)
+        table.commit(scd2_history(daily, HISTORY_KEYS, "start_time", "paymoney").select(*HISTORY_COLUMNS))
     else:
         table.commit(apply_payments(history, daily))
 

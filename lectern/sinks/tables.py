@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lectern.operators.grouping import first_per_key
 from lectern.operators.upsert import upsert
 
 
@@ -25,7 +26,34 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = (), m
     writer.parquet(path)
 
 
-class VersionedTable:
+class _Folders:
+    """Numbered result folders ``<kind>=<n>`` below ``path``; one counts once its success marker is there."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _hadoop(self, path: str):
+        sc = self.spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
+
+    def _done(self, kind: str) -> list[int]:
+        fs, root = self._hadoop(self.path)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        numbers = [int(n[len(kind) + 1:]) for n in names if n.startswith(f"{kind}=")]
+        return sorted(n for n in numbers if fs.exists(self._hadoop(f"{self.folder(kind, n)}/_SUCCESS")[1]))
+
+    def folder(self, kind: str, number: int) -> str:
+        return f"{self.path}/{kind}={number}"
+
+    def _drop(self, kind: str, number: int) -> None:
+        fs, target = self._hadoop(self.folder(kind, number))
+        fs.delete(target, True)
+
+
+class VersionedTable(_Folders):
     """A result table whose every version is a complete folder ``v=<n>`` below ``path``.
 
     A version counts once its success marker is there, so readers never see a half-written one, a
@@ -34,23 +62,11 @@ class VersionedTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, retain: int = 3):
-        self.spark, self.path, self.retain = spark, path.rstrip("/"), retain
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root, jvm
+        super().__init__(spark, path)
+        self.retain = retain
 
     def versions(self) -> list[int]:
-        fs, root, jvm = self._fs()
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(
-            jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
-
-    def folder(self, version: int) -> str:
-        return f"{self.path}/v={version}"
+        return self._done("v")
 
     def current(self) -> int | None:
         return max(self.versions(), default=None)
@@ -58,7 +74,7 @@ class VersionedTable:
     def read(self) -> DataFrame | None:
         """The current version, or None before the first commit."""
         version = self.current()
-        return None if version is None else self.spark.read.parquet(self.folder(version))
+        return None if version is None else self.spark.read.parquet(self.folder("v", version))
 
     def commit(self, df: DataFrame, version: int | None = None) -> bool:
         """Write ``df`` as ``version`` (default: the next one). False if it was already committed."""
@@ -67,8 +83,9 @@ class VersionedTable:
             version = 0 if current is None else current + 1
         elif current is not None and version <= current:
             return False
-        df.write.mode("overwrite").parquet(self.folder(version))
-        self._expire()
+        df.write.mode("overwrite").parquet(self.folder("v", version))
+        for old in self.versions()[:-self.retain]:
+            self._drop("v", old)
         return True
 
     def merge(self, updates: DataFrame, version: int, keys: Sequence[str], **columns: Sequence[str]) -> bool:
@@ -79,7 +96,54 @@ class VersionedTable:
         target = self.read()
         return self.commit(updates if target is None else upsert(target, updates, keys, **columns), version)
 
-    def _expire(self) -> None:
-        fs, _, jvm = self._fs()
-        for version in self.versions()[:-self.retain]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(self.folder(version)), True)
+
+class ChangeLog(_Folders):
+    """Keyed results of a stream: every batch writes only the rows it changed, with their full totals.
+
+    A batch owns the folder ``batch=<id>``, so a replayed batch overwrites itself. The table is the latest
+    row per key. :meth:`compact` folds finished batches into ``base=<id>``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
+        super().__init__(spark, path)
+        self.keys = list(keys)
+
+    def write(self, changed: DataFrame, batch_id: int) -> bool:
+        if batch_id <= max(self._done("base"), default=-1):
+            return False
+        changed.write.mode("overwrite").parquet(self.folder("batch", batch_id))
+        return True
+
+    def _rows(self, through: int | None = None) -> DataFrame | None:
+        base = max(self._done("base"), default=None)
+        batches = [b for b in self._done("batch") if (base is None or b > base) and (through is None or b <= through)]
+        frames = [] if base is None else [
+            self.spark.read.parquet(self.folder("base", base)).withColumn("_batch", F.lit(base).cast("bigint"))]
+        if batches:
+            rows = (self.spark.read.option("basePath", self.path)
+                    .parquet(*[self.folder("batch", b) for b in batches]))
+            frames.append(rows.withColumn("_batch", F.col("batch").cast("bigint")).drop("batch"))
+        if not frames:
+            return None
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
+    def read(self, through: int | None = None) -> DataFrame | None:
+        """Latest row per key, or None before the first batch."""
+        rows = self._rows(through)
+        if rows is None:
+            return None
+        return first_per_key(rows.withColumn("_order", -F.col("_batch")), self.keys, ("_order",)).drop(
+            "_order", "_batch")
+
+    def compact(self, through: int) -> None:
+        """Fold batches up to ``through`` into one folder and drop them."""
+        current = self.read(through)
+        if current is None or through <= max(self._done("base"), default=-1):
+            return
+        current.write.mode("overwrite").parquet(self.folder("base", through))
+        for base in self._done("base"):
+            if base < through:
+                self._drop("base", base)
+        for batch in self._done("batch"):
+            if batch <= through:
+                self._drop("batch", batch)
