@@ -5,66 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import scalars as S
-from lectern.operators.grouping import ids_in_parts, rate_by, top_n_ties
-from lectern.operators.joins import inner_join_all, mark_one_per_key
-from lectern.sources.warehouse import DERIVED, Warehouse
+from lectern.operators.grouping import first_per_key, ids_in_parts, rate_by, top_n_ties
+from lectern.operators.joins import inner_join_all
+from lectern.sources.warehouse import Warehouse, shape
 
 PASS_MARK = 60
 PAPER_KEYS = ("paperviewid", "paperviewname", "dt", "dn")
 
 
-def _shape(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*DERIVED[table].names)
-
-
 def chapter_dim(chapter: DataFrame, chapter_list: DataFrame, point: DataFrame, point_question: DataFrame) -> DataFrame:
     """One row per chapter, point and question."""
-    return _shape(inner_join_all(
+    return shape(inner_join_all(
         chapter, (chapter_list, ("chapterlistid", "dn")), (point, ("chapterid", "dn")),
         (point_question, ("pointid", "dn"))), "dws_qz_chapter")
 
 
 def course_dim(site_course: DataFrame, course: DataFrame, edusubject: DataFrame) -> DataFrame:
-    return _shape(inner_join_all(
+    return shape(inner_join_all(
         site_course, (course, ("courseid", "dn")), (edusubject, ("courseid", "dn"))), "dws_qz_course")
 
 
 def major_dim(major: DataFrame, website: DataFrame, business: DataFrame) -> DataFrame:
-    return _shape(inner_join_all(
+    return shape(inner_join_all(
         major, (website, ("siteid", "dn")), (business, ("businessid", "dn"))), "dws_qz_major")
 
 
 def paper_dim(paper_view: DataFrame, center_paper: DataFrame, center: DataFrame, paper: DataFrame) -> DataFrame:
     """Paper views with their exam center where there is one; views without a paper drop out."""
-    return _shape(
+    return shape(
         paper_view.join(center_paper, ["paperviewid", "dn"], "left").join(center, ["centerid", "dn"], "left")
         .join(paper, ["paperid", "dn"], "inner"), "dws_qz_paper")
 
 
 def question_dim(question: DataFrame, question_type: DataFrame) -> DataFrame:
-    return _shape(inner_join_all(question, (question_type, ("questypeid", "dn"))), "dws_qz_question")
+    return shape(inner_join_all(question, (question_type, ("questypeid", "dn"))), "dws_qz_question")
 
 
 def answer_wide(answer: DataFrame, chapter: DataFrame, course: DataFrame, major: DataFrame, paper: DataFrame,
                 question: DataFrame) -> DataFrame:
     """Every answer with all five dimensions.
 
-    A chapter comes once per point and question, so answers repeat, as the wide table defines. The flag
-    ``answer_row`` is true on exactly one of the copies of each answer: reports filter on it instead of
-    removing duplicates from the wide rows.
+    A chapter comes once per point and question, so answers repeat, as the wide table defines.
     """
-    steps = [(course, ("sitecourseid", "dn")), (chapter, ("chapterid", "dn")), (major, ("majorid", "dn")),
-             (paper, ("paperviewid", "dn")), (question, ("questionid", "dn"))]
-    wide, flag = answer, F.lit(True)
-    for i, (dim, keys) in enumerate(steps):
-        wide = wide.join(mark_one_per_key(dim, keys, f"_one{i}"), list(keys), "inner")
-        flag = flag & F.col(f"_one{i}")
-    return _shape(wide.withColumn("answer_row", flag), "dws_user_paper_detail")
+    return shape(inner_join_all(
+        answer, (course, ("sitecourseid", "dn")), (chapter, ("chapterid", "dn")), (major, ("majorid", "dn")),
+        (paper, ("paperviewid", "dn")), (question, ("questionid", "dn"))), "dws_user_paper_detail")
+
 
+def answer_grain(answer: DataFrame, chapter: DataFrame, course: DataFrame, major: DataFrame, paper: DataFrame,
+                 question: DataFrame) -> DataFrame:
+    """Every answer of :func:`answer_wide` exactly once, with the columns the reports read.
+
+    Dimensions are cut to those columns and to their first row per key before the joins, so nothing
+    fans out and no duplicates have to be removed from the answers themselves.
+    """
+    def one(dim: DataFrame, key: str, *columns: str) -> tuple[DataFrame, tuple[str, str]]:
+        return first_per_key(dim.select(key, "dn", *columns), (key, "dn"), columns), (key, "dn")
 
-def at_grain(detail: DataFrame, dedupe: bool = True) -> DataFrame:
-    """Answers once each; ``dedupe=False`` keeps the repeated rows of the wide table."""
-    return detail.where(F.col("answer_row")) if dedupe else detail
+    return shape(inner_join_all(
+        answer,
+        one(course, "sitecourseid", "sitecoursename", "coursename"),
+        one(chapter, "chapterid", "pointid", "chaptername", "pointname"),
+        one(major, "majorid", "majorname", "shortname", "sitename"),
+        one(paper, "paperviewid", "paperviewname", "papername"),
+        (question.select("questionid", "dn").distinct(), ("questionid", "dn"))), "dws_user_paper_answer")
 
 
 def paper_averages(detail: DataFrame) -> DataFrame:
@@ -80,11 +84,11 @@ def paper_extremes(detail: DataFrame) -> DataFrame:
 
 def top_scores(detail: DataFrame, n: int = 3) -> DataFrame:
     """All answers with one of the ``n`` best scores of their paper."""
-    return _shape(top_n_ties(detail, ("paperviewid",), "score", n), "ads_top3_userdetail")
+    return shape(top_n_ties(detail, ("paperviewid",), "score", n), "ads_top3_userdetail")
 
 
 def low_scores(detail: DataFrame, n: int = 3) -> DataFrame:
-    return _shape(top_n_ties(detail, ("paperviewid",), "score", n, ascending=True), "ads_low3_userdetail")
+    return shape(top_n_ties(detail, ("paperviewid",), "score", n, ascending=True), "ads_low3_userdetail")
 
 
 def band_users(detail: DataFrame, distinct: bool = True, part_width: int = 10_000) -> DataFrame:
@@ -105,14 +109,14 @@ def pass_rates(detail: DataFrame, inner_only: bool = False) -> DataFrame:
     """Passed and failed answers per paper; ``inner_only`` keeps papers that have both."""
     out = rate_by(detail, PAPER_KEYS, F.col("score") > PASS_MARK, F.col("score").between(0, PASS_MARK),
                   ("passcount", "unpasscount", "rate"), inner_only)
-    return _shape(out, "ads_user_paper_detail")
+    return shape(out, "ads_user_paper_detail")
 
 
 def error_rates(detail: DataFrame, inner_only: bool = False) -> DataFrame:
     """Wrong and right answers per question; ``inner_only`` keeps questions that have both."""
     out = rate_by(detail, ("questionid", "dt", "dn"), F.col("user_question_answer") == 0,
                   F.col("user_question_answer") == 1, ("errcount", "rightcount", "rate"), inner_only)
-    return _shape(out, "ads_user_question_detail")
+    return shape(out, "ads_user_question_detail")
 
 
 def build_dims(wh: Warehouse, dt: str) -> None:
@@ -127,14 +131,16 @@ def build_dims(wh: Warehouse, dt: str) -> None:
 
 
 def build_answers(wh: Warehouse, dt: str) -> None:
-    wh.write("dws_user_paper_detail", answer_wide(
-        wh.scan("answer", dt), wh.scan("chapter_dim", dt), wh.scan("course_dim", dt), wh.scan("major_dim", dt),
-        wh.scan("paper_dim", dt), wh.scan("question_dim", dt)))
+    """Daily job: the wide answers, and the same answers once each for the reports."""
+    parts = [wh.scan(name, dt) for name in
+             ("answer", "chapter_dim", "course_dim", "major_dim", "paper_dim", "question_dim")]
+    wh.write("dws_user_paper_detail", answer_wide(*parts))
+    wh.write("dws_user_paper_answer", answer_grain(*parts))
 
 
 def report_exams(wh: Warehouse, dt: str, dedupe: bool = True, inner_only: bool = False) -> None:
-    """Daily job: seven report tables from the wide answers of the day."""
-    detail = at_grain(wh.scan("answer_detail", dt), dedupe)
+    """Daily job: seven report tables. ``dedupe=False`` reports on the repeated rows of the wide table."""
+    detail = wh.scan("answer_grain" if dedupe else "answer_detail", dt)
     wh.write("ads_paper_avgtimeandscore", paper_averages(detail))
     wh.write("ads_paper_maxdetail", paper_extremes(detail))
     wh.write("ads_top3_userdetail", top_scores(detail))

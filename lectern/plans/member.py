@@ -8,9 +8,8 @@ from lectern.functions import scalars as S
 from lectern.operators.grouping import count_by, count_by_each, first_per_key, top_n
 from lectern.operators.history import scd2_apply, scd2_history
 from lectern.operators.joins import left_join_all
-from lectern.sources.warehouse import DERIVED, MONEY_SUM, Warehouse
+from lectern.sources.warehouse import DERIVED, MONEY_SUM, Warehouse, shape
 
-MEMBER_COLUMNS = DERIVED["dws_member"].names
 HISTORY_KEYS = ("uid", "dn")
 HISTORY_COLUMNS = DERIVED["dws_member_zipper"].names
 
@@ -58,9 +57,9 @@ def member_wide(member: DataFrame, regtype: DataFrame, ad: DataFrame, website: D
         (website.withColumn("_site", F.lit(True)), ("siteid", "dn")),
         (payment_totals(payment, vip), ("uid", "dn")))
     # the site id of a member is the id of a known site
-    return (joined.withColumn("siteid", F.when(F.col("_site"), F.col("siteid")))
-            .withColumn("paymoney", F.coalesce(F.col("paymoney"), F.lit(0)).cast(MONEY_SUM))
-            .select(*MEMBER_COLUMNS))
+    return shape(joined.withColumns({
+        "siteid": F.when(F.col("_site"), F.col("siteid")),
+        "paymoney": F.coalesce(F.col("paymoney"), F.lit(0)).cast(MONEY_SUM)}), "dws_member")
 
 
 def daily_payments(payment: DataFrame, vip: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def apply_payments(history: DataFrame, daily: DataFrame) -> DataFrame:
 def top_payers(members: DataFrame, n: int = 3) -> DataFrame:
     """Best payers per tenant and member level; equal sums are ordered by member id."""
     ranked = top_n(members, ("dn", "memberlevel"), [F.col("paymoney").desc(), F.col("uid").asc()], n)
-    return ranked.select(*DERIVED["ads_register_top3memberpay"].names)
+    return shape(ranked, "ads_register_top3memberpay")
 
 
 def build_member(wh: Warehouse, dt: str) -> None:

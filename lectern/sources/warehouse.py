@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lectern.functions import scalars as S
 from lectern.sinks.tables import VersionedTable, write_partitions
 from lectern.sources.specs import DEC1, INT, LOGS, TEXT
 
 MONEY_SUM = T.DecimalType(20, 4)
 LONG = T.LongType()
 
-_KINDS = {"int": INT, "text": TEXT, "long": LONG, "dec1": DEC1, "money": MONEY_SUM, "bool": T.BooleanType(),
+_KINDS = {"int": INT, "text": TEXT, "long": LONG, "dec1": DEC1, "money": MONEY_SUM,
           "avg1": T.DecimalType(4, 1), "avg2": T.DecimalType(10, 2), "rate": T.DecimalType(4, 2)}
 
 
@@ -67,7 +66,10 @@ DERIVED: dict[str, T.StructType] = {name: _schema(text) for name, text in {
         "quesviewtype:int question_content question_answer question_analysis question_limitminute score:dec1 "
         "splitscore:dec1 lecture question_creator question_createtime question_modifystatus question_attanswer "
         "question_questag question_vanalysisaddr question_difficulty quesskill vdeoaddr question_description "
-        "question_splitscoretype user_question_answer:int answer_row:bool dt dn",
+        "question_splitscoretype user_question_answer:int dt dn",
+    "dws_user_paper_answer":
+        "userid:int questionid:int paperviewid:int paperviewname chaptername pointname sitecoursename coursename "
+        "majorname shortname sitename papername score:dec1 spendtime:int user_question_answer:int dt dn",
     "ads_register_appregurlnum": "appregurl num:long dt dn",
     "ads_register_sitenamenum": "sitename num:long dt dn",
     "ads_register_regsourcenamenum": "regsourcename num:long dt dn",
@@ -111,13 +113,11 @@ class Warehouse:
     def read(self, table: str, dt: str | None = None) -> DataFrame:
         """The table with its declared schema; ``dt`` prunes to one day (compared as text)."""
         df = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-        df = df.select(*SCHEMAS[table].names)
+        df = shape(df, table)
         return df if dt is None else df.where(F.col("dt") == F.lit(str(dt)))
 
     def write(self, table: str, df: DataFrame, mode: str = "overwrite", compression: str = "snappy") -> None:
-        types = {f.name: f.dataType for f in SCHEMAS[table].fields}
-        rows = df.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
-        write_partitions(rows, self.path(table), self.partitions(table), mode, compression)
+        write_partitions(typed(df, table), self.path(table), self.partitions(table), mode, compression)
 
     def versioned(self, table: str) -> VersionedTable:
         return VersionedTable(self.spark, self.path(table))
@@ -134,9 +134,22 @@ def scan_columns(df: DataFrame, name: str) -> DataFrame:
     out = []
     for item in SCANS[name][1]:
         source, _, alias = item.partition(">")
-        column = S.money(F.col(source)) if name == "payment" and source == "paymoney" else F.col(source)
-        out.append(column.alias(alias or source))
-    return df.select(*out)
+        if (name, source) == ("payment", "paymoney"):
+            out.append("try_cast(paymoney AS decimal(10,4)) AS paymoney")
+        else:
+            out.append(f"`{source}` AS `{alias or source}`")
+    return df.selectExpr(*out)
+
+
+def shape(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a table, in order."""
+    return df.selectExpr(*[f"`{c}`" for c in SCHEMAS[table].names])
+
+
+def typed(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a table, in order and cast to its types."""
+    return df.selectExpr(*[f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`"
+                           for f in SCHEMAS[table].fields])
 
 
 # Scan name -> (table, columns), where ``a>b`` reads a under the name b.
@@ -225,5 +238,8 @@ SCANS: dict[str, tuple[str, list[str]]] = {name: (table, columns.split()) for na
     "payment_history": ("dws_member_zipper", "uid paymoney vip_level start_time end_time dn"),
     "answer_detail": ("dws_user_paper_detail",
                       "userid questionid paperviewid paperviewname chaptername pointname sitecoursename coursename "
-                      "majorname shortname sitename papername score spendtime user_question_answer answer_row dt dn"),
+                      "majorname shortname sitename papername score spendtime user_question_answer dt dn"),
+    "answer_grain": ("dws_user_paper_answer",
+                     "userid questionid paperviewid paperviewname chaptername pointname sitecoursename coursename "
+                     "majorname shortname sitename papername score spendtime user_question_answer dt dn"),
 }.items()}

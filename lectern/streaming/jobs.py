@@ -69,8 +69,9 @@ def page_job(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, **r
     pages, _ = page_records(lines)
 
     def write_funnel(views: DataFrame, batch_id: int) -> None:
-        VersionedTable(spark, f"{out}/page_views").commit(views, batch_id)
-        VersionedTable(spark, f"{out}/page_jump_rate").commit(funnel_rates(views), batch_id)
+        table = VersionedTable(spark, f"{out}/page_views")
+        table.commit(views, batch_id)
+        VersionedTable(spark, f"{out}/page_jump_rate").commit(funnel_rates(table.read()), batch_id)
 
     def write_provinces(counts: DataFrame, batch_id: int) -> None:
         table = VersionedTable(spark, f"{out}/province_clicks")

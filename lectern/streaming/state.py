@@ -106,7 +106,10 @@ def merge_intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
 def update_video(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     known_s, known_e, total, effective, complete = state.get if state.exists else ([], [], 0, 0, 0)
     known_s, known_e = np.array(known_s, dtype="int64"), np.array(known_e, dtype="int64")
-    plays = _equal_plays(pd.concat(list(batches))).sort_values(["ps", "pe"])
+    plays = None
+    for pdf in batches:  # folded batch by batch: only distinct plays are ever held
+        plays = _equal_plays(pdf if plays is None else pd.concat([plays, pdf]))
+    plays = plays.sort_values(["ps", "pe"])
     ps, pe = plays["ps"].to_numpy("int64"), plays["pe"].to_numpy("int64")
     new = new_coverage(ps, pe, known_s, known_e)
     length = pe - ps
