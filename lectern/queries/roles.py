@@ -208,8 +208,8 @@ class Roles:
         stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         return self.events().select(F.concat_ws("\t", text("event_id"), text("code"), stamp).alias("value"))
 
-    def question_lines(self) -> DataFrame:
-        return self.events().select(F.concat_ws(
+    def question_lines(self, *keep: str) -> DataFrame:
+        return self.events().select(*keep, F.concat_ws(
             "\t", text("user_id"), text("code"), (c("k") % 10).cast("string"), text("k"),
             F.when(c("value") > 100, "1").otherwise("0"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("value"))
 

@@ -1 +1,285 @@
-QUERIES, SQL = {}, {}
+"""Activity queries in batch form, and the same answers through real streams over replayed logs."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lectern.functions import scalars as S
+from lectern.operators import activity
+from lectern.operators.grouping import ids_in_parts, sum_by_each, top_overall
+from lectern.operators.intervals import interval_merge, video_time
+from lectern.operators.ranges import count_by_range
+from lectern.queries.log_queries import EVENTS
+from lectern.queries.roles import Roles
+from lectern.session import work_dir
+from lectern.sinks.tables import ChangeLog, VersionedTable
+from lectern.sources.logs import learn_records, page_records, question_records, register_records
+from lectern.sources.streams import file_lines, replay_to_dir
+from lectern.streaming import jobs
+from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS
+
+STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    return df.select(F.date_format("window_start", STAMP).alias("window_start"),
+                     F.date_format("window_end", STAMP).alias("window_end"), "platform", "num")
+
+
+def _mastery(df: DataFrame) -> DataFrame:
+    return df.select(*POINT_KEYS, "qz_sum", "qz_count", "qz_istrue", F.round("correct_rate", 6).alias("correct_rate"),
+                     F.round("mastery_rate", 6).alias("mastery_rate"), "createtime")
+
+
+def _registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register_records(Roles(spark, sf_dir).register_lines())[0]
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_records(Roles(spark, sf_dir).page_lines())[0]
+
+
+def _plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_records(Roles(spark, sf_dir).learn_lines())[0]
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return question_records(Roles(spark, sf_dir).question_lines())[0]
+
+
+def register_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.running_count(_registers(spark, sf_dir), "platform")
+
+
+def register_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _registers(spark, sf_dir).withColumn("ts", F.to_timestamp("register_time"))
+    return _windows(activity.sliding_count(rows, "ts", "platform"))
+
+
+def page_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.page_transitions(_pages(spark, sf_dir))
+
+
+def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.page_views(_pages(spark, sf_dir))
+
+
+def funnel_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.funnel_rates(activity.page_views(_pages(spark, sf_dir)))
+
+
+def province_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = Roles(spark, sf_dir).ip_ranges().withColumn("province", S.region_part(F.col("region")))
+    numbered = _pages(spark, sf_dir).select(S.ip_number(F.col("ip")).alias("ip_num"))
+    return count_by_range(numbered, "ip_num", ranges, "start_ip", "end_ip", ["province"])
+
+
+def province_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_overall(province_clicks(spark, sf_dir), [F.col("num").desc(), F.col("province")], 3)
+
+
+def learn_time(dim: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _plays(spark, sf_dir).groupBy(dim).agg(F.sum("seconds").alias("totaltime"))
+    return run
+
+
+def learn_time_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sum_by_each(_plays(spark, sf_dir), jobs.LEARN_DIMS, "seconds", "totaltime")
+
+
+def video_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video_time(_plays(spark, sf_dir))
+
+
+def video_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interval_merge(_plays(spark, sf_dir), VIDEO_KEYS)
+
+
+def question_mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mastery(activity.question_mastery(_answers(spark, sf_dir)))
+
+
+def question_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct questions a user has answered per course and point, as id lists."""
+    return ids_in_parts(_answers(spark, sf_dir), POINT_KEYS, "questionid", "questionids")
+
+
+# --- the same through streams ------------------------------------------------------------------------
+
+def streamed(lines: str, job: Callable, result: Callable, files: int = 4, per_trigger: int | None = 2):
+    """Replay log lines to a directory, drain them with the streaming job, read its result tables.
+
+    The stream runs in a session of its own with one state partition per core; the caller's settings stay
+    as they are.
+    """
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = work_dir(spark, "stream")
+        session = spark.newSession()
+        session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+        session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+        roles = Roles(session, sf_dir)
+        replay_to_dir(getattr(roles, lines)(), f"{folder}/in", files)
+        source = file_lines(session, f"{folder}/in", per_trigger)
+        for query in job(roles, source, f"{folder}/out", f"{folder}/checkpoint"):
+            query.awaitTermination()
+        return result(spark, f"{folder}/out")
+    return run
+
+
+def _register_job(_roles: Roles, lines: DataFrame, out: str, checkpoint: str):
+    return jobs.register_job(lines, out, checkpoint, watermark=None, available_now=True)
+
+
+def _question_job(_roles: Roles, lines: DataFrame, out: str, checkpoint: str):
+    return jobs.question_job(lines, out, checkpoint, available_now=True)
+
+
+def _page_job(roles: Roles, lines: DataFrame, out: str, checkpoint: str):
+    return jobs.page_job(lines, roles.ip_ranges(), out, checkpoint, available_now=True)
+
+
+def _learn_job(_roles: Roles, lines: DataFrame, out: str, checkpoint: str):
+    return jobs.learn_job(lines, out, checkpoint, available_now=True)
+
+
+def _landing_job(_roles: Roles, lines: DataFrame, out: str, checkpoint: str):
+    return jobs.landing_job(lines, "page_topic", out, checkpoint, available_now=True)
+
+
+def _landed(spark: SparkSession, out: str) -> DataFrame:
+    """Landed lines by topic and page; the day folder is the day of the run."""
+    return spark.read.text(out).groupBy("topic", F.get_json_object("value", "$.page_id").alias("page_id")).agg(
+        F.count(F.lit(1)).alias("num"), F.count_distinct("dt").alias("days"))
+
+
+def log_result(name: str, keys: list[str], shape: Callable = lambda df: df):
+    return lambda spark, out: shape(ChangeLog(spark, f"{out}/{name}", keys).read())
+
+
+def table_result(name: str):
+    return lambda spark, out: VersionedTable(spark, f"{out}/{name}").read()
+
+
+QUERIES = {
+    "register_total": register_total,
+    "register_sliding": register_sliding,
+    "page_transitions": page_transitions,
+    "page_views": page_views,
+    "funnel_rate": funnel_rate,
+    "province_clicks": province_clicks,
+    "province_top3": province_top3,
+    **{f"learn_time_{name}": learn_time(key) for name, key in {
+        "chapter": "chapterid", "cware": "cwareid", "edutype": "edutypeid", "source": "sourcetype",
+        "subject": "subjectid"}.items()},
+    "learn_time_all": learn_time_all,
+    "video_coverage": video_coverage,
+    "video_intervals": video_intervals,
+    "question_mastery": question_mastery,
+    "question_history": question_history,
+    "stream_register_total": streamed("register_lines", _register_job, log_result("register_total", ["platform"])),
+    "stream_register_sliding": streamed(
+        "register_lines", _register_job, log_result("register_sliding", ["window_start", "platform"], _windows)),
+    "stream_question_mastery": streamed(
+        "question_lines", _question_job, log_result("point_detail", POINT_KEYS, _mastery)),
+    "stream_page_transitions": streamed(
+        "page_lines", _page_job,
+        log_result("page_transitions", ["last_page_id", "page_id", "next_page_id"])),
+    "stream_funnel_rate": streamed("page_lines", _page_job, table_result("page_jump_rate")),
+    "stream_province_top3": streamed("page_lines", _page_job, table_result("top_province")),
+    "stream_learn_time": streamed("learn_lines", _learn_job, log_result("learn_time", ["dim", "key"])),
+    # effective time depends on which plays share a batch, so parity needs one batch
+    "stream_video_coverage": streamed(
+        "learn_lines", _learn_job,
+        log_result("video_detail", VIDEO_KEYS, lambda df: df.drop("play_interval")), per_trigger=None),
+    "stream_raw_landing": streamed("page_lines", _landing_job, _landed),
+}
+
+# --- SQL twins -------------------------------------------------------------------------------------
+
+_PLATFORM = "CASE code WHEN 1 THEN 'PC' WHEN 2 THEN 'APP' ELSE 'Other' END"
+PLAYS = EVENTS + """,
+p AS (SELECT user_id AS uid, code AS cwareid, k % 10 AS videoid, k % 7 AS chapterid, k % 3 AS edutypeid,
+    k % 11 AS subjectid, event_type AS sourcetype, epoch_ms(ts) AS ts,
+    epoch_ms(ts) + CAST(CAST(value AS decimal(12,2)) * 1000 AS bigint) AS te,
+    CAST(CAST(value AS decimal(12,2)) * 1000 AS bigint) // 1000 AS seconds, k AS ps, k - 1 + event_id % 20 AS pe
+    FROM e WHERE k - 1 + event_id % 20 >= k)"""
+_REACH = "max(pe) OVER (PARTITION BY uid, cwareid, videoid ORDER BY ps, pe, ts, te ROWS BETWEEN UNBOUNDED PRECEDING " \
+         "AND 1 PRECEDING)"
+_COVERAGE = f"""WITH {PLAYS},
+c AS (SELECT *, greatest(0, pe - greatest(ps, coalesce({_REACH}, ps))) AS new_len FROM p)
+SELECT uid, cwareid, videoid, sum(seconds) AS totaltime,
+  sum(CASE WHEN pe = ps THEN 0 ELSE seconds * new_len // (pe - ps) END) AS effecttime,
+  sum(new_len) AS completetime FROM c GROUP BY uid, cwareid, videoid"""
+_INTERVALS = f"""WITH {PLAYS},
+f AS (SELECT uid, cwareid, videoid, ps, pe, ts, te, CASE WHEN coalesce({_REACH} >= ps, false) THEN 0 ELSE 1 END AS gap
+  FROM p),
+g AS (SELECT *, sum(gap) OVER (PARTITION BY uid, cwareid, videoid ORDER BY ps, pe, ts, te
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
+SELECT uid, cwareid, videoid, min(ps) AS ps, max(pe) AS pe FROM g GROUP BY uid, cwareid, videoid, island"""
+_PAGES = EVENTS + """,
+pages AS (SELECT CAST(k % 4 AS varchar) AS last_page_id, CAST(code AS varchar) AS page_id,
+    CASE WHEN k % 5 > 0 THEN CAST(k % 5 AS varchar) ELSE '' END AS next_page_id,
+    ((user_id * 37 + k) % 28) * 16777216 + (event_id % 256) * 65536 + (k * 7 % 256) * 256 + event_id % 251 AS ip_num
+    FROM e)"""
+_PROVINCES = f"""WITH {_PAGES}
+SELECT n_name AS province, count(*) AS num FROM pages
+LEFT JOIN nation ON ip_num BETWEEN n_nationkey * 16777216 + 1000 AND (n_nationkey + 1) * 16777216 - 500000
+GROUP BY n_name"""
+_FUNNEL = f"""WITH {_PAGES},
+n AS (SELECT count(*) FILTER (page_id = '1') AS a, count(*) FILTER (page_id = '2') AS b,
+  count(*) FILTER (page_id = '3') AS c FROM pages)
+SELECT '1' AS page_id, a AS num, '100%' AS jump_rate FROM n
+UNION ALL SELECT '2', b, CASE WHEN a = 0 THEN '0%' ELSE CAST(round_even(b * 100.0 / a, 0) AS bigint) || '%' END FROM n
+UNION ALL SELECT '3', c, CASE WHEN b = 0 THEN '0%' ELSE CAST(round_even(c * 100.0 / b, 0) AS bigint) || '%' END FROM n"""
+_MASTERY = f"""WITH {EVENTS},
+a AS (SELECT user_id AS uid, code AS courseid, k % 10 AS pointid, count(*) AS qz_sum, count(DISTINCT k) AS qz_count,
+  count(*) FILTER (value > 100) AS qz_istrue, min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS createtime
+  FROM e GROUP BY user_id, code, k % 10)
+SELECT uid, courseid, pointid, qz_sum, qz_count, qz_istrue,
+  round(CAST(qz_istrue AS double) / qz_sum, 6) AS correct_rate,
+  round(CAST(qz_count AS double) / 30 * (CAST(qz_istrue AS double) / qz_sum), 6) AS mastery_rate, createtime FROM a"""
+_SLIDING = f"""WITH {EVENTS},
+w AS (SELECT {_PLATFORM} AS platform, unnest(generate_series(CAST(floor(epoch_us(ts) / 6000000.0) AS bigint) * 6 - 54,
+  CAST(floor(epoch_us(ts) / 6000000.0) AS bigint) * 6, 6)) AS start FROM e)
+SELECT strftime(make_timestamp(start * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(make_timestamp((start + 60) * 1000000), '%Y-%m-%d %H:%M:%S') AS window_end, platform, count(*) AS num
+FROM w GROUP BY start, platform"""
+_TOTAL = f"WITH {EVENTS} SELECT {_PLATFORM} AS platform, count(*) AS num FROM e GROUP BY 1"
+_TRANSITIONS = f"WITH {_PAGES} SELECT last_page_id, page_id, next_page_id, count(*) AS num FROM pages GROUP BY 1, 2, 3"
+_TOP3 = f"SELECT * FROM ({_PROVINCES}) ORDER BY num DESC, province NULLS FIRST LIMIT 3"
+_LEARN_ALL = f"WITH {PLAYS} " + " UNION ALL ".join(
+    f"SELECT '{d}' AS dim, CAST({d} AS varchar) AS key, sum(seconds) AS totaltime FROM p GROUP BY {d}"
+    for d in jobs.LEARN_DIMS)
+
+SQL = {
+    "register_total": _TOTAL,
+    "register_sliding": _SLIDING,
+    "page_transitions": _TRANSITIONS,
+    "page_views": f"WITH {_PAGES} SELECT page_id, count(*) AS num FROM pages GROUP BY page_id",
+    "funnel_rate": _FUNNEL,
+    "province_clicks": _PROVINCES,
+    "province_top3": _TOP3,
+    **{f"learn_time_{name}": f"WITH {PLAYS} SELECT {key}, sum(seconds) AS totaltime FROM p GROUP BY {key}"
+       for name, key in {"chapter": "chapterid", "cware": "cwareid", "edutype": "edutypeid", "source": "sourcetype",
+                         "subject": "subjectid"}.items()},
+    "learn_time_all": _LEARN_ALL,
+    "video_coverage": _COVERAGE,
+    "video_intervals": _INTERVALS,
+    "question_mastery": _MASTERY,
+    "question_history": f"""WITH {EVENTS} SELECT user_id AS uid, code AS courseid, k % 10 AS pointid, k // 10000 AS part,
+        string_agg(CAST(k AS varchar), ',' ORDER BY k) AS questionids
+        FROM (SELECT DISTINCT user_id, code, k FROM e) GROUP BY user_id, code, k % 10, k // 10000""",
+    "stream_register_total": _TOTAL,
+    "stream_register_sliding": _SLIDING,
+    "stream_question_mastery": _MASTERY,
+    "stream_page_transitions": _TRANSITIONS,
+    "stream_funnel_rate": _FUNNEL,
+    "stream_province_top3": _TOP3,
+    "stream_learn_time": _LEARN_ALL,
+    "stream_video_coverage": _COVERAGE,
+    "stream_raw_landing": f"""WITH {_PAGES} SELECT 'page_topic' AS topic, page_id, count(*) AS num, 1 AS days
+        FROM pages GROUP BY page_id""",
+}
