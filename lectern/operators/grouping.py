@@ -7,6 +7,8 @@ the rows costs one small partial row per task instead of one large task.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -76,10 +78,7 @@ def top_n_ties(df: DataFrame, partition: Sequence[str], value: str, n: int = 3,
     order = F.col(value).asc_nulls_first() if ascending else F.col(value).desc_nulls_last()
     ranks = top_n(df.select(*partition, value).distinct(), partition, [order], n, rank)
     ranks = ranks.select(*[F.col(c).alias(f"_{c}") for c in (*partition, value)], rank)
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*partition, value)]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
+    condition = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*partition, value)])
     return df.join(ranks, condition, "inner").drop(*[f"_{c}" for c in (*partition, value)])
 
 

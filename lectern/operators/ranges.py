@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 BUCKET_BITS = 16
-STREAM_BUCKET_BITS = 8
 
 
 def _cut_to_buckets(ranges: DataFrame, lo: str, hi: str, bits: int) -> DataFrame:
@@ -21,7 +20,7 @@ def range_lookup(values: DataFrame, value: str, ranges: DataFrame, lo: str, hi:
     """Left lookup of distinct ``value`` rows in disjoint ranges; ``payload`` is null outside all ranges.
 
     Values and range starts are merged into one ordering per bucket and each value takes the last start
-    before it: the work is a sort, with no candidate pairs. Pass distinct values (see
+    before it: the work is a sort, with no candidate pairs and nothing broadcast. Pass distinct values (see
     :func:`count_by_range`): a bucket then holds at most ``2**bucket_bits`` of them.
     """
     info = F.struct(F.col(hi).alias("_hi"), *[F.col(p) for p in payload])
@@ -44,27 +43,11 @@ def values_struct(values: DataFrame):
 
 def count_by_range(rows: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str, payload: Sequence[str],
                    name: str = "num", bucket_bits: int = BUCKET_BITS) -> DataFrame:
-    """Row counts per ``payload``; rows in no range count under null.
+    """Row counts per ``payload``; rows in no range (or without a value) count under null.
 
     Rows are first counted per distinct value, so a value that makes up much of the data reaches the
     lookup as one row.
     """
-    distinct = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    nulls = rows.where(F.col(value).isNull()).groupBy().agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0)
+    distinct = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     looked = range_lookup(distinct, value, ranges, lo, hi, payload, bucket_bits)
-    missing = nulls.select("_n", *[F.lit(None).cast(ranges.schema[p].dataType).alias(p) for p in payload])
-    return (looked.select("_n", *payload).unionByName(missing)
-            .groupBy(*payload).agg(F.sum("_n").alias(name)))
-
-
-def range_join_stream(rows: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str, payload: Sequence[str],
-                      bucket_bits: int = STREAM_BUCKET_BITS) -> DataFrame:
-    """Stateless left lookup for a stream: equi-join on the bucket with the range test on top.
-
-    Buckets of 256 addresses hold at most 256 disjoint ranges, which bounds the rows compared per
-    event. Each row matches at most one range.
-    """
-    cut = _cut_to_buckets(ranges.select(lo, hi, *payload), lo, hi, bucket_bits)
-    keyed = rows.withColumn("_b", F.shiftright(F.col(value), bucket_bits))
-    hit = (F.col("_b") == F.col("_bucket")) & F.col(value).between(F.col(lo), F.col(hi))
-    return keyed.join(cut, hit, "left").drop("_b", "_bucket", lo, hi)
+    return looked.groupBy(*payload).agg(F.sum("_n").alias(name))

@@ -109,7 +109,7 @@ def question_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the same through streams ------------------------------------------------------------------------
 
-def streamed(lines: str, job: Callable, result: Callable, files: int = 4, per_trigger: int | None = 2):
+def streamed(lines: str, job: Callable, result: Callable, files: int = 4, per_trigger: int | None = 2, **options):
     """Replay log lines to a directory, drain them with the streaming job, read its result tables.
 
     The stream runs in a session of its own with one state partition per core; the caller's settings stay
@@ -123,32 +123,12 @@ def streamed(lines: str, job: Callable, result: Callable, files: int = 4, per_tr
         roles = Roles(session, sf_dir)
         replay_to_dir(getattr(roles, lines)(), f"{folder}/in", files)
         source = file_lines(session, f"{folder}/in", per_trigger)
-        for query in job(roles, source, f"{folder}/out", f"{folder}/checkpoint"):
-            query.awaitTermination()
+        extra = [roles.ip_ranges()] if job is jobs.provinces else []
+        job(source, *extra, f"{folder}/out", f"{folder}/checkpoint", available_now=True, **options).awaitTermination()
         return result(spark, f"{folder}/out")
     return run
 
 
-def _register_job(_roles: Roles, lines: DataFrame, out: str, checkpoint: str):
-    return jobs.register_job(lines, out, checkpoint, watermark=None, available_now=True)
-
-
-def _question_job(_roles: Roles, lines: DataFrame, out: str, checkpoint: str):
-    return jobs.question_job(lines, out, checkpoint, available_now=True)
-
-
-def _page_job(roles: Roles, lines: DataFrame, out: str, checkpoint: str):
-    return jobs.page_job(lines, roles.ip_ranges(), out, checkpoint, available_now=True)
-
-
-def _learn_job(_roles: Roles, lines: DataFrame, out: str, checkpoint: str):
-    return jobs.learn_job(lines, out, checkpoint, available_now=True)
-
-
-def _landing_job(_roles: Roles, lines: DataFrame, out: str, checkpoint: str):
-    return jobs.landing_job(lines, "page_topic", out, checkpoint, available_now=True)
-
-
 def _landed(spark: SparkSession, out: str) -> DataFrame:
     """Landed lines by topic and page; the day folder is the day of the run."""
     return spark.read.text(out).groupBy("topic", F.get_json_object("value", "$.page_id").alias("page_id")).agg(
@@ -179,22 +159,25 @@ QUERIES = {
     "video_intervals": video_intervals,
     "question_mastery": question_mastery,
     "question_history": question_history,
-    "stream_register_total": streamed("register_lines", _register_job, log_result("register_total", ["platform"])),
+    "stream_register_total": streamed(
+        "register_lines", jobs.register_total, log_result("register_total", ["platform"])),
     "stream_register_sliding": streamed(
-        "register_lines", _register_job, log_result("register_sliding", ["window_start", "platform"], _windows)),
+        "register_lines", jobs.register_sliding,
+        log_result("register_sliding", ["window_start", "platform"], _windows), watermark=None),
     "stream_question_mastery": streamed(
-        "question_lines", _question_job, log_result("point_detail", POINT_KEYS, _mastery)),
+        "question_lines", jobs.point_detail, log_result("point_detail", POINT_KEYS, _mastery)),
     "stream_page_transitions": streamed(
-        "page_lines", _page_job,
+        "page_lines", jobs.transitions,
         log_result("page_transitions", ["last_page_id", "page_id", "next_page_id"])),
-    "stream_funnel_rate": streamed("page_lines", _page_job, table_result("page_jump_rate")),
-    "stream_province_top3": streamed("page_lines", _page_job, table_result("top_province")),
-    "stream_learn_time": streamed("learn_lines", _learn_job, log_result("learn_time", ["dim", "key"])),
+    "stream_funnel_rate": streamed("page_lines", jobs.funnel, table_result("page_jump_rate")),
+    "stream_province_clicks": streamed("page_lines", jobs.provinces, table_result("province_clicks")),
+    "stream_province_top3": streamed("page_lines", jobs.provinces, table_result("top_province")),
+    "stream_learn_time": streamed("learn_lines", jobs.learn_time, log_result("learn_time", ["dim", "key"])),
     # effective time depends on which plays share a batch, so parity needs one batch
     "stream_video_coverage": streamed(
-        "learn_lines", _learn_job,
+        "learn_lines", jobs.video_detail,
         log_result("video_detail", VIDEO_KEYS, lambda df: df.drop("play_interval")), per_trigger=None),
-    "stream_raw_landing": streamed("page_lines", _landing_job, _landed),
+    "stream_raw_landing": streamed("page_lines", jobs.landing, _landed, topic="page_topic"),
 }
 
 # --- SQL twins -------------------------------------------------------------------------------------
@@ -277,6 +260,7 @@ SQL = {
     "stream_question_mastery": _MASTERY,
     "stream_page_transitions": _TRANSITIONS,
     "stream_funnel_rate": _FUNNEL,
+    "stream_province_clicks": _PROVINCES,
     "stream_province_top3": _TOP3,
     "stream_learn_time": _LEARN_ALL,
     "stream_video_coverage": _COVERAGE,

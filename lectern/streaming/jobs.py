@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lectern.functions import scalars as S
 from lectern.operators.activity import funnel_rates, page_transitions, page_views, running_count, sliding_count
 from lectern.operators.grouping import sum_by_each, top_overall
-from lectern.operators.ranges import range_join_stream
+from lectern.operators.ranges import count_by_range
 from lectern.sinks.tables import ChangeLog, VersionedTable
 from lectern.sources.logs import learn_records, page_records, question_records, register_records
 from lectern.sources.streams import start
@@ -37,82 +37,113 @@ def _changes(df: DataFrame, path: str, keys: list[str], checkpoint: str, mode: s
     return start(df.writeStream.outputMode(mode).foreachBatch(into_log(log)), checkpoint, **run)
 
 
-def register_job(lines: DataFrame, out: str, checkpoint: str, watermark: str | None = "10 minutes",
-                 event_time: bool = True, **run) -> list[StreamingQuery]:
-    """Registrations per platform: all-time totals, and 60-second windows every 6 seconds.
+def register_total(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
+    """All-time registrations per platform."""
+    records, _ = register_records(lines)
+    return _changes(running_count(records, "platform"), f"{out}/register_total", ["platform"],
+                    f"{checkpoint}/register_total", **run)
+
+
+def register_sliding(lines: DataFrame, out: str, checkpoint: str, watermark: str | None = "10 minutes",
+                     event_time: bool = True, **run) -> StreamingQuery:
+    """Registrations per platform in 60-second windows every 6 seconds.
 
     Windows go by the record's own time; ``event_time=False`` uses the processing time.
     """
     records, _ = register_records(lines)
     ts = F.to_timestamp("register_time") if event_time else F.current_timestamp()
-    stamped = records.withColumn("ts", ts)
-    return [
-        _changes(running_count(records, "platform"), f"{out}/register_total", ["platform"],
-                 f"{checkpoint}/total", **run),
-        _changes(sliding_count(stamped, "ts", "platform", watermark=watermark), f"{out}/register_sliding",
-                 ["window_start", "platform"], f"{checkpoint}/sliding", **run)]
+    counts = sliding_count(records.withColumn("ts", ts), "ts", "platform", watermark=watermark)
+    return _changes(counts, f"{out}/register_sliding", ["window_start", "platform"],
+                    f"{checkpoint}/register_sliding", **run)
 
 
-def question_job(lines: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
+def point_detail(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
     """Question correctness and mastery per user, course and point."""
     records, _ = question_records(lines)
-    return [_changes(question_mastery_stream(records), f"{out}/point_detail", POINT_KEYS, checkpoint, **run)]
+    return _changes(question_mastery_stream(records), f"{out}/point_detail", POINT_KEYS,
+                    f"{checkpoint}/point_detail", **run)
 
 
-def page_job(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
-    """Page transitions, funnel rates, clicks per province and the top three provinces.
+def transitions(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
+    """Views per last, current and next page."""
+    pages, _ = page_records(lines)
+    return _changes(page_transitions(pages), f"{out}/page_transitions", ["last_page_id", "page_id", "next_page_id"],
+                    f"{checkpoint}/page_transitions", **run)
 
-    Running counts live in the state store. Only the final small tables (one row per page, per province)
-    are rewritten per batch.
-    """
+
+def funnel(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
+    """Views per page and the conversion rates of the funnel pages; one row per page, rewritten per batch."""
     spark = lines.sparkSession
     pages, _ = page_records(lines)
+    views_table, rates_table = VersionedTable(spark, f"{out}/page_views"), VersionedTable(spark, f"{out}/page_jump_rate")
+
+    def write(views: DataFrame, batch_id: int) -> None:
+        views_table.commit(views, batch_id)
+        rates_table.commit(funnel_rates(views_table.read()), batch_id)
 
-    def write_funnel(views: DataFrame, batch_id: int) -> None:
-        table = VersionedTable(spark, f"{out}/page_views")
-        table.commit(views, batch_id)
-        VersionedTable(spark, f"{out}/page_jump_rate").commit(funnel_rates(table.read()), batch_id)
-
-    def write_provinces(counts: DataFrame, batch_id: int) -> None:
-        table = VersionedTable(spark, f"{out}/province_clicks")
-        table.commit(counts, batch_id)
-        top = top_overall(table.read(), [F.col("num").desc(), F.col("province")], 3)
-        VersionedTable(spark, f"{out}/top_province").commit(top, batch_id)
-
-    located = province_clicks(pages, ranges)
-    return [
-        _changes(page_transitions(pages), f"{out}/page_transitions", ["last_page_id", "page_id", "next_page_id"],
-                 f"{checkpoint}/transitions", **run),
-        start(page_views(pages).writeStream.outputMode("complete").foreachBatch(write_funnel),
-              f"{checkpoint}/funnel", **run),
-        start(located.writeStream.outputMode("complete").foreachBatch(write_provinces),
-              f"{checkpoint}/province", **run)]
-
-
-def province_clicks(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Clicks per province on a stream; addresses in no range count under null."""
+    return start(page_views(pages).writeStream.outputMode("complete").foreachBatch(write),
+                 f"{checkpoint}/funnel", **run)
+
+
+def provinces(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
+    """Clicks per province so far and the top three; addresses in no range count under null.
+
+    A batch is counted per address and then per province, and added to the totals under its batch id: a
+    batch that runs again is not added twice.
+    """
+    spark = lines.sparkSession
+    pages, _ = page_records(lines)
     numbered = pages.select(S.ip_number(F.col("ip")).alias("ip_num"))
-    located = range_join_stream(numbered, "ip_num", ranges, "start_ip", "end_ip", ["region"])
-    return running_count(located.select(S.region_part(F.col("region")).alias("province")), "province")
+    located = ranges.withColumn("province", S.region_part(F.col("region")))
+    totals, best = VersionedTable(spark, f"{out}/province_clicks"), VersionedTable(spark, f"{out}/top_province")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = count_by_range(batch, "ip_num", located, "start_ip", "end_ip", ["province"])
+        totals.merge(counts, batch_id, ["province"], add=["num"])
+        best.commit(top_overall(totals.read(), [F.col("num").desc(), F.col("province")], 3), batch_id)
 
-def learn_job(lines: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
-    """Video learning time: totals by five keys, and watched seconds per user and video."""
+    return start(numbered.writeStream.foreachBatch(write), f"{checkpoint}/province", **run)
+
+
+def learn_time(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
+    """Learning seconds by five keys of a play."""
+    plays, _ = learn_records(lines)
+    return _changes(sum_by_each(plays, LEARN_DIMS, "seconds", "totaltime"), f"{out}/learn_time", ["dim", "key"],
+                    f"{checkpoint}/learn_time", **run)
+
+
+def video_detail(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
+    """Total, effective and completed seconds and the covered intervals per user and video."""
     plays, _ = learn_records(lines)
-    totals = sum_by_each(plays, LEARN_DIMS, "seconds", "totaltime")
-    return [
-        _changes(totals, f"{out}/learn_time", ["dim", "key"], f"{checkpoint}/learn_time", **run),
-        _changes(video_time_stream(plays), f"{out}/video_detail", VIDEO_KEYS, f"{checkpoint}/video", **run)]
+    return _changes(video_time_stream(plays), f"{out}/video_detail", VIDEO_KEYS, f"{checkpoint}/video_detail", **run)
+
+
+def register_job(lines: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
+    return [register_total(lines, out, checkpoint, **run), register_sliding(lines, out, checkpoint, **run)]
+
+
+def question_job(lines: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
+    return [point_detail(lines, out, checkpoint, **run)]
+
+
+def page_job(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
+    return [transitions(lines, out, checkpoint, **run), funnel(lines, out, checkpoint, **run),
+            provinces(lines, ranges, out, checkpoint, **run)]
+
+
+def learn_job(lines: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
+    return [learn_time(lines, out, checkpoint, **run), video_detail(lines, out, checkpoint, **run)]
 
 
-def landing_job(lines: DataFrame, topic: str, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
+def landing(lines: DataFrame, out: str, checkpoint: str, topic: str, **run) -> StreamingQuery:
     """Raw lines as snappy text below ``topic=<topic>/dt=<processing day>``; record keys are dropped."""
     rows = lines.select("value", F.lit(topic).alias("topic"), S.day_of(F.current_timestamp()).alias("dt"))
     writer = (rows.writeStream.outputMode("append").format("text").partitionBy("topic", "dt")
               .option("compression", "snappy").option("path", out))
-    return [start(writer, checkpoint, **run)]
+    return start(writer, f"{checkpoint}/landing", **run)
 
 
-def quarantine_job(bad: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
+def quarantine(bad: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
     """Lines the parsers set aside, as text."""
-    return [start(bad.writeStream.outputMode("append").format("text").option("path", out), checkpoint, **run)]
+    return start(bad.writeStream.outputMode("append").format("text").option("path", out),
+                 f"{checkpoint}/quarantine", **run)

@@ -31,10 +31,10 @@ def update_mastery(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
     known, total, right, first = state.get if state.exists else ([], 0, 0, None)
     questions = set(known)
     for pdf in batches:
-        questions.update(int(q) for q in pdf["questionid"].unique())
-        total += int(pdf["attempts"].sum())
-        right += int(pdf["rights"].sum())
-        earliest = pdf["createtime"].min()
+        questions.update(pdf["questionid"].tolist())
+        total += int(pdf["attempts"].to_numpy().sum())
+        right += int(pdf["rights"].to_numpy().sum())
+        earliest = min(pdf["createtime"].tolist())
         first = earliest if first is None else min(first, earliest)
     ordered = sorted(questions)
     state.update((ordered, total, right, first))
@@ -59,16 +59,26 @@ def question_mastery_stream(answers: DataFrame) -> DataFrame:
         "update", GroupStateTimeout.NoTimeout)
 
 
+# columns of a combined play, in sort order: equal plays are neighbours and the earliest comes first
+PLAY_COLUMNS = ["ps", "pe", "ts", "te", "first", "total"]
+
+
 def combine_plays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per (key, ps, pe) of an Arrow batch: all seconds, and the earliest play's stamps and seconds."""
     for pdf in batches:
-        yield _equal_plays(pdf.assign(total=pdf["seconds"], first=pdf["seconds"]))
+        pdf = pdf.assign(first=pdf["seconds"], total=pdf["seconds"])
+        ordered = pdf.sort_values([*VIDEO_KEYS, *PLAY_COLUMNS[:-1]], kind="stable")
+        yield ordered.groupby([*VIDEO_KEYS, "ps", "pe"], as_index=False, sort=False).agg(
+            total=("total", "sum"), first=("first", "first"), ts=("ts", "first"), te=("te", "first"))
 
 
-def _equal_plays(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per (key, ps, pe): all seconds, and the earliest play's stamps and seconds."""
-    ordered = pdf.sort_values(["ts", "te", "first"], kind="stable")
-    return ordered.groupby([*VIDEO_KEYS, "ps", "pe"], as_index=False, sort=False).agg(
-        total=("total", "sum"), first=("first", "first"), ts=("ts", "first"), te=("te", "first"))
+def equal_plays(plays: np.ndarray) -> np.ndarray:
+    """The same for one key: rows of :data:`PLAY_COLUMNS`, sorted, equal ``(ps, pe)`` folded together."""
+    plays = plays[np.lexsort(plays.T[4::-1])]
+    opens = np.concatenate(([True], (plays[1:, :2] != plays[:-1, :2]).any(axis=1)))
+    out = plays[opens].copy()
+    out[:, 5] = np.add.reduceat(plays[:, 5], np.flatnonzero(opens))
+    return out
 
 
 def new_coverage(starts: np.ndarray, ends: np.ndarray, known_s: np.ndarray, known_e: np.ndarray) -> np.ndarray:
@@ -106,15 +116,14 @@ def merge_intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
 def update_video(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     known_s, known_e, total, effective, complete = state.get if state.exists else ([], [], 0, 0, 0)
     known_s, known_e = np.array(known_s, dtype="int64"), np.array(known_e, dtype="int64")
-    plays = None
+    plays = np.empty((0, len(PLAY_COLUMNS)), dtype="int64")
     for pdf in batches:  # folded batch by batch: only distinct plays are ever held
-        plays = _equal_plays(pdf if plays is None else pd.concat([plays, pdf]))
-    plays = plays.sort_values(["ps", "pe"])
-    ps, pe = plays["ps"].to_numpy("int64"), plays["pe"].to_numpy("int64")
+        plays = equal_plays(np.concatenate((plays, pdf[PLAY_COLUMNS].to_numpy("int64"))))
+    ps, pe, first, seconds = plays[:, 0], plays[:, 1], plays[:, 4], plays[:, 5]
     new = new_coverage(ps, pe, known_s, known_e)
     length = pe - ps
-    share = plays["first"].to_numpy("int64") * new // np.where(length == 0, 1, length)
-    total += int(plays["total"].sum())
+    share = first * new // np.where(length == 0, 1, length)
+    total += int(seconds.sum())
     effective += int(np.where(length == 0, 0, share).sum())
     complete += int(new.sum())
     merged_s, merged_e = merge_intervals(np.concatenate((known_s, ps)), np.concatenate((known_e, pe)))
