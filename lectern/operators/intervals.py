@@ -2,8 +2,8 @@
 
 Positions are cut into slices of ``slice_width``. A running maximum over all earlier intervals of a
 key is then: the maximum over earlier slices (one partial-aggregated row per slice) and the maximum
-over earlier rows of the same slice. So a key with very many plays spreads over its slices, and equal
-plays have been combined before any sort.
+over earlier rows of the same slice. So a key with very many plays spreads over its slices. Equal plays are
+combined first, into a written table, since several branches read them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import scalars as S
+from lectern.session import materialize
 
 SLICE_WIDTH = 64
 
@@ -52,7 +53,7 @@ def interval_merge(intervals: DataFrame, keys: Sequence[str], start: str = "ps",
     Only the furthest end per start matters, so rows are combined to that first. Island numbers are
     running sums of the gap flags, again over slices and then within a slice.
     """
-    longest = intervals.groupBy(*keys, start).agg(F.max(end).alias(end))
+    longest = materialize(intervals.groupBy(*keys, start).agg(F.max(end).alias(end)), "intervals")
     reached = _with_reach(longest, keys, start, end, slice_width, "_reach")
     flagged = reached.withColumn(
         "_gap", F.when(F.col("_reach").isNull() | (F.col("_reach") < F.col(start)), 1).otherwise(0))
@@ -77,8 +78,8 @@ def video_time(plays: DataFrame, keys: Sequence[str] = ("uid", "cwareid", "video
     Plays are taken in ``(ps, pe, ts, te)`` order: of equal plays only the first can be new.
     """
     first = F.min_by(seconds, F.struct("ts", "te", seconds))
-    distinct = plays.groupBy(*keys, "ps", "pe").agg(
-        F.sum(seconds).alias("_all"), first.alias("_first"))
+    distinct = materialize(plays.groupBy(*keys, "ps", "pe").agg(
+        F.sum(seconds).alias("_all"), first.alias("_first")), "plays")
     covered = interval_coverage(distinct, keys, "ps", "pe", slice_width)
     effective = S.effective_seconds(F.col("_first"), F.col("ps"), F.col("pe"), F.col("new_len"))
     return covered.groupBy(*keys).agg(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from lectern.functions import scalars as S
-from lectern.sources.logs import ingest_json
+from lectern.sources.logs import clean_json
 from lectern.sources.specs import EXAM_LOGS, LOGS, MEMBER_LOGS
 from lectern.sources.warehouse import Warehouse
 
@@ -27,27 +27,36 @@ EXTRA_STEPS = {"dwd_member": mask_member, "dwd_member_regtype": decode_regtype}
 
 
 def load_log(wh: Warehouse, table: str, raw_dir: str, on_bad: str = "quarantine",
-             quarantine_dir: str | None = None) -> None:
-    """Clean one log file into its table; bad lines go to ``quarantine_dir/<table>`` when given.
+             quarantine_dir: str | None = None) -> int:
+    """Clean one log file into its table; returns the number of bad lines.
 
-    Daily tables replace the days found in the file, so loading a file twice changes nothing.
+    Bad lines go to ``quarantine_dir/<table>`` when given. They are counted while the good rows are
+    written, and read again only if there are any. Daily tables replace the days found in the file, so
+    loading a file twice changes nothing. ``on_bad="fail"`` fails the job at the first bad line;
+    ``on_bad="spec"`` does so for the logs marked strict.
     """
     spec = LOGS[table]
-    good, bad = ingest_json(wh.spark, f"{raw_dir.rstrip('/')}/{spec.file}", spec, on_bad)
+    if on_bad == "spec":
+        on_bad = "fail" if spec.strict else "quarantine"
+    lines = wh.spark.read.text(f"{raw_dir.rstrip('/')}/{spec.file}")
+    seen = Observation()
+    good, bad = clean_json(lines, spec, on_bad, observation=seen)
     good = EXTRA_STEPS.get(table, lambda df: df)(good)
     wh.write(table, good)
-    if quarantine_dir and on_bad != "fail":
+    count = seen.get["bad"] or 0
+    if count and quarantine_dir:
         bad.write.mode("overwrite").text(f"{quarantine_dir.rstrip('/')}/{table}")
+    return count
 
 
-def load_logs(wh: Warehouse, raw_dir: str, tables: Iterable[str], **options) -> None:
-    for table in tables:
-        load_log(wh, table, raw_dir, **options)
+def load_logs(wh: Warehouse, raw_dir: str, tables: Iterable[str], **options) -> dict[str, int]:
+    """Bad lines per table."""
+    return {table: load_log(wh, table, raw_dir, **options) for table in tables}
 
 
-def load_member_logs(wh: Warehouse, raw_dir: str, **options) -> None:
-    load_logs(wh, raw_dir, MEMBER_LOGS, **options)
+def load_member_logs(wh: Warehouse, raw_dir: str, **options) -> dict[str, int]:
+    return load_logs(wh, raw_dir, MEMBER_LOGS, **options)
 
 
-def load_exam_logs(wh: Warehouse, raw_dir: str, **options) -> None:
-    load_logs(wh, raw_dir, EXAM_LOGS, **options)
+def load_exam_logs(wh: Warehouse, raw_dir: str, **options) -> dict[str, int]:
+    return load_logs(wh, raw_dir, EXAM_LOGS, **options)

@@ -8,6 +8,7 @@ from lectern.functions import scalars as S
 from lectern.operators.grouping import count_by, count_by_each, first_per_key, top_n
 from lectern.operators.history import scd2_apply, scd2_history
 from lectern.operators.joins import left_join_all
+from lectern.session import materialize
 from lectern.sources.warehouse import DERIVED, MONEY_SUM, Warehouse, shape
 
 HISTORY_KEYS = ("uid", "dn")
@@ -93,7 +94,7 @@ def build_member(wh: Warehouse, dt: str) -> None:
     payment, vip = wh.scan("payment"), wh.scan("vip")
     wh.write("dws_member", member_wide(
         wh.scan("member", dt), wh.scan("regtype"), wh.scan("ad"), wh.scan("website"), payment, vip))
-    daily = daily_payments(wh.scan("payment", dt), vip)
+    daily = materialize(daily_payments(wh.scan("payment", dt), vip), "daily-payments")
     table = wh.versioned("dws_member_zipper")
     history = table.read()
     if history is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job relies on. Broadcast joins are left to Spark's own size check
 #: (``autoBroadcastJoinThreshold`` and the adaptive twin); no job hints ``broadcast``.
@@ -21,8 +21,19 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
-    """Session with :data:`DEFAULTS`; ``conf`` keys use ``__`` for dots."""
+#: Target size of one shuffle partition; the adaptive planner merges smaller ones.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def build_session(app_name: str, master: str | None = None, input_bytes: int | None = None,
+                  **conf: str) -> SparkSession:
+    """Session with :data:`DEFAULTS`; ``conf`` keys use ``__`` for dots.
+
+    ``input_bytes`` sizes the shuffles of the job: one partition per :data:`PARTITION_BYTES` of input, so that
+    a partition fits in executor memory. The adaptive planner joins partitions that turn out small.
+    """
+    if input_bytes:
+        conf.setdefault("spark__sql__shuffle__partitions", str(max(200, input_bytes // PARTITION_BYTES)))
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -43,3 +54,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if base is None:
         base = tempfile.mkdtemp(prefix="lectern-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the work folder and read it back.
+
+    For a reduced intermediate result that several branches of a plan read: it is computed once, its size
+    is known to the planner, and a lost executor costs no recomputation.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from lectern.functions import scalars as S
 from lectern.sources.specs import (
@@ -30,30 +30,36 @@ def is_object() -> Column:
     return F.col(PARSED).isNotNull() & F.col(f"{PARSED}.{CORRUPT}").isNull()
 
 
-def split_json(lines: DataFrame, schema: T.StructType, line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """``(good, bad)``: good rows keep the parsed struct, bad rows the raw line."""
+def split_json(lines: DataFrame, schema: T.StructType, line: str = "value",
+               observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(good, bad)``: good rows keep the parsed struct, bad rows the raw line.
+
+    ``observation`` receives the number of bad lines as ``bad`` when the good rows are computed.
+    """
     parsed = parse_json(lines, schema, line)
-    return parsed.where(is_object()), parsed.where(~is_object()).select(F.col(line).alias("line"))
+    watched = parsed.observe(observation, F.count_if(~is_object()).alias("bad")) if observation else parsed
+    return watched.where(is_object()), parsed.where(~is_object()).select(F.col(line).alias("line"))
 
 
-def clean_json(lines: DataFrame, spec: LogSpec, on_bad: str = "quarantine",
-               line: str = "value") -> tuple[DataFrame, DataFrame]:
+def clean_json(lines: DataFrame, spec: LogSpec, on_bad: str = "quarantine", line: str = "value",
+               observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed rows of ``spec`` and the quarantined lines.
 
     ``on_bad="fail"`` raises inside the job at the first malformed line.
     """
+    good, bad = split_json(lines, spec.json_schema, line, observation)
     if on_bad == "fail":
-        checked = parse_json(lines, spec.json_schema, line).withColumn(
+        good = parse_json(lines, spec.json_schema, line).withColumn(
             PARSED, F.when(is_object(), F.col(PARSED)).otherwise(
                 F.raise_error(F.concat(F.lit(f"{spec.file}: not a JSON object: "), F.col(line)))))
-        good, bad = checked, lines.select(F.col(line).alias("line")).where(F.lit(False))
-    else:
-        good, bad = split_json(lines, spec.json_schema, line)
+        if observation:
+            good = good.observe(observation, F.count_if(~is_object()).alias("bad"))
     return good.select(*[field.read(PARSED) for field in spec.fields]), bad
 
 
 def ingest_json(spark: SparkSession, path: str | list[str], spec: LogSpec,
                 on_bad: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+    """:func:`clean_json` of text files."""
     return clean_json(spark.read.text(path), spec, on_bad)
 
 
