@@ -13,7 +13,7 @@ from lectern.operators.intervals import interval_merge, video_time
 from lectern.operators.ranges import count_by_range
 from lectern.queries.log_queries import EVENTS
 from lectern.queries.roles import Roles
-from lectern.session import work_dir
+from lectern.session import DEFAULTS, work_dir
 from lectern.sinks.tables import ChangeLog, VersionedTable
 from lectern.sources.logs import learn_records, page_records, question_records, register_records
 from lectern.sources.streams import file_lines, replay_to_dir
@@ -21,6 +21,7 @@ from lectern.streaming import jobs
 from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _windows(df: DataFrame) -> DataFrame:
@@ -120,6 +121,7 @@ def streamed(lines: str, job: Callable, result: Callable, files: int = 4, per_tr
         session = spark.newSession()
         session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
         session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+        session.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
         roles = Roles(session, sf_dir)
         replay_to_dir(getattr(roles, lines)(), f"{folder}/in", files)
         source = file_lines(session, f"{folder}/in", per_trigger)

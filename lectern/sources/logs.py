@@ -19,10 +19,14 @@ PARSED = "_parsed"
 
 
 def parse_json(lines: DataFrame, schema: T.StructType, line: str = "value") -> DataFrame:
-    """Add the parsed struct; every member is text so that quoted and bare numbers both survive."""
+    """Add one text column per member, in the struct :data:`PARSED`.
+
+    Members are text so that quoted and bare numbers both survive. The parse is the input of a generator,
+    which Spark neither duplicates nor moves filters through: every line is parsed once, whatever reads it.
+    """
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    return lines.withColumn(
-        PARSED, F.from_json(F.col(line), with_corrupt, {"columnNameOfCorruptRecord": CORRUPT}))
+    parsed = F.from_json(F.col(line), with_corrupt, {"columnNameOfCorruptRecord": CORRUPT})
+    return lines.withColumn(PARSED, F.explode(F.array(parsed)))
 
 
 def is_object() -> Column:
@@ -63,15 +67,20 @@ def ingest_json(spark: SparkSession, path: str | list[str], spec: LogSpec,
     return clean_json(spark.read.text(path), spec, on_bad)
 
 
+def _fields(lines: DataFrame, line: str) -> DataFrame:
+    """Add the array of tab-separated fields, split once; trailing empty fields are dropped."""
+    parts = F.split(F.regexp_replace(F.col(line), r"\t+$", ""), r"\t")
+    return lines.withColumn(PARSED, F.explode(F.array(parts)))
+
+
 def split_tsv(lines: DataFrame, names: Iterable[str], line: str = "value") -> tuple[DataFrame, DataFrame]:
     """Rows with exactly the named fields, and the lines of any other arity.
 
     Trailing empty fields do not count towards the arity.
     """
     names = list(names)
-    parts = F.split(F.regexp_replace(F.col(line), r"\t+$", ""), r"\t")
     keep = [c for c in lines.columns if c != line]
-    parsed = lines.withColumn(PARSED, parts)
+    parsed = _fields(lines, line)
     fits = F.coalesce(F.size(PARSED) == len(names), F.lit(False))
     good = parsed.where(fits).select(*keep, *[F.get(F.col(PARSED), F.lit(i)).alias(n) for i, n in enumerate(names)])
     return good, parsed.where(~fits).select(F.col(line).alias("line"))
@@ -86,8 +95,7 @@ def register_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def question_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Answer log ``(rows, bad)``; lines of another arity or with ids that are no numbers are bad."""
     ids = QUESTION_FIELDS[:4]
-    parts = F.split(F.regexp_replace(F.col("value"), r"\t+$", ""), r"\t")
-    typed = lines.withColumn(PARSED, parts).select("value", F.size(PARSED).alias("_n"), *[
+    typed = _fields(lines, "value").select("value", F.size(PARSED).alias("_n"), *[
         (F.get(F.col(PARSED), F.lit(i)).try_cast("int") if n in ids else F.get(F.col(PARSED), F.lit(i))).alias(n)
         for i, n in enumerate(QUESTION_FIELDS)])
     ok = F.col("_n") == len(QUESTION_FIELDS)

@@ -1,62 +1,44 @@
-"""The two keyed states Spark has no built-in operator for.
+"""Running mastery and watched-time totals per key.
 
-Both follow the same shape. Rows are combined per Arrow batch before the shuffle (many answers to one
-question, or equal plays, become one row), then one state per key is updated and its full totals are
-emitted. Since output rows are totals and not increments, a replayed batch writes the same rows again.
+Mastery is a plain streaming aggregation: its state is the set of questions and three totals. Watched time
+needs the intervals seen so far, which no built-in aggregate keeps, so it has a state processor. Equal plays
+are combined per Arrow batch before the shuffle, so a key with very many plays reaches it as few rows.
+Both emit full totals and not increments: a batch that runs again writes the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lectern.functions.scalars import QUESTIONS_PER_POINT
+from lectern.functions import scalars as S
 
 POINT_KEYS = ["uid", "courseid", "pointid"]
 VIDEO_KEYS = ["uid", "cwareid", "videoid"]
+#: Rows of one key taken from the input at a time.
+CHUNK = 10_000
 
 
-def combine_answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf = pdf.assign(attempts=1, rights=(pdf["isright"] == "1").astype("int64"))
-        yield pdf.groupby([*POINT_KEYS, "questionid"], as_index=False, sort=False).agg(
-            attempts=("attempts", "sum"), rights=("rights", "sum"), createtime=("createtime", "min"))
-
+def question_mastery_stream(answers: DataFrame, questions_per_point: int = S.QUESTIONS_PER_POINT) -> DataFrame:
+    """Running mastery per user, course and point; the streaming twin of ``question_mastery``.
 
-def update_mastery(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known, total, right, first = state.get if state.exists else ([], 0, 0, None)
-    questions = set(known)
-    for pdf in batches:
-        questions.update(pdf["questionid"].tolist())
-        total += int(pdf["attempts"].to_numpy().sum())
-        right += int(pdf["rights"].to_numpy().sum())
-        earliest = min(pdf["createtime"].tolist())
-        first = earliest if first is None else min(first, earliest)
-    ordered = sorted(questions)
-    state.update((ordered, total, right, first))
-    rate = right / total
-    yield pd.DataFrame({
-        **{name: [value] for name, value in zip(POINT_KEYS, key)},
-        "qz_sum": [total], "qz_count": [len(ordered)], "qz_istrue": [right], "correct_rate": [rate],
-        "mastery_rate": [len(ordered) / QUESTIONS_PER_POINT * rate],
-        "questionids": [",".join(map(str, ordered))], "createtime": [first]})
-
-
-def question_mastery_stream(answers: DataFrame) -> DataFrame:
-    """Running mastery per user, course and point; the streaming twin of ``question_mastery``."""
-    combined = answers.select(*POINT_KEYS, "questionid", "isright", "createtime").mapInPandas(
-        combine_answers,
-        "uid int, courseid int, pointid int, questionid int, attempts bigint, rights bigint, createtime string")
-    return combined.groupBy(*POINT_KEYS).applyInPandasWithState(
-        update_mastery,
-        "uid int, courseid int, pointid int, qz_sum bigint, qz_count bigint, qz_istrue bigint, correct_rate double, "
-        "mastery_rate double, questionids string, createtime string",
-        "questions array<int>, total bigint, rights bigint, createtime string",
-        "update", GroupStateTimeout.NoTimeout)
+    The state of a key holds each question of the point once, so it is bounded by the questions of a point.
+    """
+    totals = answers.groupBy(*POINT_KEYS).agg(
+        F.count(F.lit(1)).alias("qz_sum"), F.count_if(F.col("isright") == "1").alias("qz_istrue"),
+        F.min("createtime").alias("createtime"), F.sort_array(F.collect_set("questionid")).alias("_questions"))
+    counted = totals.withColumn("qz_count", F.size("_questions").cast("bigint"))
+    return counted.select(
+        *POINT_KEYS, "qz_sum", "qz_count", "qz_istrue",
+        S.correct_rate(F.col("qz_istrue"), F.col("qz_sum")).alias("correct_rate"),
+        S.mastery_rate(F.col("qz_count"), F.col("qz_istrue"), F.col("qz_sum"), questions_per_point)
+        .alias("mastery_rate"),
+        F.array_join(F.transform("_questions", lambda q: q.cast("string")), ",").alias("questionids"), "createtime")
 
 
 # columns of a combined play, in sort order: equal plays are neighbours and the earliest comes first
@@ -113,35 +95,47 @@ def merge_intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
     return starts[opens], reach[closes]
 
 
-def update_video(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known_s, known_e, total, effective, complete = state.get if state.exists else ([], [], 0, 0, 0)
-    known_s, known_e = np.array(known_s, dtype="int64"), np.array(known_e, dtype="int64")
-    plays = np.empty((0, len(PLAY_COLUMNS)), dtype="int64")
-    for pdf in batches:  # folded batch by batch: only distinct plays are ever held
-        plays = equal_plays(np.concatenate((plays, pdf[PLAY_COLUMNS].to_numpy("int64"))))
-    ps, pe, first, seconds = plays[:, 0], plays[:, 1], plays[:, 4], plays[:, 5]
-    new = new_coverage(ps, pe, known_s, known_e)
-    length = pe - ps
-    share = first * new // np.where(length == 0, 1, length)
-    total += int(seconds.sum())
-    effective += int(np.where(length == 0, 0, share).sum())
-    complete += int(new.sum())
-    merged_s, merged_e = merge_intervals(np.concatenate((known_s, ps)), np.concatenate((known_e, pe)))
-    state.update((merged_s.tolist(), merged_e.tolist(), total, effective, complete))
-    yield pd.DataFrame({
-        **{name: [value] for name, value in zip(VIDEO_KEYS, key)},
-        "totaltime": [total], "effecttime": [effective], "completetime": [complete],
-        "play_interval": [",".join(f"{s}-{e}" for s, e in zip(merged_s, merged_e))]})
+class VideoTime(StatefulProcessor):
+    """Disjoint intervals seen so far and the three running totals of one user and video."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState(
+            "seen", "starts array<bigint>, ends array<bigint>, total bigint, effective bigint, complete bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known_s, known_e, total, effective, complete = self.seen.get() or ([], [], 0, 0, 0)
+        known_s, known_e = np.array(known_s, dtype="int64"), np.array(known_e, dtype="int64")
+        plays = np.empty((0, len(PLAY_COLUMNS)), dtype="int64")
+        while chunk := [[row[c] for c in PLAY_COLUMNS] for row in islice(rows, CHUNK)]:
+            # folded chunk by chunk: only distinct plays are ever held
+            plays = equal_plays(np.concatenate((plays, np.array(chunk, dtype="int64"))))
+        ps, pe, first, seconds = plays[:, 0], plays[:, 1], plays[:, 4], plays[:, 5]
+        new, length = new_coverage(ps, pe, known_s, known_e), pe - ps
+        share = first * new // np.where(length == 0, 1, length)
+        total += int(seconds.sum())
+        effective += int(np.where(length == 0, 0, share).sum())
+        complete += int(new.sum())
+        merged_s, merged_e = merge_intervals(np.concatenate((known_s, ps)), np.concatenate((known_e, pe)))
+        starts, ends = merged_s.tolist(), merged_e.tolist()
+        self.seen.update((starts, ends, total, effective, complete))
+        yield Row(**dict(zip(VIDEO_KEYS, key)), totaltime=total, effecttime=effective, completetime=complete,
+                  play_interval=",".join(f"{s}-{e}" for s, e in zip(starts, ends)))
+
+    def close(self) -> None:
+        pass
 
 
 def video_time_stream(plays: DataFrame) -> DataFrame:
-    """Running watched-time totals per user, courseware and video; the streaming twin of ``video_time``."""
+    """Running watched-time totals per user, courseware and video; the streaming twin of ``video_time``.
+
+    Within a micro-batch plays are taken in ``(ps, pe, ts, te)`` order, so effective time depends on
+    which plays share a batch; total and completed time do not.
+    """
     combined = plays.select(*VIDEO_KEYS, "ps", "pe", "ts", "te", "seconds").mapInPandas(
         combine_plays,
         "uid int, cwareid int, videoid int, ps int, pe int, total bigint, first bigint, ts bigint, te bigint")
-    return combined.groupBy(*VIDEO_KEYS).applyInPandasWithState(
-        update_video,
+    return combined.groupBy(*VIDEO_KEYS).transformWithState(
+        VideoTime(),
         "uid int, cwareid int, videoid int, totaltime bigint, effecttime bigint, completetime bigint, "
         "play_interval string",
-        "starts array<bigint>, ends array<bigint>, total bigint, effective bigint, complete bigint",
-        "update", GroupStateTimeout.NoTimeout)
+        "Update", "none")
