@@ -71,15 +71,23 @@ def top_n_ties(df: DataFrame, partition: Sequence[str], value: str, n: int = 3,
                rank: str = "rk") -> DataFrame:
     """All rows whose ``value`` is among the ``n`` best distinct values of the group (dense rank).
 
-    Ranks are taken over the distinct values, which partial aggregation has already made few,
-    and joined back. No group's rows ever meet in one sort. A null value ranks first ascending
-    and last descending, as in a plain window.
+    Three steps, none of which sends a group's rows to one task:
+
+    * ranks of the distinct values per group, which partial aggregation has made few;
+    * each task keeps only rows among the best values of its own part of a group, a superset of the
+      answer however rows are spread, so just those rows are shuffled;
+    * a join of the two on group and value, which the adaptive planner can split.
+
+    A null value ranks first ascending and last descending, as in a plain window.
     """
     order = F.col(value).asc_nulls_first() if ascending else F.col(value).desc_nulls_last()
     ranks = top_n(df.select(*partition, value).distinct(), partition, [order], n, rank)
     ranks = ranks.select(*[F.col(c).alias(f"_{c}") for c in (*partition, value)], rank)
+    local = Window.partitionBy(*partition, "_task").orderBy(order)
+    likely = (df.withColumn("_task", F.spark_partition_id()).withColumn("_local", F.dense_rank().over(local))
+              .where(F.col("_local") <= n).drop("_task", "_local"))
     condition = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*partition, value)])
-    return df.join(ranks, condition, "inner").drop(*[f"_{c}" for c in (*partition, value)])
+    return likely.join(ranks, condition, "inner").drop(*[f"_{c}" for c in (*partition, value)])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

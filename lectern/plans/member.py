@@ -51,12 +51,13 @@ def member_wide(member: DataFrame, regtype: DataFrame, ad: DataFrame, website: D
     so the joins never multiply money. Members without payments have 0.
     """
     base = first_per_key(member, ("uid", "dn", "dt"), ("register",))
+    # both joins on the member id come first: they share one partitioning of the members
     joined = left_join_all(
         base,
         (first_per_key(regtype, ("uid", "dn"), ("reg_createtime",)), ("uid", "dn")),
+        (payment_totals(payment, vip), ("uid", "dn")),
         (ad, ("ad_id", "dn")),
-        (website.withColumn("_site", F.lit(True)), ("siteid", "dn")),
-        (payment_totals(payment, vip), ("uid", "dn")))
+        (website.withColumn("_site", F.lit(True)), ("siteid", "dn")))
     # the site id of a member is the id of a known site
     return shape(joined.withColumns({
         "siteid": F.when(F.col("_site"), F.col("siteid")),

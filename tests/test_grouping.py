@@ -31,12 +31,19 @@ def skewed_scores(spark, n=3000):
 
 @pytest.mark.parametrize("ascending", [True, False])
 def test_top_n_ties_equals_dense_rank(spark, rows, ascending):
-    df = skewed_scores(spark)
+    df = skewed_scores(spark).repartition(6)
     order = F.col("score").asc_nulls_first() if ascending else F.col("score").desc_nulls_last()
     want = df.withColumn("rk", F.dense_rank().over(Window.partitionBy("paper").orderBy(order))).where("rk < 4")
     assert rows(top_n_ties(df, ["paper"], "score", 3, ascending), "id", "rk") == rows(want, "id", "rk")
 
 
+def test_top_n_ties_prunes_before_the_shuffle(spark):
+    plan = top_n_ties(skewed_scores(spark).repartition(6), ["paper"], "score")._jdf.queryExecution() \
+        .executedPlan().toString()
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line and "Partial" in line]
+    assert sorted("dense_rank" in line for line in limits) == [False, True]
+
+
 def test_top_n_limits_before_the_shuffle(spark):
     plan = top_n(skewed_scores(spark), ["paper"], [F.col("score").desc(), F.col("id")])._jdf.queryExecution() \
         .executedPlan().toString()
