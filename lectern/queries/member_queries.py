@@ -9,7 +9,7 @@ from lectern.operators.history import scd2_history
 from lectern.operators.upsert import upsert
 from lectern.plans import etl, member
 from lectern.queries.roles import DAY, Roles, TENANT
-from lectern.session import work_dir
+from lectern.session import materialize, work_dir
 from lectern.sources.warehouse import Warehouse
 
 WIDE_COLUMNS = (
@@ -59,7 +59,7 @@ def member_zipper(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_zipper_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of all days before 1998, then the later days folded in, then 1996 run again (a late re-run)."""
     r = Roles(spark, sf_dir)
-    daily = member.daily_payments(r.payment(), r.vip())
+    daily = materialize(member.daily_payments(r.payment(), r.vip()), "daily-payments")
     day = F.col("start_time")
     old = scd2_history(daily.where(day < "1998-01-01"), member.HISTORY_KEYS, "start_time", "paymoney").select(
         *member.HISTORY_COLUMNS)

@@ -25,16 +25,23 @@ from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS, question_mastery_str
 LEARN_DIMS = ("chapterid", "cwareid", "edutypeid", "sourcetype", "subjectid")
 
 
-def into_log(log: ChangeLog) -> Callable[[DataFrame, int], None]:
+#: Batches after which a change log folds its batch folders into one.
+COMPACT_EVERY = 500
+
+
+def into_log(log: ChangeLog, compact_every: int | None = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """Sink function: one folder per batch, folded together every ``compact_every`` batches."""
     def write(batch: DataFrame, batch_id: int) -> None:
         log.write(batch, batch_id)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            log.compact(batch_id)
     return write
 
 
-def _changes(df: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "update",
+def _changes(df: DataFrame, path: str, keys: list[str], checkpoint: str, compact_every: int | None = COMPACT_EVERY,
              **run) -> StreamingQuery:
     log = ChangeLog(df.sparkSession, path, keys)
-    return start(df.writeStream.outputMode(mode).foreachBatch(into_log(log)), checkpoint, **run)
+    return start(df.writeStream.outputMode("update").foreachBatch(into_log(log, compact_every)), checkpoint, **run)
 
 
 def register_total(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
@@ -118,21 +125,31 @@ def video_detail(lines: DataFrame, out: str, checkpoint: str, **run) -> Streamin
     return _changes(video_time_stream(plays), f"{out}/video_detail", VIDEO_KEYS, f"{checkpoint}/video_detail", **run)
 
 
-def register_job(lines: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
-    return [register_total(lines, out, checkpoint, **run), register_sliding(lines, out, checkpoint, **run)]
+def register_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, **run) -> list[StreamingQuery]:
+    """Both registration counts; lines that cannot be read go to ``bad`` when given, as in the jobs below."""
+    return [register_total(lines, out, checkpoint, **run), register_sliding(lines, out, checkpoint, **run),
+            *_set_aside(register_records(lines)[1], bad, checkpoint, **run)]
 
 
-def question_job(lines: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
-    return [point_detail(lines, out, checkpoint, **run)]
+def question_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, **run) -> list[StreamingQuery]:
+    return [point_detail(lines, out, checkpoint, **run),
+            *_set_aside(question_records(lines)[1], bad, checkpoint, **run)]
 
 
-def page_job(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
+def page_job(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, bad: str | None = None,
+             **run) -> list[StreamingQuery]:
     return [transitions(lines, out, checkpoint, **run), funnel(lines, out, checkpoint, **run),
-            provinces(lines, ranges, out, checkpoint, **run)]
+            provinces(lines, ranges, out, checkpoint, **run),
+            *_set_aside(page_records(lines)[1], bad, checkpoint, **run)]
+
+
+def learn_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, **run) -> list[StreamingQuery]:
+    return [learn_time(lines, out, checkpoint, **run), video_detail(lines, out, checkpoint, **run),
+            *_set_aside(learn_records(lines)[1], bad, checkpoint, **run)]
 
 
-def learn_job(lines: DataFrame, out: str, checkpoint: str, **run) -> list[StreamingQuery]:
-    return [learn_time(lines, out, checkpoint, **run), video_detail(lines, out, checkpoint, **run)]
+def _set_aside(rows: DataFrame, path: str | None, checkpoint: str, **run) -> list[StreamingQuery]:
+    return [quarantine(rows, path, checkpoint, **run)] if path else []
 
 
 def landing(lines: DataFrame, out: str, checkpoint: str, topic: str, **run) -> StreamingQuery:

@@ -103,6 +103,31 @@ def test_video_time_over_batches_keeps_order_free_totals(spark, replay, rows):
     assert got.where(covered != F.col("completetime")).count() == 0
 
 
+def test_whole_job_with_bad_lines_and_compaction(spark, replay, tmp_path):
+    replay.add(learn_lines(9, 60), 4)
+    source = file_lines(spark, f"{replay.root}/in", 1)
+    for query in jobs.learn_job(source, f"{replay.root}/out", f"{replay.root}/cp", f"{replay.root}/bad",
+                                available_now=True):
+        query.awaitTermination()
+    assert spark.read.text(f"{replay.root}/bad").count() == 2
+    before = sorted(map(tuple, replay.log("learn_time", ["dim", "key"]).collect()))
+    assert len(list((tmp_path / "out" / "learn_time").glob("batch=*"))) == 4
+    ChangeLog(spark, f"{replay.root}/out/learn_time", ["dim", "key"]).compact(2)
+    assert sorted(p.name for p in (tmp_path / "out" / "learn_time").iterdir()) == ["base=2", "batch=3"]
+    assert sorted(map(tuple, replay.log("learn_time", ["dim", "key"]).collect())) == before
+
+
+def test_compaction_while_running(spark, replay, tmp_path):
+    texts = learn_lines(10, 60)
+    replay.add(texts, 5)
+    replay.drain(jobs.learn_time, compact_every=2)
+    assert sorted(p.name for p in (tmp_path / "out" / "learn_time").iterdir()) == ["base=3", "batch=4"]
+    plays, _ = learn_records(lines(spark, texts))
+    want = {str(r.chapterid): r.s for r in plays.groupBy("chapterid").agg(F.sum("seconds").alias("s")).collect()}
+    got = replay.log("learn_time", ["dim", "key"]).where("dim = 'chapterid'").collect()
+    assert {r.key: r.totaltime for r in got} == want
+
+
 def test_learn_time_by_five_keys(spark, replay):
     texts = learn_lines(4, 100)
     replay.add(texts)
