@@ -68,12 +68,15 @@ def half_up(value: Column, places: int = 1) -> Column:
 
 
 def int_or_zero(value: Column) -> Column:
-    """Integer of a JSON scalar read as text: quoted numbers count, fractions are cut, else 0."""
-    return F.coalesce(value.try_cast("decimal(24,6)").try_cast("int"), F.lit(0))
+    """Integer of a JSON scalar read as text: quoted numbers count, fractions are cut, else 0.
+
+    The plain cast answers for whole numbers; only what it rejects is tried as a decimal.
+    """
+    return F.coalesce(value.try_cast("int"), value.try_cast("decimal(24,6)").try_cast("int"), F.lit(0))
 
 
 def bigint_or_null(value: Column) -> Column:
-    return value.try_cast("decimal(38,6)").try_cast("bigint")
+    return F.coalesce(value.try_cast("bigint"), value.try_cast("decimal(38,6)").try_cast("bigint"))
 
 
 def money(value: Column) -> Column:
