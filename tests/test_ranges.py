@@ -1,8 +1,6 @@
 import bisect
 import random
 
-from pyspark.sql import functions as F
-
 from lectern.operators.ranges import count_by_range, range_lookup
 
 RANGES = "lo bigint, hi bigint, name string"
