@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +26,27 @@ DEFAULTS = {
 
 #: Target size of one shuffle partition; the adaptive planner merges smaller ones.
 PARTITION_BYTES = 128 * 1024 * 1024
+#: Most shuffle partitions of a job. Map tasks times reduce tasks is what the driver keeps track of, so beyond
+#: this number partitions grow instead (and spill), and the adaptive planner splits the skewed ones.
+MOST_PARTITIONS = 16_000
+#: Shuffle partitions, and so state stores, of a stream. A stream keeps this number for its whole life.
+STREAM_PARTITIONS = 200
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions for a batch job that reads ``input_bytes``."""
+    return min(MOST_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
 
 
 def build_session(app_name: str, master: str | None = None, input_bytes: int | None = None,
                   **conf: str) -> SparkSession:
     """Session with :data:`DEFAULTS`; ``conf`` keys use ``__`` for dots.
 
-    ``input_bytes`` sizes the shuffles of the job: one partition per :data:`PARTITION_BYTES` of input, so that
-    a partition fits in executor memory. The adaptive planner joins partitions that turn out small.
+    ``input_bytes`` sizes the shuffles of the job (:func:`shuffle_partitions`). The adaptive planner joins
+    partitions that turn out small.
     """
     if input_bytes:
-        conf.setdefault("spark__sql__shuffle__partitions", str(max(200, input_bytes // PARTITION_BYTES)))
+        conf.setdefault("spark__sql__shuffle__partitions", str(shuffle_partitions(input_bytes)))
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -44,15 +57,27 @@ def build_session(app_name: str, master: str | None = None, input_bytes: int | N
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=None)
+def _local_folder() -> str:
+    """One temporary folder per process, for local masters only; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="lectern-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 
-    It lies under the shared folder named in ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a local temporary folder is used.
+    It lies under the shared folder named in ``spark.checkpoint.dir``. Only a local master may do without
+    that setting: driver and executors of a cluster see no common temporary folder, so there an unset
+    setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = tempfile.mkdtemp(prefix="lectern-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master}")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
