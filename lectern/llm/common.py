@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.session import materialize, work_dir
 
-__all__ = ["BROADCAST_ROWS", "WHITE_SPACE", "bind", "load", "lower_ascii", "materialize", "small_side", "text_key",
+__all__ = ["BROADCAST_ROWS", "LOWER", "UPPER", "WHITE_CHARS", "WHITE_SPACE", "bind", "load", "lower_ascii", "materialize", "small_side", "text_key",
            "white_words", "work_dir"]
 
 # ASCII white space, as a class for patterns and as plain characters.
