@@ -9,7 +9,10 @@ them do. So it is enough to look for one necessary shingle per window, and the r
    a shingle that no document holds is dropped;
 3. prefixes join positions; the offset of the prefix fixes where the window would start, and starts outside the document
    are cut (positional and length bounds);
-4. each candidate is verified against the words of the document at that place.
+4. each candidate is verified: every shingle of the window must stand at its place, so that the document has the words
+   of the window there, one after the other.
+
+Texts are read twice and never shuffled: after the first step all work is on positions of benchmark shingles.
 """
 
 from __future__ import annotations
@@ -74,21 +77,28 @@ def _positions(docs: DataFrame, text: str, wanted: DataFrame, widths: Sequence[i
             .join(small_side(wanted), "h", "left_semi").select("key.a", "key.b", "n", "pos", "h"))
 
 
-def candidates(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
-    """Per text key ``a, b``: ``cands``, the places (``start``, ``len``, ``wid``) at which a window may occur."""
+def occurrences(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
+    """``a``, ``b`` (key of the text), ``start``, ``len`` and ``wid`` of every window that occurs in a text.
+
+    Copies of a text count once, so a large group of copies makes no more rows than one of its members.
+    """
     shingles = materialize(_window_shingles(windows), "window-shingles")
     widths = sorted(r[0] for r in shingles.select(F.least("len", F.lit(SHINGLE))).distinct().collect())  # three at most
     wanted = materialize(shingles.select("h").distinct(), "wanted-shingles")
-    positions = materialize(_positions(docs, text, wanted, widths or [SHINGLE]), "shingle-positions")
+    positions = materialize(_positions(docs, text, wanted, widths or [SHINGLE]).distinct(), "shingle-positions")
     counts = positions.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "offset")).alias("p")
-    prefixes = (shingles.join(counts, "h", "left").groupBy("wid", "len").agg(rarest).where("p.df > 0")
-                .select("p.h", "p.offset", "wid", "len"))
+    prefixes = (shingles.join(counts, "h", "left").groupBy("wid", "len").agg(rarest, F.count(F.lit(1)).alias("parts"))
+                .where("p.df > 0").select("p.h", "p.offset", "wid", "len", "parts"))
     start = F.col("pos") - F.col("offset")
     places = (positions.join(small_side(materialize(prefixes, "prefixes")), "h")
-              .select("a", "b", start.alias("start"), "len", "wid", "n")
-              .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))))
-    return places.groupBy("a", "b").agg(F.collect_set(F.struct("start", "len", "wid")).alias("cands"))
+              .select("a", "b", start.alias("start"), "len", "wid", "parts", "n")
+              .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))).drop("n"))
+    due = places.join(small_side(shingles.drop("len")), "wid").select(
+        "a", "b", "start", "len", "wid", "parts", (F.col("start") + F.col("offset")).alias("pos"), "h")
+    there = due.join(positions.drop("n"), ["a", "b", "pos", "h"])
+    return (there.groupBy("a", "b", "start", "len", "wid", "parts").agg(F.count(F.lit(1)).alias("met"))
+            .where("met = parts").select("a", "b", "start", "len", "wid"))
 
 
 def _covered(spans: Column) -> Column:
@@ -101,30 +111,6 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, first, step, lambda acc: acc["n"])
 
 
-def mark(docs: DataFrame, windows: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``_carry`` (the carried columns), ``key``, ``n_words``, ``n_hit`` and ``wids`` (windows that occur) per document.
-
-    Candidates come per distinct text, so their join with the documents is on the text; it is a broadcast only by
-    Spark's own size check, else a shuffle join with skew splitting for hot groups of copies.
-    """
-    found = materialize(candidates(docs, windows, text), "candidates")
-
-    def verify(words: Column, cands: Column) -> Column:
-        true = F.filter(cands, lambda c: F.xxhash64(F.slice(words, c["start"] + 1, c["len"])) == c["wid"])
-        return bind(F.sort_array(true), lambda spans: F.struct(
-            F.size(words).cast("long").alias("n_words"), _covered(spans).cast("long").alias("n_hit"),
-            F.array_distinct(F.transform(spans, lambda s: s["wid"])).alias("wids")))
-
-    none = F.array().cast(found.schema["cands"].dataType)
-    key = text_key(F.col(text))
-    joined = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_carry"), F.col(text).alias("_text"),
-                         key["a"].alias("a"), key["b"].alias("b")).join(found, ["a", "b"], "left")
-    return joined.select(
-        "_carry", "a", "b",
-        bind(plain_words(F.col("_text")), lambda w: verify(w, F.coalesce("cands", none))).alias("_m")
-    ).select("_carry", "a", "b", "_m.*")
-
-
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``_carry``, ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``n_items`` and ``items``
@@ -135,16 +121,27 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     or no hits (items).
     """
     windows = materialize(item_windows(items, item_id, item_text), "item-windows")
-    marked = materialize(mark(docs, windows, text, carry), "marked")
-    hit = marked.where("n_hit > 0").select("a", "b", F.explode("wids").alias("wid")).distinct()
-    per_text = (hit.join(windows.select("wid", "item").distinct(), "wid").select("a", "b", "item").distinct()
-                .groupBy("a", "b").agg(F.sort_array(F.collect_list("item")).alias("items")))
+    found = materialize(occurrences(docs, windows, text), "occurrences")
+    spans = found.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"))
+    hits = spans.select("a", "b", _covered(F.col("spans")).cast("long").alias("n_hit"))
+    named = (found.select("a", "b", "wid").distinct().join(windows.select("wid", "item").distinct(), "wid")
+             .select("a", "b", "item").distinct().groupBy("a", "b")
+             .agg(F.sort_array(F.collect_list("item")).alias("items")))
+    per_text = materialize(hits.join(named, ["a", "b"]), "hits-per-text")
+    key = text_key(F.col(text))
+    words = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_carry"), key["a"].alias("a"), key["b"].alias("b"),
+                        F.size(plain_words(F.col(text))).cast("long").alias("n_words"))
     items_found = F.coalesce("items", F.array().cast("array<string>"))
-    return marked.join(per_text, ["a", "b"], "left").select(
-        "_carry", "n_words", "n_hit", F.size(items_found).cast("long").alias("n_items"), items_found.alias("items"))
+    return words.join(per_text, ["a", "b"], "left").select(
+        "_carry", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(items_found).cast("long").alias("n_items"), items_found.alias("items"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without any hit, with their own columns; verified in the same pass that reads them."""
+    """The documents without any hit, with their own columns. Texts move only if the keys of all contaminated texts
+    are too many for a broadcast."""
     windows = materialize(item_windows(items), "item-windows")
-    return mark(docs, windows, text, docs.columns).where("n_hit = 0").select("_carry.*")
+    hit = small_side(materialize(occurrences(docs, windows, text).select("a", "b").distinct(), "contaminated"))
+    key = text_key(F.col(text))
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), key["a"].alias("a"), key["b"].alias("b"))
+    return packed.join(hit, ["a", "b"], "left_anti").select("_row.*")
