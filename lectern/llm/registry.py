@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat_queries, contamination_queries, html_queries, jaccard_queries, language_queries, lines_queries, mixing_queries, quality_queries, sharding_queries
+from lectern.llm import (chat_queries, contamination_queries, html_queries, jaccard_queries, language_queries,
+                         lines_queries, mixing_queries, quality_queries, scoring_queries, sharding_queries)
 
-MODULES = (quality_queries, contamination_queries, mixing_queries, sharding_queries,
-           jaccard_queries, chat_queries, language_queries, html_queries,
-           lines_queries)
+MODULES = (quality_queries, sharding_queries, contamination_queries, lines_queries, chat_queries, mixing_queries,
+           scoring_queries, language_queries, html_queries, jaccard_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
