@@ -78,13 +78,13 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def nodes_of(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``node`` (key of the set) and ``n`` (its size) per document; ``docs`` has ``doc_id`` and ``text``."""
+    """``doc_id``, ``tie`` (hash of the text), ``node`` (key of the set) and ``n`` (its size) per document."""
     def run(batches: Batches) -> Batches:
-        for rows in _each_set(batches, width, "doc_id"):
-            yield _batch(doc_id=pa.array([r[0] for r in rows], pa.int64()),
-                         node=pa.array([set_key(r[1]) for r in rows], pa.int64()),
-                         n=pa.array([len(r[1]) for r in rows], pa.int64()))
-    return docs.mapInArrow(run, "doc_id long, node long, n long")
+        for rows in _each_set(batches, width, "doc_id", "tie"):
+            yield _batch(doc_id=pa.array([r[0] for r in rows], pa.int64()), tie=pa.array([r[1] for r in rows], pa.int64()),
+                         node=pa.array([set_key(r[2]) for r in rows], pa.int64()),
+                         n=pa.array([len(r[2]) for r in rows], pa.int64()))
+    return docs.withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, tie long, node long, n long")
 
 
 def frequent_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
@@ -343,6 +343,14 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, stars: DataFra
     return materialize(sets.join(small_side(ids.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
+def labelled_nodes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The stored rows of :func:`nodes_of`, and ``node`` and ``label`` (equal for linked nodes) of all non-empty sets."""
+    nodes = materialize(nodes_of(docs, width), "nodes")
+    labels = connected(linked_nodes(docs, nodes, width, percent), "a", "b").withColumnRenamed("id", "node")
+    filled = nodes.where("n > 0").select("node").distinct().join(labels, "node", "left")
+    return nodes, materialize(filled.select("node", F.coalesce("label", "node").alias("label")), "labelled")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4,
                        percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) per document.
@@ -353,14 +361,41 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     compared by 64-bit hashes.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    nodes = materialize(nodes_of(docs, width), "nodes")
-    links = linked_nodes(docs, nodes, width, percent)
-    classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    labels = connected(links, "a", "b").withColumnRenamed("id", "node")
-    labelled = materialize(classes.join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node")), "labelled")
-    least = labelled.groupBy("label").agg(F.min("first").alias("component"))
-    known = materialize(labelled.join(least, "label").select("node", "component"), "node-components")
-    out = nodes.join(known, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    nodes, labelled = labelled_nodes(docs, width, percent)
+    classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(labelled, "node")
+    classes = materialize(classes, "classes")
+    least = classes.groupBy("label").agg(F.min("first").alias("component"))
+    known = materialize(classes.join(least, "label").select("node", "component"), "node-components")
+    return nodes.join(known, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5,
+                         percent: int = 80) -> DataFrame:
+    """One document of each group of linked ones, with its own columns: that of the smallest id (null last, equal ids by
+    a hash of the text). Of rows equal in id and text one stays. Documents without words are in no group and all stay.
+
+    What is joined with the documents is the keys of those that go; texts move only if these are too many for a broadcast, and
+    those of repeated rows.
+    """
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    nodes, labelled = labelled_nodes(slim, width, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("t"))
+    members = nodes.join(labelled, "node").groupBy("label", "doc_id", "tie").agg(F.count(F.lit(1)).alias("m"))
+    members = materialize(members.withColumn("place", place), "members")
+    first = members.groupBy("label").agg(F.min("place").alias("first"))
+    judged = materialize(members.join(first, "label").select(
+        F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "m", (F.col("place") == F.col("first")).alias("stays")),
+        "judged")
+    gone = small_side(materialize(judged.where("NOT stays").select("_id", "_tie"), "gone"))
+    repeated = materialize(judged.where("stays AND m > 1").select("_id", "_tie"), "repeated")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
+                         F.col(doc_id).cast("long").alias("_i"), F.xxhash64(F.col(text)).alias("_t"))
+    same = F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie"))
+    kept = packed.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        repeated = small_side(repeated)
+        kept = kept.join(repeated, same, "left_anti").unionByName(
+            kept.join(repeated, same, "left_semi").dropDuplicates(["_i", "_t"]))
+    return kept.select("_row.*")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.llm.common import WHITE_CHARS, materialize
+from lectern.llm.common import WHITE_CHARS, materialize, small_side
 
 #: Cells per shard in the final ranking; a cell is the unit that is sorted in one task.
 CELLS = 1024
@@ -21,11 +21,12 @@ CELLS = 1024
 GROUP_CELLS = 64
 
 
-def rows_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``size`` (UTF-8 bytes and one), ``text_crc32``, ``node`` (of equal texts) and ``salt`` per document."""
+def rows_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+            carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``_carry``, ``size`` (UTF-8 bytes and one), ``text_crc32``, ``node`` (of equal texts) and ``salt`` per document."""
     value = F.col(text)
     return docs.select(
-        F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(value), F.lit(0)) + 1).cast("long").alias("size"),
+        F.struct(*[F.col(c) for c in carry]).alias("_carry"), (F.coalesce(F.octet_length(value), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(value, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(value, F.lit(1)).alias("node"),
         F.xxhash64(F.lit(2), F.col(doc_id), value).alias("salt"))
@@ -53,7 +54,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 3,
     quota = total / shards * (1 + slack)
     held = [F.sum(F.when(F.col("label") == s, F.col("rows")).otherwise(0)) for s in range(shards)]
     for turn in range(rounds):
-        hubs = links.join(labels, "node").groupBy("hub").agg(F.array(*held).alias("held"))
+        hubs = materialize(links.join(labels, "node").groupBy("hub").agg(F.array(*held).alias("held")), f"hubs-{turn}")
         wishes = links.join(hubs, "hub").groupBy("node").agg(F.array(*[
             F.sum(F.get("held", F.lit(s)) / F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x))
             for s in range(shards)]).alias("pull"))
@@ -82,8 +83,9 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 3,
     return labels.select("node", "label")
 
 
-def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", rounds: int = 3) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32``, ``node``, ``salt``, ``shard`` and ``slot`` per document.
+def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", rounds: int = 3,
+          carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``_carry``, ``size``, ``text_crc32``, ``node``, ``shard`` and ``slot`` per document.
 
     Row counts of the shards differ by one at most; slots of a shard run from 0 without gaps. Null texts are one group of
     equal texts and empty texts another; neither is linked by lines. Equal rows get different slots. A group of more rows
@@ -91,28 +93,33 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
 
     No rank needs all rows of a shard or of a group in one task: rows are counted per cell (shard, slice of the node hash,
     and for large groups slice of the row hash), the counts of the cells give each cell's first rank, and only rows of one
-    cell are ordered together. The number of cells is fixed.
+    cell are ordered together. The number of cells is fixed. Carried columns move once, to their cell.
     """
-    rows = materialize(rows_of(docs, text, doc_id), "rows")
-    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    rows = materialize(rows_of(docs, text, doc_id, [doc_id]).select("node", "salt"), "rows")
+    nodes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")), "nodes")
     links = materialize(shared_lines(docs, text), "links")
-    labels = propagate(nodes, links, shards, rounds)
+    labels = small_side(propagate(nodes, links, shards, rounds))
     n = rows.count()
-    large = materialize(nodes.where(F.col("rows") > F.lit(max(n // CELLS, 1_000))).select("node"), "large-nodes")
-    placed = (rows.join(labels, "node", "left").join(large.withColumn("large", F.lit(True)), "node", "left")
-              .select("doc_id", "size", "text_crc32", "node", "salt", F.coalesce("label", F.lit(shards)).alias("label"),
-                      F.pmod(F.xxhash64("node", F.lit(11)), F.lit(CELLS)).alias("cell"),
-                      F.when(F.col("large"), F.pmod("salt", F.lit(GROUP_CELLS))).otherwise(F.lit(-1)).alias("part")))
-    placed = materialize(placed, "placed")
-    cells = placed.groupBy("label", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
+    large = small_side(materialize(nodes.where(F.col("rows") > max(n // CELLS, 1_000)).select(
+        "node", F.lit(True).alias("large")), "large-nodes"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return (df.join(labels, "node", "left").join(large, "node", "left")
+                .withColumn("label", F.coalesce("label", F.lit(shards)))
+                .withColumn("cell", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(CELLS)))
+                .withColumn("part", F.when(F.col("large"), F.pmod("salt", F.lit(GROUP_CELLS))).otherwise(F.lit(-1)))
+                .drop("large"))
+
+    cells = placed(rows).groupBy("label", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("label").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = materialize(cells.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0))), "cells")
     held = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # shards + 1 numbers
     room = [n // shards + (s < n % shards) for s in range(shards)]
     own = [min(room[s], held.get(s, 0)) for s in range(shards)]
     over = [held.get(s, 0) - own[s] for s in range(shards)]
-    inside = Window.partitionBy("label", "cell", "part").orderBy("node", "salt", "doc_id")
-    ranked = (placed.join(cells.drop("n"), ["label", "cell", "part"])
+    inside = Window.partitionBy("label", "cell", "part").orderBy("node", "salt")
+    first = F.broadcast(cells.drop("n"))  # a fixed number of cells
+    ranked = (placed(rows_of(docs, text, doc_id, carry)).join(first, ["label", "cell", "part"])
               .withColumn("rank", F.col("first") + F.row_number().over(inside) - 1))
 
     def lookup(values: Sequence[int], at: Column) -> Column:
@@ -120,13 +127,21 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
 
     # rows beyond their shard's room, then the rows of no shard, fill the free slots of the shards in turn
     pool_start = [sum(over[:s]) for s in range(shards)] + [sum(over)]
+    free_start = [sum(room[:s]) - sum(own[:s]) for s in range(shards)]
     stays = F.col("rank") < lookup(own + [0], F.col("label"))
     pool = F.col("rank") - lookup(own + [0], F.col("label")) + lookup(pool_start, F.col("label"))
-    free_start = [sum(room[:s]) - sum(own[:s]) for s in range(shards)]
-    target = F.size(F.filter(F.array(*[F.lit(v).cast("long") for v in free_start]), lambda v: v <= F.col("pool"))) - 1
     # a shard without free slots starts where the next one does, so the last start at or before the rank is meant
+    target = F.size(F.filter(F.array(*[F.lit(v).cast("long") for v in free_start]), lambda v: v <= F.col("pool"))) - 1
     return (ranked.withColumn("pool", F.when(stays, F.lit(None)).otherwise(pool))
             .withColumn("shard", F.when(stays, F.col("label")).otherwise(target).cast("int"))
             .withColumn("slot", F.when(stays, F.col("rank")).otherwise(
                 lookup(own, F.col("shard")) + F.col("pool") - lookup(free_start, F.col("shard"))))
-            .select("doc_id", "size", "text_crc32", "node", "salt", "shard", "slot"))
+            .select("_carry", "size", "text_crc32", "node", "shard", "slot"))
+
+
+def with_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """The documents with their own columns, then ``shard`` and ``slot`` (or, where a column has that name already,
+    ``shard_1`` and ``slot_1``)."""
+    placed = shard(docs, shards, carry=docs.columns)
+    names = {n: n if n not in docs.columns else f"{n}_1" for n in ("shard", "slot")}
+    return placed.select("_carry.*", *[F.col(n).alias(alias) for n, alias in names.items()])

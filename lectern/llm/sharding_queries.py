@@ -10,7 +10,7 @@ from lectern.llm.sharding import shard
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(load(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        "_carry.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
