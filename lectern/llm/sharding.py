@@ -41,17 +41,22 @@ def shared_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return held.join(hubs.where("low < high").select("hub"), "hub", "left_semi").distinct()
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 3, slack: float = 0.05) -> DataFrame:
-    """``node`` and ``label`` for the nodes of ``links``; ``nodes`` has ``node`` and ``rows``.
+def propagate(nodes: DataFrame, links: DataFrame, room: Sequence[int], rounds: int = 3, slack: float = 0.05) -> DataFrame:
+    """``node`` and ``label`` for the nodes of ``links`` and those of several rows; ``nodes`` has ``node`` and ``rows``.
 
-    A quota is the linked rows per shard, with ``slack`` on top. Nodes of more rows than that slack are too large to be
-    moved about; they start on a shard and stay.
+    Quotas share the linked rows in proportion to the ``room`` of each shard, with ``slack`` on top. A node of more rows
+    than that slack starts on a shard and stays.
     """
-    linked = links.select("node").distinct().join(nodes, "node")
-    labels = materialize(linked.select(
-        "node", "rows", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(shards)).cast("int").alias("label")), "labels-0")
+    shards, whole = len(room), max(1, sum(room))
+    ends = [sum(room[:s + 1]) / whole for s in range(shards)]
+    linked = links.select("node").distinct().withColumn("_linked", F.lit(True))
+    draw = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    start = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends[:-1]]), lambda e: e <= F.col("_draw")))
+    labels = materialize(
+        nodes.join(linked, "node", "left").where(F.col("_linked") | (F.col("rows") > 1))
+        .withColumn("_draw", draw).select("node", "rows", start.cast("int").alias("label")), "labels-0")
     total = labels.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]  # one number
-    quota = total / shards * (1 + slack)
+    quota = [total * r / whole * (1 + slack) for r in room]
     held = [F.sum(F.when(F.col("label") == s, F.col("rows")).otherwise(0)) for s in range(shards)]
     for turn in range(rounds):
         hubs = materialize(links.join(labels, "node").groupBy("hub").agg(F.array(*held).alias("held")), f"hubs-{turn}")
@@ -59,7 +64,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 3,
             F.sum(F.get("held", F.lit(s)) / F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x))
             for s in range(shards)]).alias("pull"))
         best = F.array_max(F.transform("pull", lambda p, s: F.struct(p.alias("p"), (-s).alias("s"))))
-        asked = labels.join(wishes, "node").select(
+        asked = labels.join(wishes, "node", "left").select(
             "node", "rows", "label", F.when((best["p"] > F.get("pull", F.col("label"))) & (F.col("rows") <= total * slack),
                                             -best["s"]).otherwise(F.col("label")).cast("int").alias("wish"),
             (F.pmod(F.xxhash64("node", F.lit(100 + turn)), F.lit(1 << 20)) / float(1 << 20)).alias("draw"))
@@ -68,12 +73,12 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 3,
             F.sum("rows").alias("n")).collect()}  # shards x shards numbers
         now = [sum(n for (a, _), n in counts.items() if a == s) for s in range(shards)]
         granted = []
-        room = [max(0.0, quota - n) for n in now]
+        space = [max(0.0, q - n) for q, n in zip(quota, now)]
         for (a, b), n in sorted(counts.items()):
             if a != b:
                 wanted = sum(m for (c, d), m in counts.items() if d == b and c != b)
                 there_and_back = min(n, counts.get((b, a), 0))
-                part = min(1.0, (there_and_back + room[b] * n / wanted) / n)
+                part = min(1.0, (there_and_back + space[b] * n / wanted) / n)
                 granted.append((F.col("label") == a) & (F.col("wish") == b) & (F.col("draw") < part))
         moves = F.lit(False)
         for grant in granted:
@@ -88,8 +93,8 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
     """``_carry``, ``size``, ``text_crc32``, ``node``, ``shard`` and ``slot`` per document.
 
     Row counts of the shards differ by one at most; slots of a shard run from 0 without gaps. Null texts are one group of
-    equal texts and empty texts another; neither is linked by lines. Equal rows get different slots. A group of more rows
-    than a shard holds goes on in the next. An empty table gives no rows.
+    equal texts and empty texts another; neither is linked by lines. Equal rows get different slots. Groups of more than
+    half a shard are laid out first, one after the other, and go on in the next shard where one is full. An empty table gives no rows.
 
     No rank needs all rows of a shard or of a group in one task: rows are counted per cell (shard, slice of the node hash,
     and for large groups slice of the row hash), the counts of the cells give each cell's first rank, and only rows of one
@@ -98,24 +103,34 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
     rows = materialize(rows_of(docs, text, doc_id, [doc_id]).select("node", "salt"), "rows")
     nodes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")), "nodes")
     links = materialize(shared_lines(docs, text), "links")
-    labels = small_side(propagate(nodes, links, shards, rounds))
     n = rows.count()
+    room = [n // shards + (s < n % shards) for s in range(shards)]
+    starts = [sum(room[:s]) for s in range(shards)]
+    # groups of more than half a shard, twice the number of shards at most, fill whole shards from the first on
+    giants = [r["node"] for r in nodes.where(F.col("rows") > n / shards / 2).orderBy(F.desc("rows"), "node").collect()]
+    giant_rows = nodes.where(F.col("node").isin(giants)).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] if giants else 0
+    filled = [min(room[s], max(0, giant_rows - starts[s])) for s in range(shards)]
+    left = [room[s] - filled[s] for s in range(shards)]
+    ordinary = ~F.col("node").isin(giants) if giants else F.lit(True)
+    labels = small_side(propagate(nodes.where(ordinary), links.where(ordinary), left, rounds))
+    giant = F.array_position(F.array(*[F.lit(g) for g in giants]).cast("array<bigint>"), F.col("node")).cast("int")
     large = small_side(materialize(nodes.where(F.col("rows") > max(n // CELLS, 1_000)).select(
         "node", F.lit(True).alias("large")), "large-nodes"))
 
     def placed(df: DataFrame) -> DataFrame:
+        """Label: a shard, ``shards`` for no shard, one more for giants; and the cell."""
         return (df.join(labels, "node", "left").join(large, "node", "left")
-                .withColumn("label", F.coalesce("label", F.lit(shards)))
-                .withColumn("cell", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(CELLS)))
+                .withColumn("label", F.when(giant > 0, shards + 1).otherwise(F.coalesce("label", F.lit(shards))))
+                .withColumn("cell", F.when(giant > 0, giant.cast("long")).otherwise(
+                    F.pmod(F.xxhash64("node", F.lit(11)), F.lit(CELLS))))
                 .withColumn("part", F.when(F.col("large"), F.pmod("salt", F.lit(GROUP_CELLS))).otherwise(F.lit(-1)))
                 .drop("large"))
 
     cells = placed(rows).groupBy("label", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("label").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = materialize(cells.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0))), "cells")
-    held = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # shards + 1 numbers
-    room = [n // shards + (s < n % shards) for s in range(shards)]
-    own = [min(room[s], held.get(s, 0)) for s in range(shards)]
+    held = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # shards + 2 numbers
+    own = [min(left[s], held.get(s, 0)) for s in range(shards)]
     over = [held.get(s, 0) - own[s] for s in range(shards)]
     inside = Window.partitionBy("label", "cell", "part").orderBy("node", "salt")
     first = F.broadcast(cells.drop("n"))  # a fixed number of cells
@@ -125,17 +140,22 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
     def lookup(values: Sequence[int], at: Column) -> Column:
         return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), at + 1)
 
+    def last_start(values: Sequence[int], at: str) -> Column:
+        """A shard without slots starts where the next one does, so the last start at or before the rank is meant."""
+        return F.size(F.filter(F.array(*[F.lit(v).cast("long") for v in values]), lambda v: v <= F.col(at))) - 1
+
     # rows beyond their shard's room, then the rows of no shard, fill the free slots of the shards in turn
-    pool_start = [sum(over[:s]) for s in range(shards)] + [sum(over)]
-    free_start = [sum(room[:s]) - sum(own[:s]) for s in range(shards)]
-    stays = F.col("rank") < lookup(own + [0], F.col("label"))
-    pool = F.col("rank") - lookup(own + [0], F.col("label")) + lookup(pool_start, F.col("label"))
-    # a shard without free slots starts where the next one does, so the last start at or before the rank is meant
-    target = F.size(F.filter(F.array(*[F.lit(v).cast("long") for v in free_start]), lambda v: v <= F.col("pool"))) - 1
-    return (ranked.withColumn("pool", F.when(stays, F.lit(None)).otherwise(pool))
-            .withColumn("shard", F.when(stays, F.col("label")).otherwise(target).cast("int"))
-            .withColumn("slot", F.when(stays, F.col("rank")).otherwise(
-                lookup(own, F.col("shard")) + F.col("pool") - lookup(free_start, F.col("shard"))))
+    pool_start = [sum(over[:s]) for s in range(shards)] + [sum(over), 0]
+    free_start = [sum(left[:s]) - sum(own[:s]) for s in range(shards)]
+    label, is_giant = F.col("label"), F.col("label") == shards + 1
+    stays = F.col("rank") < lookup(own + [0, 0], label)
+    return (ranked.withColumn("pool", F.col("rank") - lookup(own + [0, 0], label) + lookup(pool_start, label))
+            .withColumn("shard", F.when(is_giant, last_start(starts, "rank")).when(stays, label)
+                        .otherwise(last_start(free_start, "pool")).cast("int"))
+            .withColumn("slot", F.when(is_giant, F.col("rank") - lookup(starts, F.col("shard")))
+                        .when(stays, F.col("rank") + lookup(filled, label))
+                        .otherwise(lookup([f + o for f, o in zip(filled, own)], F.col("shard")) + F.col("pool")
+                                   - lookup(free_start, F.col("shard"))))
             .select("_carry", "size", "text_crc32", "node", "shard", "slot"))
 
 
