@@ -43,7 +43,8 @@ def trigrams(text: str | None) -> np.ndarray | None:
     codes = np.where(letter, codes, np.uint32(32))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of a run of others stays as the space after a word
-    codes = np.concatenate([[np.uint32(32)], codes[keep], [np.uint32(32)]]).astype(np.uint32)
+    codes = codes[keep]
+    codes = np.concatenate([[32], codes, [32] if codes[-1] != 32 else []]).astype(np.uint32)
     mixed = codes[:-2] * SPREAD[0] + codes[1:-1] * SPREAD[1] + codes[2:] * SPREAD[2]
     return (mixed ^ (mixed >> np.uint32(15))) * SPREAD[0] >> np.uint32(17)
 
