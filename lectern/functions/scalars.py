@@ -63,8 +63,8 @@ def score_band(score: Column) -> Column:
 
 
 def half_up(value: Column, places: int = 1) -> Column:
-    """Decimal rounded HALF_UP; text that is no number gives null."""
-    return F.round(value.try_cast("decimal(24,6)"), places).try_cast(f"decimal(18,{places})")
+    """Decimal rounded HALF_UP, once, from up to 18 places; text that is no number gives null."""
+    return F.round(value.try_cast("decimal(38,18)"), places).try_cast(f"decimal(18,{places})")
 
 
 def int_or_zero(value: Column) -> Column:
@@ -85,8 +85,8 @@ def money(value: Column) -> Column:
 
 
 def day_to_iso(day: Column) -> Column:
-    """``yyyyMMdd`` -> ``yyyy-MM-dd``."""
-    return F.date_format(F.to_date(day, "yyyyMMdd"), "yyyy-MM-dd")
+    """``yyyyMMdd`` -> ``yyyy-MM-dd``; null for text that is no such day."""
+    return F.date_format(F.try_to_date(day, "yyyyMMdd"), "yyyy-MM-dd")
 
 
 def day_of(ts: Column) -> Column:

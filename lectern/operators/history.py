@@ -30,20 +30,26 @@ def scd2_daily(history: DataFrame, keys: Sequence[str], start: str, measure: str
 
 
 def scd2_apply(history: DataFrame, day_rows: DataFrame, keys: Sequence[str], start: str, measure: str,
-               end: str = "end_time") -> DataFrame:
+               end: str = "end_time", days: Sequence[str] = ()) -> DataFrame:
     """Fold new daily rows into a history.
 
-    Only the keys that occur in ``day_rows`` are recomputed; all other versions pass through. A row for
-    a day already present replaces it (re-run of a day), a row for an earlier day splits the version it
-    falls into (late day).
+    ``days`` are replaced as a whole: versions that start on them count as withdrawn unless ``day_rows`` brings
+    them again. A row for another day already present replaces that row, a row for an earlier day splits the version
+    it falls into (late day). Only keys with a new row or a version on a replaced day are recomputed; all other versions
+    pass through. Null key values are values.
     """
-    keys = list(keys)
     columns = history.columns
-    touched_keys = day_rows.select(*keys).distinct()
-    untouched = history.join(touched_keys, keys, "left_anti")
-    touched = scd2_daily(history.join(touched_keys, keys, "left_semi"), keys, start, measure, end)
-    kept = touched.join(day_rows.select(*keys, start), [*keys, start], "left_anti")
+    packed = F.struct(*[F.col(k) for k in keys]).alias("_key")
+    old = history.withColumn("_key", packed)
+    replaced = F.col(start).isin(list(days)) if days else F.lit(False)
+    touched_keys = day_rows.select(packed).union(old.where(replaced).select("_key")).distinct()
+    marked = old.join(touched_keys.withColumn("_touched", F.lit(True)), "_key", "left")
+    untouched = marked.where(F.col("_touched").isNull())
+    touched = scd2_daily(marked.where("_touched").select(*columns, "_key"), keys, start, measure, end)
+    brought = day_rows.select(packed, F.col(start).alias("_start"))
+    kept = touched.where(~replaced).join(
+        brought, (touched["_key"] == brought["_key"]) & (F.col(start) == F.col("_start")), "left_anti").drop("_key")
     money_type = history.schema[measure].dataType
     rebuilt = scd2_history(kept.unionByName(day_rows.select(*kept.columns)), keys, start, measure, end)
-    return untouched.unionByName(
+    return untouched.select(*columns).unionByName(
         rebuilt.withColumn(measure, F.col(measure).cast(money_type)).select(*columns))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.functions import scalars as S
 from lectern.operators.grouping import first_per_key, ids_in_parts, rate_by, top_n_ties
 from lectern.operators.joins import inner_join_all
+from lectern.session import materialize
 from lectern.sources.warehouse import Warehouse, shape
 
 PASS_MARK = 60
@@ -73,13 +74,13 @@ def answer_grain(answer: DataFrame, chapter: DataFrame, course: DataFrame, major
 
 def paper_averages(detail: DataFrame) -> DataFrame:
     return detail.groupBy(*PAPER_KEYS).agg(
-        F.avg("score").cast("decimal(4,1)").alias("avgscore"),
-        F.avg("spendtime").cast("decimal(10,2)").alias("avgspendtime"))
+        F.avg("score").try_cast("decimal(4,1)").alias("avgscore"),
+        F.avg("spendtime").try_cast("decimal(10,2)").alias("avgspendtime"))
 
 
 def paper_extremes(detail: DataFrame) -> DataFrame:
     return detail.groupBy(*PAPER_KEYS).agg(
-        F.max("score").cast("decimal(4,1)").alias("maxscore"), F.min("score").cast("decimal(4,1)").alias("minscore"))
+        F.max("score").try_cast("decimal(4,1)").alias("maxscore"), F.min("score").try_cast("decimal(4,1)").alias("minscore"))
 
 
 def top_scores(detail: DataFrame, n: int = 3) -> DataFrame:
@@ -123,28 +124,50 @@ def build_dims(wh: Warehouse, dt: str) -> None:
     def s(name: str) -> DataFrame:
         return wh.scan(name, dt)
 
-    wh.write("dws_qz_chapter", chapter_dim(s("chapter"), s("chapter_list"), s("point"), s("point_question")))
-    wh.write("dws_qz_course", course_dim(s("site_course"), s("course"), s("edusubject")))
-    wh.write("dws_qz_major", major_dim(s("major"), s("exam_website"), s("business")))
-    wh.write("dws_qz_paper", paper_dim(s("paper_view"), s("center_paper"), s("center"), s("paper")))
-    wh.write("dws_qz_question", question_dim(s("question"), s("question_type")))
+    wh.write_day("dws_qz_chapter", chapter_dim(s("chapter"), s("chapter_list"), s("point"), s("point_question")), dt)
+    wh.write_day("dws_qz_course", course_dim(s("site_course"), s("course"), s("edusubject")), dt)
+    wh.write_day("dws_qz_major", major_dim(s("major"), s("exam_website"), s("business")), dt)
+    wh.write_day("dws_qz_paper", paper_dim(s("paper_view"), s("center_paper"), s("center"), s("paper")), dt)
+    wh.write_day("dws_qz_question", question_dim(s("question"), s("question_type")), dt)
 
 
 def build_answers(wh: Warehouse, dt: str) -> None:
     """Daily job: the wide answers, and the same answers once each for the reports."""
     parts = [wh.scan(name, dt) for name in
              ("answer", "chapter_dim", "course_dim", "major_dim", "paper_dim", "question_dim")]
-    wh.write("dws_user_paper_detail", answer_wide(*parts))
-    wh.write("dws_user_paper_answer", answer_grain(*parts))
+    wh.write_day("dws_user_paper_detail", answer_wide(*parts), dt)
+    wh.write_day("dws_user_paper_answer", answer_grain(*parts), dt)
+
+
+def paper_summary(detail: DataFrame) -> DataFrame:
+    """Averages, extremes, passes and fails per paper in one aggregation; the columns of three reports."""
+    score = F.col("score")
+    return detail.groupBy(*PAPER_KEYS).agg(
+        F.avg(score).try_cast("decimal(4,1)").alias("avgscore"),
+        F.avg("spendtime").try_cast("decimal(10,2)").alias("avgspendtime"),
+        F.max(score).try_cast("decimal(4,1)").alias("maxscore"), F.min(score).try_cast("decimal(4,1)").alias("minscore"),
+        F.count_if(score > PASS_MARK).alias("passcount"), F.count_if(score.between(0, PASS_MARK)).alias("unpasscount"))
 
 
 def report_exams(wh: Warehouse, dt: str, dedupe: bool = True, inner_only: bool = False) -> None:
-    """Daily job: seven report tables. ``dedupe=False`` reports on the repeated rows of the wide table."""
+    """Daily job: seven report tables. ``dedupe=False`` reports on the repeated rows of the wide table, repeated users in
+    score bands included; ``copy`` numbers the rows of a band part then, and is 0 otherwise."""
     detail = wh.scan("answer_grain" if dedupe else "answer_detail", dt)
-    wh.write("ads_paper_avgtimeandscore", paper_averages(detail))
-    wh.write("ads_paper_maxdetail", paper_extremes(detail))
-    wh.write("ads_top3_userdetail", top_scores(detail))
-    wh.write("ads_low3_userdetail", low_scores(detail))
-    wh.write("ads_paper_scoresegment_user", band_users(detail))
-    wh.write("ads_user_paper_detail", pass_rates(detail, inner_only))
-    wh.write("ads_user_question_detail", error_rates(detail, inner_only))
+    papers = materialize(paper_summary(detail), "paper-summary")
+    wh.write_day("ads_paper_avgtimeandscore", papers, dt)
+    wh.write_day("ads_paper_maxdetail", papers, dt)
+    both = (F.col("passcount") > 0) & (F.col("unpasscount") > 0)
+    some = (F.col("passcount") > 0) | (F.col("unpasscount") > 0)
+    rated = papers.where(both if inner_only else some).withColumn(
+        "rate", S.rate(F.col("passcount"), F.col("unpasscount")))
+    wh.write_day("ads_user_paper_detail", rated, dt)
+    wh.write_day("ads_top3_userdetail", top_scores(detail), dt)
+    wh.write_day("ads_low3_userdetail", low_scores(detail), dt)
+    bands = band_users(detail, distinct=dedupe)
+    wh.write_day("ads_paper_scoresegment_user", bands.withColumn("copy", F.lit(0)) if dedupe else bands, dt)
+    wh.write_day("ads_user_question_detail", error_rates(detail, inner_only), dt)
+
+
+def ordered_report(wh: Warehouse, table: str, dt: str, *order: str) -> DataFrame:
+    """A report of one day in the order a reader asks for: columns, ``-column`` descending."""
+    return wh.read(table, dt).orderBy(*[F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import scalars as S
@@ -79,9 +81,9 @@ def payment_history(payment: DataFrame, vip: DataFrame) -> DataFrame:
             .withColumn("paymoney", F.col("paymoney").cast(MONEY_SUM)).select(*HISTORY_COLUMNS))
 
 
-def apply_payments(history: DataFrame, daily: DataFrame) -> DataFrame:
-    """History plus new daily rows; re-runs and late days are handled by the fold."""
-    return scd2_apply(history, daily, HISTORY_KEYS, "start_time", "paymoney")
+def apply_payments(history: DataFrame, daily: DataFrame, days: Sequence[str] = ()) -> DataFrame:
+    """History plus new daily rows; re-runs (of ``days``, withdrawn payments included) and late days are handled by the fold."""
+    return scd2_apply(history, daily, HISTORY_KEYS, "start_time", "paymoney", days=days)
 
 
 def top_payers(members: DataFrame, n: int = 3) -> DataFrame:
@@ -91,17 +93,23 @@ def top_payers(members: DataFrame, n: int = 3) -> DataFrame:
 
 
 def build_member(wh: Warehouse, dt: str) -> None:
-    """Daily job: refresh the wide table of the day and fold its payments into the history."""
-    payment, vip = wh.scan("payment"), wh.scan("vip")
-    wh.write("dws_member", member_wide(
-        wh.scan("member", dt), wh.scan("regtype"), wh.scan("ad"), wh.scan("website"), payment, vip))
+    """Daily job: refresh the wide table of the day and fold its payments into the history.
+
+    Registrations and payments count up to the day, so that a re-run of an old day gives what its first run gave.
+    """
+    vip = wh.scan("vip")
+    wh.write_day("dws_member", member_wide(
+        wh.scan("member", dt), wh.scan_until("regtype", dt), wh.scan("ad"), wh.scan("website"),
+        wh.scan_until("payment", dt), vip), dt)
     daily = materialize(daily_payments(wh.scan("payment", dt), vip), "daily-payments")
     table = wh.versioned("dws_member_zipper")
     history = table.read()
     if history is None:
-        table.commit(scd2_history(daily, HISTORY_KEYS, "start_time", "paymoney").select(*HISTORY_COLUMNS))
+        table.commit(scd2_history(daily, HISTORY_KEYS, "start_time", "paymoney")
+                     .withColumn("paymoney", F.col("paymoney").cast(MONEY_SUM)).select(*HISTORY_COLUMNS))
     else:
-        table.commit(apply_payments(history, daily))
+        day = f"{dt[:4]}-{dt[4:6]}-{dt[6:8]}"
+        table.commit(apply_payments(history, daily, [day]))
 
 
 def report_members(wh: Warehouse, dt: str) -> None:
@@ -110,10 +118,10 @@ def report_members(wh: Warehouse, dt: str) -> None:
     counts = count_by_each(members, list(COUNT_REPORTS.values())).persist()
     try:
         for table, key in COUNT_REPORTS.items():
-            wh.write(table, counts.where(F.col("dim") == key).withColumnRenamed("key", key))
+            wh.write_day(table, counts.where(F.col("dim") == key).withColumnRenamed("key", key), dt)
     finally:
         counts.unpersist()
-    wh.write("ads_register_top3memberpay", top_payers(members))
+    wh.write_day("ads_register_top3memberpay", top_payers(members), dt)
 
 
 def registration_count(members: DataFrame, key: str) -> DataFrame:

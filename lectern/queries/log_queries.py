@@ -11,6 +11,7 @@ from lectern.session import work_dir
 from lectern.sources.logs import clean_json, question_records, split_json
 from lectern.sources.specs import LOGS
 from lectern.sources.streams import replay_to_dir
+from lectern.sources.warehouse import Warehouse
 
 
 def payment_lines(r: Roles) -> DataFrame:
@@ -86,6 +87,23 @@ def date_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumn("iso", S.day_to_iso(F.col("day")))
 
 
+def etl_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads whose days (one a month here) overlap: payments of even orders, of odd ones, and the first load again."""
+    wh = Warehouse(spark, work_dir(spark, "late-rows"))
+    table = "dwd_pcentermempaymoney"
+    lines = Roles(spark, sf_dir).t("orders").selectExpr("o_orderkey % 2 AS half", f"""to_json(struct(
+        o_custkey AS uid, CAST(o_totalprice AS string) AS paymoney, o_orderkey % 30 AS siteid,
+        substring(o_orderpriority, 1, 1) AS vip_id, date_format(trunc(o_orderdate, 'MM'), 'yyyyMMdd') AS dt,
+        {TENANT.format(key='o_custkey')} AS dn)) AS value""")
+    for half in (0, 1, 0):
+        raw = work_dir(spark, "late-raw")
+        lines.where(F.col("half") == half).select("value").write.text(f"{raw}/{LOGS[table].file}")
+        etl.load_log(wh, table, raw)
+    return wh.read(table).groupBy("dt", "dn").agg(
+        F.count(F.lit(1)).alias("num"), F.sum("uid").alias("uids"), F.sum("siteid").alias("sites"),
+        F.min("vip_id").alias("vip_id"))
+
+
 def replay_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines published to a watched directory, counted back by event type."""
     path = work_dir(spark, "replay")
@@ -103,6 +121,7 @@ QUERIES = {
     "etl_json_ingest": etl_json_ingest,
     "etl_answers": etl_answers,
     "etl_quarantine": etl_quarantine,
+    "etl_late_rows": etl_late_rows,
     "tsv_ingest": tsv_ingest,
     "mask_pii": mask_pii,
     "decode_codes": decode_codes,
@@ -123,6 +142,9 @@ SQL = {
         {TENANT.format(key='l_orderkey')} AS dn FROM lineitem""",
     "etl_quarantine": """SELECT CASE WHEN event_id % 10 < 4 THEN 'bad' ELSE 'good' END AS kind, count(*) AS num
         FROM events GROUP BY 1""",
+    "etl_late_rows": f"""SELECT strftime(date_trunc('month', o_orderdate), '%Y%m%d') AS dt, {_DN} AS dn, count(*) AS num,
+        CAST(sum(o_custkey) AS bigint) AS uids, CAST(sum(o_orderkey % 30) AS bigint) AS sites,
+        min(CAST(substr(o_orderpriority, 1, 1) AS int)) AS vip_id FROM orders GROUP BY 1, 2""",
     "tsv_ingest": f"""WITH {EVENTS},
         lines AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS createtime,
           user_id || chr(9) || code || chr(9) || (k % 10) || chr(9) || k || chr(9)

@@ -107,8 +107,14 @@ class Roles:
         return scan_columns(self.raw_vip(), "vip")
 
     def raw_payment(self) -> DataFrame:
+        return self.payments_as_table(self.t("orders"))
+
+    def raw_payment_of(self, orders: DataFrame) -> DataFrame:
+        return scan_columns(self.payments_as_table(orders), "payment")
+
+    def payments_as_table(self, orders: DataFrame) -> DataFrame:
         return as_table(
-            self.t("orders"), "dwd_pcentermempaymoney", uid="o_custkey", paymoney="o_totalprice",
+            orders, "dwd_pcentermempaymoney", uid="o_custkey", paymoney="o_totalprice",
             vip_id=CODE, dt="date_format(o_orderdate, 'yyyyMMdd')", dn=TENANT.format(key="o_custkey"))
 
     def payment(self) -> DataFrame:

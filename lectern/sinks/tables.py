@@ -12,25 +12,47 @@ from lectern.operators.upsert import upsert
 
 def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite",
                      compression: str = "snappy", rebalance: bool = True) -> None:
-    """Write by column name; ``overwrite`` replaces only the partitions present in ``df``.
+    """Write by column name; ``overwrite`` replaces only the partitions present in ``df``, ``replace`` all of ``path``.
 
-    Re-running a day therefore replaces that day. ``append`` adds files as they are. Before the write
+    ``append`` adds files as they are. Before the write
     rows are rebalanced on the partition columns: Spark joins small partitions and splits large ones, so
     neither many small files nor one task per tenant results.
     """
+    whole, mode = mode == "replace", "overwrite" if mode == "replace" else mode
     if rebalance:
         df = df.hint("rebalance", *partitions)
     writer = df.write.mode(mode).option("compression", compression)
     if partitions:
-        writer = writer.partitionBy(*partitions).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+        writer = writer.partitionBy(*partitions)
+    writer.option("partitionOverwriteMode", "static" if whole or not partitions else "dynamic").parquet(path)
 
 
 class _Folders:
     """Numbered result folders ``<kind>=<n>`` below ``path``; one counts once its success marker is there."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, run: str | None = None):
+        self.spark, self.path, self.run = spark, path.rstrip("/"), run
+
+    def claim(self) -> None:
+        """Bind the folders to the stream run that writes them.
+
+        Batch ids only mean something within one run, that is, one checkpoint: a new checkpoint counts from 0 again. The
+        first write stores the run; a write of another run fails instead of being taken for a replay.
+        """
+        if self.run is None:
+            return
+        fs, marker = self._hadoop(f"{self.path}/_run")
+        if fs.exists(marker):
+            stream = fs.open(marker)
+            owner = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if owner != self.run:
+                raise ValueError(f"{self.path} holds results of the stream run {owner}; run {self.run} has another "
+                                 "checkpoint and needs an output folder of its own")
+        else:
+            stream = fs.create(marker, False)
+            stream.writeBytes(self.run)
+            stream.close()
 
     def _hadoop(self, path: str):
         sc = self.spark.sparkContext
@@ -61,8 +83,8 @@ class VersionedTable(_Folders):
     writes the next. Meant for results (totals, histories), not for raw logs.
     """
 
-    def __init__(self, spark: SparkSession, path: str, retain: int = 3):
-        super().__init__(spark, path)
+    def __init__(self, spark: SparkSession, path: str, retain: int = 3, run: str | None = None):
+        super().__init__(spark, path, run)
         self.retain = retain
 
     def versions(self) -> list[int]:
@@ -78,6 +100,7 @@ class VersionedTable(_Folders):
 
     def commit(self, df: DataFrame, version: int | None = None) -> bool:
         """Write ``df`` as ``version`` (default: the next one). False if it was already committed."""
+        self.claim()
         current = self.current()
         if version is None:
             version = 0 if current is None else current + 1
@@ -90,6 +113,7 @@ class VersionedTable(_Folders):
 
     def merge(self, updates: DataFrame, version: int, keys: Sequence[str], **columns: Sequence[str]) -> bool:
         """Upsert ``updates`` into the current version (see :func:`lectern.operators.upsert.upsert`)."""
+        self.claim()
         current = self.current()
         if current is not None and version <= current:
             return False
@@ -104,11 +128,12 @@ class ChangeLog(_Folders):
     row per key. :meth:`compact` folds finished batches into ``base=<id>``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
-        super().__init__(spark, path)
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], run: str | None = None):
+        super().__init__(spark, path, run)
         self.keys = list(keys)
 
     def write(self, changed: DataFrame, batch_id: int) -> bool:
+        self.claim()
         if batch_id <= max(self._done("base"), default=-1):
             return False
         changed.write.mode("overwrite").parquet(self.folder("batch", batch_id))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -41,6 +43,22 @@ def replay_to_topic(lines: DataFrame, servers: str, topic: str, partitions: int
      .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """What names the run that ``checkpoint`` holds the positions of; a new checkpoint is a new run."""
+    sc = spark.sparkContext
+    marker = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/_run")
+    fs = marker.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        stream = fs.create(marker, False)
+        stream.writeBytes(uuid.uuid4().hex)
+        stream.close()
+    stream = fs.open(marker)
+    try:
+        return sc._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = False,
           interval: str = BATCH_INTERVAL) -> StreamingQuery:
     """Start with a checkpoint; ``available_now`` drains what is there and stops."""

@@ -86,7 +86,7 @@ DERIVED: dict[str, T.StructType] = {name: _schema(text) for name, text in {
     "ads_low3_userdetail":
         "userid:int paperviewid:int paperviewname chaptername pointname sitecoursename coursename majorname shortname "
         "sitename papername score:dec1 rk:int dt dn",
-    "ads_paper_scoresegment_user": "paperviewid:int paperviewname score_segment part:long userids dt dn",
+    "ads_paper_scoresegment_user": "paperviewid:int paperviewname score_segment part:long copy:int userids dt dn",
     "ads_user_paper_detail":
         "paperviewid:int paperviewname unpasscount:long passcount:long rate:rate dt dn",
     "ads_user_question_detail": "questionid:int errcount:long rightcount:long rate:rate dt dn",
@@ -119,6 +119,25 @@ class Warehouse:
     def write(self, table: str, df: DataFrame, mode: str = "overwrite", compression: str = "snappy") -> None:
         write_partitions(typed(df, table), self.path(table), self.partitions(table), mode, compression)
 
+    def write_day(self, table: str, df: DataFrame, dt: str) -> None:
+        """Replace one day of a table, or all of a table without days; ``df`` holds rows of that day only.
+
+        Everything of the day goes first, also the partition of a tenant that has no rows any more.
+        """
+        rows = typed(df, table)
+        if "dt" not in SCHEMAS[table].names:
+            write_partitions(rows, self.path(table), self.partitions(table), "replace")
+            return
+        write_partitions(rows.where(F.col("dt") == F.lit(str(dt))).drop("dt"), f"{self.path(table)}/dt={dt}",
+                         [c for c in self.partitions(table) if c != "dt"], "replace")
+
+    def write_load(self, table: str, df: DataFrame, load: str) -> None:
+        """Add the rows of one load to a daily log, in ``load=<load>``; the same load again replaces itself.
+
+        Rows of any day may come in any load: days of other loads stay as they are.
+        """
+        write_partitions(typed(df, table), f"{self.path(table)}/load={load}", self.partitions(table), "replace")
+
     def versioned(self, table: str) -> VersionedTable:
         return VersionedTable(self.spark, self.path(table))
 
@@ -128,6 +147,10 @@ class Warehouse:
         by_day = dt if "dt" in SCHEMAS[table].names else None
         return scan_columns(self.read(table, by_day), name)
 
+    def scan_until(self, name: str, dt: str) -> DataFrame:
+        """A named scan of all days up to ``dt``: what was known on that day, also in a later re-run of it."""
+        return scan_columns(self.read(SCANS[name][0]).where(F.col("dt") <= F.lit(str(dt))), name)
+
 
 def scan_columns(df: DataFrame, name: str) -> DataFrame:
     """The projection of a named scan applied to a frame with the table's columns."""

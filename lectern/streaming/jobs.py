@@ -18,7 +18,7 @@ from lectern.operators.grouping import sum_by_each, top_overall
 from lectern.operators.ranges import count_by_range
 from lectern.sinks.tables import ChangeLog, VersionedTable
 from lectern.sources.logs import learn_records, page_records, question_records, register_records
-from lectern.sources.streams import start
+from lectern.sources.streams import run_id, start
 from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS, question_mastery_stream, video_time_stream
 
 #: Learning time is summed by each of these columns of a play.
@@ -40,7 +40,7 @@ def into_log(log: ChangeLog, compact_every: int | None = COMPACT_EVERY) -> Calla
 
 def _changes(df: DataFrame, path: str, keys: list[str], checkpoint: str, compact_every: int | None = COMPACT_EVERY,
              **run) -> StreamingQuery:
-    log = ChangeLog(df.sparkSession, path, keys)
+    log = ChangeLog(df.sparkSession, path, keys, run_id(df.sparkSession, checkpoint))
     return start(df.writeStream.outputMode("update").foreachBatch(into_log(log, compact_every)), checkpoint, **run)
 
 
@@ -51,19 +51,29 @@ def register_total(lines: DataFrame, out: str, checkpoint: str, **run) -> Stream
                     f"{checkpoint}/register_total", **run)
 
 
-def register_sliding(lines: DataFrame, out: str, checkpoint: str, watermark: str | None = "10 minutes",
+def register_sliding(lines: DataFrame, out: str, checkpoint: str, *, watermark: str | None,
                      event_time: bool = True, **run) -> StreamingQuery:
     """Registrations per platform in 60-second windows every 6 seconds.
 
-    Windows go by the record's own time; ``event_time=False`` uses the processing time.
+    Windows go by the record's own time; ``event_time=False`` uses the processing time. The caller has to choose a
+    ``watermark``: with None no record is too late and the state grows with time, with a delay the state is bounded and
+    records later than it are left out (:func:`late_rows` counts them). Records whose time cannot be read are in no
+    window; :func:`register_job` sets them aside.
     """
     records, _ = register_records(lines)
-    ts = F.to_timestamp("register_time") if event_time else F.current_timestamp()
-    counts = sliding_count(records.withColumn("ts", ts), "ts", "platform", watermark=watermark)
+    ts = F.try_to_timestamp("register_time") if event_time else F.current_timestamp()
+    timed = records.withColumn("ts", ts).where(F.col("ts").isNotNull())
+    counts = sliding_count(timed, "ts", "platform", watermark=watermark)
     return _changes(counts, f"{out}/register_sliding", ["window_start", "platform"],
                     f"{checkpoint}/register_sliding", **run)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark has left out in the batches whose progress the query still holds."""
+    return sum(state.get("numRowsDroppedByWatermark", 0) for progress in query.recentProgress
+               for state in progress["stateOperators"])
+
+
 def point_detail(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
     """Question correctness and mastery per user, course and point."""
     records, _ = question_records(lines)
@@ -82,7 +92,9 @@ def funnel(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery
     """Views per page and the conversion rates of the funnel pages; one row per page, rewritten per batch."""
     spark = lines.sparkSession
     pages, _ = page_records(lines)
-    views_table, rates_table = VersionedTable(spark, f"{out}/page_views"), VersionedTable(spark, f"{out}/page_jump_rate")
+    run_name = run_id(spark, f"{checkpoint}/funnel")
+    views_table = VersionedTable(spark, f"{out}/page_views", run=run_name)
+    rates_table = VersionedTable(spark, f"{out}/page_jump_rate", run=run_name)
 
     def write(views: DataFrame, batch_id: int) -> None:
         views_table.commit(views, batch_id)
@@ -102,7 +114,9 @@ def provinces(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, **
     pages, _ = page_records(lines)
     numbered = pages.select(S.ip_number(F.col("ip")).alias("ip_num"))
     located = ranges.withColumn("province", S.region_part(F.col("region")))
-    totals, best = VersionedTable(spark, f"{out}/province_clicks"), VersionedTable(spark, f"{out}/top_province")
+    run_name = run_id(spark, f"{checkpoint}/province")
+    totals = VersionedTable(spark, f"{out}/province_clicks", run=run_name)
+    best = VersionedTable(spark, f"{out}/top_province", run=run_name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         counts = count_by_range(batch, "ip_num", located, "start_ip", "end_ip", ["province"])
@@ -125,10 +139,20 @@ def video_detail(lines: DataFrame, out: str, checkpoint: str, **run) -> Streamin
     return _changes(video_time_stream(plays), f"{out}/video_detail", VIDEO_KEYS, f"{checkpoint}/video_detail", **run)
 
 
-def register_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, **run) -> list[StreamingQuery]:
-    """Both registration counts; lines that cannot be read go to ``bad`` when given, as in the jobs below."""
-    return [register_total(lines, out, checkpoint, **run), register_sliding(lines, out, checkpoint, **run),
-            *_set_aside(register_records(lines)[1], bad, checkpoint, **run)]
+def register_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, *, watermark: str | None,
+                 **run) -> list[StreamingQuery]:
+    """Both registration counts; lines that cannot be read, or whose time cannot, go to ``bad`` when given, as in the
+    jobs below. The total counts records of unreadable time, the windows cannot."""
+    return [register_total(lines, out, checkpoint, **run),
+            register_sliding(lines, out, checkpoint, watermark=watermark, **run),
+            *_set_aside(untimed_lines(lines), bad, checkpoint, **run)]
+
+
+def untimed_lines(lines: DataFrame) -> DataFrame:
+    """Registration lines of another arity, or without a readable time."""
+    parsed = lines.select("value", F.split(F.regexp_replace("value", r"\t+$", ""), r"\t").alias("_f"))
+    readable = (F.size("_f") == 3) & F.try_to_timestamp(F.get("_f", F.lit(2))).isNotNull()
+    return parsed.where(~F.coalesce(readable, F.lit(False))).select(F.col("value").alias("line"))
 
 
 def question_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, **run) -> list[StreamingQuery]:

@@ -77,3 +77,23 @@ def test_corrected_day_replaces_the_amount(spark):
     fixed = {(1, "a"): {"2019-07-01": Decimal(7)}}
     out = scd2_apply(history, frame(spark, fixed), KEYS, "start_time", "paymoney")
     assert got(out) == expect({(1, "a"): {"2019-07-01": Decimal(7), "2019-07-02": Decimal(5)}})
+
+
+def test_withdrawn_payments_leave_the_history(spark):
+    days = {(1, "a"): {"2019-07-01": Decimal(10), "2019-07-02": Decimal(5)}, (2, "a"): {"2019-07-02": Decimal(3)},
+            (3, None): {"2019-07-02": Decimal(1), "2019-07-04": Decimal(2)}, (4, "b"): {"2019-07-01": Decimal(8)}}
+    history = scd2_history(frame(spark, days), KEYS, "start_time", "paymoney").withColumn(
+        "paymoney", F.col("paymoney").cast("decimal(20,4)")).select(*COLUMNS)
+    again = {(1, "a"): {"2019-07-02": Decimal(6)}}
+    out = scd2_apply(history, frame(spark, again), KEYS, "start_time", "paymoney", days=["2019-07-02"])
+    want = {(1, "a"): {"2019-07-01": Decimal(10), "2019-07-02": Decimal(6)}, (3, None): {"2019-07-04": Decimal(2)},
+            (4, "b"): {"2019-07-01": Decimal(8)}}
+    assert sorted(map(repr, got_rows(out))) == sorted(map(repr, got_rows_of(want)))
+
+
+def got_rows(df):
+    return [(r.uid, r.dn, r.start_time, r.paymoney.quantize(Decimal("0.0001")), r.end_time) for r in df.collect()]
+
+
+def got_rows_of(data):
+    return [(u, dn, start, money.quantize(Decimal("0.0001")), end) for (u, dn), p in data.items() for start, money, end in fold(p)]

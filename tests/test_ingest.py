@@ -93,6 +93,35 @@ def test_load_log_twice_changes_nothing(spark, tmp_path):
         etl.load_log(wh, "dwd_member", str(raw), on_bad="spec")
 
 
+def test_late_rows_cost_nothing(spark, tmp_path):
+    def load(name, *rows):
+        raw = tmp_path / name
+        raw.mkdir(exist_ok=True)
+        (raw / "pcentermempaymoney.log").write_text("\n".join(
+            json.dumps({"uid": u, "paymoney": "1", "siteid": 1, "vip_id": 1, "dt": dt, "dn": dn}) for u, dt, dn in rows) + "\n")
+        return etl.load_log(wh, "dwd_pcentermempaymoney", str(raw))
+
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    load("one", (1, "20190722", "a"), (2, "20190722", "a"))
+    load("two", (3, "20190723", "a"), (4, "20190722", "a"), (5, "20190722", "b"))
+    load("one", (1, "20190722", "a"), (2, "20190722", "a"))
+    got = sorted((r.uid, r.dt, r.dn) for r in wh.read("dwd_pcentermempaymoney").collect())
+    assert got == [(1, "20190722", "a"), (2, "20190722", "a"), (3, "20190723", "a"), (4, "20190722", "a"), (5, "20190722", "b")]
+    assert sorted(r.uid for r in wh.scan("payment", "20190722").collect()) == [1, 2, 4, 5]
+
+
+def test_a_day_is_replaced_with_all_its_tenants(spark, tmp_path):
+    wh = Warehouse(spark, str(tmp_path))
+    schema = "questionid int, errcount long, rightcount long, rate decimal(4,2), dt string, dn string"
+    table = "ads_user_question_detail"
+    for rows in ([(1, "20190722", "a"), (2, "20190722", "b")], [(1, "20190722", "a")]):
+        df = spark.createDataFrame([(q, 1, 1, None, dt, dn) for q, dt, dn in rows], schema)
+        wh.write_day(table, df, "20190722")
+    wh.write_day(table, spark.createDataFrame([(7, 1, 1, None, "20190723", "b")], schema), "20190723")
+    assert sorted((r.questionid, r.dt, r.dn) for r in wh.read(table).collect()) == [
+        (1, "20190722", "a"), (7, "20190723", "b")]
+
+
 def test_overwrite_keeps_other_partitions(spark, tmp_path):
     wh = Warehouse(spark, str(tmp_path))
     one = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "adid int, adname string, dn string")

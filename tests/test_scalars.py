@@ -73,3 +73,15 @@ def test_rates(spark):
     row = spark.range(1).select(S.correct_rate(F.lit(1), F.lit(4)), S.mastery_rate(F.lit(15), F.lit(1), F.lit(4)),
                                 S.rate(F.lit(1), F.lit(2))).first()
     assert row[0] == 0.25 and row[1] == 0.125 and row[2] == Decimal("0.33")
+
+
+def test_half_up_rounds_once(spark):
+    texts = ["0.04999999", "1.2499996", "1.25", "-0.05", "x", "0.049999999999999999"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "v string").select(S.half_up(F.col("v"))).collect()]
+    assert [None if g is None else str(g) for g in got] == ["0.0", "1.2", "1.3", "-0.1", None, "0.0"]
+
+
+def test_days_that_are_none(spark):
+    got = [r[0] for r in spark.createDataFrame([("20190722",), ("2019x",), (None,)], "d string").select(
+        S.day_to_iso(F.col("d"))).collect()]
+    assert got == ["2019-07-22", None, None]

@@ -1,4 +1,7 @@
+import pytest
+
 from lectern.sinks.tables import ChangeLog, VersionedTable
+from lectern.sources.streams import run_id
 
 
 def frame(spark, data):
@@ -52,3 +55,16 @@ def test_change_log(spark, tmp_path):
     log.write(frame(spark, [("b", 3)]), 3)
     log.compact(3)
     assert table(log.read()) == {**want, "b": 3}
+
+
+def test_a_new_checkpoint_needs_a_new_output(spark, tmp_path):
+    first, second = (run_id(spark, str(tmp_path / name)) for name in ("cp1", "cp2"))
+    assert first == run_id(spark, str(tmp_path / "cp1")) != second
+    one = frame(spark, [("a", 1)])
+    for make in (lambda run: ChangeLog(spark, str(tmp_path / "log"), ["k"], run).write,
+                 lambda run: VersionedTable(spark, str(tmp_path / "t"), run=run).commit):
+        assert make(first)(one, 5)
+        with pytest.raises(ValueError, match="another checkpoint"):
+            make(second)(one, 0)
+        assert make(first)(one, 6)
+    assert table(ChangeLog(spark, str(tmp_path / "log"), ["k"]).read()) == {"a": 1}

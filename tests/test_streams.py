@@ -213,3 +213,22 @@ def test_landing_and_quarantine(spark, replay, tmp_path):
     _, bad = page_records(file_lines(spark, f"{replay.root}/in"))
     jobs.quarantine(bad, f"{replay.root}/bad", f"{replay.root}/cp2", available_now=True).awaitTermination()
     assert spark.read.text(f"{replay.root}/bad").count() == 3
+
+
+def test_bad_times_and_late_rows_are_set_aside(spark, replay):
+    ok = "a\t1\t2019-07-16 16:01:0%d"
+    replay.add([ok % 1, ok % 2, "a\t1\tno time", "a\t1"], files=1)
+    source = file_lines(spark, f"{replay.root}/in")
+    for query in jobs.register_job(source, f"{replay.root}/out", f"{replay.root}/cp", f"{replay.root}/bad",
+                                   watermark="10 minutes", available_now=True):
+        query.awaitTermination()
+        assert jobs.late_rows(query) == 0
+    counted = replay.log("register_sliding", ["window_start", "platform"])
+    assert counted.agg(F.max("num")).first()[0] == 2
+    assert replay.log("register_total", ["platform"]).first()["num"] == 3
+    assert sorted(r.value for r in spark.read.text(f"{replay.root}/bad").collect()) == ["a\t1", "a\t1\tno time"]
+
+
+def test_the_caller_chooses_the_watermark(spark, replay):
+    with pytest.raises(TypeError, match="watermark"):
+        jobs.register_sliding(None, "out", "cp")
