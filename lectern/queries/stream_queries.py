@@ -13,7 +13,7 @@ from lectern.operators.intervals import interval_merge, video_time
 from lectern.operators.ranges import count_by_range
 from lectern.queries.log_queries import EVENTS
 from lectern.queries.roles import Roles
-from lectern.session import DEFAULTS, work_dir
+from lectern.session import stream_session, work_dir
 from lectern.sinks.tables import ChangeLog, VersionedTable
 from lectern.sources.logs import learn_records, page_records, question_records, register_records
 from lectern.sources.streams import file_lines, replay_to_dir
@@ -21,7 +21,6 @@ from lectern.streaming import jobs
 from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _windows(df: DataFrame) -> DataFrame:
@@ -118,10 +117,7 @@ def streamed(lines: str, job: Callable, result: Callable, files: int = 4, per_tr
     """
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = work_dir(spark, "stream")
-        session = spark.newSession()
-        session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-        session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-        session.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
+        session = stream_session(spark, spark.sparkContext.defaultParallelism)
         roles = Roles(session, sf_dir)
         replay_to_dir(getattr(roles, lines)(), f"{folder}/in", files)
         source = file_lines(session, f"{folder}/in", per_trigger)
@@ -131,6 +127,23 @@ def streamed(lines: str, job: Callable, result: Callable, files: int = 4, per_tr
     return run
 
 
+def stream_page_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All outputs of the one-read page job: transitions, top provinces and the number of page views."""
+    folder = work_dir(spark, "stream")
+    session = stream_session(spark, spark.sparkContext.defaultParallelism)
+    roles = Roles(session, sf_dir)
+    replay_to_dir(roles.page_lines(), f"{folder}/in", 4)
+    for _ in range(2):  # the second start finds nothing new and goes on from the checkpoint
+        for query in jobs.page_job(file_lines(session, f"{folder}/in", 2), roles.ip_ranges(), f"{folder}/out",
+                                   f"{folder}/checkpoint", f"{folder}/bad", available_now=True):
+            query.awaitTermination()
+    moves = ChangeLog(spark, f"{folder}/out/page_transitions", jobs.TRANSITION_KEYS).read()
+    tables = {name: VersionedTable(spark, f"{folder}/out/{name}").read() for name in ("top_province", "page_views")}
+    return (moves.selectExpr("'move' AS kind", "concat_ws('>', last_page_id, page_id, next_page_id) AS key", "num")
+            .union(tables["top_province"].selectExpr("'province' AS kind", "province AS key", "num"))
+            .union(tables["page_views"].selectExpr("'views' AS kind", "page_id AS key", "num")))
+
+
 def _landed(spark: SparkSession, out: str) -> DataFrame:
     """Landed lines by topic and page; the day folder is the day of the run."""
     return spark.read.text(out).groupBy("topic", F.get_json_object("value", "$.page_id").alias("page_id")).agg(
@@ -171,6 +184,7 @@ QUERIES = {
     "stream_page_transitions": streamed(
         "page_lines", jobs.transitions,
         log_result("page_transitions", ["last_page_id", "page_id", "next_page_id"])),
+    "stream_page_job": stream_page_job,
     "stream_funnel_rate": streamed("page_lines", jobs.funnel, table_result("page_jump_rate")),
     "stream_province_clicks": streamed("page_lines", jobs.provinces, table_result("province_clicks")),
     "stream_province_top3": streamed("page_lines", jobs.provinces, table_result("top_province")),
@@ -264,6 +278,9 @@ SQL = {
     "stream_funnel_rate": _FUNNEL,
     "stream_province_clicks": _PROVINCES,
     "stream_province_top3": _TOP3,
+    "stream_page_job": f"""SELECT 'move' AS kind, last_page_id || '>' || page_id || '>' || next_page_id AS key, num
+        FROM ({_TRANSITIONS}) UNION ALL SELECT 'province', province, num FROM ({_TOP3})
+        UNION ALL SELECT 'views', page_id, count(*) FROM (WITH {_PAGES} SELECT page_id FROM pages) GROUP BY page_id""",
     "stream_learn_time": _LEARN_ALL,
     "stream_video_coverage": _COVERAGE,
     "stream_raw_landing": f"""WITH {_PAGES} SELECT 'page_topic' AS topic, page_id, count(*) AS num, 1 AS days

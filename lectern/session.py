@@ -65,6 +65,15 @@ def _local_folder() -> str:
     return folder
 
 
+def stream_session(spark: SparkSession, partitions: int = STREAM_PARTITIONS) -> SparkSession:
+    """A session for streams beside the caller's: the same context, its own number of shuffle partitions."""
+    session = spark.newSession()
+    for key, value in DEFAULTS.items():
+        session.conf.set(key, spark.conf.get(key, value) if key == "spark.sql.session.timeZone" else value)
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return session
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -136,9 +138,23 @@ class ChangeLog(_Folders):
         self.claim()
         if batch_id <= max(self._done("base"), default=-1):
             return False
-        changed.write.mode("overwrite").parquet(self.folder("batch", batch_id))
+        changed.hint("rebalance").write.mode("overwrite").parquet(self.folder("batch", batch_id))
         return True
 
+    def add(self, counts: DataFrame, batch_id: int, columns: Sequence[str]) -> bool:
+        """Write the new totals of the keys in ``counts``: their ``columns`` plus what earlier batches have.
+
+        Totals are read up to the batch before, so a batch that runs again writes the same rows.
+        """
+        before = self.read(batch_id - 1)
+        if before is None:
+            return self.write(counts, batch_id)
+        same = reduce(and_, [counts[k].eqNullSafe(before[k]) for k in self.keys])
+        names = [c for c in counts.columns if c not in columns]
+        return self.write(counts.join(before, same, "left").select(
+            *[counts[c] for c in names],
+            *[(counts[c] + F.coalesce(before[c], F.lit(0))).alias(c) for c in columns]), batch_id)
+
     def _rows(self, through: int | None = None) -> DataFrame | None:
         base = max(self._done("base"), default=None)
         batches = [b for b in self._done("batch") if (base is None or b > base) and (through is None or b <= through)]

@@ -105,15 +105,22 @@ def question_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed.where(ok).drop("value", "_n"), typed.where(~ok).select(F.col("value").alias("line"))
 
 
+def flagged_pages(lines: DataFrame) -> DataFrame:
+    """Every line with its page event (an absent field is the empty text) and ``ok``, whether it could be read."""
+    parsed = parse_json(lines, T.StructType([T.StructField(n, T.StringType()) for n in PAGE_FIELDS]))
+    return parsed.select("value", is_object().alias("ok"),
+                         *[F.coalesce(F.col(f"{PARSED}.{n}"), F.lit("")).alias(n) for n in PAGE_FIELDS])
+
+
 def page_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Page events ``(rows, bad)``; an absent field is the empty text."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in PAGE_FIELDS])
-    good, bad = split_json(lines, schema)
-    return good.select(*[F.coalesce(F.col(f"{PARSED}.{n}"), F.lit("")).alias(n) for n in PAGE_FIELDS]), bad
+    """Page events ``(rows, bad)``."""
+    flagged = flagged_pages(lines)
+    return (flagged.where("ok").select(*PAGE_FIELDS),
+            flagged.where(~F.coalesce("ok", F.lit(False))).select(F.col("value").alias("line")))
 
 
-def learn_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(plays, bad)``. Plays that end before they start, or lack a time stamp, are bad."""
+def flagged_plays(lines: DataFrame) -> DataFrame:
+    """Every line with its play, its ``seconds`` and ``ok``. Plays that end before they start, or lack a time stamp, are not."""
     names = LEARN_INTS + LEARN_LONGS + LEARN_TEXTS
     parsed = parse_json(lines, T.StructType([T.StructField(n, T.StringType()) for n in names]))
     typed = parsed.select(
@@ -123,5 +130,10 @@ def learn_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col(f"{PARSED}.sourceType").alias("sourcetype"))
     ok = F.coalesce(F.col("_ok") & (F.col("pe") >= F.col("ps")) & F.col("ts").isNotNull() & F.col("te").isNotNull(),
                     F.lit(False))
-    plays = typed.where(ok).drop("value", "_ok").withColumn("seconds", S.elapsed_seconds(F.col("ts"), F.col("te")))
-    return plays, typed.where(~ok).select(F.col("value").alias("line"))
+    return typed.withColumn("ok", ok).drop("_ok").withColumn("seconds", S.elapsed_seconds(F.col("ts"), F.col("te")))
+
+
+def learn_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(plays, bad)``."""
+    flagged = flagged_plays(lines)
+    return flagged.where("ok").drop("value", "ok"), flagged.where("NOT ok").select(F.col("value").alias("line"))

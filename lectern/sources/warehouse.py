@@ -170,8 +170,8 @@ def shape(df: DataFrame, table: str) -> DataFrame:
 
 
 def typed(df: DataFrame, table: str) -> DataFrame:
-    """The columns of a table, in order and cast to its types."""
-    return df.selectExpr(*[f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`"
+    """The columns of a table, in order and cast to its types; a value that doesn't fit its type is null."""
+    return df.selectExpr(*[f"TRY_CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`"
                            for f in SCHEMAS[table].fields])
 
 

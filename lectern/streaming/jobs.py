@@ -17,7 +17,8 @@ from lectern.operators.activity import funnel_rates, page_transitions, page_view
 from lectern.operators.grouping import sum_by_each, top_overall
 from lectern.operators.ranges import count_by_range
 from lectern.sinks.tables import ChangeLog, VersionedTable
-from lectern.sources.logs import learn_records, page_records, question_records, register_records
+from lectern.sources.logs import (
+    flagged_pages, flagged_plays, learn_records, page_records, question_records, register_records)
 from lectern.sources.streams import run_id, start
 from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS, question_mastery_stream, video_time_stream
 
@@ -25,6 +26,8 @@ from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS, question_mastery_str
 LEARN_DIMS = ("chapterid", "cwareid", "edutypeid", "sourcetype", "subjectid")
 
 
+TRANSITION_KEYS = ["last_page_id", "page_id", "next_page_id"]
+
 #: Batches after which a change log folds its batch folders into one.
 COMPACT_EVERY = 500
 
@@ -84,7 +87,7 @@ def point_detail(lines: DataFrame, out: str, checkpoint: str, **run) -> Streamin
 def transitions(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
     """Views per last, current and next page."""
     pages, _ = page_records(lines)
-    return _changes(page_transitions(pages), f"{out}/page_transitions", ["last_page_id", "page_id", "next_page_id"],
+    return _changes(page_transitions(pages), f"{out}/page_transitions", TRANSITION_KEYS,
                     f"{checkpoint}/page_transitions", **run)
 
 
@@ -162,14 +165,68 @@ def question_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None =
 
 def page_job(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, bad: str | None = None,
              **run) -> list[StreamingQuery]:
-    return [transitions(lines, out, checkpoint, **run), funnel(lines, out, checkpoint, **run),
-            provinces(lines, ranges, out, checkpoint, **run),
-            *_set_aside(page_records(lines)[1], bad, checkpoint, **run)]
+    """Transitions, funnel and provinces from one stream that reads and parses each batch once.
+
+    The tables are those of :func:`transitions`, :func:`funnel` and :func:`provinces`; the sums of a batch are added to
+    the totals before it, under its batch id.
+    """
+    spark = lines.sparkSession
+    name = run_id(spark, f"{checkpoint}/page")
+    moves = ChangeLog(spark, f"{out}/page_transitions", TRANSITION_KEYS, name)
+    views, rates, totals, best = (VersionedTable(spark, f"{out}/{table}", run=name)
+                                  for table in ("page_views", "page_jump_rate", "province_clicks", "top_province"))
+    located = ranges.withColumn("province", S.region_part(F.col("region")))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        flagged = flagged_pages(batch).persist()
+        try:
+            pages = flagged.where("ok")
+            moves.add(page_transitions(pages), batch_id, ["num"])
+            _fold(moves, batch_id)
+            views.merge(page_views(pages), batch_id, ["page_id"], add=["num"])
+            rates.commit(funnel_rates(views.read()), batch_id)
+            clicks = count_by_range(pages.select(S.ip_number(F.col("ip")).alias("ip_num")), "ip_num", located,
+                                    "start_ip", "end_ip", ["province"])
+            totals.merge(clicks, batch_id, ["province"], add=["num"])
+            best.commit(top_overall(totals.read(), [F.col("num").desc(), F.col("province")], 3), batch_id)
+            _write_bad(flagged, bad, batch_id)
+        finally:
+            flagged.unpersist()
+
+    return [start(lines.writeStream.foreachBatch(write), f"{checkpoint}/page", **run)]
 
 
 def learn_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, **run) -> list[StreamingQuery]:
-    return [learn_time(lines, out, checkpoint, **run), video_detail(lines, out, checkpoint, **run),
-            *_set_aside(learn_records(lines)[1], bad, checkpoint, **run)]
+    """Learning time and bad lines from one stream that parses each batch once, watched time from another.
+
+    Watched time keeps state per user and video, which a batch function cannot.
+    """
+    spark = lines.sparkSession
+    times = ChangeLog(spark, f"{out}/learn_time", ["dim", "key"], run_id(spark, f"{checkpoint}/learn"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        flagged = flagged_plays(batch).persist()
+        try:
+            times.add(sum_by_each(flagged.where("ok"), LEARN_DIMS, "seconds", "totaltime"), batch_id, ["totaltime"])
+            _fold(times, batch_id)
+            _write_bad(flagged, bad, batch_id)
+        finally:
+            flagged.unpersist()
+
+    return [start(lines.writeStream.foreachBatch(write), f"{checkpoint}/learn", **run),
+            video_detail(lines, out, checkpoint, **run)]
+
+
+def _fold(log: ChangeLog, batch_id: int) -> None:
+    """Every :data:`COMPACT_EVERY` batches, fold all but the last: a replay of that one still finds its totals."""
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        log.compact(batch_id - 1)
+
+
+def _write_bad(flagged: DataFrame, path: str | None, batch_id: int) -> None:
+    if path:
+        (flagged.where(~F.coalesce("ok", F.lit(False))).select("value").write.mode("overwrite")
+         .text(f"{path.rstrip('/')}/batch={batch_id}"))
 
 
 def _set_aside(rows: DataFrame, path: str | None, checkpoint: str, **run) -> list[StreamingQuery]:
