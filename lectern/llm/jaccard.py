@@ -13,7 +13,9 @@ Lists of up to :data:`LIST` members are compared in pairs. A longer list, as a l
 its most central member becomes the pivot and all others are compared with that. Members that link to the pivot need no
 comparison among each other, they are in one component already. A member that doesn't link to the pivot can link to a third only if both
 differ from the pivot in the same shingles, and in a number of them that follows from the sizes; so these differences
-are the sets of the next level, with prefixes and lists of their own (:func:`_differences`). No link between components is lost.
+are the sets of the next level, with prefixes and lists of their own (:func:`_differences`). The links found so far are
+gathered into components before each level, and only members of different components are compared. So no link between
+components is lost, and a group costs about one comparison per member.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ LIST = 32
 FREQUENT = 500_000
 #: Cost of reading one entry of an inverted list against the cost of one key.
 SCAN = 4
+#: The same for lists of differences, in which only pairs across components are compared.
+LATER_LIST = 512
 #: After so many levels lists are compared in pairs whatever their length.
-LEVELS = 6
+LEVELS = 8
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -49,11 +53,6 @@ def prefix_length(size: int, percent: int) -> int:
     return size - _ceil(percent * size, 100) + 1
 
 
-def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Common shingles that sets of sizes ``a`` and ``b`` need to link."""
-    return -(-(percent * (a + b)) // (100 + percent))
-
-
 def _each_set(batches: Batches, width: int, *columns: str) -> Iterator[list[tuple]]:
     """Per batch: the named columns and the set of every text."""
     memo = WordHashes()
@@ -117,7 +116,11 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def boundary(sizes: Sequence[tuple[int, int]], percent: int) -> int:
-    """Largest light size: the least sum of subset keys of light sets, and keys and scans of the lists."""
+    """Largest light size: the least sum of subset keys of light sets, and keys and scans of the lists.
+
+    Pairs of a prefix grow with its square, so sets of more than a few hundred shingles are heavy at any cost of a scan
+    and ``sizes`` may leave them out.
+    """
     def cost(limit: int) -> int:
         total = 0
         for size, count in sizes:
@@ -128,13 +131,15 @@ def boundary(sizes: Sequence[tuple[int, int]], percent: int) -> int:
                 total += count * p * (1 + SCAN)
         return total
 
-    candidates = [0, *sorted(size for size, _ in sizes if size <= 400)]
+    candidates = [0, *sorted(size for size, _ in sizes)]
     return min(candidates, key=cost)
 
 
 def postings(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, light: int) -> DataFrame:
     """Keys of every set: ``key``, ``node``, ``n``, ``rest`` (an upper bound of common shingles if this key is the first
-    in common), ``tied`` (light set in a list of single shingles), ``core`` (share of frequent shingles)."""
+    in common), ``cost`` and ``base`` (two entries need (cost + cost - base) / (100 + percent) in common to link) and
+    ``part``: two entries of a list with equal parts need no comparison. Light sets have one part in the
+    lists of single shingles, all others are a part of their own."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Batches) -> Batches:
@@ -146,36 +151,36 @@ def postings(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, li
                 if n == 0 or node in seen:
                     continue
                 seen.add(node)
-                ordered, common = _ordered(values, known.value)
-                core = 1.0 if n == 0 else common / n
+                ordered, _ = _ordered(values, known.value)
                 p = prefix_length(n, percent)
                 if n <= light and n > 1:
                     i, j = np.triu_indices(min(p + 1, n), 1)
                     keys = mixed(ordered[i] * FACTORS[0] + ordered[j] * FACTORS[1])
-                    out.append((keys, node, n, n - j + 1, False, core))
+                    out.append((keys, node, n, n - j + 1, node))
                 if n > light or 100 * n >= percent * (light + 1):
-                    out.append((ordered[:p], node, n, n - np.arange(p), n <= light, core))
+                    out.append((ordered[:p], node, n, n - np.arange(p), 0 if n <= light else node))
             if out:
-                yield _postings_batch(out)
+                yield _postings_batch(out, percent)
 
     return docs.mapInArrow(run, POSTING)
 
 
-POSTING = "key long, node long, n long, rest long, tied boolean, core float"
+POSTING = "key long, node long, n long, rest long, cost long, base long, part long"
 
 
-def _postings_batch(out: list[tuple]) -> pa.RecordBatch:
+def _postings_batch(out: list[tuple], percent: int) -> pa.RecordBatch:
     lengths = [len(o[0]) for o in out]
     def spread(at: int, dtype) -> np.ndarray:
         return np.repeat(np.array([o[at] for o in out], dtype=dtype), lengths)
-    return _batch(key=np.concatenate([o[0] for o in out]).view(np.int64), node=spread(1, np.int64), n=spread(2, np.int64),
-                  rest=np.concatenate([np.asarray(o[3], dtype=np.int64) for o in out]), tied=spread(4, bool),
-                  core=spread(5, np.float32))
+    n = spread(2, np.int64)
+    return _batch(key=np.concatenate([o[0] for o in out]).view(np.int64), node=spread(1, np.int64), n=n,
+                  rest=np.concatenate([np.asarray(o[3], dtype=np.int64) for o in out]), cost=percent * n, base=0 * n,
+                  part=spread(4, np.int64))
 
 
 def _pairs_in_lists(percent: int) -> Callable[[Batches], Batches]:
     """Pairs within runs of equal keys, for partitions sorted by key; runs may go on in the next batch."""
-    names = ("key", "node", "n", "rest", "tied")
+    names = ("key", "node", "n", "rest", "cost", "base", "part")
 
     def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch | None:
         found, size = [], len(c["key"])
@@ -186,8 +191,9 @@ def _pairs_in_lists(percent: int) -> Callable[[Batches], Batches]:
             left = left[c["key"][left] == c["key"][left + lag]]
             x, y = left, left + lag
             low, high = np.minimum(c["n"][x], c["n"][y]), np.maximum(c["n"][x], c["n"][y])
-            keep = ((c["node"][x] != c["node"][y]) & ~(c["tied"][x] & c["tied"][y]) & (100 * low >= percent * high)
-                    & (np.minimum(c["rest"][x], c["rest"][y]) >= needed(low, high, percent)))
+            keep = ((c["node"][x] != c["node"][y]) & (c["part"][x] != c["part"][y]) & (100 * low >= percent * high)
+                    & ((100 + percent) * np.minimum(c["rest"][x], c["rest"][y])
+                       >= c["cost"][x] + c["cost"][y] - c["base"][x]))
             a, b = c["node"][x[keep]], c["node"][y[keep]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
             lag += 1
@@ -253,7 +259,8 @@ def _differences(stars: DataFrame, sets: DataFrame, percent: int, frequent: np.n
     |p| + |N_x| + |N_y| - s, where s counts what A_x, A_y and N_x, N_y have in common. With t = percent / 100 they link if
     (1 + t) s >= t |N_x| + |A_x| + t |N_y| + |A_y| - (1 - t) |p|. If y alone doesn't link to p, its part of that sum is positive
     and s >= t |N_y| + |A_y| - (1 - t) |p|; for x follows (1 + t) s > t |N_x| + |A_x|. So each needs one common difference
-    among its first |A| + |N| - s + 1, in an order fixed per pivot.
+    among its first |A| + |N| - s + 1, in an order fixed per pivot. The sum itself, and how many differences are left from a
+    place in that order on, then rule out most pairs of a list.
     """
     known = stars.sparkSession.sparkContext.broadcast(frequent)
     pq = percent
@@ -261,7 +268,7 @@ def _differences(stars: DataFrame, sets: DataFrame, percent: int, frequent: np.n
     def run(batches: Batches) -> Batches:
         for batch in batches:
             out = []
-            for a, b, core, x, y in zip(*(batch.column(k) for k in ("a", "b", "core", "x", "y"))):
+            for a, b, x, y in zip(*(batch.column(k) for k in ("a", "b", "x", "y"))):
                 p, x = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
                 lost, new = p[~_inside(p, x)], x[~_inside(x, p)]
                 over = pq * len(new) + 100 * len(lost) - (100 - pq) * len(p)
@@ -272,65 +279,120 @@ def _differences(stars: DataFrame, sets: DataFrame, percent: int, frequent: np.n
                 salt = np.uint64(a.as_py() & 0xFFFFFFFFFFFFFFFF)
                 delta = mixed(np.concatenate([fresh[:cut] + salt, lost * FACTORS[2] + salt, fresh[cut:] + salt]))
                 keys = delta[:max(0, len(delta) - s + 1)].view(np.int64)
-                out.append((a.as_py(), b.as_py(), len(x), linked, core.as_py(), keys))
+                out.append((a.as_py(), b.as_py(), len(x), linked, pq * len(new) + 100 * len(lost), (100 - pq) * len(p),
+                            len(delta), keys))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[i] for o in out], t) for i, t in enumerate(
-                    (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float32(), pa.list_(pa.int64())))],
-                names=["a", "b", "n", "linked", "core", "keys"])
+                    (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(),
+                     pa.list_(pa.int64())))],
+                names=["a", "b", "n", "linked", "cost", "base", "total", "keys"])
 
-    return _with_sets(stars, sets).mapInArrow(run, "a long, b long, n long, linked boolean, core float, keys array<long>")
+    return _with_sets(stars, sets).mapInArrow(
+        run, "a long, b long, n long, linked boolean, cost long, base long, total long, keys array<long>")
 
 
 def _split_lists(rows: DataFrame, longest: int | None, percent: int, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of the short lists, and the pivots and members of the long ones (``a``, ``b``, ``core``)."""
+    """Pairs of the short lists, and ``key`` and ``node`` of the long ones. Lists of one part are left out."""
     if longest is None:
-        other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("tied").alias("t"))
-        every = rows.join(other, "key").where("node < b AND NOT (tied AND t)").where(
-            100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("t"),
+                            F.col("rest").alias("r"), F.col("cost").alias("c"))
+        every = rows.join(other, "key").where("node < b AND part <> t").where(
+            (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+            & ((100 + percent) * F.least("rest", "r") >= F.col("cost") + F.col("c") - F.col("base")))
         return materialize(every.select(F.col("node").alias("a"), "b").distinct(), f"{name}-pairs"), None
-    long = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > longest).select("key"),
+    lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("low"), F.max("part").alias("high"))
+    long = materialize(lists.where(F.col("m") > longest).select("key", (F.col("low") < F.col("high")).alias("open")),
                        f"{name}-long")
     long = small_side(long)
-    short = rows.join(long, "key", "left_anti")
-    lists = short.select("key", "node", "n", "rest", "tied").repartition("key").sortWithinPartitions("key")
-    pairs = materialize(lists.mapInArrow(_pairs_in_lists(percent), "a long, b long").distinct(), f"{name}-pairs")
-    members = materialize(rows.join(long, "key").select("key", "node", "core"), f"{name}-members")
-    pivots = members.groupBy("key").agg(F.max(F.struct("core", "node"))["node"].alias("a"))
-    stars = (members.join(pivots, "key").groupBy("a", F.col("node").alias("b")).agg(F.max("core").alias("core")))
-    return pairs, materialize(stars, f"{name}-stars")
+    short = rows.join(long, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    pairs = materialize(short.mapInArrow(_pairs_in_lists(percent), "a long, b long").distinct(), f"{name}-pairs")
+    return pairs, materialize(rows.join(long.where("open"), "key").select("key", "node").distinct(), f"{name}-members")
+
+
+def _central(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``node`` and ``core`` of all members of long lists, and the shingles that many of these hold.
+
+    ``core`` is the mean number of members that hold a shingle of the set: of a group of near copies, the text that the others
+    were made from has the largest. Only counts from :data:`LIST` on are told apart, and at most :data:`FREQUENT`.
+    """
+    held = sets.join(members.select("node").distinct(), "node", "left_semi")
+
+    def count(batches: Batches) -> Batches:
+        for batch in batches:
+            if batch.num_rows:
+                h, c = np.unique(np.concatenate([np.frombuffer(v.as_py(), dtype=np.uint64) for v in batch.column("s")]),
+                                 return_counts=True)
+                yield _batch(h=h.view(np.int64), c=c.astype(np.int64))
+
+    counts = materialize(held.select("s").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+                         .where(F.col("c") >= LIST), "member-shingles")
+    least = LIST
+    while counts.where(F.col("c") >= least).count() > FREQUENT:
+        least *= 2
+    table = counts.where(F.col("c") >= least).toPandas().sort_values("h")
+    order = np.argsort(table["h"].to_numpy(np.int64).view(np.uint64))
+    shingles, number = table["h"].to_numpy(np.int64).view(np.uint64)[order], table["c"].to_numpy(float)[order]
+    known = sets.sparkSession.sparkContext.broadcast((shingles, number))
+
+    def core(batches: Batches) -> Batches:
+        shingles, number = known.value
+        for batch in batches:
+            means = []
+            for v in batch.column("s"):
+                v = np.frombuffer(v.as_py(), dtype=np.uint64)
+                at = np.minimum(np.searchsorted(shingles, v), max(0, len(shingles) - 1))
+                means.append(float(number[at[shingles[at] == v]].sum() / len(v)) if len(shingles) else 0.0)
+            yield _batch(node=batch.column("node"), core=pa.array(means, pa.float64()))
+
+    return materialize(held.select("node", "s").mapInArrow(core, "node long, core double"), "cores"), shingles
+
+
+def _stars(members: DataFrame, cores: DataFrame, name: str) -> DataFrame:
+    """``a``, the most central member of a long list, and ``b``, each of its members."""
+    ranked = members.join(cores, "node")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("core", "node"))["node"].alias("a"))
+    return materialize(members.join(pivots, "key").select("a", F.col("node").alias("b")).distinct(), name)
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` between nodes that connect all nodes which links connect."""
-    sizes = [(int(r["n"]), int(r["count"])) for r in nodes.where("n > 0").groupBy("n").count().collect()
-             ] if nodes.where("n > 0").select("n").distinct().count() <= FREQUENT else []
+    sizes = [(int(r["n"]), int(r["count"])) for r in nodes.where("n > 0 AND n <= 400").groupBy("n").count().collect()]
     frequent = frequent_shingles(docs, width, percent)
     rows = materialize(postings(docs, width, percent, frequent, boundary(sizes, percent)), "postings")
-    found, sets = [], None
+    sets, cores, links = None, None, None
     for level in range(LEVELS + 1):
-        pairs, stars = _split_lists(rows, LIST if level < LEVELS else None, percent, f"level-{level}")
+        longest = None if level == LEVELS else LATER_LIST if level else LIST
+        pairs, members = _split_lists(rows, longest, percent, f"level-{level}")
         if sets is None:
-            sets = _sets_of(docs, nodes, pairs, stars, width)
-        found.append(_verify(pairs, sets, percent))
-        if stars is None or stars.isEmpty():
+            sets = _sets_of(docs, nodes, pairs, members, width)
+        found = _verify(pairs, sets, percent)
+        last = members is None or members.isEmpty()
+        if not last:
+            if cores is None:
+                cores, frequent = _central(members, sets)
+            stars = _stars(members, cores, f"level-{level}-stars")
+            compared = materialize(_differences(stars, sets, percent, frequent), f"level-{level}-compared")
+            found = found.union(compared.where("linked AND a <> b").select("a", "b"))
+        links = materialize(found if links is None else links.union(found), f"links-{level}")
+        if last:
             break
-        compared = materialize(_differences(stars, sets, percent, frequent), f"level-{level}-compared")
-        found.append(compared.where("linked AND a <> b").select("a", "b"))
-        open_pivots = compared.where("NOT linked").select("a").distinct()
-        rows = compared.join(open_pivots, "a", "left_semi").select(
-            F.explode("keys").alias("key"), F.col("b").alias("node"), "n", F.col("n").alias("rest"),
-            F.col("linked").alias("tied"), "core")
+        labels = connected(links, "a", "b")
+        labelled = (compared.join(labels.withColumnRenamed("id", "b"), "b", "left")
+                    .withColumn("part", F.coalesce("label", "b")).drop("label"))
+        labelled = (labelled.join(labels.withColumnsRenamed({"id": "a", "label": "own"}), "a", "left")
+                    .withColumn("own", F.coalesce("own", "a")))
+        labelled = materialize(labelled, f"level-{level}-labelled")
+        open_pivots = labelled.where("part <> own").select("a").distinct()
+        rows = labelled.join(open_pivots, "a", "left_semi").select(
+            F.posexplode("keys").alias("at", "key"), F.col("b").alias("node"), "n", "total", "cost", "base", "part").select(
+            "key", "node", "n", (F.col("total") - F.col("at")).alias("rest"), "cost", "base", "part")
         rows = materialize(rows, f"level-{level + 1}-rows")
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    return materialize(links, "links")
+    return links
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, stars: DataFrame, width: int) -> DataFrame:
+def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """``node`` and set ``s`` (bytes) of all nodes that are compared, from one document of each."""
-    both = [x.select(F.col(c).alias("node")) for x in (pairs, stars) for c in ("a", "b")]
-    wanted = both[0].union(both[1]).union(both[2]).union(both[3]).distinct()
+    wanted = (pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct())
     ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")), "wanted")
 
     def run(batches: Batches) -> Batches:
