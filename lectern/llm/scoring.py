@@ -3,7 +3,11 @@
 Two bigram models over one vocabulary, a target model (good documents) and a background model (all documents), give each token two
 losses; a document's score is the mean of target loss minus background loss, so lower is closer to the target.
 The vocabulary is words folded into :data:`CLASSES` hash classes, the same for both models, so their losses are over the
-same events and the table of single words has a fixed bound; the table of bigrams has none and grows with the corpus.
+same events and the table of single words has a fixed bound; the bigrams have none and grow with the corpus.
+
+Bigrams of two of the :data:`FREQUENT` most frequent words would each fill a task of their own. They are counted within tasks, at
+most ``FREQUENT`` squared of them, and scored from that table where the text is. All other bigrams are shuffled
+once, one row per document and bigram: the rows of a bigram are counted and scored where they meet.
 
 Both models interpolate bigrams with single words: p(w | v) = (c(v w) + m p(w)) / (c(v) + m), p(w) = (c(w) + 1) / (N + CLASSES).
 A document doesn't speak for itself: its own occurrences of v w are left out of c(v w) and c(v), in the background always and in the
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.llm.common import materialize
 from lectern.llm.shingles import WordHashes, word_hashes
@@ -24,6 +28,10 @@ from lectern.llm.shingles import WordHashes, word_hashes
 #: Hash classes of words, the vocabulary of both models. Class 0 is the start of a text.
 BITS = 18
 CLASSES = 1 << BITS
+#: So many of the most frequent words have the counts of their bigrams with each other in a table in every task.
+FREQUENT = 1024
+#: Bits for the occurrences of a bigram in one document, beside twice :data:`BITS` for the bigram and one for the flag.
+COUNT_BITS = 26
 #: Weight m of the single words against the counts of a bigram's first word.
 WEIGHT = 200.0
 #: Tokens that a task gathers before it hands on their counts.
@@ -44,33 +52,40 @@ def bigrams(text: str | None, memo: WordHashes) -> np.ndarray:
     return t[:-1] * CLASSES + t[1:]
 
 
-def _ngram_counts(docs: DataFrame) -> DataFrame:
-    """``key``, ``n_target`` and ``n_all`` of all bigrams; ``docs`` has ``text`` and ``is_target``.
+def _frequent_pairs(keys: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bigrams are of two frequent words, and the numbers of these, row by column, in a square table."""
+    place = np.searchsorted(frequent, np.stack([keys >> BITS, keys & (CLASSES - 1)]))
+    place = np.minimum(place, max(0, len(frequent) - 1))
+    both = (frequent[place] == np.stack([keys >> BITS, keys & (CLASSES - 1)])).all(axis=0) if len(frequent) else keys < 0
+    return both, place[0][both] * len(frequent) + place[1][both]
 
-    Counted within tasks first, so what is shuffled is one row per task and different bigram.
-    """
-    def counted(held: list[tuple[np.ndarray, bool]]) -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _ in held])
-        good = np.repeat([g for _, g in held], [len(k) for k, _ in held])
-        unique, at = np.unique(keys, return_inverse=True)
-        return pa.RecordBatch.from_pydict({
-            "key": pa.array(unique), "n_target": pa.array(np.bincount(at, good, len(unique)).astype(np.int64)),
-            "n_all": pa.array(np.bincount(at, minlength=len(unique)).astype(np.int64))})
+
+def _pair_counts(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """Counts in target and background of all bigrams of two frequent words, as two rows of a square table each."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Batches) -> Batches:
-        memo, held, size = WordHashes(), [], 0
+        memo, frequent = WordHashes(), known.value
+        counts = np.zeros((2, len(frequent) ** 2), np.int64)
         for batch in batches:
-            for text, good in zip(batch.column("text"), batch.column("is_target")):
-                held.append((bigrams(text.as_py(), memo), good.as_py()))
-                size += len(held[-1][0])
-                if size >= GATHERED:
-                    yield counted(held)
-                    held, size = [], 0
-        if size:
-            yield counted(held)
-
-    counts = docs.select("text", "is_target").mapInArrow(run, "key long, n_target long, n_all long")
-    return counts.groupBy("key").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                good = part.column("is_target").to_numpy(zero_copy_only=False)
+                held = [bigrams(t.as_py(), memo) for t in part.column("text")]
+                for flag in (False, True):
+                    mine = [k for k, g in zip(held, good) if g == flag]
+                    if mine:
+                        found = np.bincount(_frequent_pairs(np.concatenate(mine), frequent)[1], minlength=counts.shape[1])
+                        counts[1] += found
+                        counts[0] += found * flag
+        at = np.flatnonzero(counts[1])
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "t": pa.array(counts[0][at]), "b": pa.array(counts[1][at])})
+
+    table = docs.select("text", "is_target").mapInArrow(run, "pair long, t long, b long").groupBy("pair").agg(
+        F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()  # FREQUENT squared rows at most
+    out = np.zeros((2, len(frequent) ** 2))
+    out[:, table["pair"].to_numpy(int)] = table[["t", "b"]].to_numpy(float).T
+    return out
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -109,21 +124,6 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return materialize(found.groupBy("class").agg(*[F.sum(f"c{r}").alias(n) for r, n in enumerate(names)]), "word-counts")
 
 
-def bigram_table(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
-    """Per bigram ``key``: counts ``n_target`` and ``n_all``, counts of its first word ``v_target`` and ``v_all``, and the
-    weighted probabilities ``p_target`` and ``p_all`` of its second. It stays partitioned by key."""
-    words = _word_counts(docs)
-    n_target, n_all = (x or 0 for x in words.agg(F.sum("w_target"), F.sum("w_all")).first())  # two numbers
-    first = words.select(F.col("class").alias("_v"), "v_target", "v_all")
-    second = words.select(F.col("class").alias("_w"),
-                          (weight * (F.col("w_target") + 1) / (n_target + CLASSES)).alias("p_target"),
-                          (weight * (F.col("w_all") + 1) / (n_all + CLASSES)).alias("p_all"))
-    counts = _ngram_counts(docs)
-    # both sides have CLASSES rows at most
-    return (counts.join(F.broadcast(first), F.shiftright("key", BITS) == F.col("_v"))
-            .join(F.broadcast(second), F.col("key").bitwiseAND(CLASSES - 1) == F.col("_w")).drop("_v", "_w"))
-
-
 def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id: str = "doc_id",
           weight: float = WEIGHT) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``is_target`` and ``score`` per document, lower being closer to the target.
@@ -131,35 +131,66 @@ def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id
     The score is the mean over all tokens of the whole text. Documents without words, or of null text, have no tokens and a null
     score. A null target flag is not target. Rows are scored each, equal rows alike. Without any target document its model is
     uniform. An empty table gives no rows.
-
-    The bigrams of a document meet the table of counts in a join on the bigram, with one row per document and different
-    bigram, and come back as one partial sum per document and task.
     """
     packed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
                          F.coalesce(F.col(target), F.lit(False)).alias("is_target"))
-    table = bigram_table(packed, weight)
+    words = _word_counts(packed)
+    n_target, n_all = (x or 0 for x in words.agg(F.sum("w_target"), F.sum("w_all")).first())  # two numbers
+    top = words.orderBy(F.desc("w_all"), "class").limit(FREQUENT).toPandas().sort_values("class")
+    frequent = top["class"].to_numpy(np.int64)
+    pairs = _pair_counts(packed, frequent)
+    single = [weight * (top[w].to_numpy(float) + 1) / (n + CLASSES) for w, n in (("w_target", n_target), ("w_all", n_all))]
+    before = [top[v].to_numpy(float) for v in ("v_target", "v_all")]
+    known = packed.sparkSession.sparkContext.broadcast((frequent, pairs, single, before))
 
     def run(batches: Batches) -> Batches:
         memo = WordHashes()
+        frequent, pairs, single, before = known.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
+                good = part.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
                 held = [np.unique(bigrams(t.as_py(), memo), return_counts=True) for t in part.column("text")]
-                row = pa.array(np.repeat(np.arange(len(held)), [len(k) for k, _ in held]), pa.int64())
+                row = np.repeat(np.arange(len(held)), [len(k) for k, _ in held])
+                key, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+                both, pair = _frequent_pairs(key, frequent)
+                v, w, own = pair // max(1, len(frequent)), pair % max(1, len(frequent)), n[both]
+                p = [(pairs[m][pair] - k + single[m][w]) / (before[m][v] - k + weight)
+                     for m, k in ((0, own * good[row[both]]), (1, own))]
+                total = np.bincount(row[both], own * (np.log(p[1]) - np.log(p[0])), len(held))
+                tokens_here = np.bincount(row[both], own, len(held)).astype(np.int64)
+                numbers = (key[~both] << COUNT_BITS | n[~both]) * 2 + good[row[~both]]
+                # one row per other bigram, and one per document with what is scored here, under a negative key of its own
+                at = pa.array(np.concatenate([row[~both], np.arange(len(held))]))
+                own_key = part.column("a").to_numpy() & ((1 << 35) - 1)
+                alone = -((own_key + 1) << (COUNT_BITS + 1)) + tokens_here
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("a").take(row), part.column("is_target").take(row), pa.array(np.concatenate([k for k, _ in held])),
-                     pa.array(np.concatenate([n for _, n in held]).astype(np.int32))], names=["a", "is_target", "key", "n"])
+                    [part.column("a").take(at), pa.array(np.concatenate([numbers, alone])),
+                     pa.array(np.concatenate([np.zeros(len(numbers)), total]))], names=["a", "packed", "total"])
 
     keyed = packed.select(F.xxhash64("doc_id", "text").alias("a"), "text", "doc_id", "is_target")
-    parts = keyed.select("a", "is_target", "text").mapInArrow(run, "a long, is_target boolean, key long, n int")
-    own = F.when(F.col("is_target"), F.col("n")).otherwise(0)
-    p_target = (F.col("n_target") - own + F.col("p_target")) / (F.col("v_target") - own + weight)
-    p_all = (F.col("n_all") - F.col("n") + F.col("p_all")) / (F.col("v_all") - F.col("n") + weight)
-    sums = parts.join(table, "key").groupBy("a").agg(
-        F.sum(F.col("n") * (F.log(p_all) - F.log(p_target))).alias("total"), F.sum("n").alias("n_tokens"))
-    rows = keyed.select("a", "doc_id", "is_target")
-    copies = rows.groupBy("a").agg(F.count(F.lit(1)).alias("copies"))  # equal rows have added up
-    scored = copies.join(sums, "a", "left").select(
+    # one number per row holds the bigram, its count in the document and the flag, so that little is shuffled
+    rows = keyed.select("a", "is_target", "text").mapInArrow(run, "a long, packed long, total double")
+    key, ready = F.shiftright("packed", COUNT_BITS + 1), F.col("packed") < 0
+    n = F.shiftright("packed", 1).bitwiseAND((1 << COUNT_BITS) - 1)
+    good = n * F.col("packed").bitwiseAND(1)
+    met = Window.partitionBy(key)
+    counted = rows.select("*", F.sum(n).over(met).alias("n_all"), F.sum(good).over(met).alias("n_target"))
+    first = words.select(F.col("class").alias("_v"), "v_target", "v_all")
+    second = words.select(F.col("class").alias("_w"),
+                          (weight * (F.col("w_target") + 1) / (n_target + CLASSES)).alias("p_target"),
+                          (weight * (F.col("w_all") + 1) / (n_all + CLASSES)).alias("p_all"))
+    known_words = (counted.join(F.broadcast(first), F.shiftright(key, BITS) == F.col("_v"), "left")  # CLASSES rows at most
+                   .join(F.broadcast(second), key.bitwiseAND(CLASSES - 1) == F.col("_w"), "left"))
+    p_target = (F.col("n_target") - good + F.col("p_target")) / (F.col("v_target") - good + weight)
+    p_all = (F.col("n_all") - n + F.col("p_all")) / (F.col("v_all") - n + weight)
+    scored = known_words.select(
+        "a", F.when(ready, F.col("total")).otherwise(n * (F.log(p_all) - F.log(p_target))).alias("total"),
+        F.when(ready, F.col("packed").bitwiseAND((1 << (COUNT_BITS + 1)) - 1)).otherwise(n).alias("n"))
+    sums = scored.groupBy("a").agg(F.sum("total").alias("total"), F.sum("n").alias("n_tokens"))
+    every = keyed.select("a", "doc_id", "is_target")
+    copies = every.groupBy("a").agg(F.count(F.lit(1)).alias("copies"))  # equal rows have added up
+    per_row = copies.join(sums, "a", "left").select(
         "a", F.coalesce((F.col("n_tokens") / F.col("copies")).cast("long"), F.lit(0)).alias("n_tokens"),
         (F.col("total") / F.col("n_tokens")).alias("score"))
-    return rows.join(scored, "a").select("doc_id", "n_tokens", "is_target", "score")
+    return every.join(per_row, "a").select("doc_id", "n_tokens", "is_target", "score")
