@@ -192,5 +192,5 @@ def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id
     copies = every.groupBy("a").agg(F.count(F.lit(1)).alias("copies"))  # equal rows have added up
     per_row = copies.join(sums, "a", "left").select(
         "a", F.coalesce((F.col("n_tokens") / F.col("copies")).cast("long"), F.lit(0)).alias("n_tokens"),
-        (F.col("total") / F.col("n_tokens")).alias("score"))
+        F.try_divide("total", "n_tokens").alias("score"))
     return every.join(per_row, "a").select("doc_id", "n_tokens", "is_target", "score")
