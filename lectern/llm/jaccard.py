@@ -221,8 +221,42 @@ def _pairs_in_lists(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _signature(values: np.ndarray) -> bytes:
+    """Parity bits: a shingle flips the bit its hash names. Two to four bits per shingle, a power of two in all."""
+    size = max(64, 1 << (2 * max(1, len(values)) - 1).bit_length())
+    bits = np.bincount((values % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _flipped(x: bytes, y: bytes) -> int:
+    """Bits in which two signatures differ: no more than the shingles that only one of the sets holds."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    while len(x) > len(y):  # the halves of a signature, flipped together, are the signature of half the size
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures allow a link, a superset of the links. Signatures are a tenth of the sets or less."""
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in ("x", "y", "n", "m"))):
+                both = (n + m - _flipped(x, y)) // 2
+                keep.append(100 * both >= percent * (n + m - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    signed = (pairs.join(sets.select(F.col("node").alias("a"), F.col("sig").alias("x"), "n"), "a")
+              .join(sets.select(F.col("node").alias("b"), F.col("sig").alias("y"), F.col("n").alias("m")), "b"))
+    return signed.mapInArrow(run, "a long, b long")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs ``a, b`` that link."""
+    pairs = materialize(_likely(pairs, sets, percent), name)
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
             keep = []
@@ -365,7 +399,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) ->
         pairs, members = _split_lists(rows, longest, percent, f"level-{level}")
         if sets is None:
             sets = _sets_of(docs, nodes, pairs, members, width)
-        found = _verify(pairs, sets, percent)
+        found = _verify(pairs, sets, percent, f"level-{level}-likely")
         last = members is None or members.isEmpty()
         if not last:
             if cores is None:
@@ -391,17 +425,19 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) ->
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``node`` and set ``s`` (bytes) of all nodes that are compared, from one document of each."""
+    """``node``, size ``n``, signature ``sig`` and set ``s`` of all nodes that are compared, from one document of each."""
     wanted = (pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct())
     ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")), "wanted")
 
     def run(batches: Batches) -> Batches:
         for rows in _each_set(batches, width):
             yield _batch(node=pa.array([set_key(r[0]) for r in rows], pa.int64()),
+                         n=pa.array([len(r[0]) for r in rows], pa.int64()),
+                         sig=pa.array([_signature(r[0]) for r in rows], pa.binary()),
                          s=pa.array([r[0].tobytes() for r in rows], pa.binary()))
 
     picked = docs.join(small_side(ids.select("id").distinct()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = picked.select("text").mapInArrow(run, "node long, s binary")
+    sets = picked.select("text").mapInArrow(run, "node long, n long, sig binary, s binary")
     return materialize(sets.join(small_side(ids.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 

@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from lectern.llm.jaccard import boundary, jaccard_components, prefix_length
+import numpy as np
+
+from lectern.llm.jaccard import _flipped, _signature, boundary, jaccard_components, prefix_length
 
 SCHEMA = "doc_id long, text string, node string, n string, a int"
 
@@ -93,3 +95,12 @@ def test_boundary_follows_cost():
     assert prefix_length(100, 85) == 16
     assert boundary([], 85) == 0
     assert 20 <= boundary([(s, 10) for s in range(1, 400)], 85) < 100
+
+
+def test_signatures_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        pool = rng.integers(0, 2 ** 63, 900).astype(np.uint64)
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 800))) for _ in range(2))
+        assert _flipped(_signature(x), _signature(y)) <= len(np.setxor1d(x, y))
+        assert _flipped(_signature(x), _signature(x)) == 0
