@@ -175,7 +175,8 @@ def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id
     n = F.shiftright("packed", 1).bitwiseAND((1 << COUNT_BITS) - 1)
     good = n * F.col("packed").bitwiseAND(1)
     met = Window.partitionBy(key)
-    counted = rows.select("*", F.sum(n).over(met).alias("n_all"), F.sum(good).over(met).alias("n_target"))
+    # dealt out by the key before the window, so that what the window computes from a row doesn't travel
+    counted = rows.repartition(key).select("*", F.sum(n).over(met).alias("n_all"), F.sum(good).over(met).alias("n_target"))
     first = words.select(F.col("class").alias("_v"), "v_target", "v_all")
     second = words.select(F.col("class").alias("_w"),
                           (weight * (F.col("w_target") + 1) / (n_target + CLASSES)).alias("p_target"),
