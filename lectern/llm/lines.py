@@ -1,11 +1,11 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by windows over line hashes.
 
-A document is the sequence of the hashes of its lines. From every stretch of lines with at least :data:`RUN_WORDS` words the
-smallest hash is a fingerprint, so two places that share such a stretch share a fingerprint in it, wherever it
-starts. A fingerprint's first place in the corpus is the one that stays; every later place is extended line by line in both
-directions against the first, and a run of at least :data:`RUN_WORDS` equal words is deleted there.
+A document is the sequence of the hashes of its lines with words. A window is a least stretch of them with at least
+:data:`RUN_WORDS` words, from its first line on or back from its last one. A repeated run of so many words is covered by its
+windows, and each window meets its own first place in the corpus, whatever else the lines in it were part of: it stays
+there and is deleted wherever else it is found. Lines without words neither end a run nor count for it.
 
-Every deleted line has an equal line at an earlier place, and the earliest place of a line is never deleted.
+Every deleted line with words has an equal line at an earlier place, and the earliest place of a line is never deleted.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import BROADCAST_ROWS, materialize, small_side
+from lectern.llm.common import BROADCAST_ROWS, materialize
 
 #: Words that a repeated run must have.
 RUN_WORDS = 50
@@ -36,7 +36,8 @@ def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def fingerprints(hashes: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS) -> np.ndarray:
     """Positions of the smallest hash (the last of equals) in every least stretch of lines with ``run_words`` words.
 
-    A stretch starts and ends with a line that has words. Empty lines are never fingerprints.
+    A stretch starts and ends with a line that has words. Empty lines are never fingerprints. :func:`dedup_lines` compares
+    whole windows instead, because a fingerprint says nothing of the lines beside it.
     """
     full = np.flatnonzero(words)
     if not len(full):
@@ -61,6 +62,23 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, run_words: int = RUN_WOR
     return full[np.unique(np.array(picked, dtype=np.int64))] if picked else np.empty(0, np.int64)
 
 
+def windows(hashes: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last position of every window: from each line on, and back from each line, to ``run_words`` words.
+
+    Both kinds are needed: the end of a run may be too short for a window from its own line on.
+    """
+    full = np.flatnonzero(words)
+    sums = np.concatenate([[0], np.cumsum(words[full])])
+    ahead = np.searchsorted(sums, sums[:-1] + run_words)  # one beyond the window's last line
+    back = np.searchsorted(sums, sums[1:] - run_words, side="right") - 1
+    line = np.arange(len(full))
+    spans = np.unique(np.concatenate([np.stack([line, ahead], axis=1)[ahead <= len(full)],
+                                      np.stack([back, line + 1], axis=1)[back >= 0]]), axis=0)
+    held = hashes[full].tobytes()
+    fp = np.fromiter((xxhash.xxh64_intdigest(held[8 * i:8 * j]) for i, j in spans.tolist()), dtype=np.uint64, count=len(spans))
+    return fp.view(np.int64), full[spans[:, 0]], full[spans[:, 1] - 1]
+
+
 def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``id``, ``tie`` and ``text``: the order of documents is by id (null first), then by a hash of the text."""
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tie"),
@@ -68,40 +86,24 @@ def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _places(docs: DataFrame, run_words: int) -> DataFrame:
-    """``fp``, ``id``, ``tie``, ``pos`` of all fingerprints."""
+    """``fp``, ``id``, ``tie``, ``start``, ``stop`` of all windows."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            rows: list[tuple] = []
-            for i, text in enumerate(batch.column("text")):
-                hashes, words = line_hashes(text.as_py())
-                at = fingerprints(hashes, words, run_words)
-                rows.append((hashes[at], at, np.full(len(at), i)))
-            if rows:
-                fp, pos, row = (np.concatenate([r[k] for r in rows]) for k in range(3))
-                row = pa.array(row, pa.int64())
+            found = [windows(*line_hashes(text.as_py()), run_words) for text in batch.column("text")]
+            if found:
+                fp, start, stop = (np.concatenate([f[k] for f in found]) for k in range(3))
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(fp, pa.int64()), batch.column("id").take(row), batch.column("tie").take(row),
-                     pa.array(pos, pa.int64())], names=["fp", "id", "tie", "pos"])
-
-    return docs.mapInArrow(run, "fp long, id long, tie long, pos long")
-
-
-def _line_table(docs: DataFrame) -> DataFrame:
-    """``id``, ``tie``, ``hashes`` and ``words`` of the lines of each document."""
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            found = [line_hashes(text.as_py()) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("tie"), pa.array([h for h, _ in found], pa.list_(pa.int64())),
-                 pa.array([w for _, w in found], pa.list_(pa.int64()))], names=["id", "tie", "hashes", "words"])
+                     pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["fp", "id", "tie", "start", "stop"])
 
-    return docs.mapInArrow(run, "id long, tie long, hashes array<long>, words array<long>")
+    return docs.mapInArrow(run, "fp long, id long, tie long, start long, stop long")
 
 
 def extend(hashes: np.ndarray, words: np.ndarray, i: int, first: np.ndarray, j: int, same: bool) -> tuple[int, int, int]:
     """The longest run of equal lines through ``i`` and ``j``: its first and last position, and its words.
 
-    Within one document the run ends before it would meet the place it repeats.
+    Within one document the run ends before it would meet the place it repeats. Not used by :func:`dedup_lines`.
     """
     back, ahead = min(i, j), min(len(hashes) - i, len(first) - j)
     if same:
@@ -115,41 +117,28 @@ def extend(hashes: np.ndarray, words: np.ndarray, i: int, first: np.ndarray, j:
     return i - left, i + right - 1, int(words[i - left:i + right].sum())
 
 
-RUNS = "id long, tie long, start long, stop long"
-
-
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """``id``, ``tie``, ``start`` and ``stop`` (positions of lines) of all later runs."""
-    places = materialize(_places(docs, run_words).distinct(), "line-places")
-    first = F.min(F.struct("id", "tie", "pos")).alias("first")
+    """``id``, ``tie``, ``start`` and ``stop`` (positions of lines) of all later windows.
+
+    Within one document a window that overlaps its first place is no repetition of it.
+    """
+    places = materialize(_places(docs, run_words), "line-places")
+    first = F.min(F.struct("id", "tie", "start", "stop")).alias("first")
     repeated = places.groupBy("fp").agg(first, F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    later = places.join(repeated, "fp").select("id", "tie", "pos", F.col("first.id").alias("id0"),
-                                               F.col("first.tie").alias("tie0"), F.col("first.pos").alias("pos0"))
-    same = F.col("id").eqNullSafe(F.col("id0")) & (F.col("tie") == F.col("tie0"))
-    later = materialize(later.where(~(same & (F.col("pos") == F.col("pos0")))), "later-places")
-    wanted = small_side(materialize(later.select("tie").union(later.select("tie0")).distinct(), "texts-with-runs"))
-    lines = materialize(_line_table(docs.join(wanted, "tie", "left_semi").select("id", "tie", "text"))
-                        .dropDuplicates(["id", "tie"]), "line-table")
-    one = later.groupBy("id", "tie", "id0", "tie0").agg(F.collect_set(F.struct("pos", "pos0")).alias("at"))
-    left = lines.select(F.col("id").alias("ia"), F.col("tie").alias("ta"), "hashes", "words")
-    right = lines.select(F.col("id").alias("ib"), F.col("tie").alias("tb"), F.col("hashes").alias("hashes0"))
-    joined = (one.join(left, F.col("id").eqNullSafe(F.col("ia")) & (F.col("tie") == F.col("ta")))
-              .join(right, F.col("id0").eqNullSafe(F.col("ib")) & (F.col("tie0") == F.col("tb")))
-              .select("id", "tie", same.alias("same"), "at", "hashes", "words", "hashes0"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))
+    return (places.join(repeated, "fp").where(~same | (F.col("start") > F.col("first.stop")))
+            .select("id", "tie", "start", "stop").distinct())
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                own, words, other = (np.array(row[k], dtype=np.int64) for k in ("hashes", "words", "hashes0"))
-                for place in row["at"]:
-                    start, stop, total = extend(own, words, place["pos"], other, place["pos0"], row["same"])
-                    if total >= run_words:
-                        rows.append((row["id"], row["tie"], start, stop))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)],
-                                             names=["id", "tie", "start", "stop"])
 
-    return joined.mapInArrow(run, RUNS).distinct()
+def united(spans: Sequence[dict]) -> list[dict]:
+    """Spans that overlap or follow each other as one, in order."""
+    out: list[dict] = []
+    for r in sorted(spans, key=lambda r: r["start"]):
+        if out and r["start"] <= out[-1]["stop"] + 1:
+            out[-1]["stop"] = max(out[-1]["stop"], r["stop"])
+        else:
+            out.append(dict(r))
+    return out
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS,
@@ -162,28 +151,29 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run
     of the other; copies under another id are. An empty table gives no rows.
     """
     numbered = _numbered(docs, doc_id, text)
-    runs = materialize(repeated_runs(numbered, run_words).groupBy("id", "tie").agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_runs")), "runs")
+    found = repeated_runs(numbered, run_words).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("_runs"))
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+    def merge(batches: Batches) -> Batches:
+        for batch in batches:
+            merged = [united(found) for found in batch.column("_runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(merged, spans)],
+                                             names=["id", "tie", "_runs"])
+
+    runs = materialize(found.mapInArrow(merge, "id long, tie long, _runs array<struct<start:long,stop:long>>"), "runs")
     packed = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_carry"), F.col(doc_id).cast("long").alias("_id"),
                          F.xxhash64(F.col(text)).alias("_tie"), F.col(text).alias("_text"))
     size = runs.agg(F.coalesce(F.sum(F.size("_runs") + 1), F.lit(0))).first()[0]  # one number
     joined = packed.join(F.broadcast(runs) if size <= BROADCAST_ROWS else runs, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
     schema = (f"_carry {packed.schema['_carry'].dataType.simpleString()}, text string, n_lines long, n_removed long, "
               "removed_words long, runs array<struct<start:long,stop:long>>")
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             texts, counts, merged = [], [], []
             for value, found in zip(batch.column("_text"), batch.column("_runs")):
-                value, found = value.as_py(), found.as_py() or []
+                value, gone = value.as_py(), found.as_py() or []
                 lines = value.split("\n") if value is not None else []
-                gone: list[dict] = []
-                for r in found:
-                    if gone and r["start"] <= gone[-1]["stop"] + 1:
-                        gone[-1]["stop"] = max(gone[-1]["stop"], r["stop"])
-                    else:
-                        gone.append(dict(r))
                 removed = {k for r in gone for k in range(r["start"], r["stop"] + 1)}
                 left = [line for k, line in enumerate(lines) if k not in removed] if removed else lines
                 texts.append(None if value is None else "\n".join(left) if removed else value)

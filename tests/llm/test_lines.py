@@ -4,7 +4,7 @@ import random
 
 from awkward import frame, texts
 
-from lectern.llm.lines import dedup_lines, extend, fingerprints, line_hashes
+from lectern.llm.lines import dedup_lines, extend, fingerprints, line_hashes, windows
 
 
 def table(spark, rows, partitions=3):
@@ -106,3 +106,28 @@ def test_fingerprints_are_guaranteed():
                     break
     hashes, words = line_hashes("a b\n" * 6)
     assert extend(hashes, words, 3, hashes, 0, True) == (3, 5, 6)
+
+
+def test_each_stretch_meets_its_own_first_place(spark):
+    """The line that two copies share with an earlier text is not what the copies are compared by."""
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    text = "\n".join([line("a", 20), "amen", line("b", 35), line("c", 30), line("d", 12)])
+    rows = [(k, f"{part}\nother {k}", "en", "s") for k, part in enumerate(text.split("\n"))]  # every line alone, earlier
+    rows += [(10, text, "en", "s"), (11, text, "en", "s"), (12, f"{line('e', 9)}\n{text}\n{line('f', 9)}", "en", "s")]
+    got = {r["doc_id"]: r["text"] for r in table(spark, rows)}
+    assert got[10] == text and got[11] == "" and got[12] == f"{line('e', 9)}\n{line('f', 9)}"
+    assert all(got[k] == t for k, t, *_ in rows[:5])
+
+
+def test_windows_cover_every_run():
+    rng = random.Random(3)
+    for _ in range(30):
+        text = "\n".join(" ".join("x%d" % rng.randrange(50) for _ in range(rng.choice([0, 1, 1, 9, 30, 60]))) for _ in range(40))
+        hashes, words = line_hashes(text)
+        _, start, stop = windows(hashes, words)
+        full = [i for i in range(40) if words[i]]
+        for a in range(len(full)):
+            for b in range(a, len(full)):
+                if words[full[a]:full[b] + 1].sum() >= 50:
+                    inside = {k for i, j in zip(start, stop) if full[a] <= i and j <= full[b] for k in range(i, j + 1)}
+                    assert set(full[a:b + 1]) <= inside
