@@ -2,8 +2,8 @@
 
 Targets are shares of the words of all documents by weight, stopped at a multiple of their source's size. A source is
 taken whole as often as it fits; what remains of its target is a budget of words, filled from the histogram of its
-document lengths: first in proportion, then in a seeded order, and the last part by a bounded knapsack that looks for the
-exact sum. The result says how many documents of each length are taken; a hash of the document, seeded, says which.
+document lengths: first in proportion, then in a seeded order, and the last part by a knapsack over all lengths left that
+looks for the exact sum. The result says how many documents of each length are taken; a hash of the document, seeded, says which.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from lectern.llm.common import materialize, small_side, white_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
-#: The knapsack starts when less than so many words of a budget are open, and uses so many different lengths.
-OPEN_WORDS, KNAPSACK_LENGTHS = 20_000, 64
+#: The greedy passes leave so many words of a budget to the knapsack, which may use every length that is left.
+OPEN_WORDS = 20_000
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 42,
@@ -73,24 +73,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
             n = int(min(counts[k] - take[k], (rest - OPEN_WORDS) // lengths[k]))
             take[k] += n
             rest -= n * int(lengths[k])
-    usable = [k for k in order if 0 < lengths[k] <= rest and take[k] < counts[k]][:KNAPSACK_LENGTHS]
-    items = []  # (length index, number): counts in binary parts, so that each part is taken or not
+    usable = [k for k in order if 0 < lengths[k] <= rest and take[k] < counts[k]]
+    by = np.full(rest + 1, -1)  # by which item a sum was met first; all sums before its own item are met by earlier ones
+    met, items = np.zeros(rest + 1, dtype=bool), []
+    met[0] = True
     for k in usable:
         left, part = int(min(counts[k] - take[k], rest // lengths[k])), 1
-        while left > 0:
-            items.append((k, min(part, left)))
-            left -= part
+        while left > 0 and not met[rest]:  # counts in binary parts, so that each part is taken or not
+            n = min(part, left)
+            step = n * int(lengths[k])
+            new = np.flatnonzero(met[:rest + 1 - step] & ~met[step:]) + step
+            met[new], by[new] = True, len(items)
+            items.append((k, n))
+            left -= n
             part *= 2
-    reach, states = 1, []  # bit s of ``reach``: the sum s can be met
-    mask = (1 << (rest + 1)) - 1
-    for k, n in items:
-        states.append(reach)
-        reach |= (reach << (n * int(lengths[k]))) & mask
-    best = reach.bit_length() - 1
-    for (k, n), state in zip(reversed(items), reversed(states)):
-        if not state >> best & 1:
-            take[k] += n
-            best -= n * int(lengths[k])
+    best = int(np.flatnonzero(met)[-1])
+    while best:
+        k, n = items[by[best]]
+        take[k] += n
+        best -= n * int(lengths[k])
     return take
 
 

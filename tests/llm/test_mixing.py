@@ -85,3 +85,16 @@ def test_awkward_rows(spark):
 def test_empty(spark):
     assert len(table(spark, [])) == 0
     assert len(table(spark, [(1, None, None, None), (2, "", None, "s")])) == 2
+
+
+def test_many_lengths_of_one_document_each():
+    lengths, counts = np.arange(1, 301), np.ones(300, dtype=np.int64)
+    for seed in range(5):
+        for budget in (19_999, 12_345, 30_000, 45_150):
+            take = fit(lengths, counts, budget, seed)
+            assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == budget
+    few = np.arange(901, 1001)  # no sum but these, so the nearest below is checked against a plain subset sum
+    sums = {0}
+    for n in few.tolist():
+        sums |= {s + n for s in sums if s + n <= 15_000}
+    assert (fit(few, np.ones(100, dtype=np.int64), 15_000, 3) * few).sum() == max(sums)
