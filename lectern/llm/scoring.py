@@ -2,14 +2,17 @@
 
 Two bigram models over one vocabulary, a target model (good documents) and a background model (all documents), give each token two
 losses; a document's score is the mean of target loss minus background loss, so lower is closer to the target.
-The vocabulary is words folded into :data:`CLASSES` hash classes, the same for both models, so their losses are over the
-same events and the table of single words has a fixed bound; the bigrams have none and grow with the corpus.
+The vocabulary is all words, as hashes of 61 bits, the same for both models; it grows with the corpus, as bigrams do.
 
-Bigrams of two of the :data:`FREQUENT` most frequent words would each fill a task of their own. They are counted within tasks, at
-most ``FREQUENT`` squared of them, and scored from that table where the text is. All other bigrams are shuffled
-once, one row per document and bigram: the rows of a bigram are counted and scored where they meet.
+The counts of the :data:`KNOWN` most frequent words are in a table in every task, which numbers these words; the others are
+rare, so that all tokens of one fit a task. Bigrams of two of the :data:`FREQUENT` most frequent words would each fill a task of
+their own. They are counted within tasks, at most ``FREQUENT`` squared of them, and scored from that table where the text is.
+Of all other bigrams each document has one row per sum that isn't known to every task, shuffled once by what it is about: the
+bigram, if both words are known; its first word, if that is rare; its second word, if that is rare. The rows are counted and
+scored where they meet.
 
-Both models interpolate bigrams with single words: p(w | v) = (c(v w) + m p(w)) / (c(v) + m), p(w) = (c(w) + 1) / (N + CLASSES).
+Both models interpolate bigrams with single words: p(w | v) = (c(v w) + m p(w)) / (c(v) + m), p(w) = (c(w) + 1) / (N + V).
+V is the number of different words, or :data:`CLASSES` if that is more.
 A document doesn't speak for itself: its own occurrences of v w are left out of c(v w) and c(v), in the background always and in the
 target if it is a target document. Otherwise every target document would look like the target.
 """
@@ -19,19 +22,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.llm.common import materialize
-from lectern.llm.shingles import WordHashes, word_hashes
-
-#: Hash classes of words, the vocabulary of both models. Class 0 is the start of a text.
-BITS = 18
-CLASSES = 1 << BITS
+from lectern.llm.shingles import FACTORS, WordHashes, word_hashes
+
+#: The least number of words that a model reserves one count each for.
+CLASSES = 1 << 18
+#: At most so many of the most frequent words have their counts in a table in every task. This changes cost, never the result.
+KNOWN_BITS = 18
+KNOWN = 1 << KNOWN_BITS
+#: Bits of a word's hash. 0 is the start of a text. Above them, the key of a row says what it is about.
+BITS = 61
+PAIR, FIRST, SECOND, READY = range(4)
 #: So many of the most frequent words have the counts of their bigrams with each other in a table in every task.
 FREQUENT = 1024
-#: Bits for the occurrences of a bigram in one document, beside twice :data:`BITS` for the bigram and one for the flag.
-COUNT_BITS = 26
 #: Weight m of the single words against the counts of a bigram's first word.
 WEIGHT = 200.0
 #: Tokens that a task gathers before it hands on their counts.
@@ -41,23 +48,15 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def tokens(text: str | None, memo: WordHashes) -> np.ndarray:
-    """Classes of the words of a text, with the start in front."""
-    hashes = word_hashes(text, memo)
-    return np.concatenate([[np.int64(0)], (hashes % np.uint64(CLASSES - 1)).astype(np.int64) + 1])
-
-
-def bigrams(text: str | None, memo: WordHashes) -> np.ndarray:
-    """One number per token: the class before it and its own."""
-    t = tokens(text, memo)
-    return t[:-1] * CLASSES + t[1:]
+    """Hashes of the words of a text, with the start in front."""
+    hashes = (word_hashes(text, memo) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate([[np.int64(0)], np.maximum(hashes, 1)])
 
 
-def _frequent_pairs(keys: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which bigrams are of two frequent words, and the numbers of these, row by column, in a square table."""
-    place = np.searchsorted(frequent, np.stack([keys >> BITS, keys & (CLASSES - 1)]))
-    place = np.minimum(place, max(0, len(frequent) - 1))
-    both = (frequent[place] == np.stack([keys >> BITS, keys & (CLASSES - 1)])).all(axis=0) if len(frequent) else keys < 0
-    return both, place[0][both] * len(frequent) + place[1][both]
+def _places(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of ``words`` in a sorted table, -1 for those that aren't in it. The table has the start at least."""
+    at = np.minimum(np.searchsorted(table, words), len(table) - 1)
+    return np.where(table[at] == words, at, -1)
 
 
 def _pair_counts(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
@@ -71,41 +70,43 @@ def _pair_counts(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 good = part.column("is_target").to_numpy(zero_copy_only=False)
-                held = [bigrams(t.as_py(), memo) for t in part.column("text")]
+                held = [tokens(t.as_py(), memo) for t in part.column("text")]
                 for flag in (False, True):
-                    mine = [k for k, g in zip(held, good) if g == flag]
+                    mine = [t for t, g in zip(held, good) if g == flag]
                     if mine:
-                        found = np.bincount(_frequent_pairs(np.concatenate(mine), frequent)[1], minlength=counts.shape[1])
+                        at = _places(np.concatenate(mine), frequent)
+                        inside = np.ones(len(at), dtype=bool)
+                        inside[np.cumsum([0, *map(len, mine[:-1])])] = False  # the start has none before it
+                        v, w = at[:-1][inside[1:]], at[1:][inside[1:]]
+                        both = (v >= 0) & (w >= 0)
+                        found = np.bincount(v[both] * len(frequent) + w[both], minlength=counts.shape[1])
                         counts[1] += found
                         counts[0] += found * flag
         at = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "t": pa.array(counts[0][at]), "b": pa.array(counts[1][at])})
 
     table = docs.select("text", "is_target").mapInArrow(run, "pair long, t long, b long").groupBy("pair").agg(
-        F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()  # FREQUENT squared rows at most
+        F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()  # FREQUENT squared rows and a few at most
     out = np.zeros((2, len(frequent) ** 2))
     out[:, table["pair"].to_numpy(int)] = table[["t", "b"]].to_numpy(float).T
     return out
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """``class``, ``w_target`` and ``w_all`` (its tokens), ``v_target`` and ``v_all`` (tokens right after it).
-
-    At most :data:`CLASSES` rows, whatever the corpus.
-    """
+    """``word``, ``w_target`` and ``w_all`` (its tokens), ``v_target`` and ``v_all`` (tokens right after it)."""
     def run(batches: Batches) -> Batches:
-        memo, counts, held = WordHashes(), np.zeros((4, CLASSES), np.int64), []
-
-        def add() -> None:
-            for good in (False, True):
-                mine = [t for t, g in held if g == good]
-                for row, parts in ((1, [t[1:] for t in mine]), (3, [t[:-1] for t in mine])):
-                    if parts:
-                        found = np.bincount(np.concatenate(parts), minlength=CLASSES)
-                        counts[row] += found
-                        if good:
-                            counts[row - 1] += found
+        memo, held = WordHashes(), []
+
+        def counted() -> pa.RecordBatch:
+            size = [len(t) for t, _ in held]
+            words, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            good = np.repeat(np.array([g for _, g in held]), size)
+            ends = np.cumsum(size)
+            second, first = np.ones(len(at), dtype=bool), np.ones(len(at), dtype=bool)
+            second[ends - size], first[ends - 1] = False, False  # the start is no token, nothing follows the last word
+            counts = [np.bincount(at[m], minlength=len(words)) for m in (second & good, second, first & good, first)]
             held.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array(words), **{f"c{r}": pa.array(c) for r, c in enumerate(counts)}})
 
         size = 0
         for batch in batches:
@@ -113,81 +114,126 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 held.append((tokens(text.as_py(), memo), good.as_py()))
                 size += len(held[-1][0])
                 if size >= GATHERED:
-                    add()
+                    yield counted()
                     size = 0
-        add()
-        at = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_pydict({"class": pa.array(at), **{f"c{r}": pa.array(counts[r][at]) for r in range(4)}})
+        if held:
+            yield counted()
 
     names = ("w_target", "w_all", "v_target", "v_all")
-    found = docs.select("text", "is_target").mapInArrow(run, "class long, c0 long, c1 long, c2 long, c3 long")
-    return materialize(found.groupBy("class").agg(*[F.sum(f"c{r}").alias(n) for r, n in enumerate(names)]), "word-counts")
+    found = docs.select("text", "is_target").mapInArrow(run, "word long, c0 long, c1 long, c2 long, c3 long")
+    return materialize(found.groupBy("word").agg(*[F.sum(f"c{r}").alias(n) for r, n in enumerate(names)]), "word-counts")
+
+
+def _known_words(words: DataFrame, known: int) -> pd.DataFrame:
+    """The rows of at most ``known`` frequent words and of the start, by word.
+
+    They are those above a number of tokens, found from a histogram of a fixed number of steps, 16 to an octave.
+    """
+    step = F.floor(16 * F.log2("w_all")).cast("int")
+    tally = sorted(words.where("w_all > 0").groupBy(step.alias("step")).count().collect(), reverse=True)
+    most, least = 0, 16 * 64
+    for s, n in tally:
+        most += n
+        if most > known:
+            break
+        least = s
+    return words.where((F.col("word") == 0) | ((F.col("w_all") > 0) & (step >= least))).toPandas().sort_values("word")
 
 
 def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id: str = "doc_id",
-          weight: float = WEIGHT) -> DataFrame:
+          weight: float = WEIGHT, known: int = KNOWN, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``is_target`` and ``score`` per document, lower being closer to the target.
 
     The score is the mean over all tokens of the whole text. Documents without words, or of null text, have no tokens and a null
     score. A null target flag is not target. Rows are scored each, equal rows alike. Without any target document its model is
-    uniform. An empty table gives no rows.
+    uniform. An empty table gives no rows. ``known`` (:data:`KNOWN` at most) and ``frequent`` change cost, never the result.
     """
     packed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
                          F.coalesce(F.col(target), F.lit(False)).alias("is_target"))
     words = _word_counts(packed)
-    n_target, n_all = (x or 0 for x in words.agg(F.sum("w_target"), F.sum("w_all")).first())  # two numbers
-    top = words.orderBy(F.desc("w_all"), "class").limit(FREQUENT).toPandas().sort_values("class")
-    frequent = top["class"].to_numpy(np.int64)
-    pairs = _pair_counts(packed, frequent)
-    single = [weight * (top[w].to_numpy(float) + 1) / (n + CLASSES) for w, n in (("w_target", n_target), ("w_all", n_all))]
+    n_target, n_all, different = (x or 0 for x in words.agg(
+        F.sum("w_target"), F.sum("w_all"), F.count_if(F.col("w_all") > 0)).first())  # three numbers
+    vocabulary = max(CLASSES, different)
+    top = _known_words(words, min(known, KNOWN - 1))
+    if not len(top):
+        top = pd.DataFrame({c: [0] for c in words.columns})  # no documents
+    table = top["word"].to_numpy(np.int64)
+    often = np.sort(np.union1d(top.sort_values(["w_all", "word"], ascending=[False, True])["word"].head(frequent), [0]).astype(np.int64))
+    pairs = _pair_counts(packed, often)
+    rank = _places(table, often)
+    single = [weight * (top[w].to_numpy(float) + 1) / (n + vocabulary) for w, n in (("w_target", n_target), ("w_all", n_all))]
     before = [top[v].to_numpy(float) for v in ("v_target", "v_all")]
-    known = packed.sparkSession.sparkContext.broadcast((frequent, pairs, single, before))
+    shared = packed.sparkSession.sparkContext.broadcast((table, rank, pairs, len(often), single, before))
 
     def run(batches: Batches) -> Batches:
         memo = WordHashes()
-        frequent, pairs, single, before = known.value
+        table, rank, pairs, side, single, before = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 good = part.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
-                held = [np.unique(bigrams(t.as_py(), memo), return_counts=True) for t in part.column("text")]
-                row = np.repeat(np.arange(len(held)), [len(k) for k, _ in held])
-                key, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
-                both, pair = _frequent_pairs(key, frequent)
-                v, w, own = pair // max(1, len(frequent)), pair % max(1, len(frequent)), n[both]
-                p = [(pairs[m][pair] - k + single[m][w]) / (before[m][v] - k + weight)
-                     for m, k in ((0, own * good[row[both]]), (1, own))]
-                total = np.bincount(row[both], own * (np.log(p[1]) - np.log(p[0])), len(held))
-                tokens_here = np.bincount(row[both], own, len(held)).astype(np.int64)
-                numbers = (key[~both] << COUNT_BITS | n[~both]) * 2 + good[row[~both]]
-                # one row per other bigram, and one per document with what is scored here, under a negative key of its own
-                at = pa.array(np.concatenate([row[~both], np.arange(len(held))]))
-                own_key = part.column("a").to_numpy() & ((1 << 35) - 1)
-                alone = -((own_key + 1) << (COUNT_BITS + 1)) + tokens_here
+                held = [tokens(t.as_py(), memo) for t in part.column("text")]
+                firsts, seconds, times = [], [], []
+                for t in held:  # a document's different bigrams; the number that tells them apart is for this document only
+                    told = t[:-1].view(np.uint64) * FACTORS[0] + t[1:].view(np.uint64) * FACTORS[1]
+                    _, at, n = np.unique(told, return_index=True, return_counts=True)
+                    firsts.append(t[at])
+                    seconds.append(t[at + 1])
+                    times.append(n)
+                row = np.repeat(np.arange(len(held)), [len(n) for n in times])
+                v, w, n = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(times)
+                v_at, w_at, own_good = _places(v, table), _places(w, table), n * good[row]
+                own = (own_good, n)
+                total = np.zeros(len(n))
+                has_v = v_at >= 0  # the divisor of such a bigram is known here
+                ratio = [before[m][v_at[has_v]] - own[m][has_v] + weight for m in (0, 1)]
+                total[has_v] = np.log(ratio[0]) - np.log(ratio[1])
+                both = has_v & (w_at >= 0)
+                often = both.copy()
+                often[both] = (rank[v_at[both]] >= 0) & (rank[w_at[both]] >= 0)
+                pair = rank[v_at[often]] * side + rank[w_at[often]]
+                p = [pairs[m][pair] - own[m][often] + single[m][w_at[often]] for m in (0, 1)]
+                total[often] += np.log(p[1]) - np.log(p[0])
+                total = np.bincount(row, total * n, len(held))
+                pick = [np.flatnonzero(both & ~often), np.flatnonzero(~has_v), np.flatnonzero(w_at < 0)]
+                # beside the word of the key: the number of a known second word, -1 for a rare one; the first word's hash
+                keys = [v_at[pick[0]] << KNOWN_BITS | w_at[pick[0]], v[pick[1]] | FIRST << BITS,
+                        (w[pick[2]].view(np.uint64) | np.uint64(SECOND << BITS)).view(np.int64)]
+                other = [np.zeros(len(pick[0]), np.int64), np.where(w_at >= 0, w_at, -1)[pick[1]], v[pick[2]]]
+                own_key = part.column("a").to_numpy().view(np.uint64) >> np.uint64(64 - BITS) | np.uint64(READY << BITS)
+                chosen = np.concatenate(pick)
+                at = pa.array(np.concatenate([row[chosen], np.arange(len(held))]))
+                packed_n = np.concatenate([n[chosen] * 2 + good[row[chosen]], [len(t) - 1 for t in held]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("a").take(at), pa.array(np.concatenate([numbers, alone])),
-                     pa.array(np.concatenate([np.zeros(len(numbers)), total]))], names=["a", "packed", "total"])
+                    [part.column("a").take(at), pa.array(np.concatenate([*keys, own_key.view(np.int64)])),
+                     pa.array(np.concatenate([*other, np.zeros(len(held), np.int64)])), pa.array(packed_n),
+                     pa.array(np.concatenate([np.zeros(len(chosen)), total]))], names=["a", "key", "other", "packed", "total"])
 
     keyed = packed.select(F.xxhash64("doc_id", "text").alias("a"), "text", "doc_id", "is_target")
-    # one number per row holds the bigram, its count in the document and the flag, so that little is shuffled
-    rows = keyed.select("a", "is_target", "text").mapInArrow(run, "a long, packed long, total double")
-    key, ready = F.shiftright("packed", COUNT_BITS + 1), F.col("packed") < 0
-    n = F.shiftright("packed", 1).bitwiseAND((1 << COUNT_BITS) - 1)
+    rows = keyed.select("a", "is_target", "text").mapInArrow(run, "a long, key long, other long, packed long, total double")
+    kind, ready = F.shiftrightunsigned("key", BITS), F.shiftrightunsigned("key", BITS) == READY
+    n = F.when(ready, F.lit(0)).otherwise(F.shiftright("packed", 1))
     good = n * F.col("packed").bitwiseAND(1)
-    met = Window.partitionBy(key)
-    # dealt out by the key before the window, so that what the window computes from a row doesn't travel
-    counted = rows.repartition(key).select("*", F.sum(n).over(met).alias("n_all"), F.sum(good).over(met).alias("n_target"))
-    first = words.select(F.col("class").alias("_v"), "v_target", "v_all")
-    second = words.select(F.col("class").alias("_w"),
-                          (weight * (F.col("w_target") + 1) / (n_target + CLASSES)).alias("p_target"),
-                          (weight * (F.col("w_all") + 1) / (n_all + CLASSES)).alias("p_all"))
-    known_words = (counted.join(F.broadcast(first), F.shiftright(key, BITS) == F.col("_v"), "left")  # CLASSES rows at most
-                   .join(F.broadcast(second), key.bitwiseAND(CLASSES - 1) == F.col("_w"), "left"))
-    p_target = (F.col("n_target") - good + F.col("p_target")) / (F.col("v_target") - good + weight)
-    p_all = (F.col("n_all") - n + F.col("p_all")) / (F.col("v_all") - n + weight)
-    scored = known_words.select(
-        "a", F.when(ready, F.col("total")).otherwise(n * (F.log(p_all) - F.log(p_target))).alias("total"),
-        F.when(ready, F.col("packed").bitwiseAND((1 << (COUNT_BITS + 1)) - 1)).otherwise(n).alias("n"))
+    pair, met = Window.partitionBy("key", "other"), Window.partitionBy("key")
+    # dealt out by the key before the windows, so that what the windows compute from a row doesn't travel
+    counted = (rows.repartition("key")
+               .select("*", F.sum(n).over(pair).alias("n_all"), F.sum(good).over(pair).alias("n_target"),
+                       F.sum(n).over(met).alias("c_all"), F.sum(good).over(met).alias("c_target")))
+    second = packed.sparkSession.createDataFrame(pd.DataFrame({
+        "_w": np.arange(len(table)), "p_target": single[0], "p_all": single[1]}), "_w long, p_target double, p_all double")
+    number = F.when(kind == PAIR, F.col("key").bitwiseAND(KNOWN - 1)).when(kind == FIRST, F.col("other")).otherwise(F.lit(-1))
+    joined = counted.join(F.broadcast(second), number == F.col("_w"), "left")  # KNOWN rows at most
+
+    def part(m: str, size: int, own: Column) -> tuple[Column, Column]:
+        """What the word of a row adds to the sums of its bigram, and the divisor by its first word."""
+        rare = weight * (F.col(f"c_{m}") + 1) / (size + vocabulary)
+        p = F.when(kind == SECOND, rare).otherwise(F.col(f"p_{m}"))
+        return F.log(F.col(f"n_{m}") - own + p), F.log(F.col(f"c_{m}") - own + weight)
+
+    (top_t, low_t), (top_b, low_b) = part("target", n_target, good), part("all", n_all, n)
+    found = F.when(kind == FIRST, F.when(F.col("other") >= 0, top_b - top_t).otherwise(F.lit(0.0)) + low_t - low_b).otherwise(top_b - top_t)
+    scored = joined.select("a", F.when(ready, F.col("total")).otherwise(n * found).alias("total"),
+                           F.when(ready, F.col("packed")).otherwise(F.lit(0)).alias("n"))
     sums = scored.groupBy("a").agg(F.sum("total").alias("total"), F.sum("n").alias("n_tokens"))
     every = keyed.select("a", "doc_id", "is_target")
     copies = every.groupBy("a").agg(F.count(F.lit(1)).alias("copies"))  # equal rows have added up

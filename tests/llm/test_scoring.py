@@ -1,6 +1,7 @@
 """Cross-entropy difference against plain counting."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -70,3 +71,37 @@ def test_awkward_rows(spark):
     same(run(spark, repeated), brute(repeated))
     assert run(spark, []) == []
     assert all(s is None or math.isfinite(s) for _, _, s in run(spark, [(1, "a b", False), (2, None, None)]))
+
+
+def test_rare_words_are_counted_one_by_one(spark):
+    """Rare words by shuffle instead of by table, in all places of a bigram, give the scores of plain counts."""
+    rng = random.Random(5)
+    word = lambda: f"w{int(rng.random() ** 3 * 300)}"
+    rows = [(i, " ".join(word() for _ in range(rng.randint(1, 80))), i % 4 == 0) for i in range(80)]
+    for known, frequent in ((0, 0), (20, 5), (60, 200)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean").repartition(3)
+        got = score(docs, known=known, frequent=frequent).select("doc_id", "n_tokens", "score").collect()
+        same([tuple(r) for r in got], brute(rows))
+
+
+def test_words_are_not_folded():
+    memo = WordHashes()
+    words = [f"word{i}" for i in range(300_000)]
+    assert len(set(tokens(" ".join(words), memo).tolist())) == len(words) + 1
+
+
+def test_scores_over_more_words_than_classes(spark):
+    rows = [(i, " ".join(f"word{i * 10_000 + k}" for k in range(10_000)), i % 3 == 0) for i in range(30)]
+    plain, seen, total = brute_words(rows), 300_000, [300_000, 100_000]
+    got = {d: s for d, _, s in run(spark, rows)}
+    for d, text, good in rows:
+        want = 0.0
+        for k, w in enumerate(text.split()):  # every bigram is here only, so without its own counts none is left
+            v = [0, 0] if k else [29, 9 if good else 10]
+            p = [WEIGHT * (plain[m].get(w, 0) + 1) / (total[m] + max(CLASSES, seen)) / (v[m] + WEIGHT) for m in (0, 1)]
+            want += math.log(p[0]) - math.log(p[1])
+        assert got[d] == pytest.approx(want / 10_000, abs=1e-9)
+
+
+def brute_words(rows):
+    return [Counter(w for _, t, g in rows if g or not m for w in t.split()) for m in (0, 1)]
