@@ -41,12 +41,23 @@ def shared_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return held.join(hubs.where("low < high").select("hub"), "hub", "left_semi").distinct()
 
 
-def propagate(nodes: DataFrame, links: DataFrame, room: Sequence[int], rounds: int = 3, slack: float = 0.05) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, room: Sequence[int], rounds: int = 3, slack: float = 0.05,
+              fixed: dict[int, Sequence[int]] | None = None) -> DataFrame:
     """``node`` and ``label`` for the nodes of ``links`` and those of several rows; ``nodes`` has ``node`` and ``rows``.
 
     Quotas share the linked rows in proportion to the ``room`` of each shard, with ``slack`` on top. A node of more rows
     than that slack starts on a shard and stays.
+
+    ``fixed`` nodes, a few, have their rows per shard: they are not labelled, but their neighbours are pulled there, as far as
+    the shard has room, the whole of which is their quota. A shard without room is asked for by nobody.
     """
+    fixed = fixed or {}
+    is_fixed = F.col("node").isin(list(fixed)) if fixed else F.lit(False)
+    if fixed:
+        there = [F.sum(F.coalesce(*[F.when(F.col("node") == g, F.lit(r[s]).cast("long")) for g, r in fixed.items()], F.lit(0)))
+                 for s in range(len(room))]
+        anchors = small_side(materialize(links.where(is_fixed).groupBy("hub").agg(F.array(*there).alias("anchored")), "anchors"))
+    nodes, links = nodes.where(~is_fixed), links.where(~is_fixed)
     shards, whole = len(room), max(1, sum(room))
     ends = [sum(room[:s + 1]) / whole for s in range(shards)]
     linked = links.select("node").distinct().withColumn("_linked", F.lit(True))
@@ -56,16 +67,20 @@ def propagate(nodes: DataFrame, links: DataFrame, room: Sequence[int], rounds: i
         nodes.join(linked, "node", "left").where(F.col("_linked") | (F.col("rows") > 1))
         .withColumn("_draw", draw).select("node", "rows", start.cast("int").alias("label")), "labels-0")
     total = labels.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]  # one number
-    quota = [total * r / whole * (1 + slack) for r in room]
+    quota = [max(total * r / whole * (1 + slack), r if any(g[s] for g in fixed.values()) else 0) for s, r in enumerate(room)]
     held = [F.sum(F.when(F.col("label") == s, F.col("rows")).otherwise(0)) for s in range(shards)]
     for turn in range(rounds):
-        hubs = materialize(links.join(labels, "node").groupBy("hub").agg(F.array(*held).alias("held")), f"hubs-{turn}")
+        hubs = links.join(labels, "node").groupBy("hub").agg(F.array(*held).alias("held"))
+        if fixed:
+            hubs = hubs.join(anchors, "hub", "left").select("hub", F.when(F.col("anchored").isNull(), F.col("held")).otherwise(
+                F.zip_with("held", "anchored", lambda x, y: x + y)).alias("held"))
+        hubs = materialize(hubs, f"hubs-{turn}")
         wishes = links.join(hubs, "hub").groupBy("node").agg(F.array(*[
-            F.sum(F.get("held", F.lit(s)) / F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x))
+            F.sum(F.get("held", F.lit(s)) / F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x)) if room[s] else F.lit(0.0)
             for s in range(shards)]).alias("pull"))
         best = F.array_max(F.transform("pull", lambda p, s: F.struct(p.alias("p"), (-s).alias("s"))))
         asked = labels.join(wishes, "node", "left").select(
-            "node", "rows", "label", F.when((best["p"] > F.get("pull", F.col("label"))) & (F.col("rows") <= total * slack),
+            "node", "rows", "label", F.when((best["p"] > F.get("pull", F.col("label"))) & (F.col("rows") <= max(1, total * slack)),
                                             -best["s"]).otherwise(F.col("label")).cast("int").alias("wish"),
             (F.pmod(F.xxhash64("node", F.lit(100 + turn)), F.lit(1 << 20)) / float(1 << 20)).alias("draw"))
         asked = materialize(asked, f"wishes-{turn}")
@@ -94,7 +109,8 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
 
     Row counts of the shards differ by one at most; slots of a shard run from 0 without gaps. Null texts are one group of
     equal texts and empty texts another; neither is linked by lines. Equal rows get different slots. Groups of more than
-    half a shard are laid out first, one after the other, and go on in the next shard where one is full. An empty table gives no rows.
+    half a shard are laid out first, one after the other, and go on in the next shard where one is full; texts that share
+    lines with them are pulled to their shards as far as room is left. An empty table gives no rows.
 
     No rank needs all rows of a shard or of a group in one task: rows are counted per cell (shard, slice of the node hash,
     and for large groups slice of the row hash), the counts of the cells give each cell's first rank, and only rows of one
@@ -111,8 +127,12 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
     giant_rows = nodes.where(F.col("node").isin(giants)).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] if giants else 0
     filled = [min(room[s], max(0, giant_rows - starts[s])) for s in range(shards)]
     left = [room[s] - filled[s] for s in range(shards)]
-    ordinary = ~F.col("node").isin(giants) if giants else F.lit(True)
-    labels = small_side(propagate(nodes.where(ordinary), links.where(ordinary), left, rounds))
+    size_of = {r["node"]: r["rows"] for r in nodes.where(F.col("node").isin(giants)).collect()} if giants else {}
+    fixed, at = {}, 0  # the rows of a giant per shard, as they are laid out
+    for g in giants:
+        fixed[g] = [max(0, min(at + size_of[g], starts[s] + room[s]) - max(at, starts[s])) for s in range(shards)]
+        at += size_of[g]
+    labels = small_side(propagate(nodes, links, left, rounds, fixed=fixed))
     giant = F.array_position(F.array(*[F.lit(g) for g in giants]).cast("array<bigint>"), F.col("node")).cast("int")
     large = small_side(materialize(nodes.where(F.col("rows") > max(n // CELLS, 1_000)).select(
         "node", F.lit(True).alias("large")), "large-nodes"))

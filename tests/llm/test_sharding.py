@@ -62,3 +62,16 @@ def test_awkward_rows(spark):
 def test_empty(spark):
     assert len(table(spark, [])) == 0
     check(table(spark, [(1, None, None, None)]), 1)
+
+
+def test_near_copies_of_a_giant_group(spark):
+    """Near copies of a group of 1/10 of all rows go to its shard as far as that has room."""
+    shared = [f"line {k} of the giant" for k in range(6)]
+    rows = [(i, "\n".join(shared), None, "giant") for i in range(200)]
+    rows += [(1000 + i, "\n".join([*shared, f"near {i}"]), None, "near") for i in range(40)]
+    rows += [(3000 + i, f"text {i}", None, None) for i in range(1760)]
+    got = table(spark, rows)
+    check(got, 2000)
+    home = set(got[got["doc_id"] < 200]["shard"])
+    near = got[got["doc_id"].between(1000, 1039)]
+    assert len(home) == 1 and near["shard"].isin(home).sum() >= 36
