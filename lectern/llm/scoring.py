@@ -42,7 +42,9 @@ FREQUENT = 1024
 #: Weight m of the single words against the counts of a bigram's first word.
 WEIGHT = 200.0
 #: Tokens that a task gathers before it hands on their counts.
-GATHERED = 1_500_000
+GATHERED = 400_000
+#: Documents whose bigrams are in memory at once.
+SLICE = 250
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -67,8 +69,8 @@ def _pair_counts(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
         memo, frequent = WordHashes(), known.value
         counts = np.zeros((2, len(frequent) ** 2), np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
                 good = part.column("is_target").to_numpy(zero_copy_only=False)
                 held = [tokens(t.as_py(), memo) for t in part.column("text")]
                 for flag in (False, True):
@@ -169,8 +171,8 @@ def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id
         memo = WordHashes()
         table, rank, pairs, side, single, before = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
                 good = part.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
                 held = [tokens(t.as_py(), memo) for t in part.column("text")]
                 firsts, seconds, times = [], [], []
