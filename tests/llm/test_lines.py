@@ -131,3 +131,11 @@ def test_windows_cover_every_run():
                 if words[full[a]:full[b] + 1].sum() >= 50:
                     inside = {k for i, j in zip(start, stop) if full[a] <= i and j <= full[b] for k in range(i, j + 1)}
                     assert set(full[a:b + 1]) <= inside
+
+
+def test_blank_lines_do_not_end_a_run(spark):
+    parts = [" ".join(f"{name}{k}" for k in range(20)) for name in "abcd"]
+    rows = [(1, "\n".join(parts), "en", "s"), (2, "head\n" + "\n\n".join(parts) + "\nfoot", "en", "s")]
+    got = {r["doc_id"]: r for r in table(spark, rows)}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "head\nfoot"
+    assert (got[2]["n_removed"], got[2]["removed_words"]) == (7, 80)
