@@ -4,6 +4,7 @@ A document is the sequence of the hashes of its lines with words. A window is a
 :data:`RUN_WORDS` words, from its first line on or back from its last one. A repeated run of so many words is covered by its
 windows, and each window meets its own first place in the corpus, whatever else the lines in it were part of: it stays
 there and is deleted wherever else it is found. Lines without words neither end a run nor count for it.
+Lines are compared whole: a passage inside longer lines, or broken into lines differently, is not found.
 
 Every deleted line with words has an equal line at an earlier place, and the earliest place of a line is never deleted.
 """
