@@ -393,23 +393,24 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) ->
     sizes = [(int(r["n"]), int(r["count"])) for r in nodes.where("n > 0 AND n <= 400").groupBy("n").count().collect()]
     frequent = frequent_shingles(docs, width, percent)
     rows = materialize(postings(docs, width, percent, frequent, boundary(sizes, percent)), "postings")
-    sets, cores, links = None, None, None
-    for level in range(LEVELS + 1):
-        longest = None if level == LEVELS else LATER_LIST if level else LIST
-        pairs, members = _split_lists(rows, longest, percent, f"level-{level}")
-        if sets is None:
-            sets = _sets_of(docs, nodes, pairs, members, width)
-        found = _verify(pairs, sets, percent, f"level-{level}-likely")
-        last = members is None or members.isEmpty()
-        if not last:
-            if cores is None:
-                cores, frequent = _central(members, sets)
-            stars = _stars(members, cores, f"level-{level}-stars")
-            compared = materialize(_differences(stars, sets, percent, frequent), f"level-{level}-compared")
-            found = found.union(compared.where("linked AND a <> b").select("a", "b"))
-        links = materialize(found if links is None else links.union(found), f"links-{level}")
-        if last:
-            break
+    pairs, members = _split_lists(rows, LIST, percent, "level-0")
+    sets = sets_of(docs, nodes, pairs, members, width)
+    links = materialize(_verify(pairs, sets, percent, "level-0-likely"), "links-0")
+    return with_long_lists(links, members, sets, percent)
+
+
+def with_long_lists(links: DataFrame, members: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """``links`` and those within long lists, as far as components need them. ``members`` are ``key`` and ``node`` of
+    lists in which every pair that links may be met; ``sets`` holds the sets of all their nodes (:func:`sets_of`)."""
+    cores = None
+    for level in range(LEVELS):
+        if members is None or members.isEmpty():
+            return links
+        if cores is None:
+            cores, frequent = _central(members, sets)
+        stars = _stars(members, cores, f"level-{level}-stars")
+        compared = materialize(_differences(stars, sets, percent, frequent), f"level-{level}-compared")
+        links = materialize(links.union(compared.where("linked AND a <> b").select("a", "b")), f"links-{level}-stars")
         labels = connected(links, "a", "b")
         labelled = (compared.join(labels.withColumnRenamed("id", "b"), "b", "left")
                     .withColumn("part", F.coalesce("label", "b")).drop("label"))
@@ -421,10 +422,13 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) ->
             F.posexplode("keys").alias("at", "key"), F.col("b").alias("node"), "n", "total", "cost", "base", "part").select(
             "key", "node", "n", (F.col("total") - F.col("at")).alias("rest"), "cost", "base", "part")
         rows = materialize(rows, f"level-{level + 1}-rows")
+        longest = None if level + 1 == LEVELS else LATER_LIST
+        pairs, members = _split_lists(rows, longest, percent, f"level-{level + 1}")
+        links = materialize(links.union(_verify(pairs, sets, percent, f"level-{level + 1}-likely")), f"links-{level + 1}")
     return links
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """``node``, size ``n``, signature ``sig`` and set ``s`` of all nodes that are compared, from one document of each."""
     wanted = (pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct())
     ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")), "wanted")
