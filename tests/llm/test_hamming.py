@@ -29,7 +29,7 @@ def test_every_pair_within_the_radius_shares_a_key(percent):
     y = x.copy()
     for row in y:  # as many errors as allowed: at random, or spread evenly over the chunks
         at = rng.permutation(SYMBOLS)[:radius] if rng.random() < 0.5 else (
-            np.arange(radius) * 4 + np.arange(radius) // 32)
+            (np.arange(radius) * 4 + np.arange(radius) // 32) % SYMBOLS)
         row[at] += 1
     assert (keys_of(x, chosen) == keys_of(y, chosen)).any(axis=1).all()
 
