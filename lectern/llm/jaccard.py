@@ -382,10 +382,18 @@ def _central(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, np.ndarray
 
 
 def _stars(members: DataFrame, cores: DataFrame, name: str) -> DataFrame:
-    """``a``, the most central member of a long list, and ``b``, each of its members."""
-    ranked = members.join(cores, "node")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("core", "node"))["node"].alias("a"))
-    return materialize(members.join(pivots, "key").select("a", F.col("node").alias("b")).distinct(), name)
+    """``a``, the pivot of a long list, and ``b``, each of its members.
+
+    Any set may be the pivot of a list. The most central member is replaced by the most central one that it shares a list with, so
+    that the many lists of one group have one pivot, and each member is compared once.
+    """
+    best = F.max(F.struct("core", "node")).alias("best")
+    firsts = materialize(members.join(cores, "node").groupBy("key").agg(best), f"{name}-first")
+    chosen = firsts.select(F.col("best.node").alias("node")).distinct()
+    tops = (members.join(chosen, "node", "left_semi").join(firsts, "key")
+            .groupBy("node").agg(F.max("best").alias("top")).select(F.col("node").alias("first"), F.col("top.node").alias("a")))
+    pivots = materialize(firsts.select("key", F.col("best.node").alias("first")).join(tops, "first").select("key", "a"), f"{name}-pivots")
+    return materialize(members.join(small_side(pivots), "key").select("a", F.col("node").alias("b")).distinct(), name)
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
