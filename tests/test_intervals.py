@@ -58,7 +58,7 @@ def test_video_time_equals_brute_force(spark):
 def test_merge_equals_brute_force(spark):
     data = plays(2)
     got = {}
-    for r in interval_merge(spark.createDataFrame(data, SCHEMA), KEYS, slice_width=16).collect():
+    for r in interval_merge(spark.createDataFrame(data, SCHEMA), KEYS).collect():
         got.setdefault((r.uid, r.cwareid, r.videoid), []).append((r.ps, r.pe))
     want = {key: brute_merge([(r[3], r[4]) for r in data if r[:3] == key]) for key in {r[:3] for r in data}}
     assert {k: sorted(v) for k, v in got.items()} == want
@@ -106,3 +106,21 @@ def test_equal_plays_folds_in_any_chunking():
         parts = equal_plays(np.concatenate((parts, data[i:i + 7])))
     assert whole.tolist() == parts.tolist()
     assert whole[:, 5].sum() == data[:, 5].sum()
+
+
+def test_merge_of_long_negative_and_empty_intervals(spark):
+    rng = random.Random(9)
+    data = [(rng.randrange(6), s, s + rng.choice([0, 0, 1, 3, 64, 65, rng.randrange(1, 1000)]))
+            for s in (rng.randrange(-700, 5000) for _ in range(250))]
+    data += [(9, 0, 64), (9, 64, 128), (10, 0, 128), (10, 128, 128), (11, -64, -64), (11, -65, -64), (12, 5, 5), (12, 7, 7), (12, 6, 6)]
+    got = {}
+    for r in interval_merge(spark.createDataFrame(data, "k int, ps int, pe int"), ["k"]).collect():
+        got.setdefault(r.k, []).append((r.ps, r.pe))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        k: brute_merge([(s, e) for key, s, e in data if key == k]) for k in {r[0] for r in data}}
+
+
+def test_merge_is_lazy_and_takes_two_shuffles(spark, capsys):
+    df = spark.createDataFrame([(1, 0, 5)], "k int, ps int, pe int").repartition(3)
+    plan = interval_merge(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
