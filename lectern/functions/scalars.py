@@ -159,7 +159,7 @@ def format_intervals(intervals: Column) -> Column:
 
 
 def parse_intervals(text: Column) -> Column:
-    """``"s-e,s-e"`` -> ``array<struct<s:int,e:int>>``; empty or null text -> empty array."""
+    """``"s-e,s-e"`` -> ``array<struct<s:int,e:int>>``; empty or null text -> empty array. Starts may be negative."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.length(p) > 0)
     return F.transform(parts, lambda p: F.struct(
         F.substring_index(p, "-", 1).cast("int").alias("s"),

@@ -36,18 +36,25 @@ def _with_reach(df: DataFrame, keys: Sequence[str], start: str, end: str, width:
 
 
 def interval_coverage(plays: DataFrame, keys: Sequence[str], start: str = "ps", end: str = "pe",
-                      slice_width: int = SLICE_WIDTH, known: str | None = None) -> DataFrame:
+                      slice_width: int | None = SLICE_WIDTH, known: DataFrame | None = None) -> DataFrame:
     """Add ``new_len`` to distinct intervals: positions no earlier interval of the key has covered.
 
-    ``plays`` holds each ``(key, start, end)`` once. Order is ``(start, end)``. ``known`` names a column with the disjoint intervals
-    (``s``, ``e``) that are stored for the key; what they cover is not new.
+    ``plays`` holds each ``(key, start, end)`` once. Order is ``(start, end)``. ``known`` has a row per key with the disjoint
+    intervals stored for it, as an array ``known`` of ``s``, ``e``; what these cover is not new. Its other columns are
+    added to the rows of the key. A ``slice_width`` of None sorts all rows of a key in one task: for parts of a
+    stream, whose size is capped, that saves three shuffles.
     """
-    reached = _with_reach(plays, keys, start, end, slice_width, "_reach")
+    if slice_width is None:
+        before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+        reached = plays.withColumn("_reach", F.max(end).over(before))
+    else:
+        reached = _with_reach(plays, keys, start, end, slice_width, "_reach")
     begin = F.least(F.col(end), F.greatest(F.col(start), F.coalesce(F.col("_reach"), F.col(start)))).cast("bigint")
     new = F.col(end).cast("bigint") - begin
     if known is not None:
-        new = new - known_length(F.col(known), begin, F.col(end).cast("bigint"))
-    return reached.withColumn("new_len", new).drop("_reach", "_slice")
+        reached = reached.join(known, list(keys), "left")
+        new = new - known_length(F.col("known"), begin, F.col(end).cast("bigint"))
+    return reached.withColumn("new_len", new).drop("_reach", "_slice", "known")
 
 
 def _ones(count: Column) -> Column:
@@ -143,7 +150,35 @@ def video_time(plays: DataFrame, keys: Sequence[str] = ("uid", "cwareid", "video
     """
     distinct = fold_plays(plays, keys, seconds)
     covered = interval_coverage(distinct, keys, "ps", "pe", slice_width)
+    return _times(covered, keys)
+
+
+def _times(covered: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
     effective = S.effective_seconds(F.col("_first"), F.col("ps"), F.col("pe"), F.col("new_len"))
     return covered.groupBy(*keys).agg(
         F.sum("_all").alias("totaltime"), F.sum(effective).alias("effecttime"),
-        F.sum("new_len").alias("completetime"))
+        F.sum("new_len").alias("completetime"), *more)
+
+
+def video_time_after(folded: DataFrame, before: DataFrame | None, keys: Sequence[str] = ("uid", "cwareid", "videoid"),
+                     slice_width: int | None = None) -> DataFrame:
+    """Times and ``play_interval`` (``s-e`` texts) of the keys in ``folded`` (see :func:`fold_plays`), carried on from ``before``.
+
+    ``before`` has the columns of the result, one row per key. What it covers is not new; its times are added. The text of a
+    key holds its disjoint intervals, so it is bounded by the length of the video. All that is joined is partitioned by key.
+    """
+    keys, times, stored = list(keys), ("totaltime", "effecttime", "completetime"), None
+    plays = folded.select(*keys, "ps", "pe")
+    if before is not None:
+        stored = before.join(folded.select(*keys).distinct(), keys, "left_semi").select(
+            *keys, *[F.col(t).alias(f"_{t}") for t in times], S.parse_intervals(F.col("play_interval")).alias("known"))
+        plays = plays.union(stored.select(*keys, F.explode("known").alias("_k")).select(*keys, "_k.s", "_k.e"))
+    covered = interval_coverage(folded, keys, "ps", "pe", slice_width, stored)
+    if stored is None:
+        now = _times(covered, keys)
+    else:
+        now = _times(covered, keys, *[F.coalesce(F.max(f"_{t}"), F.lit(0)).alias(f"_{t}") for t in times]).select(
+            *keys, *[(F.col(t) + F.col(f"_{t}")).alias(t) for t in times])
+    merged = interval_merge(plays, keys).groupBy(*keys).agg(S.format_intervals(F.sort_array(F.collect_list(
+        F.struct(F.col("ps").alias("s"), F.col("pe").alias("e"))))).alias("play_interval"))
+    return now.join(merged, keys)

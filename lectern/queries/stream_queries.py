@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions import scalars as S
@@ -144,6 +145,80 @@ def stream_page_job(spark: SparkSession, sf_dir: str) -> DataFrame:
             .union(tables["page_views"].selectExpr("'views' AS kind", "page_id AS key", "num")))
 
 
+class Interrupted(Exception):
+    """Stands for the loss of the driver between two writes of a batch."""
+
+
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page job, lost between two tables of its second batch and started again when more files have come.
+
+    Returns all tables as readers see them at the end, and ``seen``: whether readers saw whole first batch after the loss, that is, every
+    table summing to the same number of views.
+    """
+    folder = work_dir(spark, "stream")
+    session = stream_session(spark, spark.sparkContext.defaultParallelism)
+    roles = Roles(session, sf_dir)
+    late = F.crc32("value") % 3 == 0
+    replay_to_dir(roles.page_lines().where(~late), f"{folder}/in", 4)
+
+    def lose(table: str, batch_id: int) -> None:
+        if (table, batch_id) == ("page_views", 1):
+            raise Interrupted(table)
+
+    def run(after_write: Callable) -> None:
+        for query in jobs.page_job(file_lines(session, f"{folder}/in", 2), roles.ip_ranges(), f"{folder}/out", f"{folder}/checkpoint",
+                                   f"{folder}/bad", after_write, available_now=True):
+            query.awaitTermination()
+
+    try:
+        run(lose)
+    except StreamingQueryException as error:
+        if "Interrupted" not in str(error):
+            raise
+    early = jobs.page_tables(spark, f"{folder}/out")
+    sums = {name: early[name].agg(F.sum("num")).first()[0] for name in ("page_transitions", "page_views", "province_clicks")}
+    replay_to_dir(roles.page_lines().where(late), f"{folder}/in", 2)
+    run(lambda table, batch_id: None)
+    tables = jobs.page_tables(spark, f"{folder}/out")
+    found = (tables["page_transitions"].selectExpr("'move' AS kind", "concat_ws('>', last_page_id, page_id, next_page_id) AS key", "num")
+             .union(tables["page_views"].selectExpr("'views'", "page_id", "num"))
+             .union(tables["page_jump_rate"].selectExpr("'rate'", "concat(page_id, ' ', jump_rate)", "num"))
+             .union(tables["province_clicks"].selectExpr("'province'", "province", "num"))
+             .union(tables["top_province"].selectExpr("'best'", "province", "num")))
+    return found.withColumn("seen", F.lit(len(set(sums.values())) == 1))
+
+
+#: Batches of the plays in :func:`stream_video_coverage`, by the position they began at.
+PARTS = 3
+
+
+def stream_video_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watched time over several batches, each of plays all over the videos; the job is started anew for each."""
+    folder = work_dir(spark, "stream")
+    session = stream_session(spark, spark.sparkContext.defaultParallelism)
+    texts = Roles(session, sf_dir).learn_lines()
+    part = F.get_json_object("value", "$.ps").cast("int") % PARTS
+    for number in range(PARTS):
+        replay_to_dir(texts.where(part == number), f"{folder}/in", 2)
+        jobs.video_detail(file_lines(session, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint",
+                          available_now=True).awaitTermination()
+    return jobs.video_log(spark, f"{folder}/out").read()
+
+
+def stream_learn_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables of the one-read learning job as of its last batch; of watched time what no order of batches changes."""
+    folder = work_dir(spark, "stream")
+    session = stream_session(spark, spark.sparkContext.defaultParallelism)
+    replay_to_dir(Roles(session, sf_dir).learn_lines(), f"{folder}/in", 4)
+    for query in jobs.learn_job(file_lines(session, f"{folder}/in", 2), f"{folder}/out", f"{folder}/checkpoint", f"{folder}/bad",
+                                available_now=True):
+        query.awaitTermination()
+    tables = jobs.learn_tables(spark, f"{folder}/out")
+    return tables["learn_time"].selectExpr("dim", "key", "totaltime", "CAST(NULL AS bigint) AS completetime",
+                                           "CAST(NULL AS string) AS play_interval").union(tables["video_detail"].selectExpr(
+        "'video'", "concat_ws('/', uid, cwareid, videoid)", "totaltime", "completetime", "play_interval"))
+
+
 def _landed(spark: SparkSession, out: str) -> DataFrame:
     """Landed lines by topic and page; the day folder is the day of the run."""
     return spark.read.text(out).groupBy("topic", F.get_json_object("value", "$.page_id").alias("page_id")).agg(
@@ -189,10 +264,9 @@ QUERIES = {
     "stream_province_clicks": streamed("page_lines", jobs.provinces, table_result("province_clicks")),
     "stream_province_top3": streamed("page_lines", jobs.provinces, table_result("top_province")),
     "stream_learn_time": streamed("learn_lines", jobs.learn_time, log_result("learn_time", ["dim", "key"])),
-    # effective time depends on which plays share a batch, so parity needs one batch
-    "stream_video_coverage": streamed(
-        "learn_lines", jobs.video_detail,
-        log_result("video_detail", VIDEO_KEYS, lambda df: df.drop("play_interval")), per_trigger=None),
+    "stream_video_coverage": stream_video_coverage,
+    "stream_learn_job": stream_learn_job,
+    "stream_restart": stream_restart,
     "stream_raw_landing": streamed("page_lines", jobs.landing, _landed, topic="page_topic"),
 }
 
@@ -218,6 +292,18 @@ f AS (SELECT uid, cwareid, videoid, ps, pe, ts, te, CASE WHEN coalesce({_REACH}
 g AS (SELECT *, sum(gap) OVER (PARTITION BY uid, cwareid, videoid ORDER BY ps, pe, ts, te
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
 SELECT uid, cwareid, videoid, min(ps) AS ps, max(pe) AS pe FROM g GROUP BY uid, cwareid, videoid, island"""
+# new positions by marking each: the first play of a position in the order of batches, then of plays
+_CARRIED = f"""WITH {PLAYS},
+n AS (SELECT *, ps % {PARTS} AS part, row_number() OVER () AS play FROM p),
+x AS (SELECT uid, cwareid, videoid, play, part, ps, pe, ts, te, unnest(range(ps, pe)) AS pos FROM n),
+f AS (SELECT play, count(*) AS new FROM (SELECT play, row_number() OVER (PARTITION BY uid, cwareid, videoid, pos
+  ORDER BY part, ps, pe, ts, te, play) AS turn FROM x) WHERE turn = 1 GROUP BY play),
+t AS (SELECT uid, cwareid, videoid, sum(seconds) AS totaltime,
+  sum(CASE WHEN pe = ps THEN 0 ELSE seconds * coalesce(new, 0) // (pe - ps) END) AS effecttime,
+  coalesce(sum(new), 0) AS completetime FROM n LEFT JOIN f USING (play) GROUP BY uid, cwareid, videoid),
+i AS (SELECT uid, cwareid, videoid, string_agg(ps || '-' || pe, ',' ORDER BY ps, pe) AS play_interval
+  FROM ({_INTERVALS}) GROUP BY uid, cwareid, videoid)
+SELECT * FROM t JOIN i USING (uid, cwareid, videoid)"""
 _PAGES = EVENTS + """,
 pages AS (SELECT CAST(k % 4 AS varchar) AS last_page_id, CAST(code AS varchar) AS page_id,
     CASE WHEN k % 5 > 0 THEN CAST(k % 5 AS varchar) ELSE '' END AS next_page_id,
@@ -282,7 +368,14 @@ SQL = {
         FROM ({_TRANSITIONS}) UNION ALL SELECT 'province', province, num FROM ({_TOP3})
         UNION ALL SELECT 'views', page_id, count(*) FROM (WITH {_PAGES} SELECT page_id FROM pages) GROUP BY page_id""",
     "stream_learn_time": _LEARN_ALL,
-    "stream_video_coverage": _COVERAGE,
+    "stream_video_coverage": _CARRIED,
+    "stream_learn_job": f"""SELECT dim, key, totaltime, NULL::BIGINT AS completetime, NULL::VARCHAR AS play_interval FROM ({_LEARN_ALL})
+        UNION ALL SELECT 'video', concat_ws('/', uid, cwareid, videoid), totaltime, completetime, play_interval FROM ({_CARRIED})""",
+    "stream_restart": f"""SELECT *, true AS seen FROM (
+        SELECT 'move' AS kind, last_page_id || '>' || page_id || '>' || next_page_id AS key, num FROM ({_TRANSITIONS})
+        UNION ALL SELECT 'province', province, num FROM ({_PROVINCES}) UNION ALL SELECT 'best', province, num FROM ({_TOP3})
+        UNION ALL SELECT 'rate', page_id || ' ' || jump_rate, num FROM ({_FUNNEL})
+        UNION ALL SELECT 'views', page_id, count(*) FROM (WITH {_PAGES} SELECT page_id FROM pages) GROUP BY page_id)""",
     "stream_raw_landing": f"""WITH {_PAGES} SELECT 'page_topic' AS topic, page_id, count(*) AS num, 1 AS days
         FROM pages GROUP BY page_id""",
 }

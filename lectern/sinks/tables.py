@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.operators.grouping import first_per_key
 from lectern.operators.upsert import upsert
@@ -77,6 +77,24 @@ class _Folders:
         fs.delete(target, True)
 
 
+class Published(_Folders):
+    """Which batch the tables of a stream have all reached.
+
+    A job that writes several tables publishes a batch after the last of them. Readers take the tables as of that batch
+    (``through``), so those of one batch appear together, also while the next one is written or after it has failed midway.
+    """
+
+    def publish(self, batch_id: int) -> None:
+        fs, marker = self._hadoop(f"{self.folder('published', batch_id)}/_SUCCESS")
+        fs.create(marker, True).close()
+        for old in self._done("published"):
+            if old < batch_id:
+                self._drop("published", old)
+
+    def last(self) -> int | None:
+        return max(self._done("published"), default=None)
+
+
 class VersionedTable(_Folders):
     """A result table whose every version is a complete folder ``v=<n>`` below ``path``.
 
@@ -95,9 +113,9 @@ class VersionedTable(_Folders):
     def current(self) -> int | None:
         return max(self.versions(), default=None)
 
-    def read(self) -> DataFrame | None:
-        """The current version, or None before the first commit."""
-        version = self.current()
+    def read(self, through: int | None = None) -> DataFrame | None:
+        """The current version, or the latest one up to ``through``; None before the first commit."""
+        version = max((v for v in self.versions() if through is None or v <= through), default=None)
         return None if version is None else self.spark.read.parquet(self.folder("v", version))
 
     def commit(self, df: DataFrame, version: int | None = None) -> bool:
@@ -127,18 +145,29 @@ class ChangeLog(_Folders):
     """Keyed results of a stream: every batch writes only the rows it changed, with their full totals.
 
     A batch owns the folder ``batch=<id>``, so a replayed batch overwrites itself. The table is the latest
-    row per key. :meth:`compact` folds finished batches into ``base=<id>``.
+    row per key. :meth:`compact` folds finished batches into ``base=<id>``. With ``buckets`` rows lie in that many folders by
+    their keys, and :meth:`read` can leave out the folders that hold no key of a batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], run: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], run: str | None = None, buckets: int | None = None):
         super().__init__(spark, path, run)
-        self.keys = list(keys)
+        self.keys, self.buckets = list(keys), buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.hash(*self.keys), F.lit(self.buckets))
+
+    def _store(self, rows: DataFrame, folder: str) -> None:
+        if self.buckets:
+            rows = rows.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(folder)
+        else:
+            rows.hint("rebalance").write.mode("overwrite").parquet(folder)
 
     def write(self, changed: DataFrame, batch_id: int) -> bool:
         self.claim()
         if batch_id <= max(self._done("base"), default=-1):
             return False
-        changed.hint("rebalance").write.mode("overwrite").parquet(self.folder("batch", batch_id))
+        self._store(changed, self.folder("batch", batch_id))
         return True
 
     def add(self, counts: DataFrame, batch_id: int, columns: Sequence[str]) -> bool:
@@ -155,9 +184,17 @@ class ChangeLog(_Folders):
             *[counts[c] for c in names],
             *[(counts[c] + F.coalesce(before[c], F.lit(0))).alias(c) for c in columns]), batch_id)
 
+    def _filled(self, kind: str) -> list[int]:
+        """Folders with rows; one without any has no bucket in it."""
+        done = self._done(kind)
+        if not self.buckets:
+            return done
+        return [n for n in done if any(s.isDirectory() for s in self._hadoop(self.path)[0].listStatus(
+            self._hadoop(self.folder(kind, n))[1]))]
+
     def _rows(self, through: int | None = None) -> DataFrame | None:
-        base = max(self._done("base"), default=None)
-        batches = [b for b in self._done("batch") if (base is None or b > base) and (through is None or b <= through)]
+        base = max(self._filled("base"), default=None)
+        batches = [b for b in self._filled("batch") if (base is None or b > base) and (through is None or b <= through)]
         frames = [] if base is None else [
             self.spark.read.parquet(self.folder("base", base)).withColumn("_batch", F.lit(base).cast("bigint"))]
         if batches:
@@ -168,20 +205,23 @@ class ChangeLog(_Folders):
             return None
         return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
-    def read(self, through: int | None = None) -> DataFrame | None:
-        """Latest row per key, or None before the first batch."""
+    def read(self, through: int | None = None, touching: DataFrame | None = None) -> DataFrame | None:
+        """Latest row per key, or None before the first batch. With ``touching``, only of the buckets its keys are in."""
         rows = self._rows(through)
         if rows is None:
             return None
+        if touching is not None and self.buckets:
+            touched = [r[0] for r in touching.select(self._bucket()).distinct().collect()]  # self.buckets numbers at most
+            rows = rows.where(F.col("_bucket").isin(touched))
         return first_per_key(rows.withColumn("_order", -F.col("_batch")), self.keys, ("_order",)).drop(
-            "_order", "_batch")
+            "_order", "_batch", "_bucket")
 
     def compact(self, through: int) -> None:
         """Fold batches up to ``through`` into one folder and drop them."""
         current = self.read(through)
         if current is None or through <= max(self._done("base"), default=-1):
             return
-        current.write.mode("overwrite").parquet(self.folder("base", through))
+        self._store(current, self.folder("base", through))
         for base in self._done("base"):
             if base < through:
                 self._drop("base", base)

@@ -9,27 +9,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions import scalars as S
 from lectern.operators.activity import funnel_rates, page_transitions, page_views, running_count, sliding_count
 from lectern.operators.grouping import sum_by_each, top_overall
+from lectern.operators.intervals import fold_plays, video_time_after
 from lectern.operators.ranges import count_by_range
-from lectern.sinks.tables import ChangeLog, VersionedTable
+from lectern.sinks.tables import ChangeLog, Published, VersionedTable
 from lectern.sources.logs import (
     flagged_pages, flagged_plays, learn_records, page_records, question_records, register_records)
 from lectern.sources.streams import run_id, start
-from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS, question_mastery_stream, video_time_stream
+from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS, question_mastery_stream
 
 #: Learning time is summed by each of these columns of a play.
 LEARN_DIMS = ("chapterid", "cwareid", "edutypeid", "sourcetype", "subjectid")
 
 
 TRANSITION_KEYS = ["last_page_id", "page_id", "next_page_id"]
+PAGE_TABLES = ("page_views", "page_jump_rate", "province_clicks", "top_province")
 
 #: Batches after which a change log folds its batch folders into one.
 COMPACT_EVERY = 500
+#: Folders by key of the watched intervals; a batch reads those its keys are in.
+VIDEO_BUCKETS = 32
+
+#: Called with the name of a table and the batch id after each write, for progress reports; what it raises fails the batch.
+AfterWrite = Callable[[str, int], None]
 
 
 def into_log(log: ChangeLog, compact_every: int | None = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
@@ -136,10 +143,34 @@ def learn_time(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQ
                     f"{checkpoint}/learn_time", **run)
 
 
+def video_log(spark: SparkSession, out: str, run: str | None = None) -> ChangeLog:
+    """Times and intervals per user and video, as :func:`video_detail` and :func:`learn_job` write them."""
+    return ChangeLog(spark, f"{out}/video_detail", VIDEO_KEYS, run, VIDEO_BUCKETS)
+
+
+def add_plays(log: ChangeLog, plays: DataFrame, batch_id: int) -> None:
+    """Carry the watched intervals on by the plays of a batch; what they were before it is read from the log.
+
+    Plays are taken in ``(ps, pe, ts, te)`` order within a batch, so effective time depends on which plays share one; total
+    and completed time and the intervals do not.
+    """
+    folded = fold_plays(plays, VIDEO_KEYS).persist()
+    try:
+        log.write(video_time_after(folded, log.read(batch_id - 1, touching=folded), VIDEO_KEYS), batch_id)
+        _fold(log, batch_id)
+    finally:
+        folded.unpersist()
+
+
 def video_detail(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
     """Total, effective and completed seconds and the covered intervals per user and video."""
-    plays, _ = learn_records(lines)
-    return _changes(video_time_stream(plays), f"{out}/video_detail", VIDEO_KEYS, f"{checkpoint}/video_detail", **run)
+    spark = lines.sparkSession
+    log = video_log(spark, out, run_id(spark, f"{checkpoint}/video_detail"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        add_plays(log, learn_records(batch)[0], batch_id)
+
+    return start(lines.writeStream.foreachBatch(write), f"{checkpoint}/video_detail", **run)
 
 
 def register_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, *, watermark: str | None,
@@ -164,18 +195,18 @@ def question_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None =
 
 
 def page_job(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, bad: str | None = None,
-             **run) -> list[StreamingQuery]:
+             after_write: AfterWrite = lambda table, batch_id: None, **run) -> list[StreamingQuery]:
     """Transitions, funnel and provinces from one stream that reads and parses each batch once.
 
     The tables are those of :func:`transitions`, :func:`funnel` and :func:`provinces`; the sums of a batch are added to
-    the totals before it, under its batch id.
+    the totals before it, under its batch id. :func:`page_tables` reads them as of the last batch that has reached all.
     """
     spark = lines.sparkSession
     name = run_id(spark, f"{checkpoint}/page")
     moves = ChangeLog(spark, f"{out}/page_transitions", TRANSITION_KEYS, name)
-    views, rates, totals, best = (VersionedTable(spark, f"{out}/{table}", run=name)
-                                  for table in ("page_views", "page_jump_rate", "province_clicks", "top_province"))
+    views, rates, totals, best = (VersionedTable(spark, f"{out}/{table}", run=name) for table in PAGE_TABLES)
     located = ranges.withColumn("province", S.region_part(F.col("region")))
+    published = Published(spark, f"{out}/page_job")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         flagged = flagged_pages(batch).persist()
@@ -183,38 +214,70 @@ def page_job(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str, bad
             pages = flagged.where("ok")
             moves.add(page_transitions(pages), batch_id, ["num"])
             _fold(moves, batch_id)
+            after_write("page_transitions", batch_id)
             views.merge(page_views(pages), batch_id, ["page_id"], add=["num"])
+            after_write("page_views", batch_id)
             rates.commit(funnel_rates(views.read()), batch_id)
+            after_write("page_jump_rate", batch_id)
             clicks = count_by_range(pages.select(S.ip_number(F.col("ip")).alias("ip_num")), "ip_num", located,
                                     "start_ip", "end_ip", ["province"])
             totals.merge(clicks, batch_id, ["province"], add=["num"])
+            after_write("province_clicks", batch_id)
             best.commit(top_overall(totals.read(), [F.col("num").desc(), F.col("province")], 3), batch_id)
+            after_write("top_province", batch_id)
             _write_bad(flagged, bad, batch_id)
+            published.publish(batch_id)
         finally:
             flagged.unpersist()
 
     return [start(lines.writeStream.foreachBatch(write), f"{checkpoint}/page", **run)]
 
 
-def learn_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None, **run) -> list[StreamingQuery]:
-    """Learning time and bad lines from one stream that parses each batch once, watched time from another.
+def page_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables of :func:`page_job`, all as of the same batch; empty before the first one."""
+    through = Published(spark, f"{out}/page_job").last()
+    if through is None:
+        return {}
+    return {"page_transitions": ChangeLog(spark, f"{out}/page_transitions", TRANSITION_KEYS).read(through),
+            **{name: VersionedTable(spark, f"{out}/{name}").read(through) for name in PAGE_TABLES}}
 
-    Watched time keeps state per user and video, which a batch function cannot.
+
+def learn_job(lines: DataFrame, out: str, checkpoint: str, bad: str | None = None,
+              after_write: AfterWrite = lambda table, batch_id: None, **run) -> list[StreamingQuery]:
+    """Learning time, watched time and bad lines from one stream that reads and parses each batch once.
+
+    :func:`learn_tables` reads the tables as of the last batch that has reached both.
     """
     spark = lines.sparkSession
-    times = ChangeLog(spark, f"{out}/learn_time", ["dim", "key"], run_id(spark, f"{checkpoint}/learn"))
+    name = run_id(spark, f"{checkpoint}/learn")
+    times = ChangeLog(spark, f"{out}/learn_time", ["dim", "key"], name)
+    videos = video_log(spark, out, name)
+    published = Published(spark, f"{out}/learn_job")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         flagged = flagged_plays(batch).persist()
         try:
-            times.add(sum_by_each(flagged.where("ok"), LEARN_DIMS, "seconds", "totaltime"), batch_id, ["totaltime"])
+            plays = flagged.where("ok")
+            times.add(sum_by_each(plays, LEARN_DIMS, "seconds", "totaltime"), batch_id, ["totaltime"])
             _fold(times, batch_id)
+            after_write("learn_time", batch_id)
+            add_plays(videos, plays, batch_id)
+            after_write("video_detail", batch_id)
             _write_bad(flagged, bad, batch_id)
+            published.publish(batch_id)
         finally:
             flagged.unpersist()
 
-    return [start(lines.writeStream.foreachBatch(write), f"{checkpoint}/learn", **run),
-            video_detail(lines, out, checkpoint, **run)]
+    return [start(lines.writeStream.foreachBatch(write), f"{checkpoint}/learn", **run)]
+
+
+def learn_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables of :func:`learn_job`, both as of the same batch; empty before the first one."""
+    through = Published(spark, f"{out}/learn_job").last()
+    if through is None:
+        return {}
+    return {"learn_time": ChangeLog(spark, f"{out}/learn_time", ["dim", "key"]).read(through),
+            "video_detail": video_log(spark, out).read(through)}
 
 
 def _fold(log: ChangeLog, batch_id: int) -> None:

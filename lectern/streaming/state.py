@@ -1,27 +1,16 @@
-"""Running mastery and watched-time totals per key.
+"""Running mastery per key, as a plain streaming aggregation: its state is the set of questions and three totals.
 
-Mastery is a plain streaming aggregation: its state is the set of questions and three totals. Watched time
-needs the intervals seen so far, which no built-in aggregate keeps, so it has a state processor. Equal plays
-are combined per Arrow batch before the shuffle, so a key with very many plays reaches it as few rows.
-Both emit full totals and not increments: a batch that runs again writes the same rows.
+It emits full totals and not increments: a batch that runs again writes the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Row, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import scalars as S
 
 POINT_KEYS = ["uid", "courseid", "pointid"]
 VIDEO_KEYS = ["uid", "cwareid", "videoid"]
-#: Rows of one key taken from the input at a time.
-CHUNK = 10_000
 
 
 def question_mastery_stream(answers: DataFrame, questions_per_point: int = S.QUESTIONS_PER_POINT) -> DataFrame:
@@ -39,103 +28,3 @@ def question_mastery_stream(answers: DataFrame, questions_per_point: int = S.QUE
         S.mastery_rate(F.col("qz_count"), F.col("qz_istrue"), F.col("qz_sum"), questions_per_point)
         .alias("mastery_rate"),
         F.array_join(F.transform("_questions", lambda q: q.cast("string")), ",").alias("questionids"), "createtime")
-
-
-# columns of a combined play, in sort order: equal plays are neighbours and the earliest comes first
-PLAY_COLUMNS = ["ps", "pe", "ts", "te", "first", "total"]
-
-
-def combine_plays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per (key, ps, pe) of an Arrow batch: all seconds, and the earliest play's stamps and seconds."""
-    for pdf in batches:
-        pdf = pdf.assign(first=pdf["seconds"], total=pdf["seconds"])
-        ordered = pdf.sort_values([*VIDEO_KEYS, *PLAY_COLUMNS[:-1]], kind="stable")
-        yield ordered.groupby([*VIDEO_KEYS, "ps", "pe"], as_index=False, sort=False).agg(
-            total=("total", "sum"), first=("first", "first"), ts=("ts", "first"), te=("te", "first"))
-
-
-def equal_plays(plays: np.ndarray) -> np.ndarray:
-    """The same for one key: rows of :data:`PLAY_COLUMNS`, sorted, equal ``(ps, pe)`` folded together."""
-    plays = plays[np.lexsort(plays.T[4::-1])]
-    opens = np.concatenate(([True], (plays[1:, :2] != plays[:-1, :2]).any(axis=1)))
-    out = plays[opens].copy()
-    out[:, 5] = np.add.reduceat(plays[:, 5], np.flatnonzero(opens))
-    return out
-
-
-def new_coverage(starts: np.ndarray, ends: np.ndarray, known_s: np.ndarray, known_e: np.ndarray) -> np.ndarray:
-    """Positions of each play, taken in ``(start, end)`` order, that nothing before it has covered.
-
-    ``known_s``/``known_e`` are sorted disjoint intervals seen earlier.
-    """
-    if len(starts) == 0:
-        return starts
-    reach = np.concatenate(([starts[0]], np.maximum.accumulate(ends)[:-1]))
-    begin = np.minimum(np.maximum(starts, reach), ends)
-    if len(known_s) == 0:
-        return ends - begin
-    before = np.concatenate(([0], np.cumsum(known_e - known_s)))
-
-    def below(x: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(known_s, x, side="right")
-        last = np.maximum(i - 1, 0)
-        over = np.where(i > 0, np.maximum(known_e[last] - x, 0), 0)
-        return before[i] - over
-
-    return (ends - begin) - (below(ends) - below(begin))
-
-
-def merge_intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted disjoint intervals; overlapping and touching ones are joined."""
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], ends[order]
-    reach = np.maximum.accumulate(ends)
-    opens = np.concatenate(([True], starts[1:] > reach[:-1]))
-    closes = np.concatenate((np.flatnonzero(opens)[1:] - 1, [len(starts) - 1]))
-    return starts[opens], reach[closes]
-
-
-class VideoTime(StatefulProcessor):
-    """Disjoint intervals seen so far and the three running totals of one user and video."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState(
-            "seen", "starts array<bigint>, ends array<bigint>, total bigint, effective bigint, complete bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known_s, known_e, total, effective, complete = self.seen.get() or ([], [], 0, 0, 0)
-        known_s, known_e = np.array(known_s, dtype="int64"), np.array(known_e, dtype="int64")
-        plays = np.empty((0, len(PLAY_COLUMNS)), dtype="int64")
-        while chunk := [[row[c] for c in PLAY_COLUMNS] for row in islice(rows, CHUNK)]:
-            # folded chunk by chunk: only distinct plays are ever held
-            plays = equal_plays(np.concatenate((plays, np.array(chunk, dtype="int64"))))
-        ps, pe, first, seconds = plays[:, 0], plays[:, 1], plays[:, 4], plays[:, 5]
-        new, length = new_coverage(ps, pe, known_s, known_e), pe - ps
-        share = first * new // np.where(length == 0, 1, length)
-        total += int(seconds.sum())
-        effective += int(np.where(length == 0, 0, share).sum())
-        complete += int(new.sum())
-        merged_s, merged_e = merge_intervals(np.concatenate((known_s, ps)), np.concatenate((known_e, pe)))
-        starts, ends = merged_s.tolist(), merged_e.tolist()
-        self.seen.update((starts, ends, total, effective, complete))
-        yield Row(**dict(zip(VIDEO_KEYS, key)), totaltime=total, effecttime=effective, completetime=complete,
-                  play_interval=",".join(f"{s}-{e}" for s, e in zip(starts, ends)))
-
-    def close(self) -> None:
-        pass
-
-
-def video_time_stream(plays: DataFrame) -> DataFrame:
-    """Running watched-time totals per user, courseware and video; the streaming twin of ``video_time``.
-
-    Within a micro-batch plays are taken in ``(ps, pe, ts, te)`` order, so effective time depends on
-    which plays share a batch; total and completed time do not.
-    """
-    combined = plays.select(*VIDEO_KEYS, "ps", "pe", "ts", "te", "seconds").mapInPandas(
-        combine_plays,
-        "uid int, cwareid int, videoid int, ps int, pe int, total bigint, first bigint, ts bigint, te bigint")
-    return combined.groupBy(*VIDEO_KEYS).transformWithState(
-        VideoTime(),
-        "uid int, cwareid int, videoid int, totaltime bigint, effecttime bigint, completetime bigint, "
-        "play_interval string",
-        "Update", "none")

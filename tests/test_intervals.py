@@ -1,10 +1,8 @@
 import random
 
-import numpy as np
-from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from lectern.operators.intervals import interval_coverage, interval_merge, video_time
-from lectern.streaming.state import PLAY_COLUMNS, equal_plays, merge_intervals, new_coverage
+from lectern.operators.intervals import fold_plays, interval_coverage, interval_merge, known_length, video_time, video_time_after
 
 KEYS = ["uid", "cwareid", "videoid"]
 SCHEMA = "uid int, cwareid int, videoid int, ps int, pe int, ts bigint, te bigint, seconds bigint"
@@ -68,44 +66,45 @@ def test_coverage_cases(spark):
     """Against a first play of 10-20: inside, both overlaps, covering, disjoint, touching, same start or end."""
     cases = {(12, 15): 0, (5, 15): 5, (15, 25): 5, (5, 25): 10, (30, 40): 10, (20, 30): 10, (10, 25): 5, (5, 20): 5,
              (15, 15): 0}
-    for (s, e), new in cases.items():
-        known = np.array([10]), np.array([20])
-        assert new_coverage(np.array([s]), np.array([e]), *known).tolist() == [new]
-    rows = [(i, s, e) for i, (s, e) in enumerate(cases)] + [(i, 10, 20) for i in range(len(cases))]
+    rows = [(i, s, e) for i, (s, e) in enumerate(cases)]
     df = spark.createDataFrame(rows, "k int, ps int, pe int")
+    stored = df.select("k", F.expr("array(struct(10L AS s, 20L AS e))").alias("known"))
+    total = {r.k: r.new_len for r in interval_coverage(df, ["k"], known=stored).collect()}
+    assert [total[i] for i in range(len(cases))] == list(cases.values())
+    df = df.union(df.selectExpr("k", "10", "20"))
     total = {r.k: r.n for r in interval_coverage(df, ["k"]).groupBy("k").sum("new_len").toDF("k", "n").collect()}
     assert [total[i] - 10 for i in range(len(cases))] == list(cases.values())
 
 
-pairs = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 25)).map(lambda p: (p[0], p[0] + p[1])), min_size=1, max_size=12)
-
-
-@settings(max_examples=300, deadline=None)
-@given(known=pairs, batch=pairs)
-def test_state_arithmetic(known, batch):
-    ks, ke = merge_intervals(*map(np.array, zip(*known)))
-    assert list(zip(ks.tolist(), ke.tolist())) == brute_merge(known)
-    batch = sorted(set(batch))
-    seen = {x for s, e in known for x in range(s, e)}
-    want = []
-    for s, e in batch:
-        new = set(range(s, e)) - seen
-        seen |= new
-        want.append(len(new))
-    s, e = map(np.array, zip(*batch))
-    assert new_coverage(s, e, ks, ke).tolist() == want
-
-
-def test_equal_plays_folds_in_any_chunking():
-    rng = np.random.default_rng(4)
-    data = np.column_stack([rng.integers(0, 4, 60), rng.integers(4, 7, 60), rng.integers(0, 9, 60), rng.integers(9, 20, 60),
-                            rng.integers(0, 5, 60), rng.integers(1, 5, 60)])
-    whole = equal_plays(data)
-    parts = np.empty((0, len(PLAY_COLUMNS)), dtype="int64")
-    for i in range(0, 60, 7):
-        parts = equal_plays(np.concatenate((parts, data[i:i + 7])))
-    assert whole.tolist() == parts.tolist()
-    assert whole[:, 5].sum() == data[:, 5].sum()
+def test_times_carried_on_over_batches(spark):
+    """Three batches, each after what the ones before it have stored, against marking every position."""
+    seen, times, before = {}, {}, None
+    for seed in (11, 12, 13):
+        batch = plays(seed, 400)
+        before = video_time_after(fold_plays(spark.createDataFrame(batch, SCHEMA), KEYS), before, KEYS)
+        carried = {tuple(r[k] for k in KEYS): r for r in before.collect()}
+        for key in {r[:3] for r in batch}:
+            total, effective, _ = times.get(key, (0, 0, 0))
+            positions, spans = seen.get(key, (set(), []))
+            for _, _, _, ps, pe, _, _, sec in sorted(r for r in batch if r[:3] == key):
+                new = set(range(ps, pe)) - positions
+                positions |= new
+                spans.append((ps, pe))
+                total, effective = total + sec, effective + (sec * len(new) // (pe - ps) if pe > ps else 0)
+            seen[key], times[key] = (positions, spans), (total, effective, len(positions))
+            r = carried[key]
+            assert (r.totaltime, r.effecttime, r.completetime) == times[key]
+            assert r.play_interval == ",".join(f"{s}-{e}" for s, e in brute_merge(spans))
+        assert set(carried) == {r[:3] for r in batch}
+        stored = [r.asDict() for r in before.collect()]
+        stored += [dict(zip(KEYS, k), totaltime=t[0], effecttime=t[1], completetime=t[2], play_interval=",".join(
+            f"{s}-{e}" for s, e in brute_merge(seen[k][1]))) for k, t in times.items() if k not in carried]
+        before = spark.createDataFrame(stored, before.schema)
+
+
+def test_known_length_of_null_and_empty(spark):
+    df = spark.sql("SELECT CAST(NULL AS array<struct<s:bigint,e:bigint>>) AS k UNION ALL SELECT array()")
+    assert [r[0] for r in df.select(known_length(F.col("k"), F.lit(0), F.lit(9))).collect()] == [0, 0]
 
 
 def test_merge_of_long_negative_and_empty_intervals(spark):

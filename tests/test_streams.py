@@ -2,10 +2,11 @@ import json
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lectern.operators.activity import funnel_rates, page_views, question_mastery, sliding_count
-from lectern.operators.intervals import video_time
+from lectern.operators.intervals import interval_merge, video_time
 from lectern.sinks.tables import ChangeLog, VersionedTable
 from lectern.sources.logs import learn_records, page_records, question_records, register_records
 from lectern.sources.streams import file_lines, replay_to_dir
@@ -103,6 +104,54 @@ def test_video_time_over_batches_keeps_order_free_totals(spark, replay, rows):
     assert got.where(covered != F.col("completetime")).count() == 0
 
 
+def test_tables_of_a_batch_appear_together(spark, replay):
+    """A failure between two tables of a batch shows readers the batch before, and a restart takes new files along."""
+    def fail(table, batch_id):
+        if (table, batch_id) == ("learn_time", 1):
+            raise RuntimeError("lost here")
+
+    def drain(**options):
+        source = file_lines(spark, f"{replay.root}/in", 1)
+        for query in jobs.learn_job(source, f"{replay.root}/out", f"{replay.root}/cp", available_now=True, **options):
+            query.awaitTermination()
+
+    assert jobs.learn_tables(spark, f"{replay.root}/out") == {}
+    texts = learn_lines(21, 80)
+    replay.add(texts, 2)
+    with pytest.raises(StreamingQueryException, match="lost here"):
+        drain(after_write=fail)
+    seen = jobs.learn_tables(spark, f"{replay.root}/out")
+    sums = [seen["learn_time"].where("dim = 'chapterid'"), seen["video_detail"]]
+    first, same = [df.agg(F.sum("totaltime")).first()[0] for df in sums]
+    assert first == same
+    more = learn_lines(22, 50)
+    replay.add(more, 1)
+    drain()
+    plays = learn_records(lines(spark, texts + more))[0]
+    tables = jobs.learn_tables(spark, f"{replay.root}/out")
+    total = plays.agg(F.sum("seconds")).first()[0]
+    assert total > first
+    assert tables["video_detail"].agg(F.sum("totaltime")).first()[0] == total
+    assert tables["learn_time"].where("dim = 'subjectid'").agg(F.sum("totaltime")).first()[0] == total
+    merged = {tuple(r)[:3]: r.text for r in interval_merge(plays, VIDEO_KEYS).groupBy(*VIDEO_KEYS).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ps", "pe"))), lambda i: F.concat_ws("-", i["ps"], i["pe"])), ",").alias("text")).collect()}
+    assert {tuple(r)[:3]: r.play_interval for r in tables["video_detail"].collect()} == merged
+
+
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"), ["k"], buckets=4)
+    every = spark.range(40).selectExpr("CAST(id AS int) AS k", "id AS num")
+    log.write(every, 0)
+    log.write(every.limit(0), 1)
+    few = every.where("k < 2")
+    touched = log.read(1, touching=few)
+    assert touched.join(few, "k", "left_semi").count() == 2 and touched.count() < 40
+    assert "_bucket" not in touched.columns
+    log.write(few.selectExpr("k", "num + 100 AS num"), 2)
+    log.compact(2)
+    assert {r.k: r.num for r in log.read().collect()} == {k: k + 100 * (k < 2) for k in range(40)}
+
+
 def test_whole_job_with_bad_lines_and_compaction(spark, replay, tmp_path):
     replay.add(learn_lines(9, 60), 4)
     source = file_lines(spark, f"{replay.root}/in", 1)
