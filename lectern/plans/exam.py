@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import scalars as S
 from lectern.operators.grouping import first_per_key, ids_in_parts, rate_by, top_n_ties
@@ -139,35 +139,95 @@ def build_answers(wh: Warehouse, dt: str) -> None:
     wh.write_day("dws_user_paper_answer", answer_grain(*parts), dt)
 
 
-def paper_summary(detail: DataFrame) -> DataFrame:
-    """Averages, extremes, passes and fails per paper in one aggregation; the columns of three reports."""
-    score = F.col("score")
-    return detail.groupBy(*PAPER_KEYS).agg(
-        F.avg(score).try_cast("decimal(4,1)").alias("avgscore"),
-        F.avg("spendtime").try_cast("decimal(10,2)").alias("avgspendtime"),
+def answer_summary(detail: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two mergeable histograms in one pass: answers and spent time per paper and score, and answers per question and flag.
+
+    A paper has few distinct scores, so all reports that only need its scores are read from these rows.
+    """
+    by_score, by_flag = [*PAPER_KEYS, "score"], ["questionid", "dt", "dn", "user_question_answer"]
+    every = list(dict.fromkeys(by_score + by_flag))
+    both = materialize(detail.groupingSets([[F.col(c) for c in by_score], [F.col(c) for c in by_flag]], *every).agg(
+        F.grouping("questionid").alias("_paper"), F.count(F.lit(1)).alias("n"), F.sum("spendtime").alias("spent"),
+        F.count("spendtime").alias("timed")), "answer-summary")
+    return (both.where("_paper = 1").select(*by_score, "n", "spent", "timed"),
+            both.where("_paper = 0").select(*by_flag, "n"))
+
+
+def paper_summary(scores: DataFrame) -> DataFrame:
+    """Averages, extremes, passes and fails per paper from :func:`answer_summary`; the columns of three reports."""
+    score, n = F.col("score"), F.col("n")
+    scored = F.sum(F.when(score.isNotNull(), n)).cast("decimal(20,0)")
+    none = F.lit(0).cast("bigint")
+    return scores.groupBy(*PAPER_KEYS).agg(
+        F.round(F.sum(score * n) / scored, 1).try_cast("decimal(4,1)").alias("avgscore"),
+        (F.sum("spent") / F.sum("timed")).try_cast("decimal(10,2)").alias("avgspendtime"),
         F.max(score).try_cast("decimal(4,1)").alias("maxscore"), F.min(score).try_cast("decimal(4,1)").alias("minscore"),
-        F.count_if(score > PASS_MARK).alias("passcount"), F.count_if(score.between(0, PASS_MARK)).alias("unpasscount"))
+        F.sum(F.when(score > PASS_MARK, n).otherwise(none)).alias("passcount"),
+        F.sum(F.when(score.between(0, PASS_MARK), n).otherwise(none)).alias("unpasscount"))
+
+
+def extreme_answers(detail: DataFrame, scores: DataFrame, n: int = 3) -> DataFrame:
+    """The answers with one of the ``n`` best or least scores of their paper, with the ranks ``top`` and ``low``.
+
+    Ranks are given to the scores of the histogram; answers are read once and only those that qualify go on.
+    """
+    distinct = scores.select("paperviewid", "score").distinct()
+    down, up = (Window.partitionBy("paperviewid").orderBy(o) for o in (F.desc_nulls_last("score"), F.asc_nulls_first("score")))
+    limits = (distinct.withColumn("top", F.row_number().over(down)).withColumn("low", F.row_number().over(up))
+              .where((F.col("top") <= n) | (F.col("low") <= n)).withColumnsRenamed({"paperviewid": "_paper", "score": "_score"}))
+    limits = materialize(limits, "score-limits")
+    same = F.col("paperviewid").eqNullSafe(F.col("_paper")) & F.col("score").eqNullSafe(F.col("_score"))
+    return detail.join(limits, same).drop("_paper", "_score")
 
 
 def report_exams(wh: Warehouse, dt: str, dedupe: bool = True, inner_only: bool = False) -> None:
-    """Daily job: seven report tables. ``dedupe=False`` reports on the repeated rows of the wide table, repeated users in
-    score bands included; ``copy`` numbers the rows of a band part then, and is 0 otherwise."""
+    """Daily job: seven report tables from three passes over the answers. ``dedupe=False`` reports on the repeated rows of the wide
+    table, repeated users in score bands included; ``copy`` numbers the rows of a band part then, and is 0 otherwise."""
     detail = wh.scan("answer_grain" if dedupe else "answer_detail", dt)
-    papers = materialize(paper_summary(detail), "paper-summary")
+    scores, flags = answer_summary(detail)
+    papers = materialize(paper_summary(scores), "paper-summary")
     wh.write_day("ads_paper_avgtimeandscore", papers, dt)
     wh.write_day("ads_paper_maxdetail", papers, dt)
-    both = (F.col("passcount") > 0) & (F.col("unpasscount") > 0)
-    some = (F.col("passcount") > 0) | (F.col("unpasscount") > 0)
-    rated = papers.where(both if inner_only else some).withColumn(
-        "rate", S.rate(F.col("passcount"), F.col("unpasscount")))
-    wh.write_day("ads_user_paper_detail", rated, dt)
-    wh.write_day("ads_top3_userdetail", top_scores(detail), dt)
-    wh.write_day("ads_low3_userdetail", low_scores(detail), dt)
+
+    def rated(rows: DataFrame, part: str, other: str) -> DataFrame:
+        met = [F.col(part) > 0, F.col(other) > 0]
+        return rows.where(met[0] & met[1] if inner_only else met[0] | met[1]).withColumn("rate", S.rate(F.col(part), F.col(other)))
+
+    def flagged(flag: int, name: str) -> Column:
+        return F.sum(F.when(F.col("user_question_answer") == flag, F.col("n")).otherwise(F.lit(0).cast("bigint"))).alias(name)
+
+    wh.write_day("ads_user_paper_detail", rated(papers, "passcount", "unpasscount"), dt)
+    questions = flags.groupBy("questionid", "dt", "dn").agg(flagged(0, "errcount"), flagged(1, "rightcount"))
+    wh.write_day("ads_user_question_detail", rated(questions, "errcount", "rightcount"), dt)
+    extreme = materialize(extreme_answers(detail, scores), "extreme-answers")
+    wh.write_day("ads_top3_userdetail", extreme.where("top <= 3").withColumnRenamed("top", "rk"), dt)
+    wh.write_day("ads_low3_userdetail", extreme.where("low <= 3").withColumnRenamed("low", "rk"), dt)
     bands = band_users(detail, distinct=dedupe)
     wh.write_day("ads_paper_scoresegment_user", bands.withColumn("copy", F.lit(0)) if dedupe else bands, dt)
-    wh.write_day("ads_user_question_detail", error_rates(detail, inner_only), dt)
 
 
 def ordered_report(wh: Warehouse, table: str, dt: str, *order: str) -> DataFrame:
     """A report of one day in the order a reader asks for: columns, ``-column`` descending."""
     return wh.read(table, dt).orderBy(*[F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order])
+
+
+def write_ordered(wh: Warehouse, table: str, report: DataFrame, dt: str, *order: str, partitions: int = 32) -> None:
+    """One day of a report as files that follow each other in ``order`` (as in :func:`ordered_report`), with the ``place`` of each row.
+
+    Rows are sorted once, by ranges; readers take places from ``0`` on and need no sort (:func:`read_ordered`).
+    """
+    by = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+    ranged = report.repartitionByRange(partitions, *by).sortWithinPartitions(*by)
+    in_part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the lower 33 bits count the rows of a partition
+    numbered = materialize(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", in_part), "ordered")
+    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row per partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    placed = numbered.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_row"))
+    placed.drop("_part", "_row", "_before").write.mode("overwrite").parquet(f"{wh.path(table)}_ordered/{dt}")
+
+
+def read_ordered(wh: Warehouse, table: str, dt: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """Rows ``first`` to ``last`` of an ordered report; files without any of these places are skipped by their statistics."""
+    rows = wh.spark.read.parquet(f"{wh.path(table)}_ordered/{dt}").where(F.col("place") >= first)
+    return rows if last is None else rows.where(F.col("place") <= last)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -54,12 +55,40 @@ def job_exam_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     exam.build_dims(wh, DAY)
     exam.build_answers(wh, DAY)
     exam.report_exams(wh, DAY)
-    averages = wh.read("ads_paper_avgtimeandscore", DAY)
-    extremes = wh.read("ads_paper_maxdetail", DAY)
-    passes = wh.read("ads_user_paper_detail", DAY)
-    keys = list(exam.PAPER_KEYS)
-    return averages.join(extremes, keys).join(passes, keys).select(
-        *keys, "unpasscount", "passcount", *double("avgscore", "avgspendtime", "maxscore", "minscore", "rate"))
+    return _seven_reports(wh)
+
+
+RANKED_TEXT = ["userid", "chaptername", "pointname", "sitecoursename", "coursename", "majorname", "shortname", "sitename", "papername"]
+
+
+def _seven_reports(wh: Warehouse) -> DataFrame:
+    """All report tables as written: ``report``, the paper or question, ``text`` and up to three numbers."""
+    def rows(table: str, ident: str, text, *numbers: str) -> DataFrame:
+        values = [F.col(c).cast("double") for c in numbers] + [F.lit(None).cast("double")] * (3 - len(numbers))
+        return wh.read(table, DAY).select(
+            F.lit(table).alias("report"), F.col(ident).alias("id"), text.alias("text"),
+            *[v.alias(f"v{k}") for k, v in enumerate(values)], "dt", "dn")
+
+    name, ranked = F.col("paperviewname"), F.concat_ws("/", "paperviewname", *RANKED_TEXT)
+    parts = [rows("ads_paper_avgtimeandscore", "paperviewid", name, "avgscore", "avgspendtime"),
+             rows("ads_paper_maxdetail", "paperviewid", name, "maxscore", "minscore"),
+             rows("ads_user_paper_detail", "paperviewid", name, "unpasscount", "passcount", "rate"),
+             rows("ads_user_question_detail", "questionid", F.lit(""), "errcount", "rightcount", "rate"),
+             rows("ads_top3_userdetail", "paperviewid", ranked, "score", "rk"),
+             rows("ads_low3_userdetail", "paperviewid", ranked, "score", "rk"),
+             rows("ads_paper_scoresegment_user", "paperviewid", F.concat_ws(
+                 "/", "paperviewname", "score_segment", "userids"), "part", "copy")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pass rates as an ordered report gives them, with the place of each row."""
+    r = Roles(spark, sf_dir)
+    wh = Warehouse(spark, work_dir(spark, "exam-order"))
+    exam.write_ordered(wh, "ads_user_paper_detail", exam.pass_rates(r.answers()).withColumn("dt", F.lit(DAY)), DAY, "-rate", "paperviewid",
+                       "paperviewname", "dn")
+    ordered = exam.read_ordered(wh, "ads_user_paper_detail", DAY)
+    return ordered.select("paperviewid", "paperviewname", "passcount", F.col("rate").cast("double").alias("rate"), "dn", "place")
 
 
 # --- SQL twins -------------------------------------------------------------------------------------
@@ -153,6 +182,11 @@ def _ranked(order: str) -> str:
     dense_rank() OVER (PARTITION BY paperviewid ORDER BY score {order}) AS rk FROM detail) WHERE rk < 4"""
 
 
+def _ranked_text(report: str, order: str) -> str:
+    return f"""UNION ALL SELECT '{report}', paperviewid, concat_ws('/', paperviewname, {', '.join(RANKED_TEXT)}), score, rk, NULL, dt, dn
+        FROM (SELECT *, dense_rank() OVER (PARTITION BY paperviewid ORDER BY score {order}) AS rk FROM detail) WHERE rk < 4"""
+
+
 _BOTH_PAPER = "HAVING count(*) FILTER (score > 60) > 0 AND count(*) FILTER (score BETWEEN 0 AND 60) > 0"
 _BOTH_QUESTION = ("HAVING count(*) FILTER (user_question_answer = 0) > 0 "
                   "AND count(*) FILTER (user_question_answer = 1) > 0")
@@ -178,6 +212,7 @@ QUERIES = {
     "question_error_rate": report(exam.error_rates, "rate"),
     "question_error_rate_both": report(exam.error_rates, "rate", wide=True, inner_only=True),
     "job_exam_reports": job_exam_reports,
+    "report_in_order": report_in_order,
 }
 
 
@@ -214,7 +249,18 @@ SQL = {
     "paper_pass_rate_both": _with(DETAIL, _pass("wide", _BOTH_PAPER)),
     "question_error_rate": _with(DETAIL, _error("detail")),
     "question_error_rate_both": _with(DETAIL, _error("wide", _BOTH_QUESTION)),
-    "job_exam_reports": _with(DETAIL, f"""SELECT {_KEYS}, unpasscount, passcount, avgscore, avgspendtime, maxscore,
-        minscore, rate FROM (SELECT {_KEYS}, {_AVG}, {_EXTREMES} FROM detail GROUP BY {_KEYS})
-        JOIN ({_pass('detail')}) USING (paperviewid, paperviewname, dt, dn)"""),
+    "job_exam_reports": _with(DETAIL, f"""
+        SELECT 'ads_paper_avgtimeandscore' AS report, paperviewid AS id, paperviewname AS text, avgscore AS v0, avgspendtime AS v1,
+            NULL::DOUBLE AS v2, dt, dn FROM (SELECT {_KEYS}, {_AVG} FROM detail GROUP BY {_KEYS})
+        UNION ALL SELECT 'ads_paper_maxdetail', paperviewid, paperviewname, maxscore, minscore, NULL, dt, dn
+            FROM (SELECT {_KEYS}, {_EXTREMES} FROM detail GROUP BY {_KEYS})
+        UNION ALL SELECT 'ads_user_paper_detail', paperviewid, paperviewname, unpasscount, passcount, rate, dt, dn FROM ({_pass('detail')})
+        UNION ALL SELECT 'ads_user_question_detail', questionid, '', errcount, rightcount, rate, dt, dn FROM ({_error('detail')})
+        {_ranked_text('ads_top3_userdetail', 'DESC')} {_ranked_text('ads_low3_userdetail', 'ASC')}
+        UNION ALL SELECT 'ads_paper_scoresegment_user', paperviewid, concat_ws('/', paperviewname, score_segment,
+            string_agg(CAST(userid AS varchar), ',' ORDER BY userid)), part, 0, NULL, dt, dn FROM (
+            SELECT DISTINCT {_KEYS}, {_BAND} AS score_segment, userid, userid // 10000 AS part FROM detail)
+            GROUP BY {_KEYS}, score_segment, part"""),
+    "report_in_order": _with(DETAIL, f"""SELECT paperviewid, paperviewname, passcount, rate, dn,
+        row_number() OVER (ORDER BY rate DESC, paperviewid, paperviewname, dn) - 1 AS place FROM ({_pass('detail')})"""),
 }

@@ -2,6 +2,7 @@ import json
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.plans import etl, exam
 from lectern.sources.warehouse import Warehouse
@@ -103,3 +104,28 @@ def test_parity_mode_counts_repeated_rows(warehouse):
     assert [r.questionid for r in exam.error_rates(wide, inner_only=True).collect()] == [1]
     band = {r.score_segment: r.userids for r in exam.band_users(wide, distinct=False).collect() if r.paperviewid == 1}
     assert band["0-20"] == "1,1,1,1,1,1"
+
+
+def test_summary_of_nulls_and_negative_scores(spark):
+    rows = [(1, "V", s, t, q, f, DAY, "a") for s, t, q, f in [
+        (Decimal("99.9"), 5, 1, "0"), (Decimal("60.0"), None, 1, "1"), (Decimal("-3.0"), 7, 2, "1"), (None, 1, None, None)]]
+    detail = spark.createDataFrame(rows, "paperviewid int, paperviewname string, score decimal(4,1), spendtime int, questionid int, "
+                                         "user_question_answer string, dt string, dn string")
+    scores, flags = exam.answer_summary(detail)
+    r = exam.paper_summary(scores).first()
+    assert (r.avgscore, r.avgspendtime, r.maxscore, r.minscore, r.passcount, r.unpasscount) == (
+        Decimal("52.3"), Decimal("4.33"), Decimal("99.9"), Decimal("-3.0"), 1, 1)
+    assert sum(f.n for f in flags.collect()) == 4
+    found = exam.extreme_answers(detail, scores, 1).collect()
+    assert sorted((str(f.score), f.top, f.low) for f in found) == [("99.9", 1, 4), ("None", 4, 1)]
+
+
+def test_ordered_report_is_read_without_a_sort(spark, tmp_path):
+    wh = Warehouse(spark, str(tmp_path / "ordered"))
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 3).alias("g"))
+    exam.write_ordered(wh, "ads_user_paper_detail", rows, DAY, "-g", "k", partitions=4)
+    got = exam.read_ordered(wh, "ads_user_paper_detail", DAY)
+    assert [(r.g, r.k) for r in sorted(got.collect(), key=lambda r: r.place)] == sorted(
+        ((r.g, r.k) for r in rows.collect()), key=lambda p: (-p[0], p[1]))
+    page = exam.read_ordered(wh, "ads_user_paper_detail", DAY, 10, 19)
+    assert page.count() == 10 and "Sort" not in page._jdf.queryExecution().executedPlan().toString()
