@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.plans import exam
-from lectern.queries.roles import DAY, Roles, TENANT
+from lectern.plans import etl, exam
+from lectern.queries.roles import DAY, Roles, TENANT, land_logs
 from lectern.session import work_dir
 from lectern.sources.warehouse import Warehouse
 
@@ -47,11 +47,12 @@ def report(build: Callable[[DataFrame], DataFrame], *doubles: str, wide: bool =
 
 
 def job_exam_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily exam job over a warehouse: dimensions, wide answers, answer grain, seven reports."""
+    """The daily exam job from its 17 raw logs on: loads, dimensions, wide answers, answer grain, seven reports."""
     r = Roles(spark, sf_dir)
-    wh = Warehouse(spark, work_dir(spark, "exam-job"))
-    for table, rows in r.raw_exam().items():
-        wh.write(table, rows)
+    folder = work_dir(spark, "exam-job")
+    wh = Warehouse(spark, folder)
+    land_logs(r.raw_exam(), f"{folder}/logs")
+    etl.load_exam_logs(wh, f"{folder}/logs")
     exam.build_dims(wh, DAY)
     exam.build_answers(wh, DAY)
     exam.report_exams(wh, DAY)

@@ -8,7 +8,7 @@ from lectern.operators.grouping import count_by_each
 from lectern.operators.history import scd2_history
 from lectern.operators.upsert import upsert
 from lectern.plans import etl, member
-from lectern.queries.roles import DAY, Roles, TENANT
+from lectern.queries.roles import DAY, Roles, TENANT, land_logs
 from lectern.session import materialize, work_dir
 from lectern.sources.warehouse import Warehouse
 
@@ -97,14 +97,15 @@ def upsert_query(add: tuple[str, ...], replace: tuple[str, ...]):
 
 
 def job_member_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily member job over a warehouse: cleaned tables, wide table, history, seven reports."""
+    """The daily member job from its six raw logs on: loads, wide table, history, seven reports."""
     r = Roles(spark, sf_dir)
-    wh = Warehouse(spark, work_dir(spark, "member-job"))
+    folder = work_dir(spark, "member-job")
+    wh = Warehouse(spark, folder)
     raw = {
         "dwd_member": r.raw_member(), "dwd_member_regtype": r.raw_regtype(), "dwd_base_ad": r.raw_ad(),
         "dwd_base_website": r.raw_website(), "dwd_vip_level": r.raw_vip(), "dwd_pcentermempaymoney": r.raw_payment().withColumn("dt", F.lit(DAY))}
-    for table, rows in raw.items():
-        wh.write(table, etl.EXTRA_STEPS.get(table, lambda df: df)(rows))
+    land_logs(raw, f"{folder}/logs")
+    etl.load_member_logs(wh, f"{folder}/logs")
     member.build_member(wh, DAY)
     member.report_members(wh, DAY)
     reports = [wh.read(table, DAY).selectExpr(f"'{key}' AS dim", f"{key} AS key", "num", "dt", "dn")

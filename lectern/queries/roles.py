@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.plans import etl, exam, member
+from lectern.sources.specs import LOGS
 from lectern.sources.warehouse import SCANS, SCHEMAS, scan_columns
 
 DAY = "20240101"
@@ -243,3 +244,11 @@ class Roles:
         return self.t("nation").select(
             (base + 1000).alias("start_ip"), (base + 16777216 - 500000).alias("end_ip"),
             F.concat_ws("|", F.lit("C"), F.lit("0"), c("n_name"), F.lit("city"), F.lit("isp")).alias("region"))
+
+
+def land_logs(tables: dict[str, DataFrame], folder: str) -> None:
+    """The rows of cleaned tables as the raw JSON logs that they are loaded from; missing values are left out of a line."""
+    for table, rows in tables.items():
+        spec = LOGS[table]
+        rows.select(F.to_json(F.struct(*[F.col(f.name).cast("string").alias(f.keys[0]) for f in spec.fields if f.name in rows.columns]))
+                    .alias("value")).write.text(f"{folder}/{spec.file}")
