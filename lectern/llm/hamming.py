@@ -214,7 +214,7 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Dat
                  .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
         apart = materialize(apart.join(first, ["a", "b"], "left_anti"), "hamming-apart")
         links = materialize(links.union(_confirmed(apart, sets, percent)), "hamming-links")
-    return with_long_lists(links, members, sets, percent)
+    return with_long_lists(links, members, sets, percent, shared_pivots=True)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:

@@ -381,14 +381,18 @@ def _central(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, np.ndarray
     return materialize(held.select("node", "s").mapInArrow(core, "node long, core double"), "cores"), shingles
 
 
-def _stars(members: DataFrame, cores: DataFrame, name: str) -> DataFrame:
+def _stars(members: DataFrame, cores: DataFrame, name: str, shared: bool) -> DataFrame:
     """``a``, the pivot of a long list, and ``b``, each of its members.
 
-    Any set may be the pivot of a list. The most central member is replaced by the most central one that it shares a list with, so
-    that the many lists of one group have one pivot, and each member is compared once.
+    The pivot is the most central member, or, as any set may be the pivot of a list, with ``shared`` the most central one that
+    this member shares a list with: the many lists of one group then have one pivot, and each member is compared once.
     """
     best = F.max(F.struct("core", "node")).alias("best")
-    firsts = materialize(members.join(cores, "node").groupBy("key").agg(best), f"{name}-first")
+    ranked = members.join(cores, "node").groupBy("key").agg(best)
+    if not shared:
+        pivots = ranked.select("key", F.col("best.node").alias("a"))
+        return materialize(members.join(pivots, "key").select("a", F.col("node").alias("b")).distinct(), name)
+    firsts = materialize(ranked, f"{name}-first")
     chosen = firsts.select(F.col("best.node").alias("node")).distinct()
     tops = (members.join(chosen, "node", "left_semi").join(firsts, "key")
             .groupBy("node").agg(F.max("best").alias("top")).select(F.col("node").alias("first"), F.col("top.node").alias("a")))
@@ -407,16 +411,18 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) ->
     return with_long_lists(links, members, sets, percent)
 
 
-def with_long_lists(links: DataFrame, members: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+def with_long_lists(links: DataFrame, members: DataFrame | None, sets: DataFrame, percent: int,
+                    shared_pivots: bool = False) -> DataFrame:
     """``links`` and those within long lists, as far as components need them. ``members`` are ``key`` and ``node`` of
-    lists in which every pair that links may be met; ``sets`` holds the sets of all their nodes (:func:`sets_of`)."""
+    lists in which every pair that links may be met; ``sets`` holds the sets of all their nodes (:func:`sets_of`).
+    ``shared_pivots`` suits lists of which a group has many (:func:`_stars`)."""
     cores = None
     for level in range(LEVELS):
         if members is None or members.isEmpty():
             return links
         if cores is None:
             cores, frequent = _central(members, sets)
-        stars = _stars(members, cores, f"level-{level}-stars")
+        stars = _stars(members, cores, f"level-{level}-stars", shared_pivots)
         compared = materialize(_differences(stars, sets, percent, frequent), f"level-{level}-compared")
         links = materialize(links.union(compared.where("linked AND a <> b").select("a", "b")), f"links-{level}-stars")
         labels = connected(links, "a", "b")
