@@ -19,7 +19,7 @@ from lectern.sinks.tables import ChangeLog, VersionedTable
 from lectern.sources.logs import learn_records, page_records, question_records, register_records
 from lectern.sources.streams import file_lines, replay_to_dir
 from lectern.streaming import jobs
-from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS
+from lectern.streaming.state import POINT_KEYS, VIDEO_KEYS, mastery_state
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -145,6 +145,17 @@ def stream_page_job(spark: SparkSession, sf_dir: str) -> DataFrame:
             .union(tables["page_views"].selectExpr("'views' AS kind", "page_id AS key", "num")))
 
 
+def stream_question_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mastery as the stream's state holds it after the last batch, with the question ids that its result table has for the key."""
+    folder = work_dir(spark, "stream")
+    session = stream_session(spark, spark.sparkContext.defaultParallelism)
+    replay_to_dir(Roles(session, sf_dir).question_lines(), f"{folder}/in", 4)
+    jobs.point_detail(file_lines(session, f"{folder}/in", 2), f"{folder}/out", f"{folder}/checkpoint",
+                      available_now=True).awaitTermination()
+    ids = ChangeLog(session, f"{folder}/out/point_detail", POINT_KEYS).read().select(*POINT_KEYS, "questionids")
+    return mastery_state(session, f"{folder}/checkpoint/point_detail").join(ids, POINT_KEYS, "full")
+
+
 class Interrupted(Exception):
     """Stands for the loss of the driver between two writes of a batch."""
 
@@ -267,6 +278,7 @@ QUERIES = {
     "stream_video_coverage": stream_video_coverage,
     "stream_learn_job": stream_learn_job,
     "stream_restart": stream_restart,
+    "stream_question_state": stream_question_state,
     "stream_raw_landing": streamed("page_lines", jobs.landing, _landed, topic="page_topic"),
 }
 
@@ -371,6 +383,10 @@ SQL = {
     "stream_video_coverage": _CARRIED,
     "stream_learn_job": f"""SELECT dim, key, totaltime, NULL::BIGINT AS completetime, NULL::VARCHAR AS play_interval FROM ({_LEARN_ALL})
         UNION ALL SELECT 'video', concat_ws('/', uid, cwareid, videoid), totaltime, completetime, play_interval FROM ({_CARRIED})""",
+    "stream_question_state": f"""WITH {EVENTS}
+        SELECT user_id AS uid, code AS courseid, k % 10 AS pointid, count(*) AS qz_sum, count(*) FILTER (value > 100) AS qz_istrue,
+        min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS createtime, array_to_string(list_sort(list(DISTINCT k)), ',') AS questionids
+        FROM e GROUP BY user_id, code, k % 10""",
     "stream_restart": f"""SELECT *, true AS seen FROM (
         SELECT 'move' AS kind, last_page_id || '>' || page_id || '>' || next_page_id AS key, num FROM ({_TRANSITIONS})
         UNION ALL SELECT 'province', province, num FROM ({_PROVINCES}) UNION ALL SELECT 'best', province, num FROM ({_TOP3})

@@ -5,7 +5,7 @@ It emits full totals and not increments: a batch that runs again writes the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions import scalars as S
 
@@ -28,3 +28,12 @@ def question_mastery_stream(answers: DataFrame, questions_per_point: int = S.QUE
         S.mastery_rate(F.col("qz_count"), F.col("qz_istrue"), F.col("qz_sum"), questions_per_point)
         .alias("mastery_rate"),
         F.array_join(F.transform("_questions", lambda q: q.cast("string")), ",").alias("questionids"), "createtime")
+
+
+def mastery_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``uid``, ``courseid``, ``pointid``, ``qz_sum``, ``qz_istrue``, ``createtime`` as the state of :func:`question_mastery_stream`
+    holds them after the last batch, one row per key; filter the keys to look some up. No result table is read.
+    """
+    named = "struct<qz_sum:bigint,qz_istrue:bigint,createtime:string,questions:binary>"  # both counts are called alike there
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.*", F.col("value").cast(named).alias("v")).select(*POINT_KEYS, "v.qz_sum", "v.qz_istrue", "v.createtime")
