@@ -94,7 +94,8 @@ def _bit_runs(bits: Column, base: Column) -> Column:
         return F.filter(places, lambda i: F.call_function("getbit", mask, i) == 1)
 
     starts, ends = set_in(bits.bitwiseAND(F.bitwise_not(before))), set_in(bits.bitwiseAND(F.bitwise_not(after)))
-    return F.zip_with(starts, ends, lambda s, e: F.struct((base + s).alias("s"), (base + e + 1).alias("e")))
+    runs = F.zip_with(starts, ends, lambda s, e: F.struct((base + s).alias("s"), (base + e + 1).alias("e")))
+    return F.when(bits != 0, runs).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
 
 
 def interval_merge(intervals: DataFrame, keys: Sequence[str], start: str = "ps", end: str = "pe") -> DataFrame:
