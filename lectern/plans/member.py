@@ -10,7 +10,7 @@ from lectern.functions import scalars as S
 from lectern.operators.grouping import count_by, count_by_each, first_per_key, top_n
 from lectern.operators.history import scd2_apply, scd2_history
 from lectern.operators.joins import left_join_all
-from lectern.session import materialize
+from lectern.sinks.history import HistoryTable
 from lectern.sources.warehouse import DERIVED, MONEY_SUM, Warehouse, shape
 
 HISTORY_KEYS = ("uid", "dn")
@@ -92,6 +92,17 @@ def top_payers(members: DataFrame, n: int = 3) -> DataFrame:
     return shape(ranked, "ads_register_top3memberpay")
 
 
+def history_table(wh: Warehouse) -> HistoryTable:
+    """The stored payment history; its daily commit leaves closed versions alone."""
+    return wh.history("dws_member_zipper", HISTORY_KEYS, "start_time", "paymoney")
+
+
+def fold_payments(wh: Warehouse, dt: str) -> None:
+    """Fold the payments of a day into the stored history; a day that runs again replaces itself."""
+    day = f"{dt[:4]}-{dt[4:6]}-{dt[6:8]}"
+    history_table(wh).commit(daily_payments(wh.scan("payment", dt), wh.scan("vip")), [day])
+
+
 def build_member(wh: Warehouse, dt: str) -> None:
     """Daily job: refresh the wide table of the day and fold its payments into the history.
 
@@ -101,15 +112,7 @@ def build_member(wh: Warehouse, dt: str) -> None:
     wh.write_day("dws_member", member_wide(
         wh.scan("member", dt), wh.scan_until("regtype", dt), wh.scan("ad"), wh.scan("website"),
         wh.scan_until("payment", dt), vip), dt)
-    daily = materialize(daily_payments(wh.scan("payment", dt), vip), "daily-payments")
-    table = wh.versioned("dws_member_zipper")
-    history = table.read()
-    if history is None:
-        table.commit(scd2_history(daily, HISTORY_KEYS, "start_time", "paymoney")
-                     .withColumn("paymoney", F.col("paymoney").cast(MONEY_SUM)).select(*HISTORY_COLUMNS))
-    else:
-        day = f"{dt[:4]}-{dt[4:6]}-{dt[6:8]}"
-        table.commit(apply_payments(history, daily, [day]))
+    fold_payments(wh, dt)
 
 
 def report_members(wh: Warehouse, dt: str) -> None:

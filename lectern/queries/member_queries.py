@@ -10,6 +10,7 @@ from lectern.operators.upsert import upsert
 from lectern.plans import etl, member
 from lectern.queries.roles import DAY, Roles, TENANT, land_logs
 from lectern.session import materialize, work_dir
+from lectern.sinks.history import HistoryTable
 from lectern.sources.warehouse import Warehouse
 
 WIDE_COLUMNS = (
@@ -80,6 +81,38 @@ def member_zipper_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member.apply_payments(all_days, daily, days).withColumn("paymoney", F.col("paymoney").cast("double"))
 
 
+def member_history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history after four commits: days before 1997, those of 1997, all later ones, and 1996 run again without
+    the payments that were withdrawn from it (every third order)."""
+    r = Roles(spark, sf_dir)
+    table = HistoryTable(spark, work_dir(spark, "history"), member.HISTORY_KEYS, "start_time", "paymoney", buckets=8)
+    daily = materialize(member.daily_payments(r.payment(), r.vip()), "daily-payments")
+    day = F.col("start_time")
+    for days in (day < "1997-01-01", day.startswith("1997"), day >= "1998-01-01"):
+        table.commit(daily.where(days))
+    left = r.t("orders").where((F.year("o_orderdate") == 1996) & (F.col("o_orderkey") % 3 != 0))
+    again = [row[0] for row in daily.where(day.startswith("1996")).select("start_time").distinct().collect()]  # days of a year
+    table.commit(member.daily_payments(r.raw_payment_of(left), r.vip()), again)
+    return table.read().withColumn("paymoney", F.col("paymoney").cast("double"))
+
+
+def job_member_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of the daily member job over three days of raw payments (a third of a year each), the second run twice."""
+    r = Roles(spark, sf_dir)
+    folder = work_dir(spark, "history-job")
+    wh = Warehouse(spark, folder)
+    land_logs({
+        "dwd_member": r.raw_member(), "dwd_member_regtype": r.raw_regtype(), "dwd_base_ad": r.raw_ad(),
+        "dwd_base_website": r.raw_website(), "dwd_vip_level": r.raw_vip(),
+        "dwd_pcentermempaymoney": r.raw_payment().withColumn(
+            "dt", F.concat(F.lit("2024010"), F.expr("(CAST(substring(dt, 5, 2) AS int) - 1) div 4 + 1").cast("string")))},
+        f"{folder}/logs")
+    etl.load_member_logs(wh, f"{folder}/logs")
+    for dt in ("20240101", "20240102", "20240103", "20240102"):
+        member.fold_payments(wh, dt)
+    return member.history_table(wh).read().withColumn("paymoney", F.col("paymoney").cast("double"))
+
+
 def _totals(r: Roles, later: bool) -> DataFrame:
     """Order totals per customer before / from 1998 on."""
     side = F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
@@ -174,6 +207,8 @@ SELECT uid, CAST(sum(paymoney) OVER w AS double) AS paymoney, vip_level, start_t
 FROM daily
 WINDOW w AS (PARTITION BY uid, dn ORDER BY start_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
+_WITHDRAWN = _HISTORY.replace("  FROM orders)", "  FROM orders WHERE NOT (year(o_orderdate) = 1996 AND o_orderkey % 3 = 0))", 1)
+
 
 def _count_sql(key: str) -> str:
     return f"WITH {MEMBERS} SELECT {key}, count(uid) AS num, dt, dn FROM members GROUP BY {key}, dn, dt"
@@ -207,6 +242,8 @@ QUERIES = {
     "member_zipper": member_zipper,
     "member_zipper_incremental": member_zipper_incremental,
     "member_zipper_rerun": member_zipper_rerun,
+    "member_history_table": member_history_table,
+    "job_member_history": job_member_history,
     "upsert_replace": upsert_query((), ("total", "num", "priority")),
     "upsert_add": upsert_query(("total", "num"), ("priority",)),
     "job_member_reports": job_member_reports,
@@ -223,7 +260,11 @@ SQL = {
                      "FROM daily",
     "member_zipper": _HISTORY,
     "member_zipper_incremental": _HISTORY,
-    "member_zipper_rerun": _HISTORY.replace("  FROM orders)", "  FROM orders WHERE NOT (year(o_orderdate) = 1996 AND o_orderkey % 3 = 0))", 1),
+    "member_zipper_rerun": _WITHDRAWN,
+    "member_history_table": _WITHDRAWN,
+    "job_member_history": _HISTORY.replace(
+        "strftime(o_orderdate, '%Y-%m-%d') AS start_time",
+        "'2024-01-0' || ((month(o_orderdate) - 1) // 4 + 1) AS start_time", 1),
     "upsert_replace": _SIDES + """SELECT coalesce(n.o_custkey, o.o_custkey) AS o_custkey,
         CAST(CASE WHEN n.o_custkey IS NOT NULL THEN n.total ELSE o.total END AS double) AS total,
         CASE WHEN n.o_custkey IS NOT NULL THEN n.num ELSE o.num END AS num,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lectern.sinks.tables import VersionedTable, write_partitions
+from lectern.sinks.history import HistoryTable
+from lectern.sinks.tables import write_partitions
 from lectern.sources.specs import DEC1, INT, LOGS, TEXT
 
 MONEY_SUM = T.DecimalType(20, 4)
@@ -94,9 +97,6 @@ DERIVED: dict[str, T.StructType] = {name: _schema(text) for name, text in {
 
 SCHEMAS: dict[str, T.StructType] = {**{t: spec.schema for t, spec in LOGS.items()}, **DERIVED}
 
-#: Tables kept as whole versions instead of day partitions.
-VERSIONED = ("dws_member_zipper",)
-
 
 class Warehouse:
     """Parquet tables below one root: ``<root>/<layer>/<table>/dt=.../dn=...``."""
@@ -138,8 +138,8 @@ class Warehouse:
         """
         write_partitions(typed(df, table), f"{self.path(table)}/load={load}", self.partitions(table), "replace")
 
-    def versioned(self, table: str) -> VersionedTable:
-        return VersionedTable(self.spark, self.path(table))
+    def history(self, table: str, keys: Sequence[str], start: str, measure: str) -> HistoryTable:
+        return HistoryTable(self.spark, self.path(table), keys, start, measure)
 
     def scan(self, name: str, dt: str | None = None) -> DataFrame:
         """One of the named :data:`SCANS`: projection, renames and day filter."""

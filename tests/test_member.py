@@ -66,7 +66,7 @@ def test_second_day_totals_do_not_multiply(warehouse):
 
 def test_history(warehouse):
     rows = sorted((r.uid, r.dn, r.paymoney, r.start_time, r.end_time)
-                  for r in warehouse.versioned("dws_member_zipper").read().collect())
+                  for r in member.history_table(warehouse).read().collect())
     one, two, b = Decimal("10.5"), Decimal("3.5"), Decimal(99)
     assert rows == [
         (1, "a", one, "2019-07-22", "2019-07-23"), (1, "a", one * 2, "2019-07-23", "9999-12-31"),
