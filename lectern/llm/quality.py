@@ -1,7 +1,7 @@
 """Quality rules with host verdicts.
 
 Every document is measured by rules; the failures are counted per host, each rate is shrunk towards the rate of all
-hosts with a beta prior fitted to the hosts themselves, and the verdict on the host goes back to its documents: on an
+hosts with a beta prior fitted to the hosts themselves (chance in small hosts left out), and the verdict on the host goes back to its documents: on an
 ordinary host a document falls with two failed rules, on a host whose shrunk rate for a rule is too high it falls with
 that one rule. A document that fails no rule stays whatever its host is like.
 """
@@ -86,27 +86,42 @@ def failed_rules() -> Column:
     return total
 
 
+def _prior(hosts: int, docs: int, squares: float | None, failures: int | None,
+           quotients: float | None) -> tuple[float, float | None] | None:
+    """Mean and strength of the beta prior; no strength (None) where all hosts get the mean, None without documents."""
+    if not docs:
+        return None
+    m = failures / docs
+    room = docs - squares / docs - (hosts - 1)
+    if not 0 < m < 1 or room <= 0:
+        return m, None
+    within = ((quotients - failures * m) / (m * (1 - m)) - (hosts - 1)) / room
+    return m, max(0.0, 1 / within - 1) if within > 0 else None
+
+
 def host_verdicts(measured: DataFrame, host: str = "host", limit: float = 0.5) -> DataFrame:
     """One row per host (a null host is one too): ``n_docs`` and ``bad_rules``, the bits of the rules it fails.
 
-    For each rule the hosts' rates have mean m and variance v; the beta prior of that mean and variance has strength
-    k = m (1 - m) / v - 1, and a host with f failures in n documents gets the rate (f + m k) / (n + k). Without
-    variance every host has the mean. Documents are added up map-side, so a host with a third of all rows costs one row
-    per task.
+    For each rule a beta prior is fitted to the hosts by moments weighted by documents. With f failures in n documents per
+    host, m failures per document overall, and H hosts, the spread S = sum(n (f/n - m)^2) is on average
+    m (1 - m) ((H - 1) (1 - c) + c (N - sum(n^2)/N)), where the correlation c within hosts is 1 / (k + 1) of the prior's
+    strength k: chance in small hosts is taken out of the spread. A host gets the rate (f + m k) / (n + k); hosts that spread
+    no more than by chance, or that have one document each, all get m. Documents are added up map-side, so a host with a
+    third of all rows costs one row per task.
     """
     sums = [F.sum(F.shiftright("failed", r).bitwiseAND(1)).alias(f"f{r}") for r in range(len(RULES))]
     hosts = materialize(measured.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), *sums), "hosts")
-    moments = hosts.agg(*[x for r in range(len(RULES)) for x in (
-        F.avg(F.col(f"f{r}") / F.col("n_docs")).alias(f"m{r}"),
-        F.var_pop(F.col(f"f{r}") / F.col("n_docs")).alias(f"v{r}"))]).first()  # two numbers per rule
+    n = F.col("n_docs").cast("double")
+    moments = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("docs"), F.sum(n * n).alias("squares"), *[
+        x for r in range(len(RULES)) for x in (
+            F.sum(f"f{r}").alias(f"f{r}"), F.sum(F.col(f"f{r}") * F.col(f"f{r}") / n).alias(f"q{r}"))]).first()  # two per rule
     bad = F.lit(0)
     for r in range(len(RULES)):
-        m, v = moments[f"m{r}"], moments[f"v{r}"]
-        if v:
-            k = m * (1 - m) / v - 1
-            rate = (F.col(f"f{r}") + m * k) / (F.col("n_docs") + k)
-        else:
-            rate = F.lit(m)
+        prior = _prior(moments["hosts"], moments["docs"], moments["squares"], moments[f"f{r}"], moments[f"q{r}"])
+        if prior is None:
+            continue
+        m, k = prior
+        rate = F.lit(m) if k is None else (F.col(f"f{r}") + m * k) / (F.col("n_docs") + k)
         bad = bad + F.when(rate > limit, F.lit(1 << r)).otherwise(F.lit(0))
     return hosts.select(host, "n_docs", bad.alias("bad_rules"))
 

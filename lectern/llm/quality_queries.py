@@ -18,11 +18,14 @@ def _sql(limit: float = 0.5) -> str:
     rules = [rule.replace("BD", "") for rule in quality.RULES.values()]
     failed = " + ".join(f"CASE WHEN {rule} THEN {1 << r} ELSE 0 END" for r, rule in enumerate(rules))
     counts = ", ".join(f"sum((failed >> {r}) & 1)::DOUBLE AS f{r}" for r in range(len(rules)))
-    moments = ", ".join(f"avg(f{r} / n_docs) AS m{r}, var_pop(f{r} / n_docs) AS v{r}" for r in range(len(rules)))
+    moments = ", ".join(f"sum(f{r}) / sum(n_docs) AS m{r}, sum(f{r} * f{r} / n_docs) AS q{r}" for r in range(len(rules)))
+    within = ", ".join(
+        f"CASE WHEN m{r} > 0 AND m{r} < 1 AND docs - squares / docs - (hosts - 1) > 0 THEN "
+        f"((q{r} - docs * m{r} * m{r}) / (m{r} * (1 - m{r})) - (hosts - 1)) / (docs - squares / docs - (hosts - 1)) "
+        f"ELSE 0 END AS c{r}" for r in range(len(rules)))
     bad = " + ".join(
-        f"CASE WHEN CASE WHEN v{r} > 0 THEN (f{r} + m{r} * (m{r} * (1 - m{r}) / v{r} - 1))"
-        f" / (n_docs + m{r} * (1 - m{r}) / v{r} - 1) ELSE m{r} END > {limit} THEN {1 << r} ELSE 0 END"
-        for r in range(len(rules)))
+        f"CASE WHEN CASE WHEN c{r} > 0 THEN (f{r} + m{r} * greatest(0, 1 / c{r} - 1)) / (n_docs + greatest(0, 1 / c{r} - 1)) "
+        f"ELSE m{r} END > {limit} THEN {1 << r} ELSE 0 END" for r in range(len(rules)))
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
@@ -46,8 +49,9 @@ m AS (
   FROM d LEFT JOIN lines USING (rid) LEFT JOIN repeated USING (rid)),
 f AS (SELECT *, {failed} AS failed FROM m),
 hosts AS (SELECT source, count(*) AS n_docs, {counts} FROM f GROUP BY source),
-moments AS (SELECT {moments} FROM hosts),
-verdicts AS (SELECT source, {bad} AS bad_rules FROM hosts, moments)
+moments AS (SELECT count(*)::DOUBLE AS hosts, sum(n_docs)::DOUBLE AS docs, sum(n_docs::DOUBLE * n_docs) AS squares, {moments} FROM hosts),
+prior AS (SELECT *, {within} FROM moments),
+verdicts AS (SELECT source, {bad} AS bad_rules FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        ({quality.BASE_FAILED}) AS base_failed,
        NOT ({quality.BASE_FAILED}) AND (failed & bad_rules) = 0 AND bit_count(failed) < 2 AS kept,

@@ -1,10 +1,11 @@
 """Quality rules against a plain computation, and the verdicts on hosts."""
 
+import random
 import re
 
 from awkward import frame, texts
 
-from lectern.llm.quality import judge, keep_good
+from lectern.llm.quality import _prior, judge, keep_good
 
 GAP = re.compile("[\x20\x09-\x0D]+")
 
@@ -45,6 +46,30 @@ def test_host_verdicts_shrink(spark):
     assert all(got[3000 + i]["kept"] for i in range(90)) and got[0]["bad_rules"] == 1
 
 
+def test_long_tail_of_hosts_is_not_condemned_by_chance(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    tail = [(i, good + (" ### ***" if i % 20 == 0 else ""), "en", f"one{i}") for i in range(1000)]
+    got = judge(frame(spark, tail)).select("kept", "bad_rules").collect()
+    assert len(got) == 1000 and all(r["kept"] and r["bad_rules"] == 0 for r in got)
+    # beside larger hosts the tail shrinks to the mean, and a host that fails throughout does not
+    rows = tail + [(2000 + 100 * h + i, good + (" ### ***" if h == 0 and i < 90 or i < 5 else ""), "en", f"many{h}")
+                   for h in range(20) for i in range(100)]
+    bad = {r["s"] for r in judge(frame(spark, rows), carry=("source",)).where("bad_rules > 0")
+           .selectExpr("_carry.source AS s").distinct().collect()}
+    assert bad == {"many0"}
+
+
+def test_prior_against_known_strength():
+    rng, k, m = random.Random(1), 8.0, 0.3
+    hosts = []
+    for _ in range(4000):
+        n, p = rng.choice([1, 1, 1, 3, 10, 60]), rng.betavariate(m * k, (1 - m) * k)
+        hosts.append((n, sum(rng.random() < p for _ in range(n))))
+    mean, strength = _prior(len(hosts), sum(n for n, _ in hosts), sum(n * n for n, _ in hosts),
+                            sum(f for _, f in hosts), sum(f * f / n for n, f in hosts))
+    assert abs(mean - m) < 0.02 and 6.5 < strength < 9.5
+
+
 def test_two_rules_suffice(spark):
     text = " ".join("word%d *##" % i for i in range(30))
     rows = [(1, text, "en", "s")] + [(10 + i, " ".join(f"w{i}x{k}" for k in range(40)), "en", "s") for i in range(30)]
