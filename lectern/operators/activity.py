@@ -15,13 +15,27 @@ def _seconds(interval: str) -> int:
 
 
 def sliding_count(rows: DataFrame, ts: str, key: str, length: str = "60 seconds", slide: str = "6 seconds",
-                  name: str = "num", watermark: str | None = None) -> DataFrame:
+                  name: str = "num", watermark: str | None = None, closed: bool = False) -> DataFrame:
     """Rows per key in windows of ``length`` that start every ``slide``.
 
     In batch, rows are first counted per slide-wide pane and only panes are spread over the windows
     they belong to; the rows themselves are never multiplied. On a stream one windowed aggregation
     does the work, with ``watermark`` bounding its state.
+
+    ``closed`` windows (append mode) come once, when the watermark has passed their end. Then panes are counted in a first state
+    and windows over panes in a second one, and only panes are multiplied. A row is late when its pane has ended by the
+    watermark; it is then in no window, also not in those that end later.
     """
+    if closed and not (rows.isStreaming and watermark):
+        raise ValueError("closed windows need a stream and a watermark")
+    if closed and _seconds(length) % _seconds(slide):
+        raise ValueError(f"closed windows of {length} cannot be put together from panes of {slide}")
+    if closed:
+        panes = rows.withWatermark(ts, watermark).groupBy(F.window(ts, slide).alias("_pane"), key).agg(
+            F.count(F.lit(1)).alias("_n"))
+        windowed = panes.groupBy(F.window(F.window_time("_pane"), length, slide), key).agg(F.sum("_n").alias(name))
+        return windowed.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                               key, name)
     if rows.isStreaming:
         if watermark:
             rows = rows.withWatermark(ts, watermark)

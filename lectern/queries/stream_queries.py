@@ -128,6 +128,19 @@ def streamed(lines: str, job: Callable, result: Callable, files: int = 4, per_tr
     return run
 
 
+def stream_register_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed windows with a watermark of a day: two thirds of the lines first, the rest after a restart, most of it late."""
+    folder = work_dir(spark, "stream")
+    session = stream_session(spark, spark.sparkContext.defaultParallelism)
+    lines = Roles(session, sf_dir).register_lines()
+    late = F.substring_index("value", "\t", 1).cast("bigint") % 3 == 0  # by event id
+    for part in (lines.where(~late), lines.where(late)):
+        replay_to_dir(part, f"{folder}/in", 2)
+        jobs.register_sliding(file_lines(session, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint", watermark="1 day",
+                              closed=True, available_now=True).awaitTermination()
+    return _windows(ChangeLog(spark, f"{folder}/out/register_sliding", ["window_start", "platform"]).read())
+
+
 def stream_page_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All outputs of the one-read page job: transitions, top provinces and the number of page views."""
     folder = work_dir(spark, "stream")
@@ -262,6 +275,7 @@ QUERIES = {
     "question_history": question_history,
     "stream_register_total": streamed(
         "register_lines", jobs.register_total, log_result("register_total", ["platform"])),
+    "stream_register_late": stream_register_late,
     "stream_register_sliding": streamed(
         "register_lines", jobs.register_sliding,
         log_result("register_sliding", ["window_start", "platform"], _windows), watermark=None),
@@ -344,6 +358,16 @@ w AS (SELECT {_PLATFORM} AS platform, unnest(generate_series(CAST(floor(epoch_us
 SELECT strftime(make_timestamp(start * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start,
   strftime(make_timestamp((start + 60) * 1000000), '%Y-%m-%d %H:%M:%S') AS window_end, platform, count(*) AS num
 FROM w GROUP BY start, platform"""
+# a row of the second part is late if its pane has ended a day before the last row of the first part
+_LATE = f"""WITH {EVENTS},
+p AS (SELECT *, CAST(floor(epoch_us(ts) / 6000000.0) AS bigint) * 6 AS pane FROM e),
+mark AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS last,
+  max(epoch_us(ts)) FILTER (event_id % 3 <> 0) // 1000 * 1000 - 86400000000 AS first FROM e),
+w AS (SELECT {_PLATFORM} AS platform, unnest(generate_series(pane - 54, pane, 6)) AS start FROM p, mark
+  WHERE event_id % 3 <> 0 OR (pane + 6) * 1000000 > first)
+SELECT strftime(make_timestamp(start * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(make_timestamp((start + 60) * 1000000), '%Y-%m-%d %H:%M:%S') AS window_end, platform, count(*) AS num
+FROM w, mark WHERE (start + 60) * 1000000 <= last GROUP BY start, platform"""
 _TOTAL = f"WITH {EVENTS} SELECT {_PLATFORM} AS platform, count(*) AS num FROM e GROUP BY 1"
 _TRANSITIONS = f"WITH {_PAGES} SELECT last_page_id, page_id, next_page_id, count(*) AS num FROM pages GROUP BY 1, 2, 3"
 _TOP3 = f"SELECT * FROM ({_PROVINCES}) ORDER BY num DESC, province NULLS FIRST LIMIT 3"
@@ -370,6 +394,7 @@ SQL = {
         string_agg(CAST(k AS varchar), ',' ORDER BY k) AS questionids
         FROM (SELECT DISTINCT user_id, code, k FROM e) GROUP BY user_id, code, k % 10, k // 10000""",
     "stream_register_total": _TOTAL,
+    "stream_register_late": _LATE,
     "stream_register_sliding": _SLIDING,
     "stream_question_mastery": _MASTERY,
     "stream_page_transitions": _TRANSITIONS,

@@ -49,9 +49,9 @@ def into_log(log: ChangeLog, compact_every: int | None = COMPACT_EVERY) -> Calla
 
 
 def _changes(df: DataFrame, path: str, keys: list[str], checkpoint: str, compact_every: int | None = COMPACT_EVERY,
-             **run) -> StreamingQuery:
+             mode: str = "update", **run) -> StreamingQuery:
     log = ChangeLog(df.sparkSession, path, keys, run_id(df.sparkSession, checkpoint))
-    return start(df.writeStream.outputMode("update").foreachBatch(into_log(log, compact_every)), checkpoint, **run)
+    return start(df.writeStream.outputMode(mode).foreachBatch(into_log(log, compact_every)), checkpoint, **run)
 
 
 def register_total(lines: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
@@ -62,24 +62,28 @@ def register_total(lines: DataFrame, out: str, checkpoint: str, **run) -> Stream
 
 
 def register_sliding(lines: DataFrame, out: str, checkpoint: str, *, watermark: str | None,
-                     event_time: bool = True, **run) -> StreamingQuery:
+                     event_time: bool = True, closed: bool = False, **run) -> StreamingQuery:
     """Registrations per platform in 60-second windows every 6 seconds.
 
     Windows go by the record's own time; ``event_time=False`` uses the processing time. The caller has to choose a
     ``watermark``: with None no record is too late and the state grows with time, with a delay the state is bounded and
-    records later than it are left out (:func:`late_rows` counts them). Records whose time cannot be read are in no
+    records later than it are left out (:func:`late_rows` counts them). ``closed`` writes a window once, when the watermark has
+    passed it, instead of its growing count in every batch; its records are counted per six seconds first. Records whose time cannot be read are in no
     window; :func:`register_job` sets them aside.
     """
     records, _ = register_records(lines)
     ts = F.try_to_timestamp("register_time") if event_time else F.current_timestamp()
     timed = records.withColumn("ts", ts).where(F.col("ts").isNotNull())
-    counts = sliding_count(timed, "ts", "platform", watermark=watermark)
+    counts = sliding_count(timed, "ts", "platform", watermark=watermark, closed=closed)
     return _changes(counts, f"{out}/register_sliding", ["window_start", "platform"],
-                    f"{checkpoint}/register_sliding", **run)
+                    f"{checkpoint}/register_sliding", mode="append" if closed else "update", **run)
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark has left out in the batches whose progress the query still holds."""
+    """Rows that the watermark has left out in the batches whose progress the query still holds.
+
+    Spark counts them where they reach the state: rows of one task with the same window and key are one by then.
+    """
     return sum(state.get("numRowsDroppedByWatermark", 0) for progress in query.recentProgress
                for state in progress["stateOperators"])
 

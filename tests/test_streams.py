@@ -278,6 +278,31 @@ def test_bad_times_and_late_rows_are_set_aside(spark, replay):
     assert sorted(r.value for r in spark.read.text(f"{replay.root}/bad").collect()) == ["a\t1", "a\t1\tno time"]
 
 
+def test_closed_windows_come_once_and_leave_late_rows_out(spark, replay, rows):
+    def at(i, second):
+        return f"{i}\t1\t2024-01-01 00:{second // 60:02d}:{second % 60:02d}"
+
+    def drain():
+        query = jobs.register_sliding(file_lines(spark, f"{replay.root}/in"), f"{replay.root}/out", f"{replay.root}/cp",
+                                      watermark="30 seconds", closed=True, available_now=True)
+        query.awaitTermination()
+        return jobs.late_rows(query)
+
+    first = [at(i, second) for i, second in enumerate([0, 5, 61, 200, 200])]
+    replay.add(first, 1)
+    assert drain() == 0                                        # the watermark is at 170 seconds now
+    in_time, late = [at(10, 168), at(11, 175)], [at(12, 3), at(13, 100), at(14, 167)]
+    replay.add([*in_time, *late, at(15, 500)], 1)
+    assert drain() == 3
+    records, _ = register_records(lines(spark, [*first, *in_time, at(15, 500)]))
+    whole = sliding_count(records.withColumn("ts", F.to_timestamp("register_time")), "ts", "platform")
+    want = whole.where(F.col("window_end") <= F.lit("2024-01-01 00:07:50").cast("timestamp"))
+    got = spark.read.parquet(f"{replay.root}/out/register_sliding/batch=*")
+    assert rows(got, *want.columns) == rows(want)              # over all batches: no window twice
+    with pytest.raises(ValueError, match="watermark"):
+        sliding_count(records, "ts", "platform", closed=True)
+
+
 def test_the_caller_chooses_the_watermark(spark, replay):
     with pytest.raises(TypeError, match="watermark"):
         jobs.register_sliding(None, "out", "cp")
