@@ -2,7 +2,8 @@
 
 Nodes are groups of equal texts; two nodes are linked where they share a line. Nobody writes out the pairs: a line is a
 hub that all its nodes are joined to, and what a hub passes on is how many of its rows each shard holds. In each round
-every linked node asks for the shard in which most of its neighbours' rows are; requests are granted in both directions
+every linked node asks for the shard in which most of its neighbours' rows are, its own left out. The first node of a hub in
+the order of hashes decides ties, and one that is first in all its hubs stays, so two linked nodes don't change places. Requests are granted in both directions
 alike, plus what room a shard has, so that no shard grows past its quota. In the end linked nodes keep their shards and
 the others fill the rest to the exact row: all ranks are counts per cell first and ranks within a cell second.
 """
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.llm.common import WHITE_CHARS, materialize, small_side
 
+#: What the shard of a hub's first node weighs beside the shares of the rows, which add up to 1: it decides ties.
+LEAD = 1e-3
 #: Cells per shard in the final ranking; a cell is the unit that is sorted in one task.
 CELLS = 1024
 #: Documents of one group are spread over so many cells if the group is large.
@@ -41,7 +44,7 @@ def shared_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return held.join(hubs.where("low < high").select("hub"), "hub", "left_semi").distinct()
 
 
-def propagate(nodes: DataFrame, links: DataFrame, room: Sequence[int], rounds: int = 3, slack: float = 0.05,
+def propagate(nodes: DataFrame, links: DataFrame, room: Sequence[int], rounds: int = 4, slack: float = 0.05,
               fixed: dict[int, Sequence[int]] | None = None) -> DataFrame:
     """``node`` and ``label`` for the nodes of ``links`` and those of several rows; ``nodes`` has ``node`` and ``rows``.
 
@@ -70,22 +73,33 @@ def propagate(nodes: DataFrame, links: DataFrame, room: Sequence[int], rounds: i
     quota = [max(total * r / whole * (1 + slack), r if any(g[s] for g in fixed.values()) else 0) for s, r in enumerate(room)]
     held = [F.sum(F.when(F.col("label") == s, F.col("rows")).otherwise(0)) for s in range(shards)]
     for turn in range(rounds):
-        hubs = links.join(labels, "node").groupBy("hub").agg(F.array(*held).alias("held"))
+        labelled = links.join(labels, "node")
+        hubs = labelled.groupBy("hub").agg(F.array(*held).alias("held"), F.min(F.struct("node", "label")).alias("lead"))
         if fixed:
             hubs = hubs.join(anchors, "hub", "left").select("hub", F.when(F.col("anchored").isNull(), F.col("held")).otherwise(
-                F.zip_with("held", "anchored", lambda x, y: x + y)).alias("held"))
+                F.zip_with("held", "anchored", lambda x, y: x + y)).alias("held"),
+                F.when(F.col("anchored").isNull(), F.col("lead")).alias("lead"))
         hubs = materialize(hubs, f"hubs-{turn}")
-        wishes = links.join(hubs, "hub").groupBy("node").agg(F.array(*[
-            F.sum(F.get("held", F.lit(s)) / F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x)) if room[s] else F.lit(0.0)
-            for s in range(shards)]).alias("pull"))
+        others = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x) - F.col("rows")
+        leads = F.coalesce(F.col("lead.node") == F.col("node"), F.lit(False))
+
+        def pull(s: int) -> Column:
+            theirs = F.get("held", F.lit(s)) - F.when(F.col("label") == s, F.col("rows")).otherwise(0)
+            towards = F.when(~leads & (F.col("lead.label") == s), F.lit(LEAD)).otherwise(F.lit(0.0))
+            return F.sum(F.when(others > 0, theirs / others + towards).otherwise(0.0))
+
+        wishes = labelled.join(hubs, "hub").groupBy("node").agg(
+            F.array(*[pull(s) if room[s] else F.lit(0.0) for s in range(shards)]).alias("pull"), F.bool_and(leads).alias("leads"))
         best = F.array_max(F.transform("pull", lambda p, s: F.struct(p.alias("p"), (-s).alias("s"))))
         asked = labels.join(wishes, "node", "left").select(
-            "node", "rows", "label", F.when((best["p"] > F.get("pull", F.col("label"))) & (F.col("rows") <= max(1, total * slack)),
+            "node", "rows", "label", F.when((best["p"] > F.get("pull", F.col("label"))) & ~F.col("leads") & (F.col("rows") <= max(1, total * slack)),
                                             -best["s"]).otherwise(F.col("label")).cast("int").alias("wish"),
             (F.pmod(F.xxhash64("node", F.lit(100 + turn)), F.lit(1 << 20)) / float(1 << 20)).alias("draw"))
         asked = materialize(asked, f"wishes-{turn}")
         counts = {(r["label"], r["wish"]): r["n"] for r in asked.groupBy("label", "wish").agg(
             F.sum("rows").alias("n")).collect()}  # shards x shards numbers
+        if all(a == b for a, b in counts):
+            break
         now = [sum(n for (a, _), n in counts.items() if a == s) for s in range(shards)]
         granted = []
         space = [max(0.0, q - n) for q, n in zip(quota, now)]
@@ -103,7 +117,7 @@ def propagate(nodes: DataFrame, links: DataFrame, room: Sequence[int], rounds: i
     return labels.select("node", "label")
 
 
-def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", rounds: int = 3,
+def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", rounds: int = 4,
           carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``_carry``, ``size``, ``text_crc32``, ``node``, ``shard`` and ``slot`` per document.
 
