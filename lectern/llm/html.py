@@ -1,9 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by where it stands (menus, headers, footers,
-sidebars, notices, adverts, forms and comments are boilerplate), its link density, its length and the density of stop
-words. Short blocks that none of this decides are ambiguous; the second pass gives each the label of its nearest
-decided neighbour. Pages are independent of each other, so each is worked on as a whole within a task.
+A page is cut into blocks at block-level tags. The first pass decides each block by its density of stop words, its length, its
+link density and by where it stands: menus, footers, sidebars and comments are boilerplate, and forms, headers and
+elements named like notices or adverts are taken for it. Such a name or element counts for nothing if most stop words of the page
+are in it and the prose is (a form around the whole page); an article element counts for nothing if the prose is outside.
+Blocks that none of this decides are ambiguous; the second pass gives each the label of its nearest decided
+neighbour. Pages are independent of each other, so each is worked on as a whole within a task.
 """
 
 from __future__ import annotations
@@ -22,17 +24,23 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
           "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub",
           "sup", "time", "tt", "u", "var", "wbr", "img"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "head", "button", "select", "option", "svg", "canvas", "object", "dialog",
-               "menu", "audio", "video", "map", "fieldset"}
+BOILERPLATE = {"nav", "footer", "aside", "head", "button", "select", "option", "svg", "canvas", "object", "dialog",
+               "menu", "audio", "video", "map"}
+FORMS = {"form", "fieldset"}
 MAIN = {"article", "main"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu",
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu",
          "menubar", "toolbar"}
 # Words in class and id names of parts that are not the article.
 HINTS = set("""ad ads adbox adsense advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs byline-share
-comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer footnav gdpr header login
+consent cookie cookies copyright disclaimer disqus dropdown footer footnav gdpr header login
 masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion
-recommend recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored
+recommend recommended related search share sharing sidebar signin signup skip social sponsor sponsored
 subscribe tags teaser toolbar topbar widget widgets""".split())
+# Names of reader comments.
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
+# Parts of names that tell of a state or a setting, or of the article's own parts, not of what the element is.
+STATES = {"has", "with", "without", "no", "not", "is", "show", "hide", "enable", "enabled", "disabled", "open", "closed", "active",
+          "entry", "post", "article"}
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = set("""the of and to in a is that it was for on are as with his they at be this from have or by one had not but
 what all were when we there can an your which their said if do will each about how up out them then she many some so these
@@ -57,9 +65,13 @@ class Block:
     text: str
     linked: float
     boilerplate: bool
+    vote: int  # the nearest element around it that is taken for boilerplate, 0 for none
     main: int
     heading: bool
     label: bool | None = field(default=None)
+    stops: int = 0
+    density: float = 0.0
+    prose: bool = False
 
 
 def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
@@ -77,7 +89,18 @@ def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
         at = page.find(mark, quote + 2) + 1
 
 
+def _names(attributes: dict[str, str]) -> set[str]:
+    """What the class and id names call an element: the first and last part of each whole name that tells of no state."""
+    out = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = [part for part in re.split(r"[^a-z0-9]+", name) if part]
+        if parts and STATES.isdisjoint(parts):
+            out |= {parts[0], parts[-1]}
+    return out
+
+
 def _is_boilerplate(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element is boilerplate whatever is in it."""
     if name in BOILERPLATE or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if attributes.get("role", "").lower() in ROLES:
@@ -86,16 +109,18 @@ def _is_boilerplate(name: str, attributes: dict[str, str]) -> bool:
         return True
     if name in ("html", "body"):
         return False
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return not HINTS.isdisjoint(re.split(r"[^a-z0-9]+", named))
+    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return not COMMENTS.isdisjoint(named) or not COMMENTS.isdisjoint(_names(attributes))
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """The blocks with text of a page, in order."""
+def blocks_of(page: str | None) -> tuple[list[Block], list[int]]:
+    """The blocks with text of a page, in order, and for every vote (numbered from 1) the vote around it."""
     page = page or ""
     last = {mark: page.rfind(mark) for mark in "\"'"}
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open block elements: name, within boilerplate, number of the main part or 0
+    around = [0]
+    # open block elements: name, within boilerplate, nearest vote or 0, number of the main part or 0
+    stack: list[tuple[str, bool, int, int]] = []
     texts: list[str] = []
     linked, in_link, breaks, mains, heading = 0, 0, 0, 0, False
 
@@ -103,8 +128,8 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked, breaks
         text = SPACE.sub(" ", references.unescape("".join(texts))).strip()
         if text:
-            bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out.append(Block(text, linked / len(text), bad, main, heading))
+            bad, vote, main = stack[-1][1:] if stack else (False, 0, 0)
+            out.append(Block(text, linked / len(text), bad, vote, main, heading))
         texts.clear()
         linked, breaks = 0, 0
 
@@ -174,39 +199,77 @@ def blocks_of(page: str | None) -> list[Block]:
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(inside)}
         if re.search(r"(?:^|\s)hidden(?:\s|$)", inside):
             attributes["hidden"] = ""
-        bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        own = _is_boilerplate(name, attributes)
         if name in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             stack.pop()  # these end where the next one begins
-            bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if name in MAIN and not own:
+        bad, vote, main = stack[-1][1:] if stack else (False, 0, 0)
+        own = _is_boilerplate(name, attributes)
+        named = name in FORMS or attributes.get("role", "").lower() == "form" or (
+            name not in ("html", "body") and not HINTS.isdisjoint(_names(attributes)))
+        if name in MAIN and not own and not named:
             mains += 1
-            bad, main = False, mains if not main else main
-        elif name == "header" and not main:
-            own = True  # of the page; the header of an article is part of it
+            bad, vote, main = False, 0, mains if not main else main
         elif name == "body":
-            bad = False
-        stack.append((name, bad or own, main))
+            bad, vote = False, 0
+        if named or name == "header" and not main:  # the header of an article is part of it
+            around.append(vote)
+            vote = len(around) - 1
+        stack.append((name, bad or own, vote, main))
     flush()
-    return out
+    return out, around
 
 
-def _stop_density(text: str) -> float:
+def _stop_words(text: str) -> tuple[int, float]:
+    """Number of stop words and their share of all words."""
     words = WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    found = sum(w in STOP_WORDS for w in words)
+    return found, found / len(words) if words else 0.0
 
 
-def classify(blocks: Sequence[Block]) -> None:
-    """Sets ``label`` of every block: True for the article."""
+def _place(blocks: Sequence[Block], around: Sequence[int]) -> bool:
+    """Settles the votes on places by where stop words are; True if the page has an article element that counts.
+
+    A vote is void if its element has more than half of the stop words and two blocks of prose at least, and the article
+    elements have no prose. Article elements are void if that holds for what is outside of them and of boilerplate.
+    """
+    held, prose = [0] * len(around), [0] * len(around)
+    total, in_main = 0, 0
+    for b in blocks:
+        if b.boilerplate or b.linked > LINKED:
+            continue
+        stops, density = _stop_words(b.text)
+        b.stops, b.density = stops, density
+        b.prose = len(b.text) >= LONG_CHARS and density >= STOPPED
+        total += stops
+        held[b.vote] += stops
+        prose[b.vote] += b.prose
+        in_main += b.prose and b.main > 0
+    for k in range(len(around) - 1, 0, -1):  # an element within another has the higher number
+        held[around[k]] += held[k]
+        prose[around[k]] += prose[k]
+    counts = [False] * len(around)
+    for k in range(1, len(around)):
+        void = not in_main and prose[k] >= 2 and 2 * held[k] > total
+        counts[k] = counts[around[k]] or not void
+    for b in blocks:
+        b.boilerplate = b.boilerplate or counts[b.vote]
     has_main = any(b.main and not b.boilerplate for b in blocks)
+    outside = [b for b in blocks if not b.main and not b.boilerplate and b.linked <= LINKED]
+    if has_main and not in_main and sum(b.prose for b in outside) >= 2 and 2 * sum(b.stops for b in outside) > total:
+        for b in blocks:
+            b.main = 0
+        return False
+    return has_main
+
+
+def classify(blocks: Sequence[Block], around: Sequence[int]) -> None:
+    """Sets ``label`` of every block: True for the article."""
+    has_main = _place(blocks, around)
     for b in blocks:  # first pass
         if b.boilerplate or b.linked > LINKED and not (b.heading and b.main) or has_main and not b.main:
             b.label = False
-        elif b.main:
-            b.label = True if len(b.text) >= SHORT_CHARS else None
-        elif len(b.text) >= SHORT_CHARS and _stop_density(b.text) >= STOPPED:
+        elif len(b.text) >= SHORT_CHARS and b.density >= STOPPED:
             b.label = True
-        elif len(b.text) >= LONG_CHARS and b.linked == 0:
+        elif len(b.text) >= (SHORT_CHARS if b.main else LONG_CHARS) and b.linked == 0:
             b.label = True  # long prose of another language, tables, code
     decided = [b.label for b in blocks]
     before, nearest = [(None, 0)] * len(blocks), [(None, 0)] * len(blocks)
@@ -238,8 +301,8 @@ def classify(blocks: Sequence[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line."""
-    blocks = blocks_of(page)
-    classify(blocks)
+    blocks, around = blocks_of(page)
+    classify(blocks, around)
     return "\n".join(b.text for b in blocks if b.label)
 
 

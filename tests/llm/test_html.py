@@ -58,9 +58,30 @@ def test_markup():
     assert main_text(None) == main_text("") == "" and main_text("<") == "<"
 
 
+ONE, TWO = (f"{w} of the house that was by the river had the light of the water in it, and all of this is from the time when they "
+            f"had come to it with his stone and {w} for the others." for w in ("The keeper", "The sailor"))
+
+
+@pytest.mark.parametrize("opened", [
+    '<div class="container has-sidebar">', '<form id="aspnetForm">', '<div class="post social-sharing-enabled">', '<div class="widget">',
+    '<div id="page-header"><div class="ad-free">', '<article class="teaser"><p>More.</p></article><div>', '<div class="banner"><form>'])
+def test_names_and_forms_around_the_prose(opened):
+    page = f'<body><nav><a href="/">Home</a></nav>{opened}<p>{ONE}</p><p>Short.</p><p>{TWO}</p></form></div></div>'
+    assert main_text(page + "<footer>All rights are with us</footer>") == f"{ONE}\nShort.\n{TWO}"
+
+
+def test_parts_around_an_article():
+    assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div><p>{ONE}</p></article>') == f"Title\n{ONE}"
+    assert main_text(f'<div class="notice"><p>{ONE}</p><p>{TWO}</p><p>{ONE}</p></div><article><p>{TWO}</p></article>') == TWO
+    assert main_text(f'<div><p>{ONE}</p></div><div class="comments"><p>{TWO}</p><p>{TWO}</p><p>{TWO}</p></div>') == ONE
+    assert main_text(f'<article><a href="/">Soon.</a></article><div><p>{ONE}</p><p>{TWO}</p></div>') == f"{ONE}\n{TWO}"
+    codes = "x1 = y2 + z3; " * 9
+    assert main_text(f"<article><p>{ONE}</p><pre>{codes}</pre></article>") == f"{ONE}\n{codes.strip()}"
+
+
 def test_hostile_pages_take_linear_time():
     for page in ('<a "' * 100_000, '<p x="' * 100_000, "<div>" * 50_000 + "x", "<" * 300_000, "<!--" * 100_000,
-                 "<script>" * 100_000, "&" * 300_000, "<article><p>" + "word " * 200_000):
+                 "<script>" * 100_000, "<div class=widget>" * 50_000 + "x", "&" * 300_000, "<article><p>" + "word " * 200_000):
         blocks_of(page)
 
 
