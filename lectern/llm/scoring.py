@@ -12,7 +12,7 @@ bigram, if both words are known; its first word, if that is rare; its second wor
 scored where they meet.
 
 Both models interpolate bigrams with single words: p(w | v) = (c(v w) + m p(w)) / (c(v) + m), p(w) = (c(w) + 1) / (N + V).
-V is the number of different words, or :data:`CLASSES` if that is more.
+V is the number of different words.
 A document doesn't speak for itself: its own occurrences of v w are left out of c(v w) and c(v), in the background always and in the
 target if it is a target document. Otherwise every target document would look like the target.
 """
@@ -29,8 +29,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lectern.llm.common import materialize
 from lectern.llm.shingles import FACTORS, WordHashes, word_hashes
 
-#: The least number of words that a model reserves one count each for.
-CLASSES = 1 << 18
 #: At most so many of the most frequent words have their counts in a table in every task. This changes cost, never the result.
 KNOWN_BITS = 18
 KNOWN = 1 << KNOWN_BITS
@@ -155,7 +153,7 @@ def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id
     words = _word_counts(packed)
     n_target, n_all, different = (x or 0 for x in words.agg(
         F.sum("w_target"), F.sum("w_all"), F.count_if(F.col("w_all") > 0)).first())  # three numbers
-    vocabulary = max(CLASSES, different)
+    vocabulary = max(different, 1)
     top = _known_words(words, min(known, KNOWN - 1))
     if not len(top):
         top = pd.DataFrame({c: [0] for c in words.columns})  # no documents

@@ -8,7 +8,7 @@ import pytest
 from awkward import frame, texts
 from pyspark.sql import functions as F
 
-from lectern.llm.scoring import CLASSES, WEIGHT, score, tokens
+from lectern.llm.scoring import WEIGHT, score, tokens
 from lectern.llm.shingles import WordHashes
 
 
@@ -30,7 +30,7 @@ def brute(rows):
             p = []
             for model in (0, 1):
                 k = n if model == 0 or good else 0
-                single = (words[model][w] + 1) / (total[model] + CLASSES)
+                single = (words[model][w] + 1) / (total[model] + len(words[0]))
                 p.append((pairs[model][v, w] - k + WEIGHT * single) / (before[model][v] - k + WEIGHT))
             sums += n * (math.log(p[0]) - math.log(p[1]))
         out.append((d, len(t) - 1, sums / (len(t) - 1) if len(t) > 1 else None))
@@ -90,7 +90,7 @@ def test_words_are_not_folded():
     assert len(set(tokens(" ".join(words), memo).tolist())) == len(words) + 1
 
 
-def test_scores_over_more_words_than_classes(spark):
+def test_scores_over_many_words(spark):
     rows = [(i, " ".join(f"word{i * 10_000 + k}" for k in range(10_000)), i % 3 == 0) for i in range(30)]
     plain, seen, total = brute_words(rows), 300_000, [300_000, 100_000]
     got = {d: s for d, _, s in run(spark, rows)}
@@ -98,7 +98,7 @@ def test_scores_over_more_words_than_classes(spark):
         want = 0.0
         for k, w in enumerate(text.split()):  # every bigram is here only, so without its own counts none is left
             v = [0, 0] if k else [29, 9 if good else 10]
-            p = [WEIGHT * (plain[m].get(w, 0) + 1) / (total[m] + max(CLASSES, seen)) / (v[m] + WEIGHT) for m in (0, 1)]
+            p = [WEIGHT * (plain[m].get(w, 0) + 1) / (total[m] + seen) / (v[m] + WEIGHT) for m in (0, 1)]
             want += math.log(p[0]) - math.log(p[1])
         assert got[d] == pytest.approx(want / 10_000, abs=1e-9)
 
