@@ -1,10 +1,14 @@
 """Line deduplication: every long repeated run goes, one copy of everything stays."""
 
 import random
+import zlib
+
+import numpy as np
 
 from awkward import frame, texts
 
-from lectern.llm.lines import dedup_lines, extend, fingerprints, line_hashes, windows
+from lectern.llm.lines import dedup_lines, extend, fingerprints, line_words, units
+from lectern.llm.shingles import WordHashes
 
 
 def table(spark, rows, partitions=3):
@@ -90,11 +94,17 @@ def test_awkward_rows(spark):
     assert table(spark, []) == []
 
 
+def hashed_lines(text):
+    """A number per line that stands for its words, and how many they are."""
+    words = np.array([len(line.split()) for line in text.split("\n")])
+    return np.array([zlib.crc32(" ".join(line.split()).encode()) for line in text.split("\n")], np.int64), words
+
+
 def test_fingerprints_are_guaranteed():
     rng = random.Random(1)
     for _ in range(50):
         text = "\n".join(" ".join("x%d" % rng.randrange(50) for _ in range(rng.randint(0, 9))) for _ in range(60))
-        hashes, words = line_hashes(text)
+        hashes, words = hashed_lines(text)
         picked = set(fingerprints(hashes, words).tolist())
         full = [i for i in range(60) if words[i]]
         for a in range(len(full)):
@@ -104,8 +114,11 @@ def test_fingerprints_are_guaranteed():
                 if total >= 50:
                     assert picked & set(full[a:b + 1])
                     break
-    hashes, words = line_hashes("a b\n" * 6)
-    assert extend(hashes, words, 3, hashes, 0, True) == (3, 5, 6)
+    words = line_words("a b " * 6, WordHashes())[0].astype("uint32")
+    back, ahead = words[:4][::-1].tobytes(), words[4:].tobytes()
+    assert extend(back, ahead, back, ahead) == (4, 8)
+    assert extend(back, ahead, back[:8], words[2:].tobytes(), apart=2) == (2, 0)
+    assert extend(back, ahead, b"", words[:3].tobytes() + b"other---") == (0, 3)
 
 
 def test_each_stretch_meets_its_own_first_place(spark):
@@ -119,18 +132,36 @@ def test_each_stretch_meets_its_own_first_place(spark):
     assert all(got[k] == t for k, t, *_ in rows[:5])
 
 
-def test_windows_cover_every_run():
-    rng = random.Random(3)
-    for _ in range(30):
-        text = "\n".join(" ".join("x%d" % rng.randrange(50) for _ in range(rng.choice([0, 1, 1, 9, 30, 60]))) for _ in range(40))
-        hashes, words = line_hashes(text)
-        _, start, stop = windows(hashes, words)
-        full = [i for i in range(40) if words[i]]
-        for a in range(len(full)):
-            for b in range(a, len(full)):
-                if words[full[a]:full[b] + 1].sum() >= 50:
-                    inside = {k for i, j in zip(start, stop) if full[a] <= i and j <= full[b] for k in range(i, j + 1)}
-                    assert set(full[a:b + 1]) <= inside
+def test_units_are_the_same_wherever_a_passage_stands():
+    memo, rng, met = WordHashes(), random.Random(5), 0
+    for _ in range(500):
+        passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(50))
+        seen = []
+        for n in (rng.randrange(40), rng.randrange(40)):
+            around = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(n)) for _ in range(2)]
+            words, counts = line_words(f"{around[0]} {passage} {around[1]}", memo)
+            hashes, starts = units(words, counts)
+            sizes = np.diff(np.append(starts, len(words)))
+            assert sizes.sum() == len(words) and sizes.max() <= 16
+            picked = fingerprints(hashes, sizes, 15)
+            seen.append({(h, s - n) for h, s in zip(hashes[picked], starts[picked]) if n <= s < n + 50})
+        met += bool(seen[0] & seen[1])
+    assert met >= 490
+
+
+def test_passages_inside_lines(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [line(rng.randint(51, 90)) for _ in range(40)]
+    rows, plain = [], []
+    for i in range(200):
+        head, foot = line(rng.randint(1, 60)), line(rng.randint(1, 60))
+        rows.append((i, f"{head} {passages[i % 40]} {foot}", "en", "s"))
+        plain.append(f"{head} {foot}")
+    got = {r["doc_id"]: r for r in table(spark, rows)}
+    assert all(got[i]["text"] == rows[i][1] for i in range(40))
+    assert all(got[i]["text"] == plain[i] for i in range(40, 200))
+    assert all(got[i]["removed_words"] == len(passages[i % 40].split()) for i in range(40, 200))
 
 
 def test_blank_lines_do_not_end_a_run(spark):
