@@ -10,6 +10,8 @@ at least :data:`RUN_WORDS` words are deleted.
 The first place of a fingerprint may share less with a later one than two later ones do with each other. Where a run comes out too
 short, all stretches of ``RUN_WORDS`` words around the places of that fingerprint meet their own first places.
 
+Texts that an earlier document has as a whole are one run each and have no fingerprints of their own.
+
 Every deleted word is in a run with an equal run at an earlier place, and the earliest place of a run is never deleted. Words around
 fingerprints are compared by 32 bits each.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import BROADCAST_ROWS, materialize, small_side
+from lectern.llm.common import BROADCAST_ROWS, materialize, small_side, text_key, white_words
 from lectern.llm.shingles import FACTORS, WordHashes, mixed
 
 #: Words that a repeated run must have.
@@ -202,9 +204,20 @@ def _stretches(places: DataFrame, run_words: int) -> DataFrame:
     return places.select("id", "tie", "at", "back", "ahead").mapInArrow(run, "key long, id long, tie long, start long")
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """``id``, ``tie`` and ``n`` (words) of texts that an earlier document has as a whole. No text is moved."""
+    keyed = docs.select("id", "tie", text_key(F.col("text")).alias("key"), F.size(white_words(F.col("text"))).cast("long").alias("n"))
+    first = materialize(keyed.groupBy("key").agg(F.min(F.struct("id")).alias("first"), F.count(F.lit(1)).alias("m"))
+                        .where("m > 1").drop("m"), "line-texts")
+    return keyed.join(small_side(first), "key").where(~F.col("id").eqNullSafe(F.col("first.id"))).select("id", "tie", "n").distinct()
+
+
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """``id``, ``tie``, ``start`` and ``stop`` (numbers of words) of later places of repeated runs."""
-    places = materialize(_places(docs).distinct(), "line-places")
+    copies = materialize(_copies(docs), "line-copies")
+    listed = small_side(copies).alias("c")
+    docs = docs.alias("o").join(listed, F.col("o.id").eqNullSafe(F.col("c.id")) & (F.col("o.tie") == F.col("c.tie")), "left_anti")
+    places = materialize(_places(docs), "line-places")
     found = materialize(places.groupBy("fp").agg(F.min(F.struct("id", "tie", "at")).alias("first"), F.count(F.lit(1)).alias("m"))
                         .where("m > 1").drop("m"), "line-firsts")
     leads = F.struct("id", "tie", "at").eqNullSafe(F.col("first"))
@@ -222,13 +235,14 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     later = around.where(~F.col("leads")).join(first, "fp").withColumn("same", same)
     runs = materialize(_extended(later, run_words), "line-runs")
     short = materialize(runs.where("start IS NULL").select("fp").distinct(), "line-short")
-    stretches = materialize(_stretches(around.join(small_side(short), "fp", "left_semi"), run_words).distinct(), "line-stretches")
+    stretches = materialize(_stretches(around.join(small_side(short), "fp", "left_semi"), run_words), "line-stretches")
     again = materialize(stretches.groupBy("key").agg(F.min(F.struct("id", "tie", "start")).alias("first"), F.count(F.lit(1)).alias("m"))
                         .where("m > 1").drop("m"), "line-again")
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))
     more = (stretches.join(small_side(again), "key").where(~own | (F.col("start") >= F.col("first.start") + run_words))
             .select("id", "tie", "start", (F.col("start") + run_words - 1).alias("stop")))
-    return runs.where("start IS NOT NULL").select("id", "tie", "start", "stop").union(more).distinct()
+    whole = copies.where(F.col("n") >= run_words).select("id", "tie", F.lit(0).cast("long").alias("start"), (F.col("n") - 1).alias("stop"))
+    return runs.where("start IS NOT NULL").select("id", "tie", "start", "stop").union(more).union(whole).distinct()
 
 
 def united(spans: Sequence[dict]) -> list[dict]:
