@@ -24,14 +24,18 @@ def _slice(start: str, width: int) -> Column:
 
 
 def _with_reach(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int, name: str) -> DataFrame:
-    """Add the furthest ``end`` of all earlier rows of the key, by ``(start, end)``; null for the first."""
+    """Add the furthest ``end`` of all earlier rows of the key, by ``(start, end)``; null for the first.
+
+    There is about a row of ``carry`` per row, but plays parsed from lines are planned for as a few bytes each. So the join is
+    a sort-merge join by hint: by its estimate the planner would collect and broadcast all slices.
+    """
     sliced = df.withColumn("_slice", _slice(start, width))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = (sliced.groupBy(*keys, "_slice").agg(F.max(end).alias("_top"))
              .withColumn("_carry", F.max("_top").over(earlier)).drop("_top"))
     within = Window.partitionBy(*keys, "_slice").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     return (sliced.withColumn("_local", F.max(end).over(within))
-            .join(carry, [*keys, "_slice"], "inner")
+            .join(carry.hint("merge"), [*keys, "_slice"], "inner")
             .withColumn(name, F.greatest("_carry", "_local")).drop("_carry", "_local"))
 
 

@@ -76,6 +76,13 @@ def test_coverage_cases(spark):
     assert [total[i] - 10 for i in range(len(cases))] == list(cases.values())
 
 
+def test_slices_are_never_broadcast(spark, rows):
+    """Few bytes by the planner's estimate, which is no measure of rows that are parsed from lines."""
+    covered = interval_coverage(spark.sql("SELECT * FROM VALUES (1, 0, 5), (1, 3, 200), (2, 7, 9) AS t(k, ps, pe)"), ["k"])
+    assert "Broadcast" not in covered._jdf.queryExecution().executedPlan().toString()
+    assert rows(covered, "k", "ps", "pe", "new_len") == [(1, 0, 5, 5), (1, 3, 200, 195), (2, 7, 9, 2)]
+
+
 def test_times_carried_on_over_batches(spark):
     """Three batches, each after what the ones before it have stored, against marking every position."""
     seen, times, before = {}, {}, None
