@@ -12,6 +12,8 @@ from lectern.sources.warehouse import Warehouse, shape
 
 PASS_MARK = 60
 PAPER_KEYS = ("paperviewid", "paperviewname", "dt", "dn")
+#: A dimension and the columns it is joined on.
+Side = tuple[DataFrame, tuple[str, str]]
 
 
 def chapter_dim(chapter: DataFrame, chapter_list: DataFrame, point: DataFrame, point_question: DataFrame) -> DataFrame:
@@ -48,9 +50,20 @@ def answer_wide(answer: DataFrame, chapter: DataFrame, course: DataFrame, major:
 
     A chapter comes once per point and question, so answers repeat, as the wide table defines.
     """
-    return shape(inner_join_all(
-        answer, (course, ("sitecourseid", "dn")), (chapter, ("chapterid", "dn")), (major, ("majorid", "dn")),
-        (paper, ("paperviewid", "dn")), (question, ("questionid", "dn"))), "dws_user_paper_detail")
+    return shape(_with_dims(
+        answer, (question, ("questionid", "dn")), (paper, ("paperviewid", "dn")), (chapter, ("chapterid", "dn")),
+        (course, ("sitecourseid", "dn")), (major, ("majorid", "dn"))), "dws_user_paper_detail")
+
+
+def _with_dims(answer: DataFrame, question: Side, paper: Side, chapter: Side, course: Side, major: Side) -> DataFrame:
+    """Joins in the order that moves the fewest bytes.
+
+    Answers are shuffled for the three dimensions that grow with the platform: for questions while they are narrow, for chapters,
+    which repeat them, last. The names of courses and majors, a row per site, come when no shuffle follows. The three are joined by
+    sort-merge at any size: their sizes are estimates, and a dimension that just passes for small would be collected and broadcast.
+    """
+    grown = [(side.hint("merge"), keys) for side, keys in (question, paper, chapter)]
+    return inner_join_all(answer, *grown, course, major)
 
 
 def answer_grain(answer: DataFrame, chapter: DataFrame, course: DataFrame, major: DataFrame, paper: DataFrame,
@@ -63,13 +76,13 @@ def answer_grain(answer: DataFrame, chapter: DataFrame, course: DataFrame, major
     def one(dim: DataFrame, key: str, *columns: str) -> tuple[DataFrame, tuple[str, str]]:
         return first_per_key(dim.select(key, "dn", *columns), (key, "dn"), columns), (key, "dn")
 
-    return shape(inner_join_all(
+    return shape(_with_dims(
         answer,
-        one(course, "sitecourseid", "sitecoursename", "coursename"),
-        one(chapter, "chapterid", "pointid", "chaptername", "pointname"),
-        one(major, "majorid", "majorname", "shortname", "sitename"),
+        (question.select("questionid", "dn").distinct(), ("questionid", "dn")),
         one(paper, "paperviewid", "paperviewname", "papername"),
-        (question.select("questionid", "dn").distinct(), ("questionid", "dn"))), "dws_user_paper_answer")
+        one(chapter, "chapterid", "pointid", "chaptername", "pointname"),
+        one(course, "sitecourseid", "sitecoursename", "coursename"),
+        one(major, "majorid", "majorname", "shortname", "sitename")), "dws_user_paper_answer")
 
 
 def paper_averages(detail: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.plans import etl, exam, member
+from lectern.session import materialize
 from lectern.sources.specs import LOGS
 from lectern.sources.warehouse import SCANS, SCHEMAS, scan_columns
 
@@ -194,8 +195,8 @@ class Roles:
         return exam.question_dim(*self.exam_scans("question", "question_type"))
 
     def answer_parts(self) -> list[DataFrame]:
-        """Answers and the five dimensions, as the wide-table jobs take them."""
-        return [*self.exam_scans("answer"), *[scan_columns(getattr(self, name)(), name) for name in (
+        """Answers and the five dimensions, as the wide-table jobs take them: the dimensions are stored tables, of known size."""
+        return [*self.exam_scans("answer"), *[materialize(scan_columns(getattr(self, name)(), name), name) for name in (
             "chapter_dim", "course_dim", "major_dim", "paper_dim", "question_dim")]]
 
     def answers_wide(self) -> DataFrame:

@@ -76,6 +76,23 @@ def test_wide_rows_repeat_and_grain_does_not(warehouse):
     assert sorted((r.userid, r.pointname) for r in grain) == [(u, "P1") for u in range(1, 9)]
 
 
+ANSWER_PARTS = "answer chapter_dim course_dim major_dim paper_dim question_dim".split()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("build", [exam.answer_wide, exam.answer_grain])
+def test_answers_are_shuffled_for_grown_dimensions_only(warehouse, build):
+    """Questions first, chapters, which repeat answers, last; courses and majors after the last shuffle."""
+    joins = [line for line in plan(build(*[warehouse.scan(name, DAY) for name in ANSWER_PARTS])).splitlines() if "Join [" in line]
+    keys = [(name, next(k for k in ("major", "sitecourse", "chapter", "paperview", "question") if f"[{k}id#" in line))
+            for line in joins for name in ("SortMergeJoin", "BroadcastHashJoin") if name in line]
+    assert keys == [("BroadcastHashJoin", "major"), ("BroadcastHashJoin", "sitecourse"), ("SortMergeJoin", "chapter"),
+                    ("SortMergeJoin", "paperview"), ("SortMergeJoin", "question")]
+
+
 def test_reports(warehouse):
     def read(table):
         return tenant_a(warehouse.read(table, DAY))
