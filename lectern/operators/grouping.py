@@ -13,6 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import scalars as S
+from lectern.session import materialize
 
 
 def count_by(df: DataFrame, key: str, by: Sequence[str] = ("dn", "dt"), counted: str = "uid",
@@ -90,6 +91,19 @@ def top_n_ties(df: DataFrame, partition: Sequence[str], value: str, n: int = 3,
     return likely.join(ranks, condition, "inner").drop(*[f"_{c}" for c in (*partition, value)])
 
 
+def among_best(df: DataFrame, partition: Sequence[str], value: str, n: int = 3, ascending: bool = False) -> DataFrame:
+    """The rows that :func:`top_n_ties` ranks, as a stored table; for a ``df`` that is itself the result of joins.
+
+    The best values are found in a pass over groups and values alone and stored. The rows are then cut by a semi join, which the
+    planner moves below the joins of ``df``, so that only rows that qualify go through these with all their columns.
+    """
+    order = F.col(value).asc_nulls_first() if ascending else F.col(value).desc_nulls_last()
+    best = top_n(df.select(*partition, value).distinct(), partition, [order], n).drop("rownum")
+    best = materialize(best.select(*[F.col(c).alias(f"_{c}") for c in best.columns]), "best-values")
+    condition = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*partition, value)])
+    return materialize(df.join(best, condition, "left_semi"), "best-rows")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the first by ``order``, then by every other column, so the choice is stable."""
     rest = [c for c in df.columns if c not in keys and c not in order]

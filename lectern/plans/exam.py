@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import scalars as S
-from lectern.operators.grouping import first_per_key, ids_in_parts, rate_by, top_n_ties
+from lectern.operators.grouping import among_best, first_per_key, ids_in_parts, rate_by, top_n_ties
 from lectern.operators.joins import inner_join_all
 from lectern.session import materialize
 from lectern.sources.warehouse import Warehouse, shape
@@ -98,11 +98,13 @@ def paper_extremes(detail: DataFrame) -> DataFrame:
 
 def top_scores(detail: DataFrame, n: int = 3) -> DataFrame:
     """All answers with one of the ``n`` best scores of their paper."""
-    return shape(top_n_ties(detail, ("paperviewid",), "score", n), "ads_top3_userdetail")
+    best = among_best(detail, ("paperviewid",), "score", n)
+    return shape(top_n_ties(best, ("paperviewid",), "score", n), "ads_top3_userdetail")
 
 
 def low_scores(detail: DataFrame, n: int = 3) -> DataFrame:
-    return shape(top_n_ties(detail, ("paperviewid",), "score", n, ascending=True), "ads_low3_userdetail")
+    least = among_best(detail, ("paperviewid",), "score", n, ascending=True)
+    return shape(top_n_ties(least, ("paperviewid",), "score", n, ascending=True), "ads_low3_userdetail")
 
 
 def band_users(detail: DataFrame, distinct: bool = True, part_width: int = 10_000) -> DataFrame:

@@ -93,6 +93,14 @@ def test_answers_are_shuffled_for_grown_dimensions_only(warehouse, build):
                     ("SortMergeJoin", "paperview"), ("SortMergeJoin", "question")]
 
 
+def test_best_scores_run_the_joins_of_the_answers_once(warehouse):
+    """Ranks are given to the few stored rows that qualify, so no join of the answers is left in the plan."""
+    grain = exam.answer_grain(*[warehouse.scan(name, DAY) for name in ANSWER_PARTS])
+    for ranked, table in ((exam.top_scores(grain), "ads_top3_userdetail"), (exam.low_scores(grain), "ads_low3_userdetail")):
+        assert plan(ranked).count("Join [") == 1
+        assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, warehouse.read(table, DAY).collect()))
+
+
 def test_reports(warehouse):
     def read(table):
         return tenant_a(warehouse.read(table, DAY))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from lectern.operators.grouping import (
-    count_by, count_by_each, first_per_key, ids_in_parts, rate_by, sum_by_each, top_n, top_n_ties)
+    among_best, count_by, count_by_each, first_per_key, ids_in_parts, rate_by, sum_by_each, top_n, top_n_ties)
 from lectern.operators.upsert import upsert
 
 
@@ -37,6 +37,19 @@ def test_top_n_ties_equals_dense_rank(spark, rows, ascending):
     assert rows(top_n_ties(df, ["paper"], "score", 3, ascending), "id", "rk") == rows(want, "id", "rk")
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+def test_among_best_cuts_below_the_joins(spark, rows, ascending):
+    """Null values and null groups too, and rows that a join drops have no say."""
+    scores = skewed_scores(spark).union(spark.createDataFrame([(-1, None, 5), (-2, None, None)], "id int, paper int, score int"))
+    kept = spark.range(-2, 3000).where("id % 5 > 0").select(F.col("id").cast("int"), F.col("id").alias("more"))
+    df = scores.join(kept, "id")
+    order = F.col("score").asc_nulls_first() if ascending else F.col("score").desc_nulls_last()
+    want = df.withColumn("rk", F.dense_rank().over(Window.partitionBy("paper").orderBy(order))).where("rk < 4")
+    best = among_best(df, ["paper"], "score", 3, ascending)
+    assert rows(best, "id", "more") == rows(want, "id", "more")
+    assert rows(top_n_ties(best, ["paper"], "score", 3, ascending), "id", "rk") == rows(want, "id", "rk")
+
+
 def test_top_n_ties_prunes_before_the_shuffle(spark):
     plan = top_n_ties(skewed_scores(spark).repartition(6), ["paper"], "score")._jdf.queryExecution() \
         .executedPlan().toString()
