@@ -120,13 +120,13 @@ def ids_in_parts(df: DataFrame, keys: Sequence[str], member: str, name: str, dis
     ``copy_width`` times per row; further copies go to rows with a higher ``copy`` number. All parts of
     a group together are its whole list.
     """
-    grouped = df.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("_n"))
     part = F.call_function("div", F.col(member).cast("bigint"), F.lit(part_width).cast("bigint")).alias("part")
     if distinct:
-        lists = grouped.select(*keys, member, part).groupBy(*keys, "part").agg(
-            F.sort_array(F.collect_list(member)).alias("_ids"))
+        lists = df.select(*keys, member, part).groupBy(*keys, "part").agg(
+            F.sort_array(F.collect_set(member)).alias("_ids"))  # equal ids meet within tasks first
         return lists.select(*keys, "part",
                             F.array_join(F.transform("_ids", lambda i: i.cast("string")), ",").alias(name))
+    grouped = df.groupBy(*keys, member).agg(F.count(F.lit(1)).alias("_n"))
     width = F.lit(copy_width).cast("bigint")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("_n") - 1, width)))
     spread = grouped.select(*keys, member, part, "_n", copies.alias("copy")).withColumn(

@@ -147,11 +147,11 @@ def build_dims(wh: Warehouse, dt: str) -> None:
 
 
 def build_answers(wh: Warehouse, dt: str) -> None:
-    """Daily job: the wide answers, and the same answers once each for the reports."""
+    """Daily job: the wide answers, and the same answers once each for the reports; written by tenant as the joins leave them."""
     parts = [wh.scan(name, dt) for name in
              ("answer", "chapter_dim", "course_dim", "major_dim", "paper_dim", "question_dim")]
-    wh.write_day("dws_user_paper_detail", answer_wide(*parts), dt)
-    wh.write_day("dws_user_paper_answer", answer_grain(*parts), dt)
+    wh.write_day("dws_user_paper_detail", answer_wide(*parts), dt, rebalance=False)
+    wh.write_day("dws_user_paper_answer", answer_grain(*parts), dt, rebalance=False)
 
 
 def answer_summary(detail: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +218,7 @@ def report_exams(wh: Warehouse, dt: str, dedupe: bool = True, inner_only: bool =
     wh.write_day("ads_top3_userdetail", extreme.where("top <= 3").withColumnRenamed("top", "rk"), dt)
     wh.write_day("ads_low3_userdetail", extreme.where("low <= 3").withColumnRenamed("low", "rk"), dt)
     bands = band_users(detail, distinct=dedupe)
-    wh.write_day("ads_paper_scoresegment_user", bands.withColumn("copy", F.lit(0)) if dedupe else bands, dt)
+    wh.write_day("ads_paper_scoresegment_user", bands.withColumn("copy", F.lit(0)) if dedupe else bands, dt, rebalance=False)
 
 
 def ordered_report(wh: Warehouse, table: str, dt: str, *order: str) -> DataFrame:

@@ -248,8 +248,8 @@ class Roles:
 
 
 def land_logs(tables: dict[str, DataFrame], folder: str) -> None:
-    """The rows of cleaned tables as the raw JSON logs that they are loaded from; missing values are left out of a line."""
+    """The rows of cleaned tables as the raw JSON logs that they are loaded from, packed; missing values are left out of a line."""
     for table, rows in tables.items():
         spec = LOGS[table]
         rows.select(F.to_json(F.struct(*[F.col(f.name).cast("string").alias(f.keys[0]) for f in spec.fields if f.name in rows.columns]))
-                    .alias("value")).write.text(f"{folder}/{spec.file}")
+                    .alias("value")).write.text(f"{folder}/{spec.file}", compression="gzip")

@@ -119,17 +119,18 @@ class Warehouse:
     def write(self, table: str, df: DataFrame, mode: str = "overwrite", compression: str = "snappy") -> None:
         write_partitions(typed(df, table), self.path(table), self.partitions(table), mode, compression)
 
-    def write_day(self, table: str, df: DataFrame, dt: str) -> None:
+    def write_day(self, table: str, df: DataFrame, dt: str, rebalance: bool = True) -> None:
         """Replace one day of a table, or all of a table without days; ``df`` holds rows of that day only.
 
-        Everything of the day goes first, also the partition of a tenant that has no rows any more.
+        Everything of the day goes first, also the partition of a tenant that has no rows any more. Rows that come from a shuffle
+        of their own, in partitions the planner has merged already, need not be shuffled again by ``rebalance``.
         """
         rows = typed(df, table)
         if "dt" not in SCHEMAS[table].names:
-            write_partitions(rows, self.path(table), self.partitions(table), "replace")
+            write_partitions(rows, self.path(table), self.partitions(table), "replace", rebalance=rebalance)
             return
         write_partitions(rows.where(F.col("dt") == F.lit(str(dt))).drop("dt"), f"{self.path(table)}/dt={dt}",
-                         [c for c in self.partitions(table) if c != "dt"], "replace")
+                         [c for c in self.partitions(table) if c != "dt"], "replace", rebalance=rebalance)
 
     def write_load(self, table: str, df: DataFrame, load: str) -> None:
         """Add the rows of one load to a daily log, in ``load=<load>``; the same load again replaces itself.

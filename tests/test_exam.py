@@ -3,8 +3,10 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lectern.plans import etl, exam
+from lectern.queries.roles import land_logs
 from lectern.sources.warehouse import Warehouse
 
 DAY = "20190722"
@@ -93,6 +95,22 @@ def test_answers_are_shuffled_for_grown_dimensions_only(warehouse, build):
                     ("SortMergeJoin", "paperview"), ("SortMergeJoin", "question")]
 
 
+def test_logs_land_packed_and_answers_are_written_without_another_shuffle(spark, tmp_path, monkeypatch):
+    """Logs of the job are read back from packed files; the two answer tables and the id lists take no rebalancing shuffle."""
+    line = spark.createDataFrame([(1, "L")], "chapterlistid int, chapterlistname string")
+    land_logs({"dwd_qz_chapter_list": line}, str(tmp_path / "logs"))
+    assert {f.suffix for f in (tmp_path / "logs" / "QzChapterList.log").glob("part-*")} == {".gz"}
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    assert etl.load_log(wh, "dwd_qz_chapter_list", str(tmp_path / "logs")) == 0
+    assert [r.chapterlistname for r in wh.read("dwd_qz_chapter_list").collect()] == ["L"]
+    assert set(etl.load_exam_logs(wh, raw_logs(tmp_path / "raw")).values()) == {0}
+    exam.build_dims(wh, DAY)
+    hinted = []
+    monkeypatch.setattr(DataFrame, "hint", lambda df, name, *a, f=DataFrame.hint: hinted.append(name) or f(df, name, *a))
+    exam.build_answers(wh, DAY)
+    assert set(hinted) == {"merge"}
+
+
 def test_best_scores_run_the_joins_of_the_answers_once(warehouse):
     """Ranks are given to the few stored rows that qualify, so no join of the answers is left in the plan."""
     grain = exam.answer_grain(*[warehouse.scan(name, DAY) for name in ANSWER_PARTS])

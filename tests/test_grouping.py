@@ -68,6 +68,13 @@ def test_first_per_key_is_stable(spark):
     assert sorted((r.k, r.v) for r in first_per_key(df, ["k"], ["t"]).collect()) == [(1, "c"), (2, None)]
 
 
+def test_distinct_id_lists_take_one_shuffle(spark, rows):
+    df = spark.sql("SELECT * FROM VALUES ('a', 3), ('a', 1), ('a', 3), ('a', 12), ('b', NULL), (NULL, 2) AS t(g, id)")
+    lists = ids_in_parts(df, ["g"], "id", "ids", part_width=10)
+    assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(lists, "g", "part", "ids") == sorted([("a", 0, "1,3"), ("a", 1, "12"), ("b", None, ""), (None, 0, "2")], key=repr)
+
+
 @pytest.mark.parametrize("distinct", [True, False])
 def test_id_lists_are_whole_and_bounded(spark, distinct):
     rng = random.Random(3)
