@@ -77,13 +77,18 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def nodes_of(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``tie`` (hash of the text), ``node`` (key of the set) and ``n`` (its size) per document."""
+    """``doc_id``, ``tie`` (hash of the text), ``node`` (key of the set), ``n`` (its size) and ``sig`` (:func:`_signature`) per
+    document; ``sig`` only once per set and batch."""
     def run(batches: Batches) -> Batches:
         for rows in _each_set(batches, width, "doc_id", "tie"):
+            nodes, signatures, seen = [set_key(r[2]) for r in rows], [], set()
+            for node, (_, _, values) in zip(nodes, rows):
+                signatures.append(_signature(values) if len(values) and node not in seen else None)
+                seen.add(node)
             yield _batch(doc_id=pa.array([r[0] for r in rows], pa.int64()), tie=pa.array([r[1] for r in rows], pa.int64()),
-                         node=pa.array([set_key(r[2]) for r in rows], pa.int64()),
-                         n=pa.array([len(r[2]) for r in rows], pa.int64()))
-    return docs.withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, tie long, node long, n long")
+                         node=pa.array(nodes, pa.int64()), n=pa.array([len(r[2]) for r in rows], pa.int64()),
+                         sig=pa.array(signatures, pa.binary()))
+    return docs.withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, tie long, node long, n long, sig binary")
 
 
 def frequent_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
@@ -253,10 +258,20 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return signed.mapInArrow(run, "a long, b long")
 
 
+def _signatures(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node``, ``n`` and ``sig`` of all nodes of ``pairs``."""
+    paired = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "paired")
+    signed = nodes.where("sig IS NOT NULL").select("node", "n", "sig").join(small_side(paired), "node", "left_semi")
+    return materialize(signed.dropDuplicates(["node"]), "signatures")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs ``a, b`` that link."""
-    pairs = materialize(_likely(pairs, sets, percent), name)
+    return _linked(materialize(_likely(pairs, sets, percent), name), sets, percent)
+
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that link, by their full sets."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             keep = []
@@ -343,14 +358,11 @@ def _split_lists(rows: DataFrame, longest: int | None, percent: int, name: str)
     return pairs, materialize(rows.join(long.where("open"), "key").select("key", "node").distinct(), f"{name}-members")
 
 
-def _central(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``node`` and ``core`` of all members of long lists, and the shingles that many of these hold.
+def _held_often(held: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that ``least`` of the sets ``held`` or more hold, sorted, and the numbers of these sets.
 
-    ``core`` is the mean number of members that hold a shingle of the set: of a group of near copies, the text that the others
-    were made from has the largest. Only counts from :data:`LIST` on are told apart, and at most :data:`FREQUENT`.
+    If these are more than :data:`FREQUENT`, those of the larger numbers.
     """
-    held = sets.join(members.select("node").distinct(), "node", "left_semi")
-
     def count(batches: Batches) -> Batches:
         for batch in batches:
             if batch.num_rows:
@@ -359,14 +371,22 @@ def _central(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, np.ndarray
                 yield _batch(h=h.view(np.int64), c=c.astype(np.int64))
 
     counts = materialize(held.select("s").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-                         .where(F.col("c") >= LIST), "member-shingles")
-    least = LIST
+                         .where(F.col("c") >= least), "member-shingles")
     while counts.where(F.col("c") >= least).count() > FREQUENT:
         least *= 2
-    table = counts.where(F.col("c") >= least).toPandas().sort_values("h")
+    table = counts.where(F.col("c") >= least).toPandas()
     order = np.argsort(table["h"].to_numpy(np.int64).view(np.uint64))
-    shingles, number = table["h"].to_numpy(np.int64).view(np.uint64)[order], table["c"].to_numpy(float)[order]
-    known = sets.sparkSession.sparkContext.broadcast((shingles, number))
+    return table["h"].to_numpy(np.int64).view(np.uint64)[order], table["c"].to_numpy(float)[order]
+
+
+def _central(held: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``node`` and ``core`` of all members of long lists, whose sets are ``held``, and the shingles that many of these hold.
+
+    ``core`` is the mean number of members that hold a shingle of the set: of a group of near copies, the text that the others
+    were made from has the largest. Only counts from :data:`LIST` on are told apart, and at most :data:`FREQUENT`.
+    """
+    shingles, number = _held_often(held, LIST)
+    known = held.sparkSession.sparkContext.broadcast((shingles, number))
 
     def core(batches: Batches) -> Batches:
         shingles, number = known.value
@@ -406,8 +426,9 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) ->
     frequent = frequent_shingles(docs, width, percent)
     rows = materialize(postings(docs, width, percent, frequent, boundary(sizes, percent)), "postings")
     pairs, members = _split_lists(rows, LIST, percent, "level-0")
-    sets = sets_of(docs, nodes, pairs, members, width)
-    links = materialize(_verify(pairs, sets, percent, "level-0-likely"), "links-0")
+    likely = materialize(_likely(pairs, _signatures(nodes, pairs), percent), "level-0-likely")
+    sets = sets_of(docs, nodes, likely, members, width)
+    links = materialize(_linked(likely, sets, percent), "links-0")
     return with_long_lists(links, members, sets, percent)
 
 
@@ -416,14 +437,14 @@ def with_long_lists(links: DataFrame, members: DataFrame | None, sets: DataFrame
     """``links`` and those within long lists, as far as components need them. ``members`` are ``key`` and ``node`` of
     lists in which every pair that links may be met; ``sets`` holds the sets of all their nodes (:func:`sets_of`).
     ``shared_pivots`` suits lists of which a group has many (:func:`_stars`)."""
-    cores = None
+    held, cores = sets.where("member"), None
     for level in range(LEVELS):
         if members is None or members.isEmpty():
             return links
         if cores is None:
-            cores, frequent = _central(members, sets)
+            cores, frequent = _central(held)
         stars = _stars(members, cores, f"level-{level}-stars", shared_pivots)
-        compared = materialize(_differences(stars, sets, percent, frequent), f"level-{level}-compared")
+        compared = materialize(_differences(stars, held, percent, frequent), f"level-{level}-compared")
         links = materialize(links.union(compared.where("linked AND a <> b").select("a", "b")), f"links-{level}-stars")
         labels = connected(links, "a", "b")
         labelled = (compared.join(labels.withColumnRenamed("id", "b"), "b", "left")
@@ -438,14 +459,18 @@ def with_long_lists(links: DataFrame, members: DataFrame | None, sets: DataFrame
         rows = materialize(rows, f"level-{level + 1}-rows")
         longest = None if level + 1 == LEVELS else LATER_LIST
         pairs, members = _split_lists(rows, longest, percent, f"level-{level + 1}")
-        links = materialize(links.union(_verify(pairs, sets, percent, f"level-{level + 1}-likely")), f"links-{level + 1}")
+        links = materialize(links.union(_verify(pairs, held, percent, f"level-{level + 1}-likely")), f"links-{level + 1}")
     return links
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``node``, size ``n``, signature ``sig`` and set ``s`` of all nodes that are compared, from one document of each."""
-    wanted = (pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct())
-    ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")), "wanted")
+    """``node``, size ``n``, signature ``sig``, set ``s`` and ``member`` (it is in a long list) of all nodes that are compared,
+    from one document of each."""
+    named = (pairs.select(F.col("a").alias("node")).union(pairs.select("b")).withColumn("member", F.lit(False))
+             .union(members.select("node", F.lit(True))))
+    wanted = named.groupBy("node").agg(F.max("member").alias("member"))
+    ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(
+        F.min("doc_id").alias("id"), F.max("member").alias("member")), "wanted")
 
     def run(batches: Batches) -> Batches:
         for rows in _each_set(batches, width):
@@ -456,7 +481,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, members: DataFr
 
     picked = docs.join(small_side(ids.select("id").distinct()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = picked.select("text").mapInArrow(run, "node long, n long, sig binary, s binary")
-    return materialize(sets.join(small_side(ids.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return materialize(sets.join(small_side(ids.select("node", "member")), "node").dropDuplicates(["node"]), "sets")
 
 
 def labelled_nodes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+from lectern.llm import jaccard
 from lectern.llm.jaccard import _flipped, _signature, boundary, jaccard_components, prefix_length
 
 SCHEMA = "doc_id long, text string, node string, n string, a int"
@@ -104,3 +105,30 @@ def test_signatures_never_exceed_the_difference():
         x, y = (np.unique(rng.choice(pool, rng.integers(1, 800))) for _ in range(2))
         assert _flipped(_signature(x), _signature(y)) <= len(np.setxor1d(x, y))
         assert _flipped(_signature(x), _signature(x)) == 0
+
+
+def test_sets_are_made_of_pairs_that_signatures_allow(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(400):  # half of the words in common: some meet in a list, none links
+        base = [rng.choice(vocabulary) for _ in range(60)]
+        texts += [" ".join(base), " ".join(base[:33] + [rng.choice(vocabulary) for _ in range(27)])]
+    texts += near_copies(rng, [rng.choice(vocabulary) for _ in range(80)], 6, 1)
+    rows, counts = list(enumerate(texts)), {}
+    split, make = jaccard._split_lists, jaccard.sets_of
+
+    def split_lists(*args):
+        pairs, members = split(*args)
+        counts.setdefault("paired", pairs.selectExpr("explode(array(a, b)) AS node").distinct().count())
+        return pairs, members
+
+    def sets_of(*args):
+        sets = make(*args)
+        counts["sets"] = sets.count()
+        return sets
+
+    monkeypatch.setattr(jaccard, "_split_lists", split_lists)
+    monkeypatch.setattr(jaccard, "sets_of", sets_of)
+    assert result(spark, rows) == brute(rows)
+    assert counts["paired"] > 50 and counts["sets"] < counts["paired"] / 2
