@@ -401,6 +401,15 @@ def _central(held: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return materialize(held.select("node", "s").mapInArrow(core, "node long, core double"), "cores"), shingles
 
 
+def _listed(members: DataFrame) -> DataFrame:
+    """``node`` and ``core`` of all members of long lists: the lengths of a member's lists, added up.
+
+    Where a group has many lists, as keys of its signatures, the text that the others were made from is in most of them. No set is read.
+    """
+    lengths = small_side(materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "list-lengths"))
+    return materialize(members.join(lengths, "key").groupBy("node").agg(F.sum("m").cast("double").alias("core")), "cores")
+
+
 def _stars(members: DataFrame, cores: DataFrame, name: str, shared: bool) -> DataFrame:
     """``a``, the pivot of a long list, and ``b``, each of its members.
 
@@ -437,13 +446,16 @@ def with_long_lists(links: DataFrame, members: DataFrame | None, sets: DataFrame
     """``links`` and those within long lists, as far as components need them. ``members`` are ``key`` and ``node`` of
     lists in which every pair that links may be met; ``sets`` holds the sets of all their nodes (:func:`sets_of`).
     ``shared_pivots`` suits lists of which a group has many (:func:`_stars`)."""
-    held, cores = sets.where("member"), None
+    held, cores, frequent = sets.where("member"), None, None
     for level in range(LEVELS):
         if members is None or members.isEmpty():
             return links
         if cores is None:
-            cores, frequent = _central(held)
+            cores, frequent = (_listed(members), None) if shared_pivots else _central(held)
         stars = _stars(members, cores, f"level-{level}-stars", shared_pivots)
+        if frequent is None:  # what groups have in common is in their pivots
+            pivots = small_side(materialize(stars.select(F.col("a").alias("node")).distinct(), "pivots"))
+            frequent, _ = _held_often(held.join(pivots, "node", "left_semi"), 1)
         compared = materialize(_differences(stars, held, percent, frequent), f"level-{level}-compared")
         links = materialize(links.union(compared.where("linked AND a <> b").select("a", "b")), f"links-{level}-stars")
         labels = connected(links, "a", "b")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from awkward import frame
-from lectern.llm import hamming
+from lectern.llm import hamming, jaccard
 from lectern.llm.hamming import SYMBOLS, allowances, choices, keys_of, near_duplicates, radius_of, signature
 from test_jaccard import brute, near_copies
 
@@ -71,3 +71,27 @@ def test_awkward_rows(spark):
     assert [r[:3] for r in got] == [(d, n, c if n else d) for d, n, c in brute(rows, 3, 85)]
     assert all(kept == (d == c) for d, _, c, kept in got)
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_shingles_are_counted_in_pivots_only(spark, monkeypatch):
+    rng, counts = random.Random(4), {}
+    vocabulary = [f"v{i}" for i in range(3000)]
+    rows = []
+    for copies in (150, 90):
+        base = [rng.choice(vocabulary) for _ in range(100)]
+        rows += [" ".join(base), *near_copies(rng, base, copies, 3)]
+    rows = list(enumerate(rows))
+    often, listed = jaccard._held_often, jaccard._listed
+
+    def held_often(held, least):
+        counts["counted"] = held.count()
+        return often(held, least)
+
+    def lists(members):
+        counts["members"] = members.select("node").distinct().count()
+        return listed(members)
+
+    monkeypatch.setattr(jaccard, "_held_often", held_often)
+    monkeypatch.setattr(jaccard, "_listed", lists)
+    assert result(spark, rows, width=3, percent=85) == expected(rows, 3, 85)
+    assert counts["members"] > 150 and counts["counted"] < counts["members"] / 10
