@@ -36,6 +36,8 @@ SYMBOLS, BITS, CHUNK = 128, 16, 4
 MISSED = 1e-6
 #: Longest list that is compared in pairs.
 LIST = 32
+#: From so many pairs a document on, only pairs between components that the first pair of each leaves apart have their sets compared.
+MANY = 32
 #: Shingles that are hashed at once; bounds the memory of a very long text.
 BLOCK = 4096
 
@@ -198,15 +200,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` between nodes that connect all nodes which links connect.
 
-    Sets are moved for few pairs only: first one pair of each node, then those between components that these leave apart.
+    Where documents have :data:`MANY` pairs each, sets are moved for few of them only: first for one pair of each node, then for those
+    between components that these leave apart.
     """
     rows = materialize(postings(nodes, percent), "hamming-postings")
     pairs, members = candidates(rows, percent)
     near = materialize(within_radius(pairs, nodes, radius_of(percent)), "hamming-near")
     sets = sets_of(docs, nodes.withColumnRenamed("id", "doc_id"), near, members, width)
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(_confirmed(first, sets, percent), "hamming-first")
-    if not near.isEmpty():
+    number, paired = near.agg(F.count(F.lit(1)), F.count_distinct("b")).first()  # two numbers
+    if number <= MANY * paired:
+        links = materialize(_confirmed(near, sets, percent), "hamming-links")
+    else:
+        first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = materialize(_confirmed(first, sets, percent), "hamming-first")
         labels = materialize(connected(links, "a", "b"), "hamming-labels")
         side = small_side(labels)
         apart = (near.join(side.withColumnsRenamed({"id": "a", "label": "la"}), "a", "left")

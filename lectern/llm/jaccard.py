@@ -38,6 +38,8 @@ FREQUENT = 500_000
 SCAN = 4
 #: The same for lists of differences, in which only pairs across components are compared.
 LATER_LIST = 512
+#: One in so many long lists counts for the choice of shared pivots, which changes cost, never the result.
+COUNTED = 2
 #: After so many levels lists are compared in pairs whatever their length.
 LEVELS = 8
 
@@ -402,12 +404,14 @@ def _central(held: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _listed(members: DataFrame) -> DataFrame:
-    """``node`` and ``core`` of all members of long lists: the lengths of a member's lists, added up.
+    """``node`` and ``core`` of all members of long lists: the lengths of a member's lists, one in :data:`COUNTED`, added up.
 
     Where a group has many lists, as keys of its signatures, the text that the others were made from is in most of them. No set is read.
     """
-    lengths = small_side(materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "list-lengths"))
-    return materialize(members.join(lengths, "key").groupBy("node").agg(F.sum("m").cast("double").alias("core")), "cores")
+    lists = members.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0)
+    lengths = small_side(materialize(lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "list-lengths"))
+    cores = lists.join(lengths, "key").select("node", "m").union(members.select("node", F.lit(0).cast("long")))
+    return materialize(cores.groupBy("node").agg(F.sum("m").cast("double").alias("core")), "cores")
 
 
 def _stars(members: DataFrame, cores: DataFrame, name: str, shared: bool) -> DataFrame:
@@ -421,12 +425,12 @@ def _stars(members: DataFrame, cores: DataFrame, name: str, shared: bool) -> Dat
     if not shared:
         pivots = ranked.select("key", F.col("best.node").alias("a"))
         return materialize(members.join(pivots, "key").select("a", F.col("node").alias("b")).distinct(), name)
-    firsts = materialize(ranked, f"{name}-first")
-    chosen = firsts.select(F.col("best.node").alias("node")).distinct()
-    tops = (members.join(chosen, "node", "left_semi").join(firsts, "key")
-            .groupBy("node").agg(F.max("best").alias("top")).select(F.col("node").alias("first"), F.col("top.node").alias("a")))
-    pivots = materialize(firsts.select("key", F.col("best.node").alias("first")).join(tops, "first").select("key", "a"), f"{name}-pivots")
-    return materialize(members.join(small_side(pivots), "key").select("a", F.col("node").alias("b")).distinct(), name)
+    firsts = small_side(materialize(ranked, f"{name}-first"))
+    met = materialize(members.join(firsts, "key").select("best", "node").distinct(), f"{name}-met")
+    chosen = met.select(F.col("best.node").alias("node")).distinct()
+    tops = (met.join(chosen, "node", "left_semi").groupBy("node").agg(F.max("best").alias("top"))
+            .select(F.col("node").alias("first"), F.col("top.node").alias("a")))
+    return materialize(met.join(tops, F.col("best.node") == F.col("first")).select("a", F.col("node").alias("b")).distinct(), name)
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -457,8 +461,7 @@ def with_long_lists(links: DataFrame, members: DataFrame | None, sets: DataFrame
             pivots = small_side(materialize(stars.select(F.col("a").alias("node")).distinct(), "pivots"))
             frequent, _ = _held_often(held.join(pivots, "node", "left_semi"), 1)
         compared = materialize(_differences(stars, held, percent, frequent), f"level-{level}-compared")
-        links = materialize(links.union(compared.where("linked AND a <> b").select("a", "b")), f"links-{level}-stars")
-        labels = connected(links, "a", "b")
+        labels = connected(links.union(compared.where("linked AND a <> b").select("a", "b")), "a", "b")
         labelled = (compared.join(labels.withColumnRenamed("id", "b"), "b", "left")
                     .withColumn("part", F.coalesce("label", "b")).drop("label"))
         labelled = (labelled.join(labels.withColumnsRenamed({"id": "a", "label": "own"}), "a", "left")
@@ -471,7 +474,9 @@ def with_long_lists(links: DataFrame, members: DataFrame | None, sets: DataFrame
         rows = materialize(rows, f"level-{level + 1}-rows")
         longest = None if level + 1 == LEVELS else LATER_LIST
         pairs, members = _split_lists(rows, longest, percent, f"level-{level + 1}")
-        links = materialize(links.union(_verify(pairs, held, percent, f"level-{level + 1}-likely")), f"links-{level + 1}")
+        # from here on the labels stand for the links they came from
+        links = materialize(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
+                            .union(_verify(pairs, held, percent, f"level-{level + 1}-likely")), f"links-{level + 1}")
     return links
 
 

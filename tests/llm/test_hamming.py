@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from awkward import frame
-from lectern.llm import hamming, jaccard
+from lectern.llm import components, hamming, jaccard
 from lectern.llm.hamming import SYMBOLS, allowances, choices, keys_of, near_duplicates, radius_of, signature
 from test_jaccard import brute, near_copies
 
@@ -95,3 +95,33 @@ def test_shingles_are_counted_in_pivots_only(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_listed", lists)
     assert result(spark, rows, width=3, percent=85) == expected(rows, 3, 85)
     assert counts["members"] > 150 and counts["counted"] < counts["members"] / 10
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    made, store = [], components.materialize
+
+    def materialize(df, name):
+        made.append(name)
+        return store(df, name)
+
+    monkeypatch.setattr(components, "materialize", materialize)
+    links = spark.createDataFrame([(9, 1), (5, 1), (1, 7), (8, 2)], "a long, b long")
+    assert sorted(map(tuple, components.connected(links, "a", "b").collect())) == [(1, 1), (2, 2), (5, 1), (7, 1), (8, 2), (9, 1)]
+    assert made == ["edges"]
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 31), (31, 31), (32, 31)], "a long, b long")
+    got = sorted(map(tuple, components.connected(chain, "a", "b").collect()))
+    assert got == [(k, 0) for k in range(21)] + [(k, 30) for k in range(30, 33)] and len(made) > 2
+    assert components.connected(links.limit(0), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("many", [0, 1000])
+def test_few_and_many_pairs_give_the_same(spark, monkeypatch, many):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(500)]
+    rows = []
+    for copies in (20, 8, 70):
+        base = [rng.choice(vocabulary) for _ in range(90)]
+        rows += [" ".join(base), *near_copies(rng, base, copies, 4)]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(hamming, "MANY", many)
+    assert result(spark, rows, width=3, percent=85) == expected(rows, 3, 85)
