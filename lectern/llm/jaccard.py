@@ -404,14 +404,16 @@ def _central(held: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _listed(members: DataFrame) -> DataFrame:
-    """``node`` and ``core`` of all members of long lists: the lengths of a member's lists, one in :data:`COUNTED`, added up.
+    """``node`` and ``core`` of all members of long lists: the number of a member's lists times their mean length, of one in :data:`COUNTED`.
 
     Where a group has many lists, as keys of its signatures, the text that the others were made from is in most of them. No set is read.
     """
     lists = members.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0)
     lengths = small_side(materialize(lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "list-lengths"))
-    cores = lists.join(lengths, "key").select("node", "m").union(members.select("node", F.lit(0).cast("long")))
-    return materialize(cores.groupBy("node").agg(F.sum("m").cast("double").alias("core")), "cores")
+    found = lists.join(lengths, "key").select("node", "m", F.lit(0).alias("one")).union(
+        members.select("node", F.lit(None).cast("long"), F.lit(1)))
+    core = F.coalesce(F.avg("m"), F.lit(0.0)) * F.sum("one")
+    return materialize(found.groupBy("node").agg(core.alias("core")), "cores")
 
 
 def _stars(members: DataFrame, cores: DataFrame, name: str, shared: bool) -> DataFrame:
