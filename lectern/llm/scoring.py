@@ -9,7 +9,7 @@ rare, so that all tokens of one fit a task. Bigrams of two of the :data:`FREQUEN
 their own. They are counted within tasks, at most ``FREQUENT`` squared of them, and scored from that table where the text is.
 Of all other bigrams each document has one row per sum that isn't known to every task, shuffled once by what it is about: the
 bigram, if both words are known; its first word, if that is rare; its second word, if that is rare. The rows are counted and
-scored where they meet.
+scored where they meet, in order of their keys; a task holds those of one key at once.
 
 Both models interpolate bigrams with single words: p(w | v) = (c(v w) + m p(w)) / (c(v) + m), p(w) = (c(w) + 1) / (N + V).
 V is the number of different words.
@@ -19,12 +19,13 @@ target if it is a target document. Otherwise every target document would look li
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm.common import materialize
 from lectern.llm.shingles import FACTORS, WordHashes, word_hashes
@@ -65,25 +66,29 @@ def _pair_counts(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
 
     def run(batches: Batches) -> Batches:
         memo, frequent = WordHashes(), known.value
-        counts = np.zeros((2, len(frequent) ** 2), np.int64)
+        side = len(frequent)
+        counts, gathered, size = np.zeros(2 * side ** 2, np.int64), [], 0  # other documents, then those of the target
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 good = part.column("is_target").to_numpy(zero_copy_only=False)
                 held = [tokens(t.as_py(), memo) for t in part.column("text")]
-                for flag in (False, True):
-                    mine = [t for t, g in zip(held, good) if g == flag]
-                    if mine:
-                        at = _places(np.concatenate(mine), frequent)
-                        inside = np.ones(len(at), dtype=bool)
-                        inside[np.cumsum([0, *map(len, mine[:-1])])] = False  # the start has none before it
-                        v, w = at[:-1][inside[1:]], at[1:][inside[1:]]
-                        both = (v >= 0) & (w >= 0)
-                        found = np.bincount(v[both] * len(frequent) + w[both], minlength=counts.shape[1])
-                        counts[1] += found
-                        counts[0] += found * flag
-        at = np.flatnonzero(counts[1])
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "t": pa.array(counts[0][at]), "b": pa.array(counts[1][at])})
+                lengths = np.array([len(t) for t in held])
+                at = _places(np.concatenate(held), frequent)
+                inside = np.ones(len(at), dtype=bool)
+                inside[np.cumsum(lengths)[:-1]] = False  # the start has none before it
+                both = inside[1:] & (at[:-1] >= 0) & (at[1:] >= 0)
+                flag = np.repeat(good, lengths)[1:][both]
+                gathered.append((flag * side + at[:-1][both]) * side + at[1:][both])
+                size += len(gathered[-1])
+                if size >= GATHERED:
+                    counts += np.bincount(np.concatenate(gathered), minlength=len(counts))
+                    gathered, size = [], 0
+        if gathered:
+            counts += np.bincount(np.concatenate(gathered), minlength=len(counts))
+        other, good = counts.reshape(2, -1)
+        at = np.flatnonzero(other + good)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "t": pa.array(good[at]), "b": pa.array((other + good)[at])})
 
     table = docs.select("text", "is_target").mapInArrow(run, "pair long, t long, b long").groupBy("pair").agg(
         F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()  # FREQUENT squared rows and a few at most
@@ -140,6 +145,54 @@ def _known_words(words: DataFrame, known: int) -> pd.DataFrame:
     return words.where((F.col("word") == 0) | ((F.col("w_all") > 0) & (step >= least))).toPandas().sort_values("word")
 
 
+def _meeting(shared: Broadcast, sizes: tuple[int, int], weight: float) -> Callable[[Batches], Batches]:
+    """``a``, ``total`` and ``n`` (tokens, once a document): what the rows of a key add to the scores, for partitions sorted by ``key``
+    and ``other``. The rows of one key are in memory at once; ``shared`` has the single words' part of known second words."""
+    names = ("a", "key", "other", "packed", "total")
+
+    def scored(c: list[np.ndarray]) -> pa.RecordBatch:
+        a, key, other, packed, total = c
+        kind = (key.view(np.uint64) >> np.uint64(BITS)).astype(np.int8)
+        ready = kind == READY
+        n = np.where(ready, 0, packed >> 1)
+        own = (n * (packed & 1), n)
+        changed = key[1:] != key[:-1]
+        met = np.flatnonzero(np.concatenate([[True], changed]))
+        pair = np.flatnonzero(np.concatenate([[True], changed | (other[1:] != other[:-1])]))
+        in_met, in_pair = (np.repeat(np.arange(len(x)), np.diff(np.append(x, len(key)))) for x in (met, pair))
+        word = np.where(kind == PAIR, key & (KNOWN - 1), np.where(kind == FIRST, np.maximum(other, 0), 0))
+        top, low = [], []
+        for m in (0, 1):
+            around = np.add.reduceat(own[m], met)[in_met]
+            p = np.where(kind == SECOND, weight * (around + 1) / sizes[m], shared.value[m][word])
+            top.append(np.add.reduceat(own[m], pair)[in_pair] - own[m] + p)
+            low.append(around - own[m] + weight)
+        found = np.where((kind == FIRST) & (other < 0), 0.0, np.log(top[1] / top[0]))
+        first = kind == FIRST
+        found[first] += np.log(low[0][first] / low[1][first])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.where(ready, total, n * found)),
+                                           pa.array(np.where(ready, packed, 0).astype(np.int32))], names=["a", "total", "n"])
+
+    def run(batches: Batches) -> Batches:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            c = [batch.column(k).to_numpy() for k in names]
+            if not batch.num_rows:
+                continue
+            cut = int(np.searchsorted(c[1], c[1][-1]))
+            if held and (cut or held[-1][1][-1] != c[1][0]):  # the key that the last batch ended with ends here
+                held.append([x[:cut] for x in c])
+                yield scored([np.concatenate(x) for x in zip(*held)])
+                held = []
+            elif cut:
+                yield scored([x[:cut] for x in c])
+            held.append([x[cut:] for x in c])
+        if held:
+            yield scored([np.concatenate(x) for x in zip(*held)])
+
+    return run
+
+
 def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id: str = "doc_id",
           weight: float = WEIGHT, known: int = KNOWN, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``is_target`` and ``score`` per document, lower being closer to the target.
@@ -173,16 +226,18 @@ def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id
                 part = batch.slice(start, SLICE)
                 good = part.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
                 held = [tokens(t.as_py(), memo) for t in part.column("text")]
-                firsts, seconds, times = [], [], []
+                every = np.concatenate(held)
+                places, begin = _places(every, table), 0
+                told = every[:-1].view(np.uint64) * FACTORS[0] + every[1:].view(np.uint64) * FACTORS[1]
+                firsts, times = [], []
                 for t in held:  # a document's different bigrams; the number that tells them apart is for this document only
-                    told = t[:-1].view(np.uint64) * FACTORS[0] + t[1:].view(np.uint64) * FACTORS[1]
-                    _, at, n = np.unique(told, return_index=True, return_counts=True)
-                    firsts.append(t[at])
-                    seconds.append(t[at + 1])
+                    _, at, n = np.unique(told[begin:begin + len(t) - 1], return_index=True, return_counts=True)
+                    firsts.append(at + begin)
                     times.append(n)
+                    begin += len(t)
                 row = np.repeat(np.arange(len(held)), [len(n) for n in times])
-                v, w, n = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(times)
-                v_at, w_at, own_good = _places(v, table), _places(w, table), n * good[row]
+                first, n = np.concatenate(firsts), np.concatenate(times)
+                v, w, v_at, w_at, own_good = every[first], every[first + 1], places[first], places[first + 1], n * good[row]
                 own = (own_good, n)
                 total = np.zeros(len(n))
                 has_v = v_at >= 0  # the divisor of such a bigram is known here
@@ -211,29 +266,9 @@ def score(docs: DataFrame, text: str = "text", target: str = "is_target", doc_id
 
     keyed = packed.select(F.xxhash64("doc_id", "text").alias("a"), "text", "doc_id", "is_target")
     rows = keyed.select("a", "is_target", "text").mapInArrow(run, "a long, key long, other long, packed long, total double")
-    kind, ready = F.shiftrightunsigned("key", BITS), F.shiftrightunsigned("key", BITS) == READY
-    n = F.when(ready, F.lit(0)).otherwise(F.shiftright("packed", 1))
-    good = n * F.col("packed").bitwiseAND(1)
-    pair, met = Window.partitionBy("key", "other"), Window.partitionBy("key")
-    # dealt out by the key before the windows, so that what the windows compute from a row doesn't travel
-    counted = (rows.repartition("key")
-               .select("*", F.sum(n).over(pair).alias("n_all"), F.sum(good).over(pair).alias("n_target"),
-                       F.sum(n).over(met).alias("c_all"), F.sum(good).over(met).alias("c_target")))
-    second = packed.sparkSession.createDataFrame(pd.DataFrame({
-        "_w": np.arange(len(table)), "p_target": single[0], "p_all": single[1]}), "_w long, p_target double, p_all double")
-    number = F.when(kind == PAIR, F.col("key").bitwiseAND(KNOWN - 1)).when(kind == FIRST, F.col("other")).otherwise(F.lit(-1))
-    joined = counted.join(F.broadcast(second), number == F.col("_w"), "left")  # KNOWN rows at most
-
-    def part(m: str, size: int, own: Column) -> tuple[Column, Column]:
-        """What the word of a row adds to the sums of its bigram, and the divisor by its first word."""
-        rare = weight * (F.col(f"c_{m}") + 1) / (size + vocabulary)
-        p = F.when(kind == SECOND, rare).otherwise(F.col(f"p_{m}"))
-        return F.log(F.col(f"n_{m}") - own + p), F.log(F.col(f"c_{m}") - own + weight)
-
-    (top_t, low_t), (top_b, low_b) = part("target", n_target, good), part("all", n_all, n)
-    found = F.when(kind == FIRST, F.when(F.col("other") >= 0, top_b - top_t).otherwise(F.lit(0.0)) + low_t - low_b).otherwise(top_b - top_t)
-    scored = joined.select("a", F.when(ready, F.col("total")).otherwise(n * found).alias("total"),
-                           F.when(ready, F.col("packed")).otherwise(F.lit(0)).alias("n"))
+    scored = (rows.repartition("key").sortWithinPartitions("key", "other")
+              .mapInArrow(_meeting(packed.sparkSession.sparkContext.broadcast(single), (n_target + vocabulary, n_all + vocabulary), weight),
+                          "a long, total double, n int"))
     sums = scored.groupBy("a").agg(F.sum("total").alias("total"), F.sum("n").alias("n_tokens"))
     every = keyed.select("a", "doc_id", "is_target")
     copies = every.groupBy("a").agg(F.count(F.lit(1)).alias("copies"))  # equal rows have added up

@@ -105,3 +105,19 @@ def test_scores_over_many_words(spark):
 
 def brute_words(rows):
     return [Counter(w for _, t, g in rows if g or not m for w in t.split()) for m in (0, 1)]
+
+
+def test_rows_meet_without_windows_over_any_batches(spark):
+    """A key's rows may be dealt over batches of any size; they are summed in order of the keys, not by windows."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.random() ** 2 * 40)}" for _ in range(rng.randint(0, 60))), i % 3 == 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean").repartition(3)
+    for size in (1, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            for known in (0, 10):
+                got = score(docs, known=known, frequent=0).select("doc_id", "n_tokens", "score")
+                assert "Window" not in got._jdf.queryExecution().toString()
+                same([tuple(r) for r in got.collect()], brute(rows))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
