@@ -8,7 +8,7 @@ from lectern.functions import scalars as S
 from lectern.operators.grouping import among_best, first_per_key, ids_in_parts, rate_by, top_n_ties
 from lectern.operators.joins import inner_join_all
 from lectern.session import materialize
-from lectern.sources.warehouse import Warehouse, shape
+from lectern.sources.warehouse import SCHEMAS, Warehouse, shape
 
 PASS_MARK = 60
 PAPER_KEYS = ("paperviewid", "paperviewname", "dt", "dn")
@@ -48,11 +48,19 @@ def answer_wide(answer: DataFrame, chapter: DataFrame, course: DataFrame, major:
                 question: DataFrame) -> DataFrame:
     """Every answer with all five dimensions.
 
-    A chapter comes once per point and question, so answers repeat, as the wide table defines.
+    A chapter comes once per point and question, so answers repeat, as the wide table defines. Through the joins the columns that a
+    dimension gives go as one struct: rows of some 120 columns are too wide for compiled code, in sorts and shuffles too.
     """
-    return shape(_with_dims(
-        answer, (question, ("questionid", "dn")), (paper, ("paperviewid", "dn")), (chapter, ("chapterid", "dn")),
-        (course, ("sitecourseid", "dn")), (major, ("majorid", "dn"))), "dws_user_paper_detail")
+    names, source = SCHEMAS["dws_user_paper_detail"].names, {}
+
+    def packed(dim: DataFrame, key: str) -> Side:
+        given = [c for c in dim.columns if c in names and c not in (key, "dn")]
+        source.update({c: f"_{key}.{c}" for c in given})
+        return dim.select(key, "dn", F.struct(*given).alias(f"_{key}")), (key, "dn")
+
+    joined = _with_dims(answer, packed(question, "questionid"), packed(paper, "paperviewid"), packed(chapter, "chapterid"),
+                        packed(course, "sitecourseid"), packed(major, "majorid"))
+    return joined.select(*[F.col(source.get(c, c)).alias(c) for c in names])
 
 
 def _with_dims(answer: DataFrame, question: Side, paper: Side, chapter: Side, course: Side, major: Side) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.operators.grouping import first_per_key
 from lectern.operators.upsert import upsert
+from lectern.session import settings
+
+
+#: Partitions that a task of a write has files open for at a time.
+OPEN_FILES = 8
 
 
 def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite",
@@ -18,7 +23,8 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = (), m
 
     ``append`` adds files as they are. Before the write
     rows are rebalanced on the partition columns: Spark joins small partitions and splits large ones, so
-    neither many small files nor one task per tenant results.
+    neither many small files nor one task per tenant results. A task keeps the files of up to :data:`OPEN_FILES` partitions open
+    instead of sorting its rows by partition; with more, Spark sorts the rest.
     """
     whole, mode = mode == "replace", "overwrite" if mode == "replace" else mode
     if rebalance:
@@ -26,7 +32,8 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = (), m
     writer = df.write.mode(mode).option("compression", compression)
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.option("partitionOverwriteMode", "static" if whole or not partitions else "dynamic").parquet(path)
+    with settings(df.sparkSession, spark__sql__maxConcurrentOutputFileWriters=str(OPEN_FILES)):
+        writer.option("partitionOverwriteMode", "static" if whole or not partitions else "dynamic").parquet(path)
 
 
 class _Folders:

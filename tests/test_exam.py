@@ -7,7 +7,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from lectern.plans import etl, exam
 from lectern.queries.roles import land_logs
-from lectern.sources.warehouse import Warehouse
+from lectern.sources.warehouse import SCHEMAS, Warehouse
 
 DAY = "20190722"
 
@@ -95,6 +95,21 @@ def test_answers_are_shuffled_for_grown_dimensions_only(warehouse, build):
                     ("SortMergeJoin", "paperview"), ("SortMergeJoin", "question")]
 
 
+def test_wide_answers_go_narrow_through_the_joins(warehouse):
+    """No join of the wide answers carries the columns of the dimensions one by one; only what is asked for is read of them."""
+    wide = exam.answer_wide(*[warehouse.scan(name, DAY) for name in ANSWER_PARTS])
+    assert wide.columns == SCHEMAS["dws_user_paper_detail"].names
+
+    def joins(node):
+        below = [j for k in range(node.children().size()) for j in joins(node.children().apply(k))]
+        return below + [node.output().size()] if node.nodeName() == "Join" else below
+
+    widths = joins(wide._jdf.queryExecution().optimizedPlan())
+    assert len(widths) == 5 and max(widths) < 30
+    scans = [line for line in plan(wide.select("userid", "papername")).splitlines() if "dws_qz_" in line]
+    assert scans and not any("content" in line or "chaptername" in line for line in scans)
+
+
 def test_logs_land_packed_and_answers_are_written_without_another_shuffle(spark, tmp_path, monkeypatch):
     """Logs of the job are read back from packed files; the two answer tables and the id lists take no rebalancing shuffle."""
     line = spark.createDataFrame([(1, "L")], "chapterlistid int, chapterlistname string")

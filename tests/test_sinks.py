@@ -1,5 +1,6 @@
 import pytest
 
+from lectern.sinks import tables
 from lectern.sinks.tables import ChangeLog, VersionedTable
 from lectern.sources.streams import run_id
 
@@ -68,3 +69,16 @@ def test_a_new_checkpoint_needs_a_new_output(spark, tmp_path):
             make(second)(one, 0)
         assert make(first)(one, 6)
     assert table(ChangeLog(spark, str(tmp_path / "log"), ["k"]).read()) == {"a": 1}
+
+
+def test_partitions_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """Also with more partitions than files are kept open; the session's own setting holds again afterwards."""
+    key, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before = spark.conf.get(key, None)
+    writer = type(spark.range(1).write)
+    monkeypatch.setattr(writer, "parquet", lambda w, path, f=writer.parquet: seen.append(int(spark.conf.get(key))) or f(w, path))
+    data = [(f"k{k}", k) for k in range(3 * tables.OPEN_FILES)]
+    for rebalance in (True, False):
+        tables.write_partitions(frame(spark, data).repartition(2), str(tmp_path / "t"), ["k"], rebalance=rebalance)
+        assert table(spark.read.parquet(str(tmp_path / "t"))) == dict(data)
+    assert seen and min(seen) > 0 and spark.conf.get(key, None) == before
